@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import fingerprints, runtime, token_counts, token_output
+from quire.llm import ann_tree, fingerprints, runtime, token_counts, token_output
 
 JSON_TOKENIZER, PIECE_MODEL, END_ID = "word_bpe_49k.json", "piece_bpe_32k.model", 2
 
@@ -22,6 +22,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(runtime.table(spark, sf_dir, "documents"))
 
 
+def op4_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.nearest(runtime.table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(runtime.table(spark, sf_dir, "documents"), tokenizer_path(JSON_TOKENIZER))
 
@@ -33,6 +37,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
+    "op4_ann_tree": op4_ann_tree,
     "op5_token_counts": op5_token_counts,
     "op10_token_output": op10_token_output,
 }
