@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann_tree, fingerprints, runtime, token_counts, token_output
+from quire.llm import ann_tree, fingerprints, runtime, sentencepiece, token_counts, token_output
 
 JSON_TOKENIZER, PIECE_MODEL, END_ID = "word_bpe_49k.json", "piece_bpe_32k.model", 2
 
@@ -30,6 +30,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(runtime.table(spark, sf_dir, "documents"), tokenizer_path(JSON_TOKENIZER))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path(PIECE_MODEL)
+    out = sentencepiece.decode(sentencepiece.encode(runtime.table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", "n_tokens", "ids_crc32", F.crc32(F.encode("text", "UTF-8")).alias("decoded_crc32"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_output.write_tokens(runtime.table(spark, sf_dir, "documents"), tokenizer_path(JSON_TOKENIZER), END_ID)
     return token_output.read_tokens(shards)
@@ -39,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_ann_tree": op4_ann_tree,
     "op5_token_counts": op5_token_counts,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_token_output": op10_token_output,
 }
 ORACLES: dict[str, str] = {}
