@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann_tree, fingerprints, runtime, sentencepiece, token_counts, token_output
+from quire.llm import ann_tree, fingerprints, runtime, sentencepiece, token_counts, token_output, toxicity
 
 JSON_TOKENIZER, PIECE_MODEL, END_ID = "word_bpe_49k.json", "piece_bpe_32k.model", 2
 
@@ -18,6 +18,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(col: str = "doc_id"):
+    return F.pmod(F.crc32(F.col(col).cast("string")), F.lit(4))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runtime.table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, runtime.table(spark, sf_dir, "labels"), eligible=remainder() != 2)
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(runtime.table(spark, sf_dir, "documents"))
 
@@ -42,6 +53,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_fingerprints": op3_fingerprints,
     "op4_ann_tree": op4_ann_tree,
     "op5_token_counts": op5_token_counts,

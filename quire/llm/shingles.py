@@ -53,21 +53,40 @@ def _tabled(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["up"], _tables["down"]
 
 
-def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a slice, and the number of words in each text."""
+def word_spans(texts: list[bytes], apart: np.ndarray = _WHITE) -> tuple:
+    """Words of a slice as (prefix sums, inverse powers, first and last byte of each, words in each text).
+
+    apart marks the bytes between words; the hash of bytes a..b is mix((sums[b] - sums[a - 1]) * inverse[a]).
+    """
     joined = b"\n" + b"\n".join(texts) + b"\n"
     buf = np.frombuffer(joined, np.uint8)
-    white = _WHITE[buf]
+    white = apart[buf]
     up, down = _tabled(len(buf))
     sums = _BYTES[buf]
     sums *= up[: len(buf)]
     np.cumsum(sums, out=sums)
     edges = np.flatnonzero(white[1:] != white[:-1])
     first, last = edges[0::2] + 1, edges[1::2]  # of each word
-    h = mix((sums[last] - sums[first - 1]) * down[first])
     stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    upto = np.searchsorted(first, stops + 1)
-    return h, np.diff(upto, prepend=0)
+    return sums, down, first, last, np.diff(np.searchsorted(first, stops + 1), prepend=0)
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a slice, and the number of words in each text."""
+    sums, down, first, last, n = word_spans(texts)
+    return mix((sums[last] - sums[first - 1]) * down[first]), n
+
+
+def slices(texts: list[bytes]):
+    """Runs of texts of about SLICE bytes, one text at least."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) < SLICE):
+            size += len(texts[j]) + 1
+            j += 1
+        yield i, j
+        i = j
 
 
 def _slice_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,16 +125,11 @@ def _slice_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's shingles in order, repeats included, and the len(texts) + 1 offsets between texts."""
-    hashes, counts, i = [], [], 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) < SLICE):
-            size += len(texts[j]) + 1
-            j += 1
+    hashes, counts = [], []
+    for i, j in slices(texts):
         h, at = _slice_hashes(texts[i:j])
         hashes.append(h)
         counts.append(np.diff(at))
-        i = j
     if not hashes:
         return np.zeros(0, _U), np.zeros(1, np.int64)
     return np.concatenate(hashes), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
