@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann_tree, fingerprints, runtime, sentencepiece, token_counts, token_output, toxicity
+from quire.llm import ann_tree, fingerprints, line_dedup, runtime, sentencepiece, token_counts, token_output, toxicity
 
 JSON_TOKENIZER, PIECE_MODEL, END_ID = "word_bpe_49k.json", "piece_bpe_32k.model", 2
 
@@ -47,6 +47,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_crc32", F.crc32(F.encode("text", "UTF-8")).alias("decoded_crc32"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(runtime.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_output.write_tokens(runtime.table(spark, sf_dir, "documents"), tokenizer_path(JSON_TOKENIZER), END_ID)
     return token_output.read_tokens(shards)
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ann_tree": op4_ann_tree,
     "op5_token_counts": op5_token_counts,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_output": op10_token_output,
 }
 ORACLES: dict[str, str] = {}
