@@ -131,7 +131,7 @@ def fingerprints(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     n = max(rows.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism)
     cuts = rows.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 100 * n).alias("cuts")).first()["cuts"]
     cuts = sorted(set(cuts or []))
-    rows = rows.withColumn("part", _bucket(F.col("key"), cuts))
+    rows = rows.withColumn("part", runtime.bucket(F.col("key"), cuts))
     firsts = {r["part"]: r["first"] for r in rows.groupBy("part").agg(F.min("key").alias("first")).collect()}
     order = sorted(firsts)
     before = [(firsts[p], order[k - 1]) for k, p in enumerate(order)]  # the first key of a part goes to the part before, too
@@ -147,15 +147,3 @@ def fingerprints(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     rows = rows.repartition(n, "part").sortWithinPartitions("part", "guest", "key", "text").select("part", "doc_id", "guest", "text")
     return rows.mapInArrow(_follow(scale), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, held_in_next double")
 
-
-def _bucket(key, cuts: list[int]):
-    """How many of the sorted cuts are at or below key, as a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(cuts))
-

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann_tree, fingerprints, line_dedup, runtime, sentencepiece, token_counts, token_output, toxicity
+from quire.llm import ann_tree, fingerprints, line_dedup, mixing, runtime, sentencepiece, token_counts, token_output, toxicity, url_filter
 
 JSON_TOKENIZER, PIECE_MODEL, END_ID = "word_bpe_49k.json", "piece_bpe_32k.model", 2
 
@@ -41,6 +41,92 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(runtime.table(spark, sf_dir, "documents"), tokenizer_path(JSON_TOKENIZER))
 
 
+#: Target shares of the sources, in slots of the cycle; any other source has one.
+MIX_WEIGHTS = {f"src{k}": 1 + k % 4 for k in range(20)}
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(runtime.table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    return out.select("doc_id", "source", "block", "slot", "seq", "on_target")
+
+
+OP6_SQL = f"""
+WITH RECURSIVE rows_ AS (
+  SELECT doc_id, source, coalesce(source, chr(0)) AS its, coalesce(doc_id, -9223372036854775808) AS at_, coalesce(strlen(text), 0) + 1 AS size FROM documents
+), sources AS (
+  SELECT its, sum(size)::BIGINT AS n,
+    (CASE WHEN regexp_full_match(its, 'src(0|1?[1-9]|10)') THEN 1 + CAST(substr(its, 4) AS BIGINT) % 4 ELSE 1 END)::BIGINT AS a
+  FROM rows_ GROUP BY its
+), ranked AS (SELECT *, row_number() OVER (ORDER BY its) AS k, sum(a) OVER ()::BIGINT AS total FROM sources
+), weights AS (SELECT list(a ORDER BY k) AS ws, any_value(total) AS total FROM ranked
+), steps(t, used, pick) AS (
+  SELECT 0::BIGINT, list_transform(ws, lambda x: 0::BIGINT), 0::BIGINT FROM weights
+  UNION ALL
+  SELECT t + 1, list_transform(used, lambda x, i: x + CASE WHEN i = p THEN 1 ELSE 0 END), p FROM (
+    SELECT t, used, list_min(list_transform(ws, lambda a, i: CASE
+        WHEN used[i] < a AND (used[i] * total) // a <= t THEN (((used[i] + 1) * total + a - 1) // a) * 100000 + i ELSE 1000000000000000 END)) % 100000 AS p
+    FROM steps, weights WHERE t < total)
+), cycle_ AS (SELECT t - 1 AS place, pick AS k, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM steps WHERE t > 0
+), ends AS (
+  SELECT min(((r.n - 1) // {mixing.BLOCK_BYTES} + 1) // r.a * r.total + c.place) AS until
+  FROM ranked r JOIN cycle_ c ON c.k = r.k AND c.j = ((r.n - 1) // {mixing.BLOCK_BYTES} + 1) % r.a
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY its ORDER BY at_, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM rows_
+)
+SELECT p.doc_id, p.source, before // {mixing.BLOCK_BYTES} AS block,
+  (before // {mixing.BLOCK_BYTES}) // r.a * r.total + c.place AS slot, before % {mixing.BLOCK_BYTES} AS seq,
+  (before // {mixing.BLOCK_BYTES}) // r.a * r.total + c.place < until AS on_target
+FROM placed p JOIN ranked r USING (its) JOIN cycle_ c ON c.k = r.k AND c.j = (before // {mixing.BLOCK_BYTES}) % r.a, ends
+"""
+
+
+def captures_and_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Captures are the pages, one fetched every 997 seconds over and over in 40 days; lists come from their hosts and paths by rule."""
+    pages = runtime.table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.col("page_id") * 997, F.lit(40 * 86_400))))
+    host = F.regexp_extract("url", "^[a-z]+://([^/]*)/", 1)
+    hosts = pages.select(host.alias("pattern")).distinct().withColumn("day", F.length("pattern") % 20)
+    days = F.array(*[F.struct(F.lit(x).alias("list"), F.lit(k).alias("kind"), F.lit(a).alias("action"), (F.col("day") + d).alias("day")) for x, k, a, d in HOST_ENTRIES])
+    by_host = hosts.filter(F.col("day") % 3 != 0).select("pattern", F.explode(days).alias("e")).select("e.list", "e.kind", "pattern", "e.action", "e.day")
+    paths = pages.filter("page_id % 50 = 7").select(F.lit("paths").alias("list"), F.lit("prefix").alias("kind"), F.regexp_extract("url", "^[a-z]+://([^/]*/[^/?#]*)", 1).alias("pattern"), F.lit("add").alias("action"), (F.col("page_id") % 30).cast("int").alias("day"))
+    zone = spark.createDataFrame([("zones", "domain", "example.org", "add", 10), ("zones", "domain", "example.org", "remove", 25)], "list string, kind string, pattern string, action string, day int")
+    entries = by_host.unionByName(paths).unionByName(zone)
+    return captures, entries.withColumn("since", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("day") * 86_400)).drop("day")
+
+
+#: list, kind, action and days after the host's first, for two thirds of the hosts.
+HOST_ENTRIES = (("hosts", "host", "add", 0), ("hosts", "host", "remove", 6), ("hosts", "host", "add", 14), ("malware", "domain", "add", 3))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures, entries = captures_and_entries(spark, sf_dir)
+    out = url_filter.url_filter(captures, entries)
+    return out.select("page_id", "blocked", F.array_join("lists", ",").alias("lists"), "n_active")
+
+
+OP7_SQL = """
+WITH captures AS (
+  SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/]*)/', 1) AS host, 1700000000 + (page_id * 997) % 3456000 AS t FROM pages
+), hosts AS (SELECT DISTINCT host AS pattern, length(host) % 20 AS day FROM captures
+), entries AS (
+  SELECT v.list, v.kind, pattern, v.action, 1700000000 + (day + v.d) * 86400 AS since FROM hosts,
+    (VALUES ('hosts', 'host', 'add', 0), ('hosts', 'host', 'remove', 6), ('hosts', 'host', 'add', 14), ('malware', 'domain', 'add', 3)) v(list, kind, action, d)
+  WHERE day % 3 <> 0
+  UNION ALL SELECT 'paths', 'prefix', regexp_extract(url, '^[a-z]+://([^/]*/[^/?#]*)', 1), 'add', 1700000000 + (page_id % 30) * 86400 FROM captures WHERE page_id % 50 = 7
+  UNION ALL SELECT 'zones', 'domain', 'example.org', 'add', 1700000000 + 10 * 86400
+  UNION ALL SELECT 'zones', 'domain', 'example.org', 'remove', 1700000000 + 25 * 86400
+), log AS (SELECT list, kind, pattern, since, max(action) AS action FROM entries GROUP BY ALL
+), spans AS (SELECT *, lead(since) OVER (PARTITION BY list, kind, pattern ORDER BY since) AS until FROM log
+), hits AS (
+  SELECT c.page_id, s.list FROM captures c JOIN spans s ON s.action = 'add' AND s.since <= c.t AND (s.until IS NULL OR c.t < s.until) AND (
+    (s.kind = 'host' AND c.host = s.pattern) OR (s.kind = 'domain' AND (c.host = s.pattern OR ends_with(c.host, '.' || s.pattern)))
+    OR (s.kind = 'prefix' AND (regexp_extract(c.url, '^[a-z]+://([^?#]*)', 1) = s.pattern OR starts_with(regexp_extract(c.url, '^[a-z]+://([^?#]*)', 1), s.pattern || '/'))))
+)
+SELECT c.page_id, count(h.list) > 0 AS blocked, coalesce(string_agg(DISTINCT h.list, ',' ORDER BY h.list), '') AS lists, count(h.list) AS n_active
+FROM captures c LEFT JOIN hits h USING (page_id) GROUP BY c.page_id
+"""
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path(PIECE_MODEL)
     out = sentencepiece.decode(sentencepiece.encode(runtime.table(spark, sf_dir, "documents"), path), path)
@@ -62,8 +148,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_ann_tree": op4_ann_tree,
     "op5_token_counts": op5_token_counts,
+    "op6_mixing": op6_mixing,
+    "op7_url_filter": op7_url_filter,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_output": op10_token_output,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_url_filter": OP7_SQL}

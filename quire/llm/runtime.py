@@ -69,11 +69,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Deal rows out evenly when the scan gives fewer partitions than there are cores."""
-    n = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
-
-
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def bucket(key, cuts: list[int]):
+    """How many of the sorted cuts are at or below key, as a balanced tree of comparisons."""
+
+    def tree(lo: int, hi: int):
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(cuts))
