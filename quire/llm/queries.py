@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann_tree, fingerprints, line_dedup, mixing, runtime, sentencepiece, token_counts, token_output, toxicity, url_filter
+from quire.llm import ann_tree, fingerprints, line_dedup, mixing, ngram_join, runtime, sentencepiece, token_counts, token_output, toxicity, url_filter
 
 JSON_TOKENIZER, PIECE_MODEL, END_ID = "word_bpe_49k.json", "piece_bpe_32k.model", 2
 
@@ -18,6 +18,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(runtime.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def remainder(col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(col).cast("string")), F.lit(4))
 
@@ -143,7 +147,14 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(shards)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_toxicity": op2_toxicity,
     "op3_fingerprints": op3_fingerprints,
     "op4_ann_tree": op4_ann_tree,
@@ -153,5 +164,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_output": op10_token_output,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_url_filter": OP7_SQL}
