@@ -30,6 +30,10 @@ from quire.llm.shingles import mix, slices, word_spans
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 12, (1, 2, 3)
 #: Labelled rows of each class in the sample that is fitted, and the passes over it.
 PER_CLASS, EPOCHS, BATCH, SEED = 2000, 12, 32, 1
+#: Steps that a small sample is trained for, with at most four times the passes.
+LEAST_STEPS = 500
+#: Rows of each class that a threshold of its own takes, of a language or of all; below it the threshold is 0.5.
+LEAST_ROWS = 20
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _SEEDS = np.array([0x51, 0xA7, 0xF3], np.uint64)
@@ -126,7 +130,7 @@ def fit(texts: list[bytes], labels: np.ndarray, langs: list[str], share: float,
     adams = {w: (_Adam(filters[w].shape, 0.01), _Adam(FILTERS, 0.01)) for w in WIDTHS}
     adam_w, adam_b = _Adam(len(weights), 0.02), _Adam(1, 0.02)
     pad = np.full((max(WIDTHS) - 1, 3), BUCKETS, np.int32)
-    for _ in range(epochs):
+    for _ in range(max(epochs, min(4 * epochs, LEAST_STEPS * BATCH // max(1, len(train))))):  # small samples are passed more often
         order = rng.permutation(train)
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
@@ -202,10 +206,11 @@ def _calibrate(model: Model, texts: list[bytes], labels: np.ndarray, langs: list
         low = p[rows][order][k + 1] if k + 1 < len(rows) else 0.0
         return float(np.sqrt(p[rows][order][k] * max(low, 1e-9)))  # between the two scores, as odds go
 
-    model.threshold = best(np.arange(len(own)))
+    enough = lambda rows: min((y[rows] == 1).sum(), (y[rows] == 0).sum()) >= LEAST_ROWS
+    model.threshold = best(np.arange(len(own))) if enough(np.arange(len(own))) else 0.5
     for lang in {langs[k] for k in own}:
         rows = np.array([i for i, k in enumerate(own) if langs[k] == lang])
-        if (y[rows] == 1).sum() >= 20 and (y[rows] == 0).sum() >= 20:
+        if enough(rows):
             model.thresholds[lang] = best(rows)
 
 
