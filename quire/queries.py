@@ -242,3 +242,343 @@ def figure_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lift.lines(spark, sf_dir).withColumn("b", lift.wild_box())
     share, centred = geometry.figure_width(F.col("b")[0], F.col("b")[2], F.lit(50.0))
     return rows.select("doc_id", "k", F.round(share, 6).alias("share"), centred.alias("centred"))
+
+
+# Terms
+
+_CALM = "NOT (len(regexp_extract_all(line, '[A-Za-z]{2,}')) >= 2 AND length(regexp_replace(line, '[^A-Z]', '', 'g')) * 10 > length(regexp_replace(line, '[^A-Za-z]', '', 'g')) * 7)"
+_WORDS = "list_filter(string_split_regex({0}, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')"
+
+
+@query(f"WITH {LINES} SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(line, '[^\\p{{L}}\\p{{N}}_]+')) AS term FROM lines WHERE {_CALM}) WHERE regexp_full_match(term, '[A-Z]{{2,6}}[0-9]?') GROUP BY ALL")
+def acronym_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glossary.acronyms(lift.table(spark, sf_dir, "documents"))
+
+
+@query()
+def term_candidates_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glossary.candidates(lift.table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, string_agg(line, chr(10) ORDER BY k) FILTER ({_CALM}) AS text FROM lines GROUP BY doc_id")
+def shouty_line_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lift.table(spark, sf_dir, "documents")
+    calm = glossary.calm_lines(F.col("text"))
+    left = F.size(F.filter(T.lines(F.col("text")), lambda x: glossary.calm_lines(x) == x)) > 0
+    return docs.select("doc_id", F.when(left, calm).alias("text"))
+
+
+GLOSSARY = "glossary(src, ko, policy) AS (VALUES ('the', 'das', 'B'), ('of the', 'von dem', 'C'), ('la', 'el', 'B'), ('de la', 'del', 'D'), ('und', 'and', 'C'), ('is and', 'ist und', 'D'), ('IN', 'IN', 'A'))"
+HITS = f"{LINES}, {GLOSSARY}, hits AS (SELECT doc_id, k, line, src, ko, policy FROM lines, glossary WHERE contains(' ' || array_to_string({_WORDS.format('lower(line)')}, ' ') || ' ', ' ' || lower(src) || ' '))"
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = lift.lines(spark, sf_dir).select("doc_id", F.concat(F.lit("md:0:"), F.col("k").cast("string")).alias("unit_id"), F.col("k").alias("unit_seq"), F.col("line").alias("scan"))
+    return glossary.term_hits(units, lift.glossary(spark))
+
+
+@query(f"WITH {HITS} SELECT doc_id, src, 'md:0:' || min(k) AS first_unit FROM hits GROUP BY doc_id, src")
+def first_term_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glossary.first_units(_hits(spark, sf_dir))
+
+
+@query(f"""WITH {HITS}, done AS (SELECT *, CASE WHEN k % 2 = 0 THEN replace(replace(line, 'the', 'das'), 'in', 'on') ELSE line || ' el del' END AS text FROM hits)
+SELECT src, policy, count(*) AS n FROM done WHERE CASE WHEN policy = 'A' THEN NOT contains(lower(text), lower(ko)) ELSE NOT contains(text, ko) END GROUP BY ALL""")
+def glossary_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, line = F.col("k"), F.col("line")
+    text = F.when(k % 2 == 0, F.regexp_replace(F.regexp_replace(line, "the", "das"), "in", "on")).otherwise(F.concat(line, F.lit(" el del")))
+    done = lift.lines(spark, sf_dir).select("doc_id", F.concat(F.lit("md:0:"), k.cast("string")).alias("unit_id"), text.alias("text"))
+    return evaluate.violations(_hits(spark, sf_dir), done).groupBy("src", "policy").agg(F.count("*").alias("n"))
+
+
+@query()
+def glossary_keep_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glossary.keep_terms(_hits(spark, sf_dir)).withColumn("terms", F.array_join("terms", ","))
+
+
+# Repetition
+
+_SHAPE = "regexp_replace(compact, '[0-9]+', '<n>', 'g')"
+_FOLDED = f"lower(replace({squeeze('line')}, 'ß', 'ss'))"
+
+
+@query(f"""WITH {LINES}, compacted AS (SELECT doc_id, k, {_FOLDED} AS compact FROM lines), shaped AS (SELECT doc_id, k, CASE WHEN len(regexp_extract_all(compact, '[0-9]+')) BETWEEN 1 AND 2 AND length({_SHAPE}) >= 24
+  AND length(regexp_replace({_SHAPE}, '[^\\p{{L}}]', '', 'g')) >= 8 THEN {_SHAPE} END AS template FROM compacted WHERE compact <> ''),
+marked AS (SELECT *, CASE WHEN template IS NULL OR template IS DISTINCT FROM lag(template) OVER (PARTITION BY doc_id ORDER BY k) THEN 1 ELSE 0 END AS new FROM shaped),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM marked)
+SELECT doc_id, min(k) AS first_line, count(*) AS n, any_value(template) AS template FROM runs WHERE template IS NOT NULL GROUP BY doc_id, run HAVING count(*) >= 2""")
+def line_repeat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = lift.table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    return repetition.line_runs(pages).drop("page")
+
+
+@query("SELECT doc_id, doc_id % 7 AS first, 5 + doc_id % 40 AS n FROM documents WHERE 5 + doc_id % 40 >= 20")
+def counter_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    numbers = F.transform(F.sequence(d % 7, d % 7 + 4 + d % 40), lambda n: F.concat(F.lit("#"), n.cast("string"), F.lit(". ")))
+    text = F.concat(F.lit("#900. "), F.array_join(numbers, ""), F.lit("#500."))
+    pages = lift.table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), text.alias("text"))
+    return repetition.counter_runs(pages).drop("page")
+
+
+@query("SELECT doc_id, 1 AS page, length(text) AS n_chars, length(text) > 16384 AS over FROM documents")
+def page_char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.page_budget(lift.table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text"))
+
+
+@query(f"""WITH {LINES}, seqs AS (SELECT doc_id, k, list_transform(string_split(line, ' '), lambda w: length(w) % 4)[-40:] AS s FROM lines),
+found AS (SELECT doc_id, k, s, list_filter(range(1, len(s) - 1), lambda i: s[i] = s[-2] AND s[i + 1] = s[-1]) AS hits FROM seqs)
+SELECT doc_id, k, coalesce(array_to_string(list_sort(list_distinct(list_transform(hits, lambda i: s[i + 2]))), ','), '') AS banned FROM found""")
+def ngram_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lift.lines(spark, sf_dir).withColumn("s", F.transform(F.split("line", " ", -1), lambda w: F.length(w) % 4))
+    return rows.select("doc_id", "k", F.array_join(repetition.ngram_bans(F.col("s"), 3, 40).cast("array<string>"), ",").alias("banned"))
+
+
+@query()
+def tandem_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat("text", F.lit(" "), F.repeat(F.substring("text", 1, 30), 150))
+    return lift.table(spark, sf_dir, "documents").select("doc_id", repetition.tandem_repeat(text).alias("t")).select("doc_id", "t.*")
+
+
+@query()
+def repeat_suffix_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat("text", F.repeat(F.substring("text", 1, 50), 200))
+    return lift.table(spark, sf_dir, "documents").select("doc_id", F.length(repetition.clean_suffix(text)).cast("long").alias("n_chars"))
+
+
+# Text
+
+@query(f"""SELECT doc_id, length(text) AS chars, {pattern_count('text', '!\\[[^\\]]*\\]\\(')} AS figures, {count('lower(text)', '<table')} AS tables, {pattern_count('text', '\\\\\\[|\\\\\\(|\\$\\$')} AS formulas FROM documents""")
+def structure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lift.table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in T.structure_counts(F.col("text")).items()])
+
+
+@query("SELECT page_id, " + ", ".join(f"{pattern_count('html', f'<{t}[ >]')} AS n_{t}" for t in ("p", "a", "li", "b", "h1")) + " FROM pages")
+def html_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lift.table(spark, sf_dir, "pages").select("page_id", *[F.regexp_count("html", F.lit(f"<{t}[ >]")).cast("long").alias(f"n_{t}") for t in ("p", "a", "li", "b", "h1")])
+
+
+_BEFORE = "lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text)"
+_ASCII = "regexp_replace({0}, '[^\\x00-\\x7f]', '?', 'g')"
+
+
+@query(f"""WITH turns AS (SELECT conv_id, turn, {squeeze(_ASCII.format('text'))} AS a, {squeeze(_ASCII.format(_BEFORE))} AS b FROM conversations)
+SELECT conv_id, turn, levenshtein(a, b) AS distance, greatest(length(a), length(b)) AS longest FROM turns WHERE b IS NOT NULL""")
+def edit_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = lift.table(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7f]", "?"))
+    rows = rows.withColumn("b", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).filter("b is not null")
+    distance, longest = evaluate.ground_truth(F.col("text"), F.col("b"))
+    return rows.select("conv_id", "turn", distance.cast("long").alias("distance"), longest.cast("long").alias("longest"))
+
+
+@query(f"SELECT lang, sum({pattern_count('text', '[가-힣]')})::BIGINT AS hangul, sum(length(regexp_replace(text, '{W}', '', 'g')))::BIGINT AS solid FROM documents GROUP BY lang")
+def hangul_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hangul, solid = masking.hangul_share(F.col("text"))
+    return lift.table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(hangul).alias("hangul"), F.sum(solid).alias("solid"))
+
+
+@query(f"""WITH {LINES}, units AS (SELECT doc_id, k, '[' || k || '] ' || line || CASE WHEN k % 3 = 0 THEN ' 2019' WHEN k % 3 = 1 THEN chr(10) || '[9] z' ELSE '' END AS u, k % 3 AS kind, line FROM lines)
+SELECT doc_id, k, (regexp_matches(line, '\\S') OR kind = 0) AND kind <> 2 AND (kind = 0 OR regexp_matches(line, '\\S')) OR (kind = 2 AND regexp_matches(line, '\\S') AND regexp_matches(u, '(?i)\\b(?:19|20)\\d{{2}}\\b|arXiv|,\\s*[A-Z]\\.|\\bpp\\.\\s*\\d|\\bvol\\.\\s*\\d')) AS refs FROM units""")
+def reference_list_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    tail = F.when(k % 3 == 0, " 2019").when(k % 3 == 1, "\n[9] z").otherwise("")
+    rows = lift.lines(spark, sf_dir).withColumn("u", F.concat(F.lit("["), k.cast("string"), F.lit("] "), "line", tail))
+    return rows.select("doc_id", "k", masking.reference_list(F.col("u")).alias("refs"))
+
+
+_INERT = "regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\t', '    ', 'g'), '[\\x00-\\x09\\x0b-\\x1f\\x7f]', '', 'g')"
+
+
+@query(f"""WITH trimmed AS (SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split({_INERT}, chr(10)), lambda x: regexp_replace(x, '{W}+$', '')), chr(10)), '^\\n+|\\n+$', '', 'g') AS t FROM documents),
+cut AS (SELECT doc_id, CASE WHEN length(t) > 100000 THEN left(t, 100000) || chr(10) || '[truncated]' ELSE t END AS t FROM trimmed)
+SELECT doc_id, CASE WHEN regexp_matches(t, '[\\p{{L}}\\p{{N}}]') THEN array_to_string(list_transform(string_split(t, chr(10)), lambda x: '    ' || x), chr(10)) END AS text FROM cut""")
+def embedded_text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lift.table(spark, sf_dir, "documents").select("doc_id", T.inert_markdown(F.col("text")).alias("text"))
+
+
+# Translation
+
+@query(f"WITH {LINES}, units AS (SELECT doc_id, k, line FROM lines WHERE {strip('line')} <> '') SELECT doc_id, 'md:0:' || k AS unit_id, right(lag(line) OVER (PARTITION BY doc_id ORDER BY k), 200) AS context FROM units")
+def prev_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return translate.contexts(translate.line_units(lift.table(spark, sf_dir, "documents"))).select("doc_id", "unit_id", "context")
+
+
+_KEY = "sha256('4' || chr(31) || 'm' || chr(31) || CASE WHEN k % 2 = 1 THEN 'a' || chr(30) || 'x' || chr(30) || 'the' || chr(30) || 'das' ELSE '' END || chr(31) || line)"
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = F.array(F.struct(F.lit("the").alias("src"), F.lit("das").alias("ko")), F.struct(F.lit("a").alias("src"), F.lit("x").alias("ko")))
+    pairs = F.when(F.col("k") % 2 == 1, pairs).otherwise(F.array().cast("array<struct<src:string,ko:string>>"))
+    return lift.lines(spark, sf_dir).withColumn("key", translate.cache_key(F.lit("m"), pairs, F.col("line")))
+
+
+@query(f"WITH {LINES} SELECT doc_id, k, {_KEY} AS key FROM lines")
+def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keyed(spark, sf_dir).select("doc_id", "k", "key")
+
+
+@query(f"WITH {LINES}, keyed AS (SELECT doc_id, k, {_KEY} AS key FROM lines), known AS (SELECT DISTINCT key FROM keyed WHERE (doc_id + k) % 3 = 0) SELECT doc_id, count(known.key) AS hits, count(*) - count(known.key) AS misses FROM keyed LEFT JOIN known USING (key) GROUP BY doc_id")
+def unit_cache_hit_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = _keyed(spark, sf_dir)
+    cache = units.filter((F.col("doc_id") + F.col("k")) % 3 == 0).select("key", F.col("line").alias("text"))
+    known, missing = translate.split_cache(units, cache)
+    both = known.select("doc_id", F.lit(1).alias("hit")).unionByName(missing.select("doc_id", F.lit(0).alias("hit")))
+    return both.groupBy("doc_id").agg(F.sum("hit").alias("hits"), F.sum(1 - F.col("hit")).alias("misses"))
+
+
+def _translation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = lift.tokened(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda r: r["line"]), "\n").alias("text"))
+    return translate.run_translation(rows, lift.glossary(spark), spark.createDataFrame([], "key string, text string"))
+
+
+@query()
+def unit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _translation(spark, sf_dir)[2]
+
+
+_TOKENED = f"{LINES}, tokened AS (SELECT doc_id, k, line || CASE k % 5 WHEN 0 THEN ' $x_' || k || '$' WHEN 1 THEN ' [' || k || ']' WHEN 2 THEN ' see Figure ' || k WHEN 3 THEN ' https://example.org/' || k ELSE ' `c' || k || '`' END AS line FROM lines)"
+
+
+@query()
+def translated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _translation(spark, sf_dir)[0]
+
+
+@query()
+def mask_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lift.tokened(spark, sf_dir).select("doc_id", "k", masking.mask_tokens("line").alias("m"))
+    return rows.select("doc_id", "k", "m.masked", F.array_join(F.array_sort(F.map_keys("m.held")), ",").alias("ids"))
+
+
+@query(f"WITH {_TOKENED} SELECT doc_id, k, line AS text, 0 AS lost FROM tokened")
+def unmask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lift.tokened(spark, sf_dir).select("doc_id", "k", masking.mask_tokens("line").alias("m"))
+    rows = rows.select("doc_id", "k", masking.unmask_tokens("m.masked", "m.held").alias("u"))
+    return rows.select("doc_id", "k", "u.text", (F.size("u.missing") + F.size("u.twice")).alias("lost"))
+
+
+@query()
+def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lift.tokened(spark, sf_dir).withColumn("left", masking.residual_text("line"))
+    return rows.groupBy(masking.skip_reason(F.col("line"), F.col("left")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+_RULE = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+_MARKED = f"replace(replace(text, ' ', ' \\( '), '.', '.' || {_RULE})"
+
+
+def _times(x: str, needle: str, size: int) -> str:
+    return f"(length({x}) - length(replace({x}, {needle}, ''))) // {size}"
+
+
+@query(f"""WITH pairs AS (SELECT doc_id, {_MARKED} AS s, replace({_MARKED}, 'the \\(', 'the (') || '<m1' AS r FROM documents),
+counts AS (SELECT doc_id, 'pages' AS name, {_times('s', _RULE, 7)} AS expected, {_times('r', _RULE, 7)} AS found FROM pairs
+  UNION ALL SELECT doc_id, 'inline_math', {_times('s', "'\\('", 2)}, {_times('r', "'\\('", 2)} FROM pairs
+  UNION ALL SELECT doc_id, 'placeholders', 0, {pattern_count('r', '<[mkgucft][0-9]+')} FROM pairs)
+SELECT doc_id, name, expected::BIGINT AS expected, found::BIGINT AS found, expected = found AS ok FROM counts""")
+def count_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.replace(F.replace("text", F.lit(" "), F.lit(" \\( ")), F.lit("."), F.lit(".\n\n---\n\n"))
+    pairs = lift.table(spark, sf_dir, "documents").select("doc_id", source.alias("source")).withColumn("result", F.concat(F.replace("source", F.lit("the \\("), F.lit("the (")), F.lit("<m1")))
+    return evaluate.invariants(pairs).filter(F.col("name").isin("pages", "inline_math", "placeholders")).drop("na")
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, page, block_no FROM blocks WHERE (doc_id + block_no) % 5 = 0")
+def layout_field_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = layout.parse_blocks(lift.raw_pages(spark, sf_dir)).select("doc_id", "page", "block_no", "type", "bbox", "content")
+    moved = F.when((F.col("doc_id") + F.col("block_no")) % 5 == 0, F.transform("bbox", lambda v: v + 1)).otherwise(F.col("bbox"))
+    return evaluate.layout_diff(before, before.withColumn("bbox", moved).withColumn("content", F.upper("content")))
+
+
+@query("SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
+def bench_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.upsert(lift.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
+
+
+@query()
+def greedy_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lift.box(lift.lines(spark, sf_dir)).groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "bbox"))), lambda r: r["bbox"]).alias("truth"))
+    found = F.transform("truth", lambda b, i: F.array(b[0] + i, b[1], b[2] + i, b[3] + i))
+    return rows.select("doc_id", "page", geometry.greedy_iou(found, F.col("truth")).alias("iou"))
+
+
+# Jobs
+
+_STATUS = "CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'done' ELSE 'error' END"
+
+
+@query(f"SELECT event_id AS id, {_STATUS} AS status FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def newest_jobs_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.newest(lift.jobs(spark, sf_dir)).select("id", "status")
+
+
+@query("SELECT event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events WHERE event_id % 4 = 0")
+def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.queue_positions(lift.jobs(spark, sf_dir), parts="owner").select("id", "position")
+
+
+@query("""SELECT event_id AS id FROM events WHERE event_id % 4 >= 2 AND greatest(ts, CASE WHEN event_id % 4 = 2 THEN ts + INTERVAL 1 HOUR ELSE ts END) < TIMESTAMP '2024-01-15'
+AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND user_id % 5 = 0)""")
+def ttl_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = lift.table(spark, sf_dir, "events")
+    signed = events.filter("event_type = 'signup' and user_id % 5 = 0").select(F.col("user_id").alias("owner")).distinct()
+    rows = lift.jobs(spark, sf_dir)
+    protected = rows.join(signed, "owner", "left_semi").select("id")
+    return jobs.expired(rows, F.lit("2024-01-15").cast("timestamp"), protected).select("id")
+
+
+@query(f"SELECT CASE WHEN event_id % 4 < 2 THEN 'error' ELSE {_STATUS} END AS status, count(*) AS n FROM events GROUP BY 1")
+def restart_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.restarted(lift.jobs(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+# Segments and rendering
+
+@query()
+def segment_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import segment
+
+    return segment.segment(merge.documents(merge.chunk_pages(lift.chunks(spark, sf_dir))).withColumnRenamed("markdown", "text"))
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def segment_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import segment
+
+    docs = lift.table(spark, sf_dir, "documents")
+    new = F.map_from_entries(F.transform(segment.unit_list("text"), lambda u: F.struct(u["unit_id"], u["src"])))
+    return docs.select("doc_id", segment.assembled("text", new).eqNullSafe(F.col("text")).alias("same"))
+
+
+@query()
+def math_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import render
+
+    return lift.tokened(spark, sf_dir).select("doc_id", "k", render.math_normalized("line").alias("text"))
+
+
+@query()
+def table_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import render
+
+    html = F.concat(F.lit('<table onload="x"><tr><td colspan="2" style="a">'), "line", F.lit("</td></tr></table><script>"))
+    return lift.lines(spark, sf_dir).select("doc_id", "k", render.tables_restored(html).alias("html"))
+
+
+@query(f"""WITH {LINES}, pages AS (SELECT doc_id, k // 6 AS p, string_agg(line, chr(10) ORDER BY k) AS md FROM lines GROUP BY ALL)
+SELECT doc_id, string_agg('<section data-page="' || p + 1 || '">' || md || '</section>', chr(10) ORDER BY p) AS html FROM pages GROUP BY doc_id""")
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import render
+
+    rows = lift.box(lift.lines(spark, sf_dir)).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda r: r["line"]), "\n").alias("md"))
+    whole = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "md"))), lambda r: r["md"]), "\x01PAGE\x01").alias("md"))
+    return whole.select("doc_id", render.sections(F.col("md"), "\x01PAGE\x01").alias("html"))
+
+
+@query()
+def structure_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import render
+
+    raw = lift.raw_pages(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "raw"))), lambda r: r["raw"]), "<PAGE>").alias("raw"))
+    return raw.select("doc_id", render.preview(F.col("raw")).alias("preview"))
