@@ -582,3 +582,37 @@ def structure_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     raw = lift.raw_pages(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "raw"))), lambda r: r["raw"]), "<PAGE>").alias("raw"))
     return raw.select("doc_id", render.preview(F.col("raw")).alias("preview"))
+
+
+# Streams
+
+@query()
+def stream_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.streaming import detector, pages, run
+
+    out = run.drained(detector.detect(pages.deltas_of(run.source(spark, sf_dir, "documents").select("doc_id", "text"))), "update")
+    return out.groupBy("doc_id").agg(F.max_by(F.struct("n_chars", "reason"), "batch").alias("r")).select("doc_id", "r.*")
+
+
+@query(f"WITH {BOXED} SELECT doc_id, label, count(*) AS n FROM boxed WHERE x2 > x1 AND y2 > y1 GROUP BY ALL")
+def stream_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.streaming import pages, run
+
+    docs = run.source(spark, sf_dir, "documents")
+    rows = lift.box(docs.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("k", "line")))
+    tag = F.concat(F.lit("<|det|>"), F.col("label"), F.lit(" ["), F.array_join(F.col("bbox").cast("array<string>"), ", "), F.lit("]<|/det|>"), F.col("line"))
+    # each tag comes in three pieces, cut inside
+    cuts = F.array(F.struct((F.col("k") * 3).alias("seq"), F.substring(tag, F.lit(1), F.lit(9)).alias("delta")), F.struct((F.col("k") * 3 + 1).alias("seq"), F.substring(tag, F.lit(10), F.lit(11)).alias("delta")), F.struct((F.col("k") * 3 + 2).alias("seq"), F.substring(tag, F.lit(21), F.length(tag)).alias("delta")))
+    deltas = rows.select("doc_id", F.explode(cuts).alias("d")).select("doc_id", "d.seq", "d.delta")
+    return run.drained(pages.stream_boxes(deltas), "append").groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, least(greatest(1, max(k // 6)), 50)::INT AS page FROM lines GROUP BY doc_id")
+def stream_page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.streaming import pages, run
+
+    docs = run.source(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("k", "line"))
+    kind = F.when(F.col("k") % 6 == 0, F.when(F.col("k") == 0, "announce").otherwise("marker")).otherwise("token")
+    events = docs.select("doc_id", F.col("k").alias("seq"), kind.alias("kind"), F.lit(1).alias("page"))
+    out = run.drained(pages.progress(events, 50), "update")
+    return out.groupBy("doc_id").agg(F.max("page").alias("page"))
