@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import json
 import os
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries kept in a worker's cache; beyond it the cache starts anew. Bounds memory, not results.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 
 _CODECS: dict[str, "WordCodec"] = {}
 
@@ -54,35 +56,50 @@ class WordCodec:
         self.tok = _load(path)
         self.model, self.norm, self.pre = self.tok.model, self.tok.normalizer, self.tok.pre_tokenizer
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.firsts = tuple({s[0] for s in self.special if s})
+        self.mark = os.path.commonprefix(self.special) if self.special else "\0none\0"
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65536 else np.dtype("<u4")
-        # The file's own pattern, applied here to lower-case ASCII only, where both regex engines agree.
-        self.ascii = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-        self.simple = self._ascii_agrees()
+        # The file's own pattern for lower-case Latin text, where both regex engines and all Unicode versions agree.
+        self.latin = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+        self.plain = regex.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+        self.shown = self._byte_letters()
+        self.simple = self._latin_agrees()
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def _ascii_agrees(self) -> bool:
-        probe = "It's he'LL don't 'dx a1b22,c!?--''s _x@y.z x'm ~`|<> we've 3rd"
-        return all(self._fast(w) == [p for p, _ in self.pre.pre_tokenize_str(self.norm.normalize_str(w))] for w in probe.split())
+    def _byte_letters(self) -> dict[int, str]:
+        """What the pre-tokeniser shows for each byte of a letter's UTF-8, read off the library."""
+        out = {}
+        for c in range(0xC0, 0x100):
+            shown = "".join(p for p, _ in self.pre.pre_tokenize_str(chr(c)))
+            if len(shown) == 2:
+                out.update(zip(chr(c).encode(), shown, strict=True))
+        return out
+
+    def _latin_agrees(self) -> bool:
+        probe = "It's he'LL don't 'dx a1b22,c!?--''s _x@y.z x'm ~`|<> we've 3rd".split()
+        probe += [f"a{chr(c)}{chr(c)}1{chr(c)}'s" for c in range(0xC0, 0x100) if self.plain.fullmatch(chr(c))]
+        return all(self._fast(w) == [p for p, _ in self.pre.pre_tokenize_str(self.norm.normalize_str(w))] for w in probe)
 
     def _fast(self, piece: str) -> list[str]:
-        return self.ascii.findall(piece.lower())
+        if piece.isascii():
+            return self.latin.findall(piece.lower())
+        return [p if p.isascii() else p.encode().decode("latin-1").translate(self.shown) for p in self.latin.findall(piece.lower())]
 
     def _part(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
             if len(self.parts) >= CACHE_ENTRIES:
                 self.parts.clear()
-            got = self.parts[part] = np.array([t.id for t in self.model.tokenize(part)], self.dtype).tobytes()
+            ids = array("H" if self.dtype.itemsize == 2 else "I", [t.id for t in self.model.tokenize(part)])
+            got = self.parts[part] = ids.tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
         return got
 
     def piece(self, piece: str) -> bytes:
         if not piece:
             return b""
-        if any(c in piece for c in self.firsts) and any(s in piece for s in self.special):
+        if self.mark in piece and any(s in piece for s in self.special):
             return np.array(self.tok.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
-        if self.simple and piece.isascii() and piece.isprintable():
+        if self.simple and self.plain.fullmatch(piece):
             parts = self._fast(piece)
         else:
             parts = [p for p, _ in self.pre.pre_tokenize_str(self.norm.normalize_str(piece))]
