@@ -616,3 +616,57 @@ def stream_page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = docs.select("doc_id", F.col("k").alias("seq"), kind.alias("kind"), F.lit(1).alias("page"))
     out = run.drained(pages.progress(events, 50), "update")
     return out.groupBy("doc_id").agg(F.max("page").alias("page"))
+
+
+# Reports
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
+def warning_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import reports
+
+    return reports.histogram(lift.table(spark, sf_dir, "events"), "event_type")
+
+
+@query(f"""WITH {LINES}, firsts AS (SELECT doc_id, line, min(k) AS k FROM lines GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS nth FROM firsts)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS warnings FROM ranked WHERE nth <= 40 GROUP BY doc_id""")
+def warnings_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import reports
+
+    return lift.table(spark, sf_dir, "documents").select("doc_id", F.array_join(reports.first_seen(T.lines(F.col("text"))), "\n").alias("warnings"))
+
+
+@query(f"""WITH {LINES}, pages AS (SELECT doc_id, k // 6 AS p, string_agg(line, chr(10) ORDER BY k) AS md FROM lines GROUP BY ALL), last AS (SELECT doc_id, max(p) AS m FROM pages GROUP BY doc_id)
+SELECT doc_id, m::INT AS n_committed, any_value(md) FILTER (p = m) AS tail FROM pages JOIN last USING (doc_id) GROUP BY doc_id, m""")
+def committed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import reports
+
+    pages = lift.box(lift.lines(spark, sf_dir)).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda r: r["line"]), "\n").alias("md"))
+    raw = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "md"))), lambda r: r["md"]), "<PAGE>").alias("raw"))
+    done, tail = reports.committed(F.col("raw"))
+    return raw.select("doc_id", F.size(done).alias("n_committed"), tail.alias("tail"))
+
+
+@query(f"""WITH {LINES}, scores AS (SELECT doc_id, CASE WHEN k % 5 < 4 THEN k % 5 + 1 END AS fidelity, k % 4 = 0 AS omission, CASE WHEN k % 7 = 0 THEN ['e' || k] ELSE [] END AS errors FROM lines)
+SELECT doc_id, count(*) AS judged, round_even(avg(fidelity), 2) AS avg_fidelity, count(*) FILTER (omission) AS omissions, len(flatten(list(errors))) AS n_errors FROM scores GROUP BY doc_id""")
+def judge_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import reports
+
+    k = F.col("k")
+    none = F.array().cast("array<string>")
+    scores = lift.lines(spark, sf_dir).select("doc_id", F.when(k % 5 < 4, k % 5 + 1).alias("fidelity"), (k % 4 == 0).alias("omission"), F.when(k % 7 == 0, F.array(F.concat(F.lit("e"), k.cast("string")))).otherwise(none).alias("errors"))
+    return reports.judge_averages(scores, ["fidelity"]).withColumn("n_errors", F.size("errors").cast("long")).drop("errors")
+
+
+@query()
+def judge_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import reports
+
+    return reports.judge_sample(translate.line_units(lift.table(spark, sf_dir, "documents"))).select("doc_id", "unit_id", "long")
+
+
+@query(f"WITH {LINES} SELECT doc_id, sum({pattern_count('line', 'e[.]')})::BIGINT AS n, string_agg('md:0:' || k, ',' ORDER BY 'md:0:' || k) FILTER (regexp_matches(line, 'e[.]')) AS unit_ids FROM lines GROUP BY doc_id HAVING sum({pattern_count('line', 'e[.]')}) > 0")
+def ending_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import reports
+
+    units = lift.lines(spark, sf_dir).select("doc_id", F.concat(F.lit("md:0:"), F.col("k").cast("string")).alias("unit_id"), F.col("line").alias("text"))
+    return reports.endings(units, "e[.]").withColumn("unit_ids", F.array_join("unit_ids", ","))

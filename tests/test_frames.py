@@ -114,3 +114,13 @@ def test_text_columns(spark):
     df = spark.createDataFrame([("a<<PAGE>PAGE>b",), ("x<|d<|q|>et|>y",), ("  a\t b ",), (None,)], "t string")
     assert [r[0] for r in df.select(T.strip_special(F.col("t"))).collect()] == ["ab", "xy", "  a\t b ", None]
     assert [r[0] for r in df.select(T.squeeze(F.col("t"))).collect()][2] == "a b"
+
+
+def test_reports(spark):
+    from quire.operators import reports
+
+    df = spark.createDataFrame([("low", " https://h:/v1/ ", "t", [("a", "b")], ["X"], "c"), (None, "http://h:80/v1", "t", None, None, None)], "e string, u string, t string, p array<struct<src:string,ko:string>>, k array<string>, c string")
+    got = df.select(reports.output_tokens(F.col("e")), reports.base_url(F.col("u")), reports.prompt(F.col("t"), F.col("p"), F.col("k"), F.col("c"))).collect()
+    assert [tuple(r) for r in got] == [(10240, "https://h/v1", "Before:\nc\n\nTerms:\na = b\n\nKeep: X\n\nText:\nt"), (8192, "http://h:80/v1", "Text:\nt")]
+    df = spark.createDataFrame([(["a", "b"], ["b", "c"])], "a array<string>, b array<string>")
+    assert df.select(reports.with_provider(F.col("a"), F.col("b"))).first()[0] == ["a", "b", "c"]
