@@ -8,9 +8,11 @@ without making all pairs of a group:
    neighbouring ones. Each band has a scheme for its own sets and those of the next band.
 2. Universe partition. A scheme cuts the hash range into segments; two sets that differ in at most d elements differ
    in at most d segments. So if every set indexes its d + 1 cheapest segments, in an order that is the same for all
-   sets, two partners index one equal segment (pigeonhole, prefix filter). The order is the cost-based allocation:
-   rare segments come first, by the rarest shingle in a count sketch of the whole corpus, then larger ones. Sets with
-   room for one difference only (4 to 7 shingles) index themselves and their one-deletion neighbourhood instead.
+   sets, two partners index one equal segment (pigeonhole, prefix filter). The order is the cost-based allocation, in
+   two steps: a set takes somewhat more than d + 1, rare segments first, by the rarest shingle in a count sketch of the
+   whole corpus, then larger ones; and drops what is too many by the entries' exact numbers of sets, most frequent
+   first, entries of no other set being no cost. Sets with room for one difference only (4 to 7 shingles) index
+   themselves and their one-deletion neighbourhood instead.
 3. Stars. Of the documents in one index entry the first is the leader; each other is verified against it, exactly.
 4. Deltas. Two members of an entry that are not both linked to its leader may still link with each other. Their
    difference is that of their deltas to the leader, so deltas are joined: each keeps its rarest elements within the
@@ -39,7 +41,11 @@ from pyspark.sql import functions as F
 from quire.llm import runtime
 from quire.llm.shingles import mix, shingle_sets
 
-SKETCH_BITS, CHUNKS, SLICE_BYTES, SEEN, FINE = 21, 64, 2 << 20, 1_000_000, 32
+SKETCH_BITS, CHUNKS, SLICE_BYTES, SEEN = 21, 64, 2 << 20, 1_000_000
+#: Sets under FINE have a segment for each shingle, from COARSE on one for two; percent of entries beyond those that the pigeonhole needs.
+FINE, COARSE, SPARE = 32, 128, 35
+#: Rows of one entry that are held at once.
+LONG_RUN = 1_000_000
 _U = np.uint64
 _NONE = -(1 << 63)
 
@@ -111,38 +117,40 @@ def cost_classes(survey: DataFrame) -> np.ndarray:
     return np.log2(np.maximum(1, counts / (2 * max(1.0, counts.mean())))).astype(np.uint8)
 
 
-def entries(s: np.ndarray, low: int, high: int, scheme: int, cost: np.ndarray) -> np.ndarray:
-    """Index keys of a sorted set in a scheme of segments; high: size of its largest possible partner there."""
+def entries(s: np.ndarray, low: int, high: int, scheme: int, cost: np.ndarray) -> tuple[np.ndarray, int]:
+    """(index keys of a sorted set in a scheme of segments, how many of them it can spare); high: size of its largest possible partner there."""
     most = (len(s) + high) // 9
     if most <= 1:  # one difference: the set and its one-deletion neighbourhood
         h = mix(s)
         whole = h.sum(dtype=_U)
-        return mix(np.append(whole - h, whole) + _U(scheme + 1))
+        return mix(np.append(whole - h, whole) + _U(scheme + 1)), 0
     if low >= FINE:
-        at = ((s >> _U(32)) * _U(low)) >> _U(32)
+        segments = low if low < COARSE else low // 2
+        at = ((s >> _U(32)) * _U(segments)) >> _U(32)
         start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     else:  # few shingles: a segment for each
         start = np.arange(len(s))
     sums = np.append(_U(0), np.cumsum(mix(s)))
     end = np.append(start[1:], len(s))
     key = mix(sums[end] - sums[start] + _U((scheme + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-    if len(key) > most + 1:
+    wanted = most + 1 + most * SPARE // 100 + 2
+    if len(key) > wanted:
         dear = np.minimum.reduceat(cost[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)], start).astype(_U)
         size = _U(255) - np.minimum(end - start, 255).astype(_U)
         rank = dear << _U(56) | size << _U(48) | key >> _U(16)
-        key = key[np.argpartition(rank, most)[: most + 1]]
-    return key
+        key = key[np.argpartition(rank, wanted - 1)[:wanted]]
+    return key, max(0, len(key) - most - 1)
 
 
-def all_entries(s: np.ndarray, ends: np.ndarray, cost: np.ndarray) -> list[tuple[np.ndarray, bool]]:
-    """(keys, whether the set belongs to the scheme's own band) in the one or two schemes of a set."""
+def all_entries(s: np.ndarray, ends: np.ndarray, cost: np.ndarray) -> list[tuple[np.ndarray, int, bool]]:
+    """(keys, how many can be spared, whether the set belongs to the scheme's own band) in the one or two schemes of a set."""
     n = len(s)
     if n < 4:  # no other set of any size is similar enough
         return []
     k = int(np.searchsorted(ends, n, side="right")) - 1
-    out = [(entries(s, int(ends[k]), n * 5 // 4, k, cost), True)]
+    out = [(*entries(s, int(ends[k]), n * 5 // 4, k, cost), True)]
     if k and 5 * (int(ends[k]) - 1) >= 4 * n:
-        out.append((entries(s, int(ends[k - 1]), int(ends[k]) - 1, k - 1, cost), False))
+        out.append((*entries(s, int(ends[k - 1]), int(ends[k]) - 1, k - 1, cost), False))
     return out
 
 
@@ -154,7 +162,7 @@ def _indexer(cost, most: int):
         for batch in batches:
             ids = batch.column("key").to_numpy(zero_copy_only=False)
             for rows, raw in _slices(batch):
-                keys, owner, own = [], [], []
+                keys, owner, own, spare = [], [], [], []
                 for k, s in zip(rows, shingle_sets(raw), strict=True):
                     mark = _class_hash(s)
                     if mark in seen:  # a copy within this task: its class is indexed
@@ -162,61 +170,80 @@ def _indexer(cost, most: int):
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(mark)
-                    for found, low in all_entries(s, ends, cost.value):
+                    for found, more, low in all_entries(s, ends, cost.value):
                         keys.append(found)
                         owner.append(np.full(len(found), ids[k]))
                         own.append(np.full(len(found), low))
+                        spare.append(np.full(len(found), more, np.int32))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(own))], ["entry", "key", "low"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (owner, own, spare))], ["entry", "key", "low", "spare"])
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by (entry, key); (leader, member, n) for each entry with another member and one of the scheme's band."""
-    tail = None
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
+    """(sizes of the runs of one entry, columns) of whole entries at a time, from rows that come by entry.
+
+    An entry of over LONG_RUN rows comes in parts, its first row with each, and all parts count as LONG_RUN rows.
+    """
+    held, long = None, False
 
-    def made(entry: np.ndarray, key: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def made(columns: list[np.ndarray]) -> tuple:
+        entry = columns[0]
         start = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
         size = np.diff(np.append(start, len(entry)))
-        first = np.repeat(key[start], size)
-        ok = np.repeat(np.maximum.reduceat(low, start), size) & (first != key)
-        return first[ok], key[ok]
-
-    held_l, held_m, n = [], [], 0
-
-    def flush():
-        pairs, count = np.unique(np.stack([np.concatenate(held_l), np.concatenate(held_m)], 1), axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(count)], ["leader", "member", "n"])
+        count = np.minimum(size, LONG_RUN)
+        if long:
+            count[0] = LONG_RUN
+        return start, size, count, columns
 
     for batch in batches:
-        entry, key, low = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("entry", "key", "low"))
-        if tail is not None:
-            entry, key, low = (np.concatenate(x) for x in zip(tail, (entry, key, low), strict=True))
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        entry = columns[0]
         if not len(entry):
             continue
         cut = int(np.searchsorted(entry, entry[-1]))  # the last entry may go on
-        if cut == 0 and len(entry) > 2_000_000:  # one entry over many batches: keep its leader and whether the band is there
-            a, b = made(entry, key, np.full(len(low), True))
-            held_l.append(a)
-            held_m.append(b)
-            n += len(a)
-            tail = entry[:1], key[:1], np.array([True])
+        if cut:
+            yield made([c[:cut] for c in columns])
+            held, long = [c[cut:] for c in columns], False
+        elif len(entry) > LONG_RUN:
+            long = True
+            yield made(columns)
+            held = [c[:1] for c in columns]
         else:
-            if cut:
-                a, b = made(entry[:cut], key[:cut], low[:cut])
-                held_l.append(a)
-                held_m.append(b)
-                n += len(a)
-            tail = entry[cut:], key[cut:], low[cut:]
+            held = columns
+    if held is not None and len(held[0]) > 0:
+        yield made(held)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of entries that several documents share, one of them of the scheme's own band, with the number of documents."""
+    names = ["entry", "key", "low", "spare"]
+    for start, size, count, columns in _runs(batches, names):
+        ok = np.repeat((count > 1) & (np.maximum.reduceat(columns[2], start) | (count == LONG_RUN)), size)
+        if ok.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in columns] + [pa.array(np.repeat(count, size)[ok])], [*names, "n"])
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by (entry, key): (leader, member, n) of each entry with another member and one of the scheme's own band."""
+    leaders, members, n = [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        pairs, count = np.unique(np.stack([np.concatenate(leaders), np.concatenate(members)], 1), axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(count)], ["leader", "member", "n"])
+
+    for start, size, count, (_, key, low) in _runs(batches, ["entry", "key", "low"]):
+        first = np.repeat(key[start], size)
+        ok = np.repeat(np.maximum.reduceat(low, start) | (count == LONG_RUN), size) & (first != key)
+        leaders.append(first[ok])
+        members.append(key[ok])
+        n += int(ok.sum())
         if n > 500_000:
             yield flush()
-            held_l, held_m, n = [], [], 0
-    if tail is not None and len(tail[0]):
-        a, b = made(*tail)
-        held_l.append(a)
-        held_m.append(b)
-        n += len(a)
+            leaders, members, n = [], [], 0
     if n:
         yield flush()
 
@@ -281,9 +308,13 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     most = rows.agg(F.max("n")).first()[0] or 0
     cost = spark.sparkContext.broadcast(cost_classes(survey))
 
-    index = texts.mapInArrow(_indexer(cost, most), "entry long, key long, low boolean")
+    index = texts.mapInArrow(_indexer(cost, most), "entry long, key long, low boolean, spare int")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    found = index.repartition(n, "entry").sortWithinPartitions("entry", "key").mapInArrow(_stars, "leader long, member long, n long")
+    met = index.repartition(n, "entry").sortWithinPartitions("entry").mapInArrow(_met, "entry long, key long, low boolean, spare int, n long")
+    # of the entries that others share, a set drops as many as it can spare, the most frequent first
+    place = F.row_number().over(Window.partitionBy("key", "low").orderBy(F.desc("n"), "entry"))
+    shared = runtime.written(met.withColumn("place", place).filter("place > spare").select("entry", "key", "low"), "shared-entries")
+    found = shared.repartition(n, "entry").sortWithinPartitions("entry", "key").mapInArrow(_stars, "leader long, member long, n long")
     stars = runtime.written(found.groupBy("leader", "member").agg(F.sum("n").alias("n")), "stars")
     # to classes; a document with several texts stands for each of them
     of = owned.select("key", "rep", "n").distinct()
@@ -321,16 +352,21 @@ def _delta_links(compared: DataFrame, linked, parts: DataFrame) -> DataFrame:
     open_ = members.groupBy("leader").agg(F.min("linked").alias("all")).filter("not all").select("leader")
     members = members.join(open_, "leader", "left_semi").join(of, "member", "left").withColumn("part", F.coalesce("part", "member"))
     members = runtime.written(members, "deltas")
-    # overlap that a link needs at least: of an unlinked member with any other, of a linked one with an unlinked one
-    least = F.when(F.col("linked"), F.ceil((F.col("n_delta") + (F.col("n_leader") - F.col("n_member")) / 9 - 1e-9) / 2)).otherwise(F.col("n_delta") - F.floor(F.col("n_member") / 4))
-    keep = F.col("n_delta") - F.greatest(least.cast("long"), F.lit(1)) + 1
-    rows = members.select("leader", "member", "linked", "part", "n_member", keep.alias("keep"), F.explode("delta").alias("e"))
+    # The overlap of two deltas that a link needs at least: with any partner, whose delta can be smaller by a fourth of
+    # the set (long prefix), and with an unlinked partner, whose delta has a least size as well (short prefix).
+    any_ = F.greatest(F.lit(1), F.col("n_delta") - F.floor(F.col("n_member") / 4)).cast("long")
+    open_one = F.ceil((F.col("n_delta") + (F.col("n_leader") - F.col("n_member")) / 9 - 1e-9) / 2).cast("long")
+    short = F.col("n_delta") - F.greatest(any_, open_one) + 1
+    long_ = F.when(F.col("linked"), short).otherwise(F.col("n_delta") - any_ + 1)
+    rows = members.select("leader", "member", "linked", "part", "n_member", "n_delta", short.alias("short"), F.greatest(short, long_).alias("keep"), F.explode("delta").alias("e"))
     counts = rows.groupBy("leader", "e").agg(F.count("*").alias("df"))
     ranked = rows.join(counts, ["leader", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("leader", "member").orderBy("df", "e")))
-    kept = runtime.written(ranked.filter("rank <= keep and df > 1").select("leader", "e", "member", "linked", "part", "n_member"), "delta-entries")
-    a = kept.filter("not linked").select("leader", "e", F.col("member").alias("a"), F.col("part").alias("pa"), F.col("n_member").alias("na"))
-    b = kept.select("leader", "e", F.col("member").alias("b"), F.col("part").alias("pb"), F.col("n_member").alias("nb"), "linked")
-    pairs = a.join(b, ["leader", "e"]).filter("pa <> pb and (linked or a < b) and 5 * na >= 4 * nb and 5 * nb >= 4 * na").select("leader", "a", "b", "na", "nb").distinct()
+    kept = ranked.filter("rank <= keep and df > 1").select("leader", "e", "member", "linked", "part", "n_member", "n_delta", (F.col("rank") <= F.col("short")).alias("early"))
+    kept = runtime.written(kept, "delta-entries")
+    a = kept.filter("not linked").select("leader", "e", F.col("member").alias("a"), F.col("part").alias("pa"), F.col("n_member").alias("na"), F.col("n_delta").alias("xa"), "early")
+    b = kept.filter("early").select("leader", "e", F.col("member").alias("b"), F.col("part").alias("pb"), F.col("n_member").alias("nb"), F.col("n_delta").alias("xb"), "linked")
+    near = "pa <> pb and (linked or (early and a < b)) and 5 * na >= 4 * nb and 5 * nb >= 4 * na and 9 * abs(xa - xb) <= na + nb"
+    pairs = a.join(b, ["leader", "e"]).filter(near).select("leader", "a", "b", "na", "nb").distinct()
     one = members.select("leader", F.col("member").alias("a"), F.col("delta").alias("da"))
     two = members.select("leader", F.col("member").alias("b"), F.col("delta").alias("db"))
     joined = pairs.join(one, ["leader", "a"]).join(two, ["leader", "b"])

@@ -109,10 +109,25 @@ def test_partners_share_an_entry(size):
         gone, new = rng.integers(0, size // 5 + 1), rng.integers(0, size // 4 + 1)
         b = np.unique(np.concatenate((rng.permutation(a)[gone:], rng.integers(0, 2**64, new, dtype=np.uint64))))
         if 0 < len(np.setxor1d(a, b)) and nj.links(len(a), len(b), len(np.setxor1d(a, b))):
-            x, y = ({int(k) for keys, _ in nj.all_entries(s, ends, cost) for k in keys} for s in (a, b))
+            x, y = ({int(k) for keys, _, _ in nj.all_entries(s, ends, cost) for k in keys} for s in (a, b))
             assert x & y
 
 
 def test_sets_are_those_of_the_text():
     texts = ["a b c d e f", "A  b\tc d E f", "a", ""]
     assert [len(s) for s in shingle_sets([t.encode() for t in texts])] == [len(shingles(t)) for t in texts]
+
+
+def test_long_runs_come_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    entry = np.repeat(np.arange(6), [1, 2, 40, 1, 9, 30])
+    key = np.arange(len(entry))
+    whole = pa.table({"entry": entry, "key": key, "low": np.ones(len(entry), bool), "spare": np.zeros(len(entry), np.int32)})
+    for run, size in ((1000, 7), (10, 7), (10, 50), (5, 1)):
+        monkeypatch.setattr(nj, "LONG_RUN", run)
+        met = pa.Table.from_batches(nj._met(iter(whole.to_batches(max_chunksize=size)))).to_pylist()
+        want = {(e, k): min(run, int((entry == e).sum())) for e, k in zip(entry.tolist(), key.tolist()) if (entry == e).sum() > 1}
+        assert {(r["entry"], r["key"]): r["n"] for r in met} == want
+        stars = pa.Table.from_batches(nj._stars(iter(whole.to_batches(max_chunksize=size)))).to_pylist()
+        assert {(r["leader"], r["member"]) for r in stars} == {(int(key[entry == e][0]), k) for e, k in zip(entry.tolist(), key.tolist()) if k != key[entry == e][0]}
