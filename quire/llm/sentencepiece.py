@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a shared-prefix forward pass (operator 8).
 
 A text is marked (a blank becomes U+2581, one is put in front) and cut into marked words: a run of marks with what
-follows up to the next mark, cut again around characters that no longer piece holds. No piece crosses such a cut,
+follows up to the next mark, cut again around characters that no longer piece holds, and behind letters where no piece goes on from them. No piece crosses such a cut,
 so the words' ids, one after another, are the text's. The distinct words of a batch are sorted, which lays them
 out as a trie, and walked depth-first: for every prefix the walk holds a forward state, and a word starts from the
 states of the prefix that it shares with the word before.
@@ -22,7 +22,9 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -100,11 +102,17 @@ class PieceModel:
         self.score = {p: scores[k] for p, k in self.ids.items()}
         self.unknown = min(self.score.values(), default=0.0) - 10.0
         self.longest = max(map(len, self.ids), default=1)
+        self.tails = {p[k:] for p in self.ids for k in range(len(p))}
         self.bytes_ = {int(p[3:5], 16): k for k, (p, kind) in enumerate(zip(pieces, kinds, strict=True)) if kind == _BYTE}
         joint = set("".join(p for p in self.ids if len(p) > 1)) | {MARK}
-        alone = re.escape("".join(sorted(joint - {MARK})))
-        # a marked word's parts: runs of joinable characters with the marks before them, or one other character
-        self.parts = re.compile(f"{MARK}*[{alone}]+|{MARK}+|[^{alone}{MARK}]", re.DOTALL)
+        some = re.escape("".join(sorted(joint - {MARK})))
+        # a marked word's parts: runs of joinable characters with the marks before them, or one other character; runs
+        # end behind letters where no piece goes on from a letter to another character
+        letters = re.escape("".join(sorted(c for c in joint if c.isalpha())))
+        others = re.escape("".join(sorted(c for c in joint - {MARK} if not c.isalpha())))
+        apart = letters and others and not any(a.isalpha() and not b.isalpha() for p in self.ids for a, b in zip(p, p[1:]))  # noqa: B905
+        run = f"{MARK}*[{others}]*[{letters}]+|{MARK}*[{others}]+" if apart else f"{MARK}*[{some}]+"
+        self.parts = re.compile(f"{run}|{MARK}+|[^{some}{MARK}]", re.DOTALL)
         self.words: dict[str, bytes] = {}
         self.stable: dict[tuple[str, str], bool] = {}
         self.out = [b"" if kind == _CONTROL else " ⁇ ".encode() if kind == _UNKNOWN else bytes([int(p[3:5], 16)]) if kind == _BYTE else p.replace(MARK, " ").encode() for p, kind in zip(pieces, kinds, strict=True)]
@@ -137,7 +145,7 @@ class PieceModel:
 
     def forward(self, words: list[str]) -> list[list[str]]:
         """Pieces of each of the sorted words, by a depth-first walk of their trie."""
-        ids, score, longest, out = self.ids, self.score, self.longest, []
+        ids, score, longest, tails, stable, out = self.ids, self.score, self.longest, self.tails, self.stable, []
         last: list[str] = [""]  # last piece of each prefix's encoding
         best = [0.0]
         before = ""
@@ -149,11 +157,20 @@ class PieceModel:
             for end in range(shared + 1, len(word) + 1):
                 first = max(0, end - longest)
                 if self.bpe:
-                    found = word[end - 1]
-                    for start in range(first, end):
+                    found, start, ending = word[end - 1], end, []
+                    while start > first:  # pieces that end here, while any piece ends so
+                        start -= 1
                         piece = word[start:end]
-                        if (end - start == 1 or piece in ids) and self.pair(last[start], piece) and (start == 0 or self.pair("", piece)):
-                            found = piece
+                        if piece not in tails:
+                            break
+                        if piece in ids:
+                            ending.append((last[start], piece))
+                    for pair in reversed(ending):
+                        good = stable.get(pair)
+                        if good is None:
+                            good = self.pair(*pair)
+                        if good:
+                            found = pair[1]
                             break
                     last.append(found)
                     best.append(0.0)
@@ -180,9 +197,9 @@ class PieceModel:
         """Put the parts of new marked words into the cache."""
         if len(self.words) >= WORDS:
             self.words.clear()
-        new = sorted({p for w in marked for p in self.parts.findall(w)} - self.words.keys())
+        new = sorted(set(chain.from_iterable(map(self.parts.findall, marked))) - self.words.keys())
         for word, pieces in zip(new, self.forward(new), strict=True):
-            self.words[word] = np.array([k for p in pieces for k in self._piece_ids(p)], "<i4").tobytes()
+            self.words[word] = array("i", [k for p in pieces for k in self._piece_ids(p)]).tobytes()
 
     def encoded(self, marked: list[str]) -> list[bytes]:
         """ids of marked words, as little-endian 32-bit integers."""
