@@ -200,6 +200,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         texts.join(places, "key").mapInArrow(_variant_rows, "kind byte, k long, h long, key long, line int, words string"),
         "line-variants",
     )
+    runtime.discard(lines)  # all that is read from it is written
     place = F.struct("key", "line", "h")
     # kinds 1 and 2 meet in one key; kind 0 keeps its own
     grouped = variants.groupBy((F.col("kind") == 0).alias("replaced"), "k").agg(
