@@ -14,7 +14,7 @@ another class emit variants: one edit leaves one half alone, so no duplicate is
 
 Nulls in text stay null and hold no lines; rows with a null doc_id come first; rows that repeat a doc_id stand at
 the same places: where they hold equal lines at equal numbers all of them keep or lose them together, and a number
-that any of them keeps is kept by all. An empty table gives an empty result. All columns of the input are returned.
+that any of them keeps is kept by all. An empty table gives an empty result. All columns of the input are returned, but for old ones named n_lines or n_removed.
 """
 
 from __future__ import annotations
@@ -185,10 +185,9 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the lines that are to go taken out of text, and n_lines, n_removed (long) for each row."""
     spark = docs.sparkSession
     runtime.ship(spark)
-    clash = {"n_lines", "n_removed", "kept_lines", "key"} & set(docs.columns)
-    docs = docs.drop(*clash) if clash else docs
-    keyed = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    texts = keyed.select("key", F.col("text").cast("string").alias("text"))
+    docs = docs.drop("n_lines", "n_removed")
+    keyed = docs.withColumn("quire_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    texts = keyed.select(F.col("quire_key").alias("key"), F.col("text").cast("string").alias("text"))
     lines = runtime.written(texts.mapInArrow(_line_rows, "key long, line int, h long, n int, halves array<long>"), "lines")
     classes = runtime.written(lines.groupBy("h").agg(F.min(F.struct("key", "line")).alias("first"), F.max("n").alias("n")), "line-classes")
 
@@ -213,7 +212,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     words = variants.filter("kind = 1").select("h", "words")
     pairs = earlier.select("h", F.col("other.h").alias("other_h")).join(words, "h").join(words.select(F.col("h").alias("other_h"), F.col("words").alias("other")), "other_h")
     gone = pairs.select("h", "words", "other").mapInArrow(_verified, "h long")
-    kept = classes.join(gone, "h", "left_anti").groupBy(F.col("first.key").alias("key")).agg(F.collect_list("first.line").alias("kept_lines"))
-    both = keyed.withColumn("text", F.col("text").cast("string")).join(kept, "key", "left").select(*docs.columns, "key", "kept_lines")
+    kept = classes.join(gone, "h", "left_anti").groupBy(F.col("first.key").alias("quire_key")).agg(F.collect_list("first.line").alias("kept_lines"))
+    both = keyed.withColumn("text", F.col("text").cast("string")).join(kept, "quire_key", "left").select(*docs.columns, "quire_key", "kept_lines")
     fields = [StructField("text", StringType()) if f.name == "text" else f for f in docs.schema.fields]
     return both.mapInArrow(_rebuilt, StructType([*fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())]))

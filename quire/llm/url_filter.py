@@ -70,6 +70,7 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     by_key = by_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = keyed.join(by_key, ["key", "salt"]).withColumn("active", F.filter("spans", lambda s: (s["since"] <= F.col("t")) & (s["until"].isNull() | (F.col("t") < s["until"]))))
     hits = met.filter(F.size("active") > 0).groupBy("u", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col("active.list"))))).alias("lists"), F.sum(F.size("active")).cast("long").alias("n_active"))
-    same = F.col(url).cast("string").eqNullSafe(F.col("u")) & F.col(fetched).cast("timestamp").eqNullSafe(F.col("t"))
+    hits = hits.select(F.col("u").alias("quire_url"), F.col("t").alias("quire_time"), "lists", "n_active")  # no names that captures may have
+    same = F.col(url).cast("string").eqNullSafe(F.col("quire_url")) & F.col(fetched).cast("timestamp").eqNullSafe(F.col("quire_time"))
     out = captures.join(hits, same, "left")
     return out.select(*captures.columns, F.col("n_active").isNotNull().alias("blocked"), F.coalesce("lists", F.array().cast("array<string>")).alias("lists"), F.coalesce("n_active", F.lit(0).cast("long")).alias("n_active"))

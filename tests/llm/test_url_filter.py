@@ -2,6 +2,8 @@ import random
 from datetime import datetime, timedelta
 from urllib.parse import urlsplit
 
+from pyspark.sql import functions as F
+
 from quire.llm import url_filter as uf
 
 DAY = datetime(2024, 1, 1)
@@ -43,7 +45,7 @@ def test_against_the_plain_rule(spark):
     urls += [None, "", "no url", "http://", "http:///p", "ftp://A.COM/p"]
     rows = [(i, u, rng.choice([None, DAY - timedelta(1), *[DAY + timedelta(days=k, hours=rng.randint(0, 1)) for k in range(11)]]), "old") for i, u in enumerate(urls * 4)]
     rows += rows[:5]
-    captures = spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp, lists string")
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp, lists string").withColumn("u", F.lit(1)).withColumn("t", F.lit(1)).withColumn("key", F.lit("k"))
     log = spark.createDataFrame(entries, "list string, kind string, pattern string, action string, since timestamp")
     got = sorted((r.page_id, tuple(r.lists), r.n_active, r.blocked) for r in uf.url_filter(captures, log).collect())
     want = sorted((i, tuple(sorted(plain(u, t, entries)[0])), plain(u, t, entries)[1], plain(u, t, entries)[1] > 0) for i, u, t, _ in rows)
