@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 import zipfile
@@ -15,7 +14,7 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, so that their Python can import it wherever it is installed."""
+    """Send this package to the executors, so that their Python can import it. The driver serves the archive from its own folder."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -29,7 +28,6 @@ def ship(spark: SparkSession) -> None:
                     path = os.path.join(top, name)
                     z.write(path, os.path.join("quire", os.path.relpath(path, root)))
     spark.sparkContext.addPyFile(target)
-    shutil.rmtree(folder, ignore_errors=True) if not os.path.exists(target) else None
     _SHIPPED.add(app)
 
 
