@@ -314,6 +314,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     # of the entries that others share, a set drops as many as it can spare, the most frequent first
     place = F.row_number().over(Window.partitionBy("key", "low").orderBy(F.desc("n"), "entry"))
     shared = runtime.written(met.withColumn("place", place).filter("place > spare").select("entry", "key", "low"), "shared-entries")
+    n = max(shared.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)  # by the size of what is left
     found = shared.repartition(n, "entry").sortWithinPartitions("entry", "key").mapInArrow(_stars, "leader long, member long, n long")
     stars = runtime.written(found.groupBy("leader", "member").agg(F.sum("n").alias("n")), "stars")
     # to classes; a document with several texts stands for each of them
