@@ -362,11 +362,13 @@ def _delta_links(compared: DataFrame, linked, parts: DataFrame) -> DataFrame:
     rows = members.select("leader", "member", "linked", "part", "n_member", "n_delta", short.alias("short"), F.greatest(short, long_).alias("keep"), F.explode("delta").alias("e"))
     counts = rows.groupBy("leader", "e").agg(F.count("*").alias("df"))
     ranked = rows.join(counts, ["leader", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("leader", "member").orderBy("df", "e")))
-    kept = ranked.filter("rank <= keep and df > 1").select("leader", "e", "member", "linked", "part", "n_member", "n_delta", (F.col("rank") <= F.col("short")).alias("early"))
+    kept = ranked.filter("rank <= keep and df > 1").select("leader", "e", "member", "linked", "part", "n_member", "n_delta", "rank", (F.col("rank") <= F.col("short")).alias("early"))
     kept = runtime.written(kept, "delta-entries")
-    a = kept.filter("not linked").select("leader", "e", F.col("member").alias("a"), F.col("part").alias("pa"), F.col("n_member").alias("na"), F.col("n_delta").alias("xa"), "early")
-    b = kept.filter("early").select("leader", "e", F.col("member").alias("b"), F.col("part").alias("pb"), F.col("n_member").alias("nb"), F.col("n_delta").alias("xb"), "linked")
+    a = kept.filter("not linked").select("leader", "e", F.col("member").alias("a"), F.col("part").alias("pa"), F.col("n_member").alias("na"), F.col("n_delta").alias("xa"), F.col("rank").alias("ra"), "early")
+    b = kept.filter("early").select("leader", "e", F.col("member").alias("b"), F.col("part").alias("pb"), F.col("n_member").alias("nb"), F.col("n_delta").alias("xb"), F.col("rank").alias("rb"), "linked")
     near = "pa <> pb and (linked or (early and a < b)) and 5 * na >= 4 * nb and 5 * nb >= 4 * na and 9 * abs(xa - xb) <= na + nb"
+    # at the first element that a pair shares, what follows in either delta must still give the overlap that it needs
+    near += " and 18 * (1 + least(xa - ra, xb - rb)) >= 9 * (xa + xb) - (na + nb)"
     pairs = a.join(b, ["leader", "e"]).filter(near).select("leader", "a", "b", "na", "nb").distinct()
     one = members.select("leader", F.col("member").alias("a"), F.col("delta").alias("da"))
     two = members.select("leader", F.col("member").alias("b"), F.col("delta").alias("db"))
