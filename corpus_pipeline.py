@@ -1,7 +1,8 @@
 """A training-data pipeline of five stages over documents (doc_id, text, lang, source, n_chars).
 
 Each stage takes (spark, docs, sf_dir); run() writes what it returns as Parquet in the shared folder and gives the
-next stage what it reads back. All but the last return the columns of documents.
+next stage what it reads back. All but the last return the columns of documents. The last also returns the places of
+the mixing schedule, by which run() orders its rows.
 """
 
 from __future__ import annotations
@@ -40,9 +41,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids of every document."""
-    out = sentencepiece.encode(docs, queries.tokenizer_path(queries.PIECE_MODEL))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, n_tokens, ids, slot, seq, on_target of every document. Files are read back in any order, so the schedule is made again from the rows."""
+    mixed = mixing.mix(docs, queries.MIX_WEIGHTS)
+    out = sentencepiece.encode(mixed, queries.tokenizer_path(queries.PIECE_MODEL), "slot", "seq", "on_target")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "slot", "seq", "on_target")
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_lines), ("n-gram Jaccard join", drop_near_duplicates), ("mixing sources to target weights", mix_sources), ("SentencePiece encoding and decoding", encode)]
@@ -52,7 +54,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids of every document that is left, in the order of the mixing schedule."""
     docs = runtime.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = runtime.written(stage(spark, docs, sf_dir), "stage-" + "-".join(name.lower().split()))
-    return docs
+    return docs.orderBy("slot", "seq").select("doc_id", "n_tokens", "ids")

@@ -270,8 +270,8 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     yield from zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array of int) of every row of docs (doc_id, text)."""
+def encode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
+    """doc_id, ids (array of int) and the columns named in keep of every row of docs (doc_id, text)."""
     runtime.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,10 +281,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for a, b in _slices(texts):
                 ids, at = own.encode_batch(texts.slice(a, b - a))
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists, *(batch.column(c).slice(a, b - a) for c in keep)], ["doc_id", "ids", *keep])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), runtime.text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), runtime.text_or_empty().alias("text"), *keep)
+    return rows.mapInArrow(run, ", ".join(["doc_id long, ids array<int>", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)]))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -44,3 +44,16 @@ def test_stages_against_plain_rules(spark, tmp_path):
 def test_run(spark):
     out = cp.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids"] and 0 < out.count() < 200
+
+
+def test_run_keeps_the_schedule(spark, monkeypatch, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars < 3000")
+    monkeypatch.setattr(cp, "STAGES", cp.STAGES[3:])
+    folder = str(tmp_path)
+    docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    order = [r.doc_id for r in cp.run(spark, folder).collect()]
+    rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
+    place = {d: min((slot, seq) for _, slot, seq in v) for (d, _), v in test_mixing.plain(rows, queries.MIX_WEIGHTS, 65_536).items()}
+    assert order == sorted(place, key=place.get) and order != sorted(order)
+    last = cp.encode(spark, docs, folder).collect()
+    assert {r.doc_id: (r.slot, r.seq) for r in last} == place and {r.on_target for r in last} <= {True, False}
