@@ -28,9 +28,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the join the document with the smallest doc_id."""
-    gone = ngram_join.ngram_join(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """Of each component of the join the document with the smallest doc_id; of one without doc_ids one row. Texts without words stay."""
+    joined = ngram_join.ngram_join(docs)
+    other = F.when(F.col("component_id").isNull(), F.col("component_key") != F.col("key")).otherwise(~F.col("component_id").eqNullSafe(F.col("doc_id")))
+    gone = joined.filter(other).select(F.col("key").alias("gone")).distinct()
+    # rows without an id whose texts are equal are one document there: one of them stays
+    keyed = docs.withColumn("quire_key", runtime.row_key(last=True))
+    repeated = F.col("doc_id").isNull() & F.col("text").isNotNull() & F.col("text").rlike(r"[^ \t-\r]")
+    once = keyed.filter(repeated).groupBy("quire_key").agg(F.min(F.struct(*keyed.columns)).alias("row")).select("row.*")
+    rows = keyed.filter(~repeated).unionByName(once)
+    return rows.join(gone, F.col("quire_key") == F.col("gone"), "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

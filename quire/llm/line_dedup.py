@@ -12,8 +12,8 @@ member its earliest neighbour; no pairs are made within a key. The edit distance
 its neighbour is verified on their words. Only classes that share the first or the last half of their words with
 another class emit variants: one edit leaves one half alone, so no duplicate is missed.
 
-Nulls in text stay null and hold no lines; rows with a null doc_id come first; rows that repeat a doc_id stand at
-the same places: where they hold equal lines at equal numbers all of them keep or lose them together, and a number
+Nulls in text stay null and hold no lines; rows with a null doc_id stand at places of their own by a hash of their
+text, before all doc_ids from -2**62 on; rows that repeat a doc_id, or a text without one, stand at the same places: where they hold equal lines at equal numbers all of them keep or lose them together, and a number
 that any of them keeps is kept by all. An empty table gives an empty result. All columns of the input are returned, but for old ones named n_lines or n_removed.
 """
 
@@ -186,7 +186,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spark = docs.sparkSession
     runtime.ship(spark)
     docs = docs.drop("n_lines", "n_removed")
-    keyed = docs.withColumn("quire_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    keyed = docs.withColumn("quire_key", runtime.row_key())
     texts = keyed.select(F.col("quire_key").alias("key"), F.col("text").cast("string").alias("text"))
     lines = runtime.written(texts.mapInArrow(_line_rows, "key long, line int, h long, n int, halves array<long>"), "lines")
     classes = runtime.written(lines.groupBy("h").agg(F.min(F.struct("key", "line")).alias("first"), F.max("n").alias("n")), "line-classes")

@@ -23,8 +23,9 @@ Equal sets form one class beforehand, found by a 128-bit hash. Shingles are 64-b
 different shingles of one comparison to collide, or a set to leave nearly all segments empty (under 1e-20 a set).
 
 Nulls in text and texts without words have no shingles and link with nothing. Rows with one doc_id are one document:
-it links with whatever any of its rows links with; null ids likewise, as one document with a null component_id. An
-empty table gives an empty result; other columns are ignored.
+it links with whatever any of its rows links with. Rows without an id are one document where their texts are equal;
+they link like others, but their ids don't count: component_id and class_id are the smallest ids that are not null,
+and null where there is none. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +48,6 @@ FINE, COARSE, SPARE = 32, 128, 35
 #: Rows of one entry that are held at once.
 LONG_RUN = 1_000_000
 _U = np.uint64
-_NONE = -(1 << 63)
 
 
 def links(a: int, b: int, differing: int) -> bool:
@@ -82,19 +82,19 @@ def _class_hash(s: np.ndarray) -> bytes:
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (key, n, class), and in the end the task's counts of hashed shingles, in chunks."""
-    names = ["key", "n", "class", "chunk", "counts"]
+    """A row for each document (key, id, n, class), and in the end the task's counts of hashed shingles, in chunks."""
+    names = ["key", "id", "n", "class", "chunk", "counts"]
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
-        keys = batch.column("key")
+        keys, ids = batch.column("key"), batch.column("id")
         for rows, raw in _slices(batch):
             sets = shingle_sets(raw)
             whole = np.concatenate(sets)
             np.add.at(counts, (whole >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_hash(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), ids.take(pa.array(rows)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_hash(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names)
     if counts.any():
         parts = np.split(counts.astype("<u8"), CHUNKS)
-        yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array([zstandard.compress(p.tobytes(), 1) for p in parts], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array([zstandard.compress(p.tobytes(), 1) for p in parts], pa.binary())], names)
 
 
 def _summed(key, frame):
@@ -296,16 +296,20 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set; null without shingles) of every row of docs (doc_id, text)."""
+    """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set; null without shingles) of every row of docs (doc_id, text).
+
+    Also key, the row's runtime.row_key(last=True), and component_key, one key of the component, the same for all its rows.
+    """
     spark = docs.sparkSession
     runtime.ship(spark)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))
-    texts = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"))
-    survey = runtime.written(texts.mapInArrow(_survey, "key long, n long, class binary, chunk int, counts binary"), "survey")
-    rows = survey.filter("chunk is null").select("key", "n", "class")
-    reps = runtime.written(rows.filter("class is not null").groupBy("class").agg(F.min("key").alias("rep"), F.max("n").alias("n")), "classes")
-    owned = runtime.written(rows.filter("class is not null").join(reps.select("class", "rep"), "class").select("key", "rep", "n"), "owned")
-    most = rows.agg(F.max("n")).first()[0] or 0
+    named = docs.select(runtime.row_key(last=True).alias("key"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = named.select("key", "text")
+    survey = runtime.written(named.mapInArrow(_survey, "key long, id long, n long, class binary, chunk int, counts binary"), "survey")
+    rows = survey.filter("chunk is null").select("key", "id", "n", "class")
+    reps = runtime.written(rows.filter("class is not null").groupBy("class").agg(F.min("key").alias("rep"), F.min("id").alias("first"), F.max("n").alias("n")), "classes")
+    owned = runtime.written(rows.filter("class is not null").join(reps.select("class", "rep", "first"), "class").select("key", "id", "rep", "first", "n"), "owned")
+    most, unnamed = rows.agg(F.max("n"), F.max(F.col("id").isNull())).first()
+    most = most or 0
     cost = spark.sparkContext.broadcast(cost_classes(survey))
 
     index = texts.mapInArrow(_indexer(cost, most), "entry long, key long, low boolean, spare int")
@@ -340,10 +344,19 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     first = runtime.written(components(edges), "components")
     more = _delta_links(compared, linked, first)
     whole = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    reach = owned.join(whole, owned["rep"] == whole["node"], "left").groupBy("key").agg(F.min(F.coalesce("component", "rep")).alias("component"), F.min("rep").alias("rep"))
-    out = rows.select("key", "n").join(reach, "key", "left")
-    plain = lambda c: F.when(F.col(c) != F.lit(_NONE), F.col(c))
-    return out.select(plain("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(F.col("component"), F.col("key")).alias("c"), F.when(F.col("n") > 0, F.col("rep")).alias("r")).select("doc_id", "n_shingles", plain("c").alias("component_id"), plain("r").alias("class_id"))
+    reach = owned.join(whole, owned["rep"] == whole["node"], "left").groupBy("key").agg(F.min(F.coalesce("component", "rep")).alias("component"), F.min("id").alias("id"), F.min("first").alias("class_id"))
+    if unnamed:  # components whose least key is that of a row without an id have the smallest of their ids
+        reach = runtime.written(reach, "reach")
+        hidden = rows.filter("id is null").select(F.col("key").alias("component")).distinct()
+        names = reach.filter("id is not null").join(hidden, "component", "left_semi").groupBy("component").agg(F.min("id").alias("name"))
+        names = hidden.join(names, "component", "left").withColumn("hidden", F.lit(True))
+        reach = reach.join(names, "component", "left").withColumn("name", F.when(F.col("hidden"), F.col("name")).otherwise(F.col("component")))
+    else:
+        reach = reach.withColumn("name", F.col("component"))
+    out = rows.select("key", F.col("id").alias("doc_id"), "n").join(reach.drop("id"), "key", "left")
+    alone = F.col("component").isNull()  # no shingles
+    component_id = F.when(alone, F.col("doc_id")).otherwise(F.col("name"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).alias("class_id"), "key", F.coalesce("component", "key").alias("component_key"))
 
 
 def _delta_links(compared: DataFrame, linked, parts: DataFrame) -> DataFrame:

@@ -71,6 +71,12 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def row_key(last: bool = False, doc_id: str = "doc_id", text: str = "text"):
+    """doc_id as a long; a row without one has a hash of its text, from -2**63 to -2**62 - 1, or with last from 2**62 to 2**63 - 1."""
+    h = F.xxhash64(F.col(text).cast("string")).bitwiseAND(F.lit((1 << 62) - 1))
+    return F.coalesce(F.col(doc_id).cast("long"), h + F.lit(1 << 62) if last else h + F.lit(-(1 << 63)))
+
+
 def bucket(key, cuts: list[int]):
     """How many of the sorted cuts are at or below key, as a balanced tree of comparisons."""
 

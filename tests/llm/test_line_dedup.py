@@ -74,3 +74,12 @@ def test_one_edit_is_the_distance():
     for _ in range(2000):
         a, b = ([rng.choice("ab") for _ in range(rng.randint(0, 5))] for _ in range(2))
         assert ld.one_edit(a, b) == (distance(a, b) < 2)
+
+
+def test_null_ids_are_documents_of_their_own(spark):
+    texts = ["first line\nonly here", "another one\nfirst line", "third\nmore\nfirst line"]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(4, "only here\nlast")], "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in ld.line_dedup(docs).collect()]
+    lines = [x for _, t in got for x in t.split("\n")]
+    assert sorted(lines) == sorted({"first line", "only here", "another one", "third", "more", "last"})
+    assert (4, "last") in got and len(got) == 4

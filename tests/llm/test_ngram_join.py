@@ -131,3 +131,15 @@ def test_long_runs_come_in_parts(monkeypatch):
         assert {(r["entry"], r["key"]): r["n"] for r in met} == want
         stars = pa.Table.from_batches(nj._stars(iter(whole.to_batches(max_chunksize=size)))).to_pylist()
         assert {(r["leader"], r["member"]) for r in stars} == {(int(key[entry == e][0]), k) for e, k in zip(entry.tolist(), key.tolist()) if k != key[entry == e][0]}
+
+
+def test_null_ids_among_copies(spark):
+    rng = random.Random(12)
+    a, b, c, z = ([str(rng.randrange(10**6)) for _ in range(200)] for _ in range(4))
+    near = lambda w, k: " ".join([*w[:k], "new", *w[k + 1 :]])
+    most = 2**63 - 1
+    rows = [(7, " ".join(a)), (3, near(a, 5)), (None, near(a, 60)), (21, " ".join(b)), (None, near(b, 9)), (None, near(b, 9)), (None, " ".join(c)), (None, near(c, 4)), (most, " ".join(z)), (None, near(z, 7)), (None, " ".join(z)), (None, "")]
+    got = nj.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == sorted([(7, 3), (3, 3), (0, 3), (21, 21), (0, 21), (0, 21), (0, 0), (0, 0), (most, most), (0, most), (0, most), (0, 0)])
+    assert sorted((r.doc_id or 0, r.class_id or 0) for r in got) == sorted([(7, 7), (3, 3), (0, 0), (21, 21), (0, 0), (0, 0), (0, 0), (0, 0), (most, most), (0, 0), (0, most), (0, 0)])
+    assert len({r.component_key for r in got}) == 5

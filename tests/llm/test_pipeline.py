@@ -57,3 +57,17 @@ def test_run_keeps_the_schedule(spark, monkeypatch, tmp_path):
     assert order == sorted(place, key=place.get) and order != sorted(order)
     last = cp.encode(spark, docs, folder).collect()
     assert {r.doc_id: (r.slot, r.seq) for r in last} == place and {r.on_target for r in last} <= {True, False}
+
+
+def test_stages_with_null_ids_among_copies(spark):
+    words = [[f"{k}w{i}" for i in range(200)] for k in range(3)]
+    near = lambda k, i: " ".join([*words[k][:i], "new", *words[k][i + 1 :]])
+    rows = [(7, near(0, 3)), (3, near(0, 50)), (None, near(0, 90)), (9, near(1, 1)), (None, near(1, 8)), (None, near(2, 5)), (None, near(2, 5)), (None, near(2, 70)), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", f"src{k}", len(t)) for k, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = cp.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted(r.doc_id or 0 for r in out) == [0, 0, 0, 3, 9] and sum(r.text == "" for r in out) == 2
+    assert {r.text for r in out if r.doc_id is None and r.text} < {near(2, 5), near(2, 70)}
+    lines = [(3, " ".join(words[0])), (None, near(0, 5)), (None, " ".join(words[0]) + "\nlead")]
+    docs = spark.createDataFrame([(d, t, "en", "src1", len(t)) for d, t in lines], docs.schema)
+    left = [x for r in cp.drop_lines(spark, docs, SF).collect() for x in r.text.split("\n")]
+    assert sorted(x[:4] for x in left) == ["0w0 ", "lead"]
