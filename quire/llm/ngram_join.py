@@ -5,22 +5,27 @@ similarity is 0.8 or more, which is the same as |a - b| + |b - a| <= (|a| + |b|)
 without making all pairs of a group:
 
 1. Size bands. Each band's upper end is over 1.25 times its lower end, so partners lie in one band or in two
-   neighbouring ones. Each band has a scheme for its own sets and those of the next band.
+   neighbouring ones. A scheme serves one band of small sets, or the three bands between two powers of two; a set
+   takes part in its own scheme and, where it can have smaller partners there, in the scheme below.
 2. Universe partition. A scheme cuts the hash range into segments; two sets that differ in at most d elements differ
-   in at most d segments. So if every set indexes its d + 1 cheapest segments, in an order that is the same for all
-   sets, two partners index one equal segment (pigeonhole, prefix filter). The order is the cost-based allocation, in
-   two steps: a set takes somewhat more than d + 1, rare segments first, by the rarest shingle in a count sketch of the
-   whole corpus, then larger ones; and drops what is too many by the entries' exact numbers of sets, most frequent
-   first, entries of no other set being no cost. Sets with room for one difference only (4 to 7 shingles) index
-   themselves and their one-deletion neighbourhood instead.
-3. Stars. Of the documents in one index entry the first is the leader; each other is verified against it, exactly.
-4. Deltas. Two members of an entry that are not both linked to its leader may still link with each other. Their
-   difference is that of their deltas to the leader, so deltas are joined: each keeps its rarest elements within the
-   leader's group, by the same prefix argument, and pairs that share one and are not yet connected are verified.
+   in at most d segments. Of two ways to index them a scheme has the one that costs less for its sizes:
+   - Sets under 32 shingles, where a segment for each difference would hold few shingles or none: half as many segments,
+     each with its one-deletion neighbourhood. With 2 k > d, one of k segments differs in one element at most, so two
+     partners share that segment or a deletion variant of it. Such an entry holds nearly all of some eight shingles.
+   - Larger sets: segments of one or two shingles, and of these, by allocation, the d + 1 that are in the fewest sets
+     of the whole corpus, by exact counts. The order (number of sets, entry) is the same for all sets. Two partners
+     share all but d of the segments of either, so the first shared segment in that order is among the d + 1 of both.
+     Segments that no other set of a fitting size has come first and cost nothing; a set with d + 1 of them can have no
+     partner and is out.
+3. Stars. Of the sets in one entry and size band the first is the leader; each other is verified against it, exactly.
+4. Deltas. Members of one leader's group that are not connected yet, and not all linked to the leader, may still link
+   with each other. Their difference is that of their deltas to the leader, so deltas are joined: each keeps its rarest
+   elements within the leader's group, by the same prefix argument, and pairs that share one are verified.
 5. Components of all links, by alternating large and small stars over tables in the shared folder.
 
-Equal sets form one class beforehand, found by a 128-bit hash. Shingles are 64-bit hashes; a wrong result needs two
-different shingles of one comparison to collide, or a set to leave nearly all segments empty (under 1e-20 a set).
+Equal sets form one class beforehand, found by a 128-bit hash, whose first 64 bits stand for it in the index (classes
+that share them are all compared). Shingles are 64-bit hashes; a wrong result needs two different shingles of one
+comparison to collide, or a set to leave so many segments empty that fewer than d + 1 are left (under 1e-17 a set).
 
 Nulls in text and texts without words have no shingles and link with nothing. Rows with one doc_id are one document:
 it links with whatever any of its rows links with. Rows without an id are one document where their texts are equal;
@@ -35,18 +40,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import runtime
 from quire.llm.shingles import mix, shingle_sets
 
-SKETCH_BITS, CHUNKS, SLICE_BYTES, SEEN = 21, 64, 2 << 20, 1_000_000
-#: Sets under FINE have a segment for each shingle, from COARSE on one for two; percent of entries beyond those that the pigeonhole needs.
-FINE, COARSE, SPARE = 32, 128, 35
+SLICE_BYTES, SEEN = 2 << 20, 1_000_000
+#: Lower ends of the bands of small sets, each with a scheme of one-deletion neighbourhoods; from the last end on, schemes of plain segments.
+SMALL, LARGE = (4, 5, 7, 9, 12, 15, 19, 25), 32
+#: Schemes of sets under this size have two segments for each shingle of their smallest set, others one.
+SPARSE = 128
 #: Rows of one entry that are held at once.
 LONG_RUN = 1_000_000
+#: Bits of the map by which sets that nobody asks for are passed over: a fixed size, whatever the corpus.
+MARKS = 1 << 26
 _U = np.uint64
 
 
@@ -56,11 +64,12 @@ def links(a: int, b: int, differing: int) -> bool:
 
 
 def bands(most: int) -> np.ndarray:
-    """Lower ends of the size bands, up to past most."""
-    out = [4]
+    """Lower ends of the size bands, up to past most: SMALL, then three between two powers of two."""
+    out, low = list(SMALL), LARGE
     while out[-1] <= most:
-        out.append(out[-1] * 5 // 4 + 1)
-    return np.array([*out, out[-1] * 5 // 4 + 1])
+        out += [low, -(-low * 63 // 50), -(-low * 127 // 80)]
+        low *= 2
+    return np.array([*out, low])
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -77,106 +86,94 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
         yield rows, raw
 
 
-def _class_hash(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+def class_id(s: np.ndarray) -> tuple[bytes, int]:
+    """The 128-bit hash of a set, and its first half as a number."""
+    whole = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return whole, int.from_bytes(whole[:8], "little", signed=True)
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (key, id, n, class), and in the end the task's counts of hashed shingles, in chunks."""
-    names = ["key", "id", "n", "class", "chunk", "counts"]
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    """key, id, n, class, cid of each document."""
     for batch in batches:
         keys, ids = batch.column("key"), batch.column("id")
         for rows, raw in _slices(batch):
             sets = shingle_sets(raw)
-            whole = np.concatenate(sets)
-            np.add.at(counts, (whole >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), ids.take(pa.array(rows)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_hash(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names)
-    if counts.any():
-        parts = np.split(counts.astype("<u8"), CHUNKS)
-        yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array([zstandard.compress(p.tobytes(), 1) for p in parts], pa.binary())], names)
-
-
-def _summed(key, frame):
-    """One chunk of the sketch, summed over tasks; chunks are compressed, as a task fills few of their slots."""
-    import pandas as pd
-
-    total = np.zeros((1 << SKETCH_BITS) // CHUNKS, np.uint64)
-    for raw in frame["counts"]:
-        total += np.frombuffer(zstandard.decompress(raw), "<u8")
-    return pd.DataFrame({"chunk": [key[0]], "counts": [zstandard.compress(total.tobytes(), 1)]})
-
-
-def cost_classes(survey: DataFrame) -> np.ndarray:
-    """For each slot of the sketch, how far (in powers of two) its count lies above the mean: 0 for most. The sketch has a fixed size."""
-    rows = survey.filter("chunk is not null").select("chunk", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("salt"))
-    half = rows.groupBy("chunk", "salt").applyInPandas(_summed, "chunk int, counts binary")
-    whole = {r["chunk"]: zstandard.decompress(r["counts"]) for r in half.groupBy("chunk").applyInPandas(_summed, "chunk int, counts binary").collect()}
-    none = np.zeros((1 << SKETCH_BITS) // CHUNKS, "<u8")
-    counts = np.concatenate([np.frombuffer(whole[c], "<u8") if c in whole else none for c in range(CHUNKS)]).astype(np.float64)
-    return np.log2(np.maximum(1, counts / (2 * max(1.0, counts.mean())))).astype(np.uint8)
-
-
-def entries(s: np.ndarray, low: int, high: int, scheme: int, cost: np.ndarray) -> tuple[np.ndarray, int]:
-    """(index keys of a sorted set in a scheme of segments, how many of them it can spare); high: size of its largest possible partner there."""
-    most = (len(s) + high) // 9
-    if most <= 1:  # one difference: the set and its one-deletion neighbourhood
-        h = mix(s)
-        whole = h.sum(dtype=_U)
-        return mix(np.append(whole - h, whole) + _U(scheme + 1)), 0
-    if low >= FINE:
-        segments = low if low < COARSE else low // 2
-        at = ((s >> _U(32)) * _U(segments)) >> _U(32)
-        start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    else:  # few shingles: a segment for each
-        start = np.arange(len(s))
+            marks = [class_id(s) if len(s) else (None, None) for s in sets]
+            own = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([keys.take(own), ids.take(own), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.binary()), pa.array([m[1] for m in marks], pa.int64())], ["key", "id", "n", "class", "cid"])
+
+
+def _segments(s: np.ndarray, n: int) -> np.ndarray:
+    """The segment, of n equal ones of the hash range, of each element of a sorted set."""
+    return (((s >> _U(32)) * _U(n)) >> _U(32)).astype(np.int64)
+
+
+def neighbourhoods(s: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Index keys of a small set in the scheme of the band from low to high - 1: each segment, and each with one element left out."""
+    most = (high - 1 + (high - 1) * 5 // 4) // 9
+    k = most // 2 + 1
+    at = _segments(s, k)
+    h = mix(s)
+    whole = np.zeros(k, _U)
+    np.add.at(whole, at, h)
+    tag = mix(np.arange(1, k + 1, dtype=_U) + _U(low << 32))
+    return np.unique(mix(np.concatenate((whole + tag, (whole + tag)[at] - h))))
+
+
+def plain_segments(s: np.ndarray, low: int, largest: int) -> tuple[np.ndarray, int]:
+    """(index keys of a set in the scheme of sizes from low on, how many the allocation can leave out); largest: of its possible partners there."""
+    at = _segments(s, 2 * low if low < SPARSE else low)
+    start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     sums = np.append(_U(0), np.cumsum(mix(s)))
     end = np.append(start[1:], len(s))
-    key = mix(sums[end] - sums[start] + _U((scheme + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-    wanted = most + 1 + most * SPARE // 100 + 2
-    if len(key) > wanted:
-        dear = np.minimum.reduceat(cost[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)], start).astype(_U)
-        size = _U(255) - np.minimum(end - start, 255).astype(_U)
-        rank = dear << _U(56) | size << _U(48) | key >> _U(16)
-        key = key[np.argpartition(rank, wanted - 1)[:wanted]]
-    return key, max(0, len(key) - most - 1)
-
-
-def all_entries(s: np.ndarray, ends: np.ndarray, cost: np.ndarray) -> list[tuple[np.ndarray, int, bool]]:
-    """(keys, how many can be spared, whether the set belongs to the scheme's own band) in the one or two schemes of a set."""
+    key = mix(sums[end] - sums[start] + mix(at[start].astype(_U) + _U(low << 32)))
+    return key, max(0, len(key) - (len(s) + largest) // 9 - 1)
+
+
+def all_entries(s: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, int, bool]]:
+    """(keys, how many can be left out, whether the scheme is the set's own) in the one or two schemes of a set."""
     n = len(s)
     if n < 4:  # no other set of any size is similar enough
         return []
     k = int(np.searchsorted(ends, n, side="right")) - 1
-    out = [(*entries(s, int(ends[k]), n * 5 // 4, k, cost), True)]
-    if k and 5 * (int(ends[k]) - 1) >= 4 * n:
-        out.append((*entries(s, int(ends[k - 1]), int(ends[k]) - 1, k - 1, cost), False))
+    own = LARGE << ((n // LARGE).bit_length() - 1) if n >= LARGE else int(ends[k])
+    if n < LARGE:
+        out = [(neighbourhoods(s, own, int(ends[k + 1])), 0, True)]
+    else:
+        out = [(*plain_segments(s, own, n * 5 // 4), True)]
+    if own > SMALL[0] and 5 * (own - 1) >= 4 * n:
+        if own > LARGE:
+            out.append((*plain_segments(s, own // 2, own - 1), False))
+        else:
+            out.append((neighbourhoods(s, int(ends[k - 1]), own), 0, False))
     return out
 
 
-def _indexer(cost, most: int):
+def _indexer(most: int):
+    """Rows (entry, cid, meta) of each document that is no copy of one before it in the task; meta: size << 32 | keys to spare << 1 | not the set's own scheme."""
     ends = bands(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for batch in batches:
-            ids = batch.column("key").to_numpy(zero_copy_only=False)
-            for rows, raw in _slices(batch):
-                keys, owner, own, spare = [], [], [], []
-                for k, s in zip(rows, shingle_sets(raw), strict=True):
-                    mark = _class_hash(s)
-                    if mark in seen:  # a copy within this task: its class is indexed
+            for _, raw in _slices(batch):
+                keys, owner, meta, count = [], [], [], []
+                for s in shingle_sets(raw):
+                    if len(s) < 4:
+                        continue
+                    mark = class_id(s)[1]
+                    if mark in seen:
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(mark)
-                    for found, more, low in all_entries(s, ends, cost.value):
+                    for found, spare, own in all_entries(s, ends):
                         keys.append(found)
-                        owner.append(np.full(len(found), ids[k]))
-                        own.append(np.full(len(found), low))
-                        spare.append(np.full(len(found), more, np.int32))
+                        owner.append(mark)
+                        meta.append(len(s) << 32 | spare << 1 | (not own))
+                        count.append(len(found))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (owner, own, spare))], ["entry", "key", "low", "spare"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.repeat(np.array(x, np.int64), count)) for x in (owner, meta))], ["entry", "cid", "meta"])
 
     return run
 
@@ -219,21 +216,51 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of entries that several documents share, one of them of the scheme's own band, with the number of documents."""
-    names = ["entry", "key", "low", "spare"]
-    for start, size, count, columns in _runs(batches, names):
-        ok = np.repeat((count > 1) & (np.maximum.reduceat(columns[2], start) | (count == LONG_RUN)), size)
+    """Rows come by (entry, meta, cid): those with another set of a fitting size in the entry, one of both in its own scheme, and the number of sets."""
+    names = ["entry", "cid", "meta"]
+    for _, _, parts, columns in _runs(batches, names):
+        entry, cid, meta = columns
+        new = np.append(True, (entry[1:] != entry[:-1]) | (cid[1:] != cid[:-1]) | (meta[1:] != meta[:-1]))  # copies of other tasks
+        entry, cid, meta = entry[new], cid[new], meta[new]
+        start = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
+        size = np.diff(np.append(start, len(entry)))
+        part = parts == LONG_RUN  # of a longer run: what lies in the others is not known
+        if not (part | (size > 1)).any():
+            continue
+        n, own = meta >> 32, (meta & 1) == 0
+        near = np.append((entry[1:] == entry[:-1]) & (4 * n[1:] <= 5 * n[:-1]), False)  # a row and the next
+        below = np.maximum.reduceat(np.where(own, n, 0), start)  # sizes of the entry's own scheme lie below the others
+        ok = np.where(own, near | np.append(False, near[:-1]), 4 * n <= 5 * np.repeat(below, size))
+        count = np.repeat(np.where(part, LONG_RUN, size), size)
+        ok = ok & (count > 1) | np.repeat(part, size)
         if ok.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in columns] + [pa.array(np.repeat(count, size)[ok])], [*names, "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (entry, cid, meta, count)], [*names, "n"])
+
+
+def _grouped(most: int):
+    """Rows (entry, cid, meta) to (entry, key, low): an entry for each size band in which the set can meet others; low: its own band."""
+    ends = bands(most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entry, cid, meta = (batch.column(c).to_numpy() for c in ("entry", "cid", "meta"))
+            n, own = meta >> 32, (meta & 1) == 0
+            band = np.searchsorted(ends, n, side="right") - 1
+            inner = (n >= LARGE) & ((ends[band] & (ends[band] - 1)) != 0)  # the band below is in the same scheme
+            lower = ~own | (inner & (5 * (ends[band] - 1) >= 4 * n))
+            tagged = [mix(entry.view(_U) + b.astype(_U)).view(np.int64) for b in (band, band - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((tagged[0][own], tagged[1][lower]))), pa.array(np.concatenate((cid[own], cid[lower]))), pa.array(np.repeat([True, False], [own.sum(), lower.sum()]))], ["entry", "key", "low"])
+
+    return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by (entry, key): (leader, member, n) of each entry with another member and one of the scheme's own band."""
+    """Rows come by (entry, key): (leader, member) of each entry with another member and one of the band itself."""
     leaders, members, n = [], [], 0
 
     def flush() -> pa.RecordBatch:
-        pairs, count = np.unique(np.stack([np.concatenate(leaders), np.concatenate(members)], 1), axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(count)], ["leader", "member", "n"])
+        pairs = np.unique(np.stack([np.concatenate(leaders), np.concatenate(members)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["leader", "member"])
 
     for start, size, count, (_, key, low) in _runs(batches, ["entry", "key", "low"]):
         first = np.repeat(key[start], size)
@@ -248,35 +275,61 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for rows, raw in _slices(batch):
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows)), pa.array([s.tobytes() for s in shingle_sets(raw)], pa.binary())], ["key", "elements"])
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact comparison of (leader, member); the delta where the leader's group needs it."""
-    names = ["leader", "member", "n_leader", "n_member", "n_delta", "delta"]
-    last, x = None, None
-    for whole in batches:
-        for at in range(0, len(whole), 256):
-            batch = whole.slice(at, 256)
-            a, b, alone = batch.column("a"), batch.column("b"), batch.column("alone").to_pylist()
-            out = []
-            for k in range(len(batch)):
-                raw = a[k].as_py()
-                if raw != last:
-                    last, x = raw, np.frombuffer(raw, _U)
-                y = np.frombuffer(b[k].as_buffer(), _U)
-                delta = np.setxor1d(x, y, assume_unique=True)
-                out.append((len(x), len(y), len(delta), None if alone[k] else delta.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("member"), *(pa.array([o[i] for o in out], pa.int64()) for i in range(3)), pa.array([o[3] for o in out], pa.list_(pa.int64()))], names)
-
-
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """node, component (its smallest reachable node) of every node of edges (a, b), by large and small stars."""
-    now, mark = runtime.written(edges.select("a", "b").filter("a <> b").distinct(), "edges"), None
-    for _ in range(most):
+def marks(keys: DataFrame) -> np.ndarray:
+    """A map of MARKS bits with those of the keys set. It has a fixed size; the more keys, the fewer others it tells apart."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(MARKS))
+    words = keys.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(key), {MARKS}) & 63 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(MARKS // 64, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def _sets(marked):
+    """class, elements of the rows (slot, text) whose slot is marked; a few that nobody asked for may come along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            batch = batch.filter(pa.array((marked.value[slot >> 6] >> (slot & 63) & 1).astype(bool)))
+            for _, raw in _slices(batch):
+                sets = shingle_sets(raw)
+                yield pa.RecordBatch.from_arrays([pa.array([class_id(s)[0] for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "elements"])
+
+    return run
+
+
+def _compared(with_delta: bool):
+    """Exact comparison of (leader, member), which come by leader."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                a, b, leaders = batch.column("a"), batch.column("b"), batch.column("leader").to_pylist()
+                sizes, deltas = [], []
+                for k in range(len(batch)):
+                    if leaders[k] != last:
+                        last, x = leaders[k], np.frombuffer(a[k].as_py(), _U)
+                    y = np.frombuffer(b[k].as_buffer(), _U)
+                    delta = np.setxor1d(x, y, assume_unique=True)
+                    sizes.append((len(x), len(y), len(delta)))
+                    if with_delta:
+                        deltas.append(delta.view(np.int64))
+                columns = [batch.column(c) for c in ("leader", "member", "l", "m")] + [pa.array([z[i] for z in sizes], pa.int64()) for i in range(3)]
+                names = ["leader", "member", "l", "m", "n_leader", "n_member", "n_delta"]
+                if with_delta:
+                    columns, names = [*columns, pa.array(deltas, pa.list_(pa.int64()))], [*names, "delta"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """A written table of node, component (its smallest reachable node) of every node of edges (a, b), by large and small stars."""
+    now, mark, before = runtime.written(edges.select("a", "b").filter("a <> b").distinct(), "edges"), None, ()
+    while mark != before:  # each round brings nodes nearer to their least one; it ends when a round changes nothing
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: every larger neighbour goes to the least one
@@ -287,12 +340,18 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         after = runtime.written(large.join(least, "a").select(ends.alias("e")).select("e.a", "e.b").filter("a <> b").distinct(), "edges")
         runtime.discard(now)
         now, before = after, mark
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        mark = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = runtime.written(out, "components")
+    runtime.discard(now)
+    return out
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, with_delta: bool) -> DataFrame:
+    """pairs (leader, member, l, m) with n_leader, n_member, n_delta, and delta where it is asked for."""
+    both = pairs.join(sets.select(F.col("class").alias("member"), F.col("elements").alias("b")), "member")
+    both = both.join(sets.select(F.col("class").alias("leader"), F.col("elements").alias("a")), "leader").select("leader", "member", "l", "m", "a", "b")
+    return both.mapInArrow(runtime.lean(_compared(with_delta)), "leader binary, member binary, l long, m long, n_leader long, n_member long, n_delta long" + ", delta array<long>" * with_delta)
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -304,46 +363,27 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     runtime.ship(spark)
     named = docs.select(runtime.row_key(last=True).alias("key"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = named.select("key", "text")
-    survey = runtime.written(named.mapInArrow(_survey, "key long, id long, n long, class binary, chunk int, counts binary"), "survey")
-    rows = survey.filter("chunk is null").select("key", "id", "n", "class")
-    reps = runtime.written(rows.filter("class is not null").groupBy("class").agg(F.min("key").alias("rep"), F.min("id").alias("first"), F.max("n").alias("n")), "classes")
-    owned = runtime.written(rows.filter("class is not null").join(reps.select("class", "rep", "first"), "class").select("key", "id", "rep", "first", "n"), "owned")
+    rows = runtime.written(named.mapInArrow(runtime.lean(_survey), "key long, id long, n long, class binary, cid long"), "survey")
+    reps = runtime.written(rows.filter("class is not null").groupBy("class", "cid").agg(F.min("key").alias("rep"), F.min("id").alias("first")), "classes")
     most, unnamed = rows.agg(F.max("n"), F.max(F.col("id").isNull())).first()
-    most = most or 0
-    cost = spark.sparkContext.broadcast(cost_classes(survey))
-
-    index = texts.mapInArrow(_indexer(cost, most), "entry long, key long, low boolean, spare int")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    met = index.repartition(n, "entry").sortWithinPartitions("entry").mapInArrow(_met, "entry long, key long, low boolean, spare int, n long")
-    # of the entries that others share, a set drops as many as it can spare, the most frequent first
-    place = F.row_number().over(Window.partitionBy("key", "low").orderBy(F.desc("n"), "entry"))
-    shared = runtime.written(met.withColumn("place", place).filter("place > spare").select("entry", "key", "low"), "shared-entries")
-    n = max(shared.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)  # by the size of what is left
-    found = shared.repartition(n, "entry").sortWithinPartitions("entry", "key").mapInArrow(_stars, "leader long, member long, n long")
-    stars = runtime.written(found.groupBy("leader", "member").agg(F.sum("n").alias("n")), "stars")
-    # to classes; a document with several texts stands for each of them
-    of = owned.select("key", "rep", "n").distinct()
-    pairs = stars.join(of.select(F.col("key").alias("leader"), F.col("rep").alias("l"), F.col("n").alias("nl")), "leader").join(of.select(F.col("key").alias("member"), F.col("rep").alias("m"), F.col("n").alias("nm")), "member")
-    pairs = pairs.filter("l <> m").select(F.col("l").alias("leader"), F.col("m").alias("member")).distinct()
-    pairs = runtime.written(pairs, "pairs")
-    groups = pairs.groupBy("leader").agg((F.count("*") < 2).alias("alone"))
-    wanted = pairs.select(F.col("leader").alias("key")).unionByName(pairs.select(F.col("member").alias("key"))).distinct()
-    sets = runtime.written(texts.join(wanted, "key", "left_semi").mapInArrow(_sets, "key long, elements binary"), "sets", codec="uncompressed")
-    compared = (
-        pairs.join(groups, "leader")
-        .join(sets.select(F.col("key").alias("member"), F.col("elements").alias("b")), "member")
-        .join(sets.select(F.col("key").alias("leader"), F.col("elements").alias("a")), "leader")
-        .select("leader", "member", "alone", "a", "b")
-    )
-    compared = runtime.written(compared.mapInArrow(_compared, "leader long, member long, n_leader long, n_member long, n_delta long, delta array<long>"), "compared")
-    linked = F.col("n_delta") * 9 <= F.col("n_leader") + F.col("n_member")
-    edges = compared.filter(linked).select(F.col("leader").alias("a"), F.col("member").alias("b"))
+    pairs = runtime.written(_candidates(texts, most or 0, reps), "pairs")
+    asked = pairs.select(F.col("l").alias("key")).unionByName(pairs.select(F.col("m").alias("key"))).distinct()
+    marked = spark.sparkContext.broadcast(marks(asked))
+    slots = texts.select(F.pmod(F.xxhash64("key"), F.lit(MARKS)).alias("slot"), "text")
+    sets = slots.mapInArrow(runtime.lean(_sets(marked)), "class binary, elements binary").groupBy("class").agg(F.any_value("elements").alias("elements"))
+    sets = runtime.written(sets, "sets", codec="uncompressed")
+
+    # a document with several texts is in a class for each of them: they are one
+    owned = rows.filter("class is not null").join(reps, ["class", "cid"]).select("key", "id", "rep", "first")
+    owned = runtime.written(owned, "owned")
     several = owned.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
     several = owned.join(several.select("key", "a"), "key").select("a", F.col("rep").alias("b"))
-    edges = edges.unionByName(several)
-    first = runtime.written(components(edges), "components")
-    more = _delta_links(compared, linked, first)
-    whole = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    linked = F.col("n_delta") * 9 <= F.col("n_leader") + F.col("n_member")
+    compared = runtime.written(_verified(pairs, sets, False).withColumn("linked", linked), "compared")
+    first = components(compared.filter("linked").select(F.col("l").alias("a"), F.col("m").alias("b")).unionByName(several))
+    more = runtime.written(_delta_links(pairs, sets, compared, first), "delta-links")
+    runtime.discard(sets, pairs, compared)
+    whole = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)) if more.take(1) else first
     reach = owned.join(whole, owned["rep"] == whole["node"], "left").groupBy("key").agg(F.min(F.coalesce("component", "rep")).alias("component"), F.min("id").alias("id"), F.min("first").alias("class_id"))
     if unnamed:  # components whose least key is that of a row without an id have the smallest of their ids
         reach = runtime.written(reach, "reach")
@@ -359,20 +399,39 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).alias("class_id"), "key", F.coalesce("component", "key").alias("component_key"))
 
 
-def _delta_links(compared: DataFrame, linked, parts: DataFrame) -> DataFrame:
-    """Links between members of one leader's group that are not yet connected."""
-    of = parts.select(F.col("node").alias("member"), F.col("component").alias("part"))
-    members = compared.filter("delta is not null").withColumn("linked", linked)
-    open_ = members.groupBy("leader").agg(F.min("linked").alias("all")).filter("not all").select("leader")
-    members = members.join(open_, "leader", "left_semi").join(of, "member", "left").withColumn("part", F.coalesce("part", "member"))
-    members = runtime.written(members, "deltas")
+def _candidates(texts: DataFrame, most: int, reps: DataFrame) -> DataFrame:
+    """leader, member (classes) and l, m (their first documents) of every star."""
+    spark = texts.sparkSession
+    index = texts.mapInArrow(runtime.lean(_indexer(most)), "entry long, cid long, meta long")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    met = index.repartition(n, "entry").sortWithinPartitions("entry", "meta", "cid").mapInArrow(runtime.lean(_met), "entry long, cid long, meta long, n long")
+    # the allocation: of the entries that it shares, a set leaves out as many as it can, those of the most sets first
+    place = F.row_number().over(Window.partitionBy("cid", F.col("meta").bitwiseAND(1)).orderBy(F.desc("n"), "entry"))
+    shared = met.withColumn("place", place).filter(F.col("place") > F.shiftright("meta", 1).bitwiseAND((1 << 31) - 1))
+    shared = runtime.written(shared.select("entry", "cid", "meta").mapInArrow(runtime.lean(_grouped(most)), "entry long, key long, low boolean"), "shared-entries")
+    n = max(shared.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)  # by the size of what is left
+    found = shared.repartition(n, "entry").sortWithinPartitions("entry", "key").mapInArrow(runtime.lean(_stars), "leader long, member long").distinct()
+    # from the halves of the hashes to classes: to all that share one
+    left = reps.select(F.col("cid").alias("leader"), F.col("class").alias("a"), F.col("rep").alias("l"))
+    right = reps.select(F.col("cid").alias("member"), F.col("class").alias("b"), F.col("rep").alias("m"))
+    return found.join(left, "leader").join(right, "member").select(F.col("a").alias("leader"), F.col("b").alias("member"), "l", "m")
+
+
+def _delta_links(pairs: DataFrame, sets: DataFrame, compared: DataFrame, parts: DataFrame) -> DataFrame:
+    """a, b of links between members of one leader's group that is not connected as a whole yet."""
+    of = parts.select(F.col("node").alias("m"), F.col("component").alias("part"))
+    members = compared.select("leader", "member", "m", "linked").join(of, "m", "left").withColumn("part", F.coalesce("part", "m"))
+    open_ = members.groupBy("leader").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("linked").alias("all")).filter("p <> q and not all").select("leader")
+    members = members.join(open_, "leader", "left_semi").select("leader", "member", "linked", "part")
+    deltas = _verified(pairs.join(open_, "leader", "left_semi"), sets, True)
+    members = runtime.written(deltas.join(members, ["leader", "member"]), "deltas")
     # The overlap of two deltas that a link needs at least: with any partner, whose delta can be smaller by a fourth of
     # the set (long prefix), and with an unlinked partner, whose delta has a least size as well (short prefix).
     any_ = F.greatest(F.lit(1), F.col("n_delta") - F.floor(F.col("n_member") / 4)).cast("long")
     open_one = F.ceil((F.col("n_delta") + (F.col("n_leader") - F.col("n_member")) / 9 - 1e-9) / 2).cast("long")
     short = F.col("n_delta") - F.greatest(any_, open_one) + 1
     long_ = F.when(F.col("linked"), short).otherwise(F.col("n_delta") - any_ + 1)
-    rows = members.select("leader", "member", "linked", "part", "n_member", "n_delta", short.alias("short"), F.greatest(short, long_).alias("keep"), F.explode("delta").alias("e"))
+    rows = members.select("leader", "member", "m", "linked", "part", "n_member", "n_delta", short.alias("short"), F.greatest(short, long_).alias("keep"), F.explode("delta").alias("e"))
     counts = rows.groupBy("leader", "e").agg(F.count("*").alias("df"))
     ranked = rows.join(counts, ["leader", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("leader", "member").orderBy("df", "e")))
     kept = ranked.filter("rank <= keep and df > 1").select("leader", "e", "member", "linked", "part", "n_member", "n_delta", "rank", (F.col("rank") <= F.col("short")).alias("early"))
@@ -383,8 +442,8 @@ def _delta_links(compared: DataFrame, linked, parts: DataFrame) -> DataFrame:
     # at the first element that a pair shares, what follows in either delta must still give the overlap that it needs
     near += " and 18 * (1 + least(xa - ra, xb - rb)) >= 9 * (xa + xb) - (na + nb)"
     pairs = a.join(b, ["leader", "e"]).filter(near).select("leader", "a", "b", "na", "nb").distinct()
-    one = members.select("leader", F.col("member").alias("a"), F.col("delta").alias("da"))
-    two = members.select("leader", F.col("member").alias("b"), F.col("delta").alias("db"))
+    one = members.select("leader", F.col("member").alias("a"), F.col("m").alias("ka"), F.col("delta").alias("da"))
+    two = members.select("leader", F.col("member").alias("b"), F.col("m").alias("kb"), F.col("delta").alias("db"))
     joined = pairs.join(one, ["leader", "a"]).join(two, ["leader", "b"])
     differ = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-    return joined.filter(differ * 9 <= F.col("na") + F.col("nb")).select("a", "b")
+    return joined.filter(differ * 9 <= F.col("na") + F.col("nb")).select(F.col("ka").alias("a"), F.col("kb").alias("b"))

@@ -99,18 +99,35 @@ def test_given_documents_against_all_pairs(spark):
     assert got == plain(rows)
 
 
-@pytest.mark.parametrize("size", [4, 5, 7, 8, 10, 11, 31, 33, 80, 400])
-def test_partners_share_an_entry(size):
+def test_bands_hold_partners():
+    ends = nj.bands(5000).tolist()
+    assert ends == sorted(set(ends)) and {nj.LARGE << k for k in range(7)} <= set(ends)
+    for n in range(4, 5000):
+        k = max(i for i, e in enumerate(ends) if e <= n)
+        assert n * 5 // 4 < ends[k + 2]
+
+
+@pytest.mark.parametrize("size", [4, 5, 6, 7, 8, 9, 10, 11, 14, 18, 24, 28, 31, 32, 33, 40, 63, 64, 70, 80, 127, 130, 400])
+def test_partners_share_an_entry_whatever_their_frequencies(size):
+    """Each leaves out as many entries as it can, those of the highest rank in an order that both know nothing of."""
     rng = np.random.default_rng(size)
-    cost = np.zeros(1 << nj.SKETCH_BITS, np.uint8)
-    ends = nj.bands(1000)
-    for _ in range(60):
+    ends, met = nj.bands(1000), 0
+    for _ in range(80):
         a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
         gone, new = rng.integers(0, size // 5 + 1), rng.integers(0, size // 4 + 1)
         b = np.unique(np.concatenate((rng.permutation(a)[gone:], rng.integers(0, 2**64, new, dtype=np.uint64))))
         if 0 < len(np.setxor1d(a, b)) and nj.links(len(a), len(b), len(np.setxor1d(a, b))):
-            x, y = ({int(k) for keys, _, _ in nj.all_entries(s, ends, cost) for k in keys} for s in (a, b))
-            assert x & y
+            order, left, own = int(rng.integers(0, 2**63)), [], []
+            both = [{int(k) for keys, _, _ in nj.all_entries(s, ends) for k in keys} for s in (a, b)]
+            for s in (a, b):
+                left.append(set())
+                for keys, spare, low in nj.all_entries(s, ends):
+                    shared = sorted((k for k in keys.tolist() if k in both[0] & both[1]), key=lambda k: k ^ order, reverse=True)
+                    left[-1] |= set(shared[spare:]) if len(shared) + spare > len(keys) or spare < len(shared) else set()
+                    own += [low] * len(set(shared[spare:]))
+            assert left[0] & left[1] and any(own)
+            met += 1
+    assert met or size < 8
 
 
 def test_sets_are_those_of_the_text():
@@ -123,16 +140,53 @@ def test_long_runs_come_in_parts(monkeypatch):
 
     entry = np.repeat(np.arange(6), [1, 2, 40, 1, 9, 30])
     key = np.arange(len(entry))
-    whole = pa.table({"entry": entry, "key": key, "low": np.ones(len(entry), bool), "spare": np.zeros(len(entry), np.int32)})
+    whole = pa.table({"entry": entry, "cid": key, "meta": np.full(len(entry), 50 << 32)})
     for run, size in ((1000, 7), (10, 7), (10, 50), (5, 1)):
         monkeypatch.setattr(nj, "LONG_RUN", run)
         met = pa.Table.from_batches(nj._met(iter(whole.to_batches(max_chunksize=size)))).to_pylist()
         want = {(e, k): min(run, int((entry == e).sum())) for e, k in zip(entry.tolist(), key.tolist()) if (entry == e).sum() > 1}
-        assert {(r["entry"], r["key"]): r["n"] for r in met} == want
-        stars = pa.Table.from_batches(nj._stars(iter(whole.to_batches(max_chunksize=size)))).to_pylist()
+        assert {(r["entry"], r["cid"]): r["n"] for r in met} == want
+        keyed = pa.table({"entry": entry, "key": key, "low": np.ones(len(entry), bool)})
+        stars = pa.Table.from_batches(nj._stars(iter(keyed.to_batches(max_chunksize=size)))).to_pylist()
         assert {(r["leader"], r["member"]) for r in stars} == {(int(key[entry == e][0]), k) for e, k in zip(entry.tolist(), key.tolist()) if k != key[entry == e][0]}
 
 
+def test_met_are_sets_of_fitting_sizes():
+    import pyarrow as pa
+
+    def met(rows):
+        rows = sorted((1, n << 32 | low, c) for c, n, low in rows)
+        table = pa.table({"entry": [r[0] for r in rows], "meta": [r[1] for r in rows], "cid": [r[2] for r in rows]})
+        return sorted((r["cid"], r["n"]) for b in nj._met(iter(table.to_batches())) for r in b.to_pylist())
+
+    assert met([(1, 100, 0), (2, 125, 0), (3, 200, 0)]) == [(1, 3), (2, 3)]
+    assert met([(1, 100, 0), (1, 100, 0)]) == []  # a copy that another task has indexed
+    assert met([(1, 60, 0), (2, 64, 1), (3, 79, 1)]) == [(1, 3), (2, 3)]
+    assert met([(2, 64, 1), (3, 66, 1)]) == []  # they meet in their own scheme
+    assert met([]) == []
+
+
+def test_marks_hold_every_key(spark):
+    keys = spark.range(5000).selectExpr("id * 7919 as key")
+    own = nj.marks(keys)
+    slots = [r[0] for r in keys.selectExpr(f"pmod(xxhash64(key), {nj.MARKS})").collect()]
+    assert all(own[s >> 6] >> (s & 63) & 1 for s in slots)
+    assert not nj.marks(keys.limit(0)).any()
+
+
+def test_several_texts_of_one_id_are_compared_apart(spark):
+    """Deltas are taken within one text of a leader, never across two."""
+    rng = random.Random(4)
+    texts = [[str(rng.randrange(10**6)) for _ in range(120)] for _ in range(3)]
+    rows = [(1, " ".join(t)) for t in texts]
+    for k, t in enumerate(texts):
+        for i in range(6):
+            rows.append((10 * (k + 1) + i, " ".join([*t[: 70 + 3 * i], *(str(rng.randrange(10**6)) for _ in range(50 - 3 * i))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in nj.ngram_join(docs).collect()}
+    assert got == {d: c for d, (_, c) in plain(rows).items()}
+
+
 def test_null_ids_among_copies(spark):
     rng = random.Random(12)
     a, b, c, z = ([str(rng.randrange(10**6)) for _ in range(200)] for _ in range(4))
