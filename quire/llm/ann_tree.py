@@ -241,13 +241,13 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, column: str = "embed
     runtime.ship(spark)
     schema = "vec_id long, key binary, vec binary, dim int, norm double"
     rows = vectors.select(F.col(key).cast("long").alias(key), F.col(column).cast("array<double>").alias(column))
-    all_ = runtime.written(rows.mapInArrow(_vectors(column, key), schema), "vectors")
+    all_ = runtime.written(rows.mapInArrow(runtime.lean(_vectors(column, key)), schema), "vectors")
     dims = all_.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     all_ = all_.filter(F.col("dim") == F.lit(dims["dim"] if dims else 0))
     tree, visits, _ = fit(all_, k, sample, target)
     shared = spark.sparkContext.broadcast(tree)
 
-    ids = all_.select("key", "vec_id").mapInArrow(_smallest(k + 1), "key binary, vec_id long").groupBy("key").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
+    ids = all_.select("key", "vec_id").mapInArrow(runtime.lean(_smallest(k + 1)), "key binary, vec_id long").groupBy("key").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
     classes = all_.groupBy("key").agg(F.any_value("vec").alias("vec")).join(ids, "key")
 
     def to_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,19 +263,19 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, column: str = "embed
                 again = pa.array(np.repeat(np.arange(len(batch)), [len(f) for f in found]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), *(c.take(again) for c in batch.columns)], ["leaf", *batch.schema.names])
 
-    index = runtime.written(classes.select("key", "vec", "ids").mapInArrow(to_leaf, "leaf long, key binary, vec binary, ids array<long>"), "leaves")
+    index = runtime.written(classes.select("key", "vec", "ids").mapInArrow(runtime.lean(to_leaf), "leaf long, key binary, vec binary, ids array<long>"), "leaves")
     # One count for each leaf: as many as the tree has leaves, which the sample bounds.
     blocks = {r["leaf"]: -(-r["n"] // block) for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     many = {leaf: n for leaf, n in blocks.items() if n > 1}
     parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("leaf")), F.lit(1)) if many else F.lit(1)
     held = index.withColumn("block", F.pmod(F.xxhash64("key"), parts).cast("long")).withColumn("asks", F.lit(0).cast("long"))
     asked = all_.filter(F.expr(is_query.replace(key, "vec_id")))
-    query_classes = asked.groupBy("key").agg(F.any_value("vec").alias("vec")).mapInArrow(to_leaves, "leaf long, key binary, vec binary")
+    query_classes = asked.groupBy("key").agg(F.any_value("vec").alias("vec")).mapInArrow(runtime.lean(to_leaves), "leaf long, key binary, vec binary")
     wanted = query_classes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long")))).withColumn("asks", F.lit(1).cast("long")).withColumn("ids", F.lit(None).cast("array<long>"))
     n = max(2 * spark.sparkContext.defaultParallelism, all_.rdd.getNumPartitions())
     cols = ["leaf", "block", "asks", "key", "vec", "ids"]
     both = held.select(cols).unionByName(wanted.select(cols)).repartition(n, "leaf", "block").sortWithinPartitions("leaf", "block", "asks")
-    found = both.mapInArrow(_scored(k + 1), "key binary, best array<struct<far:double,id:long>>")
+    found = both.mapInArrow(runtime.lean(_scored(k + 1)), "key binary, best array<struct<far:double,id:long>>")
     best = found.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
     own = F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k)
     out = asked.select(F.col("vec_id").alias("query_id"), "key").distinct().join(best, "key").select("query_id", F.posexplode(own).alias("rank", "hit"))

@@ -145,5 +145,5 @@ def fingerprints(docs: DataFrame, scale: int = SCALE) -> DataFrame:
         rows = rows.withColumn("guest", F.lit(False))
     # a part's guests come after its own rows: the last part's guest has the smallest key of all
     rows = rows.repartition(n, "part").sortWithinPartitions("part", "guest", "key", "text").select("part", "doc_id", "guest", "text")
-    return rows.mapInArrow(_follow(scale), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, held_in_next double")
+    return rows.mapInArrow(runtime.lean(_follow(scale)), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, held_in_next double")
 

@@ -188,7 +188,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     docs = docs.drop("n_lines", "n_removed")
     keyed = docs.withColumn("quire_key", runtime.row_key())
     texts = keyed.select(F.col("quire_key").alias("key"), F.col("text").cast("string").alias("text"))
-    lines = runtime.written(texts.mapInArrow(_line_rows, "key long, line int, h long, n int, halves array<long>"), "lines")
+    lines = runtime.written(texts.mapInArrow(runtime.lean(_line_rows), "key long, line int, h long, n int, halves array<long>"), "lines")
     classes = runtime.written(lines.groupBy("h").agg(F.min(F.struct("key", "line")).alias("first"), F.max("n").alias("n")), "line-classes")
 
     halves = lines.filter(F.col("n") >= min_words).select(F.explode("halves").alias("half"), "h")
@@ -196,7 +196,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     live = halves.join(shared, "half", "left_semi").select("h").distinct()
     places = classes.join(live, "h", "left_semi").groupBy(F.col("first.key").alias("key")).agg(F.collect_list("first.line").alias("lines"))
     variants = runtime.written(
-        texts.join(places, "key").mapInArrow(_variant_rows, "kind byte, k long, h long, key long, line int, words string"),
+        texts.join(places, "key").mapInArrow(runtime.lean(_variant_rows), "kind byte, k long, h long, key long, line int, words string"),
         "line-variants",
     )
     runtime.discard(lines)  # all that is read from it is written
@@ -211,8 +211,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     earlier = met.withColumn("other", other).filter(F.struct("other.key", "other.line") < F.struct("key", "line")).groupBy("h").agg(F.min("other").alias("other"))
     words = variants.filter("kind = 1").select("h", "words")
     pairs = earlier.select("h", F.col("other.h").alias("other_h")).join(words, "h").join(words.select(F.col("h").alias("other_h"), F.col("words").alias("other")), "other_h")
-    gone = pairs.select("h", "words", "other").mapInArrow(_verified, "h long")
+    gone = pairs.select("h", "words", "other").mapInArrow(runtime.lean(_verified), "h long")
     kept = classes.join(gone, "h", "left_anti").groupBy(F.col("first.key").alias("quire_key")).agg(F.collect_list("first.line").alias("kept_lines"))
     both = keyed.withColumn("text", F.col("text").cast("string")).join(kept, "quire_key", "left").select(*docs.columns, "quire_key", "kept_lines")
     fields = [StructField("text", StringType()) if f.name == "text" else f for f in docs.schema.fields]
-    return both.mapInArrow(_rebuilt, StructType([*fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())]))
+    return both.mapInArrow(runtime.lean(_rebuilt), StructType([*fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())]))

@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from quire.llm import runtime
 
 MARK = "▁"
-#: Entries kept in a worker's caches; beyond it they start anew. Bounds memory, not results.
-WORDS, PAIRS, SLICE_BYTES = 300_000, 1_000_000, 4 << 20
+#: Bytes kept in a worker's cache of words, with so many for an entry itself, and entries of its cache of pairs of pieces; beyond that they
+#: start anew. Longer words aren't kept behind their slice. Bounds memory, not results.
+WORD_BYTES, ENTRY_BYTES, LONGEST, PAIRS, SLICE_BYTES = 64 << 20, 150, 256, 500_000, 4 << 20
 _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 2, 3, 4, 5, 6
 _MODELS: dict[str, "PieceModel"] = {}
 
@@ -114,6 +115,8 @@ class PieceModel:
         run = f"{MARK}*[{others}]*[{letters}]+|{MARK}*[{others}]+" if apart else f"{MARK}*[{some}]+"
         self.parts = re.compile(f"{run}|{MARK}+|[^{some}{MARK}]", re.DOTALL)
         self.words: dict[str, bytes] = {}
+        self.long: list[str] = []
+        self.word_bytes = 0
         self.stable: dict[tuple[str, str], bool] = {}
         self.out = [b"" if kind == _CONTROL else " ⁇ ".encode() if kind == _UNKNOWN else bytes([int(p[3:5], 16)]) if kind == _BYTE else p.replace(MARK, " ").encode() for p, kind in zip(pieces, kinds, strict=True)]
 
@@ -195,11 +198,19 @@ class PieceModel:
 
     def _learn(self, marked: list[str]) -> None:
         """Put the parts of new marked words into the cache."""
-        if len(self.words) >= WORDS:
+        for word in self.long:
+            self.words.pop(word, None)
+        self.long = []
+        if self.word_bytes > WORD_BYTES:
             self.words.clear()
+            self.word_bytes = 0
         new = sorted(set(chain.from_iterable(map(self.parts.findall, marked))) - self.words.keys())
         for word, pieces in zip(new, self.forward(new), strict=True):
-            self.words[word] = array("i", [k for p in pieces for k in self._piece_ids(p)]).tobytes()
+            got = self.words[word] = array("i", [k for p in pieces for k in self._piece_ids(p)]).tobytes()
+            if len(word) > LONGEST:
+                self.long.append(word)
+            else:
+                self.word_bytes += len(word) + len(got) + ENTRY_BYTES
 
     def encoded(self, marked: list[str]) -> list[bytes]:
         """ids of marked words, as little-endian 32-bit integers."""
@@ -284,7 +295,7 @@ def encode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists, *(batch.column(c).slice(a, b - a) for c in keep)], ["doc_id", "ids", *keep])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), runtime.text_or_empty().alias("text"), *keep)
-    return rows.mapInArrow(run, ", ".join(["doc_id long, ids array<int>", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)]))
+    return rows.mapInArrow(runtime.lean(run), ", ".join(["doc_id long, ids array<int>", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)]))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -303,4 +314,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 ["doc_id", "text", "n_tokens", "ids_crc32"],
             )
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string, n_tokens long, ids_crc32 long")
+    return encoded.select("doc_id", "ids").mapInArrow(runtime.lean(run), "doc_id long, text string, n_tokens long, ids_crc32 long")

@@ -128,5 +128,5 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, chunk_chars
         raise ValueError("chunk_chars must exceed twice overlap_chars")
     runtime.ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), runtime.text_or_empty().alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    out = rows.mapInArrow(counter(tokenizer, chunk_chars, overlap_chars, stable), "doc_id long, n_bytes long, n_tokens long, n_chunks int, n_widened int")
+    out = rows.mapInArrow(runtime.lean(counter(tokenizer, chunk_chars, overlap_chars, stable)), "doc_id long, n_bytes long, n_tokens long, n_chunks int, n_widened int")
     return out.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

@@ -235,7 +235,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, shard_tokens: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), runtime.text_or_empty().alias("text"))
     n = max(rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism * 2)
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return runtime.written(rows.mapInArrow(shard_writer(tokenizer, end_id, shard_tokens), SHARD_SCHEMA), "tokens", codec="uncompressed")
+    return runtime.written(rows.mapInArrow(runtime.lean(shard_writer(tokenizer, end_id, shard_tokens)), SHARD_SCHEMA), "tokens", codec="uncompressed")
 
 
 def part_starts(shards: DataFrame) -> dict[int, int]:
@@ -261,7 +261,7 @@ def read_tokens(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64(), mask=~shard.has_id), pa.array(shard.starts + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.select("part", "part_start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "part_start", "payload").mapInArrow(runtime.lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def export(shards: DataFrame, folder: str) -> list[str]:

@@ -251,7 +251,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     kept = docs.drop("score") if "score" in docs.columns else docs
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
+    return kept.mapInArrow(runtime.lean(run), StructType([*kept.schema.fields, StructField("score", DoubleType())]))
 
 
 def flagged(scored: DataFrame, model: Model) -> DataFrame:

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries kept in a worker's cache; beyond it the cache starts anew. Bounds memory, not results.
-CACHE_ENTRIES = 600_000
+#: Bytes kept in each of a worker's two caches, with so many for an entry itself; beyond that a cache starts anew. Longer pieces aren't kept. Bounds memory, not results.
+CACHE_BYTES, ENTRY_BYTES, LONGEST = 96 << 20, 150, 256
 
 _CODECS: dict[str, "WordCodec"] = {}
 
@@ -65,6 +65,7 @@ class WordCodec:
         self.simple = self._latin_agrees()
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.piece_bytes = self.part_bytes = 0
 
     def _byte_letters(self) -> dict[int, str]:
         """What the pre-tokeniser shows for each byte of a letter's UTF-8, read off the library."""
@@ -88,10 +89,14 @@ class WordCodec:
     def _part(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
-            if len(self.parts) >= CACHE_ENTRIES:
-                self.parts.clear()
             ids = array("H" if self.dtype.itemsize == 2 else "I", [t.id for t in self.model.tokenize(part)])
-            got = self.parts[part] = ids.tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
+            got = ids.tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
+            if len(part) <= LONGEST:
+                self.part_bytes += len(part) + len(got) + ENTRY_BYTES
+                if self.part_bytes > CACHE_BYTES:
+                    self.parts.clear()
+                    self.part_bytes = 0
+                self.parts[part] = got
         return got
 
     def piece(self, piece: str) -> bytes:
@@ -106,15 +111,20 @@ class WordCodec:
         return b"".join(map(self._part, parts)) if len(parts) != 1 else self._part(parts[0])
 
     def encoded(self, pieces: list[str]) -> list[bytes]:
-        if len(self.pieces) >= CACHE_ENTRIES:
+        if self.piece_bytes > CACHE_BYTES:
             self.pieces.clear()
+            self.piece_bytes = 0
         get, put, make = self.pieces.get, self.pieces.__setitem__, self.piece
-        out = []
+        out, more = [], 0
         for p in pieces:
             got = get(p)
             if got is None:
-                put(p, got := make(p))
+                got = make(p)
+                if len(p) <= LONGEST:
+                    put(p, got)
+                    more += len(p) + len(got) + ENTRY_BYTES
             out.append(got)
+        self.piece_bytes += more
         return out
 
     def _split(self, texts: pa.Array):
