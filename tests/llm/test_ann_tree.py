@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from quire.llm import ann_tree as at
 from quire.llm import queries
@@ -44,7 +45,7 @@ def test_odd_vectors_and_ties(spark):
     rows += [(100 + i, [1.0] * 8, 1, None) for i in range(50)] + [(100, [1.0] * 8, 1, None)]
     rows += [(500, None, 1, "x"), (501, [0.0] * 8, 1, "x"), (502, [1.0, None] + [0.5] * 6, 1, "x"), (503, [float("nan")] * 8, 1, "x"), (504, [float("inf")] * 8, 1, "x"), (505, [], 1, "x"), (506, [1.0, 2.0], 1, "x"), (None, [2.0] * 8, 1, "x")]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    out = at.nearest(df, "vec_id % 10 = 0", k=5, block=16).collect()
+    out = at.nearest(df, "vec_id % 10 = 0", k=5, sample=40, leaf=1000, part=16).collect()
     got = {}
     for r in sorted(out, key=lambda r: r["rank"]):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -61,5 +62,63 @@ def test_tree_visits_every_leaf_once():
     tree = at.Tree(x, float(np.sqrt((x**2).sum(1).max())))
     assert sorted(tree.visits(x[0], 10**6)) == list(range(tree.leaves))
     assert tree.visits(x[0], 3) == tree.visits(x[0], 9)[:3]
-    visits, recall = at.calibrate(tree, x, 10, 0.95)
+    near = [x[np.argsort(-(x @ q))[:10]] for q in x[:50]]
+    visits, recall = at.calibrate(tree, x[:50], near, 0.95)
     assert recall >= 0.95 and visits <= tree.leaves
+    assert visits == 1 or at.calibrate(tree, x[:50], near, 0.5)[0] <= visits
+
+
+def clustered(n, dim=24, clusters=400, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dim))
+    return (centres[rng.integers(0, clusters, n)] + 0.25 * rng.normal(size=(n, dim))).astype(np.float32)
+
+
+def classes_of(spark, x):
+    rows = pd.DataFrame({"key": [int(i).to_bytes(16, "little") for i in range(len(x))], "vec": [v.tobytes() for v in x], "ids": [[i] for i in range(len(x))]})
+    return spark.createDataFrame(rows, "key binary, vec binary, ids array<long>").repartition(8)
+
+
+def test_few_vectors_are_compared_and_no_more_with_a_larger_table(spark):
+    """Candidates stay as many while the table grows, at a recall of 0.9 or more against brute force."""
+    met = {}
+    for n in (20_000, 100_000):
+        x = clustered(n)
+        index, visits = at.built(classes_of(spark, x), float(np.sqrt((x.astype(float) ** 2).sum(1).max())), "<f4", 20, sample=4096, leaf=256, part=8192)
+        assert index.levels or n < 50_000
+        own = np.arange(0, n, n // 100)
+        queries = spark.createDataFrame([(int(i).to_bytes(16, "little"), x[i].tobytes()) for i in own], "key binary, vec binary")
+        found = {int.from_bytes(r["key"], "little"): {b["id"] for b in r["best"]} for r in index.search(queries, visits, 21).collect()}
+        s = x[own].astype(float) @ x.astype(float).T
+        hit = sum(len(set(np.argsort(-row)[:21].tolist()) & found[int(i)]) for i, row in zip(own, s))
+        assert hit / (21 * len(own)) >= 0.9
+        met[n] = at.shares(index, queries, visits) * n
+    assert met[100_000] < 0.05 * 100_000 and met[100_000] < 2.5 * met[20_000]
+
+
+def test_grown_levels_lose_nothing(spark):
+    """With all leaves visited the result is that of brute force, through several levels."""
+    x = clustered(3000, dim=8, clusters=20)
+    x[100:130] = x[100]  # a class of equal vectors
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    out = at.nearest(df, "vec_id % 50 = 0", k=7, sample=64, target=1.0, leaf=40, part=200)
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    y = x.astype(float)
+    hit = 0
+    for q in range(0, 3000, 50):
+        s = y @ y[q]
+        order = [i for i in np.lexsort((np.arange(3000), -s)) if i != q][:7]
+        hit += len(set(order) & set(got[q]))
+        assert len(got[q]) == 7
+    assert hit >= 0.97 * 7 * 60
+
+
+def test_queries_in_small_leaves_get_all_k(spark):
+    """Far from all others lie pairs of vectors: a query there is widened until it has met k."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate((rng.normal(size=(400, 6)) * 0.05 + 1, -rng.normal(size=(6, 6)) - 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = at.nearest(df, "vec_id >= 400", k=30, sample=200, target=0.1, leaf=20, part=64)
+    assert {r["query_id"]: r["count"] for r in out.groupBy("query_id").count().collect()} == {400 + i: 30 for i in range(6)}
