@@ -90,6 +90,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(df: DataFrame, *keep: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """df with its columns named in keep and all others in one struct, so that no name of theirs meets one of ours; and what puts them back.
+
+    The second takes a frame with those columns, and names of its own columns to be added behind them; they replace old ones of these names.
+    """
+    names = df.columns
+    rest = [c for c in names if c not in keep]
+    held = df.select(*[c for c in keep if c in names], *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("quire_rest")] if rest else []))
+
+    def back(out: DataFrame, *added: str) -> DataFrame:
+        return out.select(*[F.col(f"quire_rest.`{c}`").alias(c) if c in rest else F.col(c) for c in names if c not in added], *added)
+
+    return held, back
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -9,7 +9,8 @@ sample calibrates the score to the classes' true shares, and sets one threshold
 Scoring tables hold each bucket's response to every filter, so a text costs sums of table rows and one maximum.
 
 Nulls in text count as empty; texts without words have no responses and score as the bias says; labels that are
-null or without a document are ignored; a document labelled twice is learnt twice; with labels of one class only
+null or without a document are ignored; a document is learnt once with each label that it has, and of several texts
+of one id the first in order; with labels of one class only
 (or none) every score is that class (or 0). Null ids are kept, they are never labelled; an empty table gives an
 empty result; other columns are ignored.
 """
@@ -30,6 +31,8 @@ from quire.llm.shingles import mix, slices, word_spans
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 12, (1, 2, 3)
 #: Labelled rows of each class in the sample that is fitted, and the passes over it.
 PER_CLASS, EPOCHS, BATCH, SEED = 2000, 12, 32, 1
+#: Bytes of text of each class in that sample.
+SAMPLE_BYTES = 32 << 20
 #: Steps that a small sample is trained for, with at most four times the passes.
 LEAST_STEPS = 500
 #: Rows of each class that a threshold of its own takes, of a language or of all; below it the threshold is 0.5.
@@ -214,8 +217,8 @@ def _calibrate(model: Model, texts: list[bytes], labels: np.ndarray, langs: list
             model.thresholds[lang] = best(rows)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", eligible=None, per_class: int = PER_CLASS) -> Model:
-    """Fit on at most per_class labelled rows of each class, those with the smallest hashes of their ids.
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", eligible=None, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most per_class labelled rows and sample_bytes of text of each class, those with the smallest hashes of their ids.
 
     eligible: a condition on doc_id that rows to learn from must meet. lang is read for thresholds only.
     """
@@ -225,37 +228,46 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", eligible=Non
     shares = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = None
     for y in (0, 1):
-        some = own.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        some = own.filter(F.col("y") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit("")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), runtime.text_or_empty().alias("text"), F.coalesce(lang, F.lit("")).alias("lang"))
-    # 2 * per_class rows at most: a side of a fixed size
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "lang", "y").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["y"], r["text"]))
+    # 2 * per_class rows at most: a side of a fixed size; of the rows of one id one is learnt
+    once = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("row"))
+    once = runtime.written(once.select("doc_id", "y", "row.text", "row.lang", F.octet_length("row.text").cast("long").alias("size"), F.xxhash64("doc_id").alias("turn")), "labelled")
+    taken: list[tuple[int, int]] = []
+    room = {0: sample_bytes, 1: sample_bytes}
+    for r in sorted(once.select("doc_id", "y", "size", "turn").collect(), key=lambda r: (r["turn"], r["doc_id"], r["y"])):
+        room[r["y"]] -= r["size"]
+        if room[r["y"]] >= 0 or room[r["y"]] + r["size"] == sample_bytes:  # one row at least
+            taken.append((r["doc_id"], r["y"]))
+    chosen = once.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long, y int")), ["doc_id", "y"])
+    rows = sorted(chosen.select("doc_id", "y", "text", "lang").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["y"]))
+    runtime.discard(once)
     total = sum(shares.values())
     return fit([r["text"].encode() for r in rows], np.array([r["y"] for r in rows]), [r["lang"] for r in rows], shares.get(1, 0) / total if total else 0.0)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score: 0 to 1, higher where label 1 is likelier. Only the text is read for it."""
+def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
+    """docs with a column `into`: 0 to 1, higher where label 1 is likelier; an old column of that name goes. Only the text is read for it."""
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
     spark = docs.sparkSession
     runtime.ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
+            texts = batch.column(text)
             raw = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts.cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(raw), pa.float64())], [*batch.schema.names, "score"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(raw), pa.float64())], [*batch.schema.names, into])
 
-    kept = docs.drop("score") if "score" in docs.columns else docs
-    return kept.mapInArrow(runtime.lean(run), StructType([*kept.schema.fields, StructField("score", DoubleType())]))
+    kept = docs.drop(into) if into in docs.columns else docs
+    return kept.mapInArrow(runtime.lean(run), StructType([*kept.schema.fields, StructField(into, DoubleType())]))
 
 
 def flagged(scored: DataFrame, model: Model) -> DataFrame:
-    """scored with a boolean column flagged: score at or above the threshold of the row's language."""
+    """scored with a boolean column flagged: score at or above the threshold of the row's language; an old column of that name goes."""
     limit = F.lit(model.threshold)
     if model.thresholds and "lang" in scored.columns:
         by = F.create_map(*[F.lit(x) for kv in sorted(model.thresholds.items()) for x in kv])
