@@ -1,9 +1,9 @@
 """Line dedup by a deletion-neighbourhood join (operator 9).
 
 Lines are the parts of a text between newlines; their words are split at white space, A-Z in lower case. Two lines
-are duplicates when their words are at most one edit apart: equal, or one word inserted, deleted or replaced. A
-line goes when an earlier line, by (doc_id, line number), is its duplicate; blank lines stay. Lines of fewer than
-min_words words have equal lines only as duplicates, as one word is too much of them.
+are duplicates when they are equal, or one edit apart: one word inserted, deleted or replaced, which may be no more
+than 1 / min_words of the longer line. A line goes when an earlier line, by (doc_id, line number), is its duplicate;
+blank lines stay.
 
 Equal lines form one class with its earliest place. Each class emits the variants within the bound as hashed keys:
 with word i left out, once with i (equal keys: one word replaced) and once without (met by the shorter line's own
@@ -14,7 +14,8 @@ another class emit variants: one edit leaves one half alone, so no duplicate is
 
 Nulls in text stay null and hold no lines; rows with a null doc_id stand at places of their own by a hash of their
 text, before all doc_ids from -2**62 on; rows that repeat a doc_id, or a text without one, stand at the same places: where they hold equal lines at equal numbers all of them keep or lose them together, and a number
-that any of them keeps is kept by all. An empty table gives an empty result. All columns of the input are returned, but for old ones named n_lines or n_removed.
+that any of them keeps is kept by all. An empty table gives an empty result. All columns of the input are returned,
+whatever their names, but for old ones named n_lines or n_removed.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.llm import runtime
 from quire.llm.shingles import _BASE, _INVERSE, _WHITE, _fixed, _powers, mix, word_spans
 
+#: A line of so many words may differ by one of them.
 MIN_WORDS = 8
 _U = np.uint64
 _TAGS = _fixed(8, 907)
@@ -121,29 +123,36 @@ def _made(keys: pa.Array, held: list[bytes], owner: list[int], number: list[np.n
     )
 
 
-def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the live lines of each text: their words, and one row (kind, key) for each variant. kind 0: one word replaced; 1: own; 2: one word left out."""
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
-        for k in range(len(batch)):
-            if not texts[k].is_valid:
-                continue
-            key, raw = batch.column("key")[k].as_py(), texts[k].as_py().split(b"\n")
-            numbers = sorted({x for x in batch.column("lines")[k].as_py() if x < len(raw)})
-            for at in range(0, len(numbers), 256):
-                own = numbers[at : at + 256]
-                lines = Lines([raw[x] for x in own])
-                h = lines.own().view(np.int64)
-                line, placed, bare = lines.variants()
-                n, m = len(own), len(line)
-                every = np.concatenate((np.arange(n), line, line))
-                kind = np.repeat(np.array([1, 0, 2], np.int8), [n, m, m])
-                keys = np.concatenate((lines.own(), placed, bare)).view(np.int64)
-                words = [b" ".join(raw[x].split()).lower().decode() for x in own]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kind), pa.array(keys), pa.array(h[every]), pa.array(np.full(len(every), key)), pa.array(np.array(own, np.int32)[every]), pa.array(words + [None] * (2 * m), pa.string())],
-                    ["kind", "k", "h", "key", "line", "words"],
-                )
+def _variant_rows(min_words: int):
+    """For the live lines of each text: their words, and one row (kind, key) for each variant. kind 0: one word replaced; 1: own; 2: one word left out.
+
+    A line of fewer than min_words words has its own key only: it can have duplicates that are longer by a word.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary())
+            for k in range(len(batch)):
+                if not texts[k].is_valid:
+                    continue
+                key, raw = batch.column("key")[k].as_py(), texts[k].as_py().split(b"\n")
+                numbers = sorted({x for x in batch.column("lines")[k].as_py() if x < len(raw)})
+                for at in range(0, len(numbers), 256):
+                    own = numbers[at : at + 256]
+                    lines = Lines([raw[x] for x in own])
+                    h = lines.own().view(np.int64)
+                    line, placed, bare = (x[np.repeat(lines.n >= min_words, lines.n)] for x in lines.variants())
+                    n, m = len(own), len(line)
+                    every = np.concatenate((np.arange(n), line, line))
+                    kind = np.repeat(np.array([1, 0, 2], np.int8), [n, m, m])
+                    keys = np.concatenate((lines.own(), placed, bare)).view(np.int64)
+                    words = [b" ".join(raw[x].split()).lower().decode() for x in own]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(kind), pa.array(keys), pa.array(h[every]), pa.array(np.full(len(every), key)), pa.array(np.array(own, np.int32)[every]), pa.array(words + [None] * (2 * m), pa.string())],
+                        ["kind", "k", "h", "key", "line", "words"],
+                    )
+
+    return run
 
 
 def one_edit(a: list[str], b: list[str]) -> bool:
@@ -165,9 +174,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose first column is text and whose last are the kept lines."""
     for batch in batches:
-        at = batch.schema.get_field_index("text")
-        texts, kept = batch.column(at), batch.column("kept_lines")
+        texts, kept = batch.column(0), batch.column("kept_lines")
         out, n_lines, n_gone = [], [], []
         for k in range(len(batch)):
             text = texts[k].as_py()
@@ -177,26 +186,25 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines, keep = text.split("\n"), set(kept[k].as_py() or ())
             own = [x for i, x in enumerate(lines) if i in keep or not x.strip(" \t\r\x0b\x0c")]
             out.append("\n".join(own)), n_lines.append(len(lines)), n_gone.append(len(lines) - len(own))
-        columns = [pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-2])]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())], [*batch.schema.names[:-2], "n_lines", "n_removed"])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[1:-1], pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())], [*batch.schema.names[:-1], "n_lines", "n_removed"])
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the lines that are to go taken out of text, and n_lines, n_removed (long) for each row."""
     spark = docs.sparkSession
     runtime.ship(spark)
-    docs = docs.drop("n_lines", "n_removed")
-    keyed = docs.withColumn("quire_key", runtime.row_key())
-    texts = keyed.select(F.col("quire_key").alias("key"), F.col("text").cast("string").alias("text"))
+    docs, back = runtime.aside(docs, "doc_id", "text")
+    keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("quire_key", runtime.row_key())
+    texts = keyed.select(F.col("quire_key").alias("key"), "text")
     lines = runtime.written(texts.mapInArrow(runtime.lean(_line_rows), "key long, line int, h long, n int, halves array<long>"), "lines")
     classes = runtime.written(lines.groupBy("h").agg(F.min(F.struct("key", "line")).alias("first"), F.max("n").alias("n")), "line-classes")
 
-    halves = lines.filter(F.col("n") >= min_words).select(F.explode("halves").alias("half"), "h")
+    halves = lines.filter(F.col("n") >= min_words - 1).select(F.explode("halves").alias("half"), "h")
     shared = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("half")
     live = halves.join(shared, "half", "left_semi").select("h").distinct()
     places = classes.join(live, "h", "left_semi").groupBy(F.col("first.key").alias("key")).agg(F.collect_list("first.line").alias("lines"))
     variants = runtime.written(
-        texts.join(places, "key").mapInArrow(runtime.lean(_variant_rows), "kind byte, k long, h long, key long, line int, words string"),
+        texts.join(places, "key").mapInArrow(runtime.lean(_variant_rows(min_words)), "kind byte, k long, h long, key long, line int, words string"),
         "line-variants",
     )
     runtime.discard(lines)  # all that is read from it is written
@@ -213,6 +221,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pairs = earlier.select("h", F.col("other.h").alias("other_h")).join(words, "h").join(words.select(F.col("h").alias("other_h"), F.col("words").alias("other")), "other_h")
     gone = pairs.select("h", "words", "other").mapInArrow(runtime.lean(_verified), "h long")
     kept = classes.join(gone, "h", "left_anti").groupBy(F.col("first.key").alias("quire_key")).agg(F.collect_list("first.line").alias("kept_lines"))
-    both = keyed.withColumn("text", F.col("text").cast("string")).join(kept, "quire_key", "left").select(*docs.columns, "quire_key", "kept_lines")
-    fields = [StructField("text", StringType()) if f.name == "text" else f for f in docs.schema.fields]
-    return both.mapInArrow(runtime.lean(_rebuilt), StructType([*fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())]))
+    both = keyed.join(kept, "quire_key", "left").select("text", "doc_id", *[c for c in docs.columns if c not in ("text", "doc_id")], "kept_lines")
+    fields = [f for f in both.schema.fields if f.name != "kept_lines"]
+    out = both.mapInArrow(runtime.lean(_rebuilt), StructType([*fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())]))
+    return back(out, "n_lines", "n_removed")

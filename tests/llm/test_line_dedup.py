@@ -27,7 +27,7 @@ def plain(rows, min_words):
         keep = []
         for line in text.split("\n"):
             w = words(line)
-            gone = any(w == v or (min(len(w), len(v)) >= min_words and abs(len(w) - len(v)) < 2 and distance(w, v) < 2) for v in seen)
+            gone = any(w == v or (max(len(w), len(v)) >= min_words and abs(len(w) - len(v)) < 2 and distance(w, v) < 2) for v in seen)
             if not w or not gone:
                 keep.append(line)
             if w:
@@ -54,8 +54,11 @@ def test_against_the_plain_rule(spark):
 
     rows = [(i, "\n".join(line() for _ in range(rng.randint(0, 8)))) for i in range(120)]
     rows += [(500, None), (501, ""), (502, "\n\n \n"), (None, "first of all lines that there are in here now\nx"), (503, "first of all lines that there are in here\nX"), (504, "é " * 300 + "a"), (505, "é " * 300 + "b\nÉ")]
-    docs = spark.createDataFrame([(d, t, "k", 7) for d, t in rows], "doc_id long, text string, key string, n_lines int").repartition(4)
-    got = {r.doc_id: r for r in ld.line_dedup(docs, min_words=6).collect()}
+    docs = spark.createDataFrame([(d, t, "k", 7, 1, "x") for d, t in rows], "doc_id long, text string, key string, n_lines int, kept_lines int, quire_key string").repartition(4)
+    out = ld.line_dedup(docs, min_words=6)
+    assert out.columns == ["doc_id", "text", "key", "kept_lines", "quire_key", "n_lines", "n_removed"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert {(r.key, r.kept_lines, r.quire_key) for r in got.values()} == {("k", 1, "x")}
     want = plain(rows, 6)
     assert {d: r.text for d, r in got.items()} == want
     for d, t in rows:
@@ -83,3 +86,14 @@ def test_null_ids_are_documents_of_their_own(spark):
     lines = [x for _, t in got for x in t.split("\n")]
     assert sorted(lines) == sorted({"first line", "only here", "another one", "third", "more", "last"})
     assert (4, "last") in got and len(got) == 4
+
+
+def test_very_long_texts(spark):
+    """A line of 40,000 words and a text of 20,000 lines, each with a near copy."""
+    rng = random.Random(2)
+    wide = [str(rng.randrange(10**6)) for _ in range(40_000)]
+    tall = [" ".join(str(rng.randrange(10**4)) for _ in range(3)) for _ in range(20_000)]
+    rows = [(1, " ".join(wide)), (2, " ".join([*wide[:777], "new", *wide[778:]]) + "\nown"), (3, "\n".join(tall)), (4, "\n".join(tall[::-1]) + "\nlast one of all")]
+    got = {r.doc_id: r.text for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and got[2] == "own" and got[4] == "last one of all"
+    assert got[3] == "\n".join(dict.fromkeys(tall))
