@@ -85,14 +85,16 @@ FROM placed p JOIN ranked r USING (its) JOIN cycle_ c ON c.k = r.k AND c.j = (be
 
 
 def captures_and_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Captures are the pages, one fetched every 997 seconds over and over in 40 days; lists come from their hosts and paths by rule."""
+    """Captures are the pages, one fetched every 997 seconds over and over in 40 days; lists come from all their hosts and first paths by rules on these."""
     pages = runtime.table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.col("page_id") * 997, F.lit(40 * 86_400))))
     host = F.regexp_extract("url", "^[a-z]+://([^/]*)/", 1)
     hosts = pages.select(host.alias("pattern")).distinct().withColumn("day", F.length("pattern") % 20)
     days = F.array(*[F.struct(F.lit(x).alias("list"), F.lit(k).alias("kind"), F.lit(a).alias("action"), (F.col("day") + d).alias("day")) for x, k, a, d in HOST_ENTRIES])
     by_host = hosts.filter(F.col("day") % 3 != 0).select("pattern", F.explode(days).alias("e")).select("e.list", "e.kind", "pattern", "e.action", "e.day")
-    paths = pages.filter("page_id % 50 = 7").select(F.lit("paths").alias("list"), F.lit("prefix").alias("kind"), F.regexp_extract("url", "^[a-z]+://([^/]*/[^/?#]*)", 1).alias("pattern"), F.lit("add").alias("action"), (F.col("page_id") % 30).cast("int").alias("day"))
+    path = F.regexp_extract("url", "^[a-z]+://([^/]*/[^/?#]*)", 1)
+    paths = pages.select(path.alias("pattern")).distinct().filter(F.col("pattern").rlike("/[a-m]"))
+    paths = paths.select(F.lit("paths").alias("list"), F.lit("prefix").alias("kind"), "pattern", F.lit("add").alias("action"), F.pmod(F.length("pattern"), F.lit(30)).alias("day"))
     zone = spark.createDataFrame([("zones", "domain", "example.org", "add", 10), ("zones", "domain", "example.org", "remove", 25)], "list string, kind string, pattern string, action string, day int")
     entries = by_host.unionByName(paths).unionByName(zone)
     return captures, entries.withColumn("since", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("day") * 86_400)).drop("day")
@@ -110,21 +112,25 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH captures AS (
-  SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/]*)/', 1) AS host, 1700000000 + (page_id * 997) % 3456000 AS t FROM pages
+  SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/]*)/', 1) AS host, regexp_extract(url, '^[a-z]+://([^/]*/[^/?#]*)', 1) AS path,
+    1700000000 + (page_id * 997) % 3456000 AS t FROM pages
 ), hosts AS (SELECT DISTINCT host AS pattern, length(host) % 20 AS day FROM captures
 ), entries AS (
   SELECT v.list, v.kind, pattern, v.action, 1700000000 + (day + v.d) * 86400 AS since FROM hosts,
     (VALUES ('hosts', 'host', 'add', 0), ('hosts', 'host', 'remove', 6), ('hosts', 'host', 'add', 14), ('malware', 'domain', 'add', 3)) v(list, kind, action, d)
   WHERE day % 3 <> 0
-  UNION ALL SELECT 'paths', 'prefix', regexp_extract(url, '^[a-z]+://([^/]*/[^/?#]*)', 1), 'add', 1700000000 + (page_id % 30) * 86400 FROM captures WHERE page_id % 50 = 7
+  UNION ALL SELECT DISTINCT 'paths', 'prefix', path, 'add', 1700000000 + (length(path) % 30) * 86400 FROM captures WHERE regexp_matches(path, '/[a-m]')
   UNION ALL SELECT 'zones', 'domain', 'example.org', 'add', 1700000000 + 10 * 86400
   UNION ALL SELECT 'zones', 'domain', 'example.org', 'remove', 1700000000 + 25 * 86400
 ), log AS (SELECT list, kind, pattern, since, max(action) AS action FROM entries GROUP BY ALL
 ), spans AS (SELECT *, lead(since) OVER (PARTITION BY list, kind, pattern ORDER BY since) AS until FROM log
+), parts AS (SELECT page_id, t, host, path, string_split(host, '.') AS labels FROM captures
+), keys AS (
+  SELECT page_id, t, 'host' AS kind, host AS pattern FROM parts
+  UNION ALL SELECT page_id, t, 'prefix', path FROM parts
+  UNION ALL SELECT page_id, t, 'domain', array_to_string(list_slice(labels, i, len(labels)), '.') FROM (SELECT *, unnest(range(1, len(labels) + 1)) AS i FROM parts)
 ), hits AS (
-  SELECT c.page_id, s.list FROM captures c JOIN spans s ON s.action = 'add' AND s.since <= c.t AND (s.until IS NULL OR c.t < s.until) AND (
-    (s.kind = 'host' AND c.host = s.pattern) OR (s.kind = 'domain' AND (c.host = s.pattern OR ends_with(c.host, '.' || s.pattern)))
-    OR (s.kind = 'prefix' AND (regexp_extract(c.url, '^[a-z]+://([^?#]*)', 1) = s.pattern OR starts_with(regexp_extract(c.url, '^[a-z]+://([^?#]*)', 1), s.pattern || '/'))))
+  SELECT k.page_id, s.list FROM keys k JOIN spans s USING (kind, pattern) WHERE s.action = 'add' AND s.since <= k.t AND (s.until IS NULL OR k.t < s.until)
 )
 SELECT c.page_id, count(h.list) > 0 AS blocked, coalesce(string_agg(DISTINCT h.list, ',' ORDER BY h.list), '') AS lists, count(h.list) AS n_active
 FROM captures c LEFT JOIN hits h USING (page_id) GROUP BY c.page_id
