@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: Everything that counts as white space: the regex class and Unicode separators beside the ASCII control ones.
 WHITE = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: What a word is made of, in a character class, and where one may begin.
+LETTERS = r"\p{L}\p{N}_"
+BEGIN = rf"(?<![{LETTERS}])"
 SPECIAL = r"<\|[^|>]{0,64}\|>"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import masking
 from quire.operators.merge import SEPARATOR
 
 # What a translation must hold as often as its source.
@@ -20,23 +21,34 @@ def invariants(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("ok", F.col("expected") == F.col("found")).withColumn("na", (F.col("expected") == 0) & (F.col("found") == 0))
 
 
-def ground_truth(result: Column, truth: Column, cap: int = 20_000) -> tuple[Column, Column]:
+CAP = 20_000
+
+
+def ground_truth(result: Column, truth: Column, cap: int = CAP) -> tuple[Column, Column]:
     """(edit distance, longest length) of two Markdown texts without images and extra white space; lengths over the cap are compared to it."""
     plain = lambda c: F.left(T.squeeze(F.regexp_replace(c, r"!\[\]\([^)]*\)", "")), F.lit(cap))
     a, b = plain(result), plain(truth)
     return F.levenshtein(a, b), F.greatest(F.length(a), F.length(b))
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """Smaller over larger count, to three decimals; 1 if both are none."""
-    return F.when(F.greatest(a, b) > 0, F.bround(F.least(a, b) / F.greatest(a, b), 3)).otherwise(1.0)
+def truth_metrics(result: Column, truth: Column) -> dict[str, Column]:
+    """distance and cer (edit distance over the longer and over the true text), and how far tables, formulas and figures agree in number."""
+    far, longest = ground_truth(result, truth)
+    true = F.length(F.left(T.squeeze(F.regexp_replace(truth, r"!\[\]\([^)]*\)", "")), F.lit(CAP)))
+    a, b = T.structure_counts(result), T.structure_counts(truth)
+    ratio = lambda n: F.when(F.greatest(a[n], b[n]) > 0, F.round(F.least(a[n], b[n]) / F.greatest(a[n], b[n]), 3)).otherwise(1.0)
+    return {"distance": F.round(far / F.greatest(longest, F.lit(1)), 4), "cer": F.round(far / F.greatest(true, F.lit(1)), 4), **{n: ratio(n) for n in ("tables", "formulas", "figures")}}
 
 
-def violations(hits: DataFrame, units: DataFrame) -> DataFrame:
-    """Entries that occur in a unit but not, as they should, in its text: the target of terms, the name itself of names."""
-    met = hits.join(units.select("doc_id", "unit_id", "text"), ["doc_id", "unit_id"])
+def violating(hits: DataFrame) -> DataFrame:
+    """Of hits with the text of their unit, those whose entry is not, as it should be, in that text: the target of terms, the name itself of names."""
     bad = F.when(F.col("policy") == "A", ~F.lower("text").contains(F.lower("ko"))).otherwise(~F.col("text").contains(F.col("ko")))
-    return met.filter(bad).select("doc_id", "unit_id", "src", "ko", "policy")
+    return hits.filter(bad).select("doc_id", "unit_id", "src", "ko", "policy")
+
+
+def violations(hits: DataFrame, units: DataFrame) -> DataFrame:
+    """violating() for hits that come without texts."""
+    return violating(hits.join(units.select("doc_id", "unit_id", "text"), ["doc_id", "unit_id"]))
 
 
 def layout_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -48,3 +60,40 @@ def layout_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 def upsert(rows: DataFrame, keys: list[str], recency: str) -> DataFrame:
     """The latest row of each key."""
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(recency)))).filter("nth = 1").drop("nth")
+
+
+def replayed(units: DataFrame, keyed: DataFrame, cache: DataFrame, kept: DataFrame) -> DataFrame:
+    """doc_id, unit_id, src, text, status of all units: 'found' in the cache by their keys, 'skipped', 'kept' where kept (doc_id, unit_id) lists them, else 'unverified'."""
+    known = cache.dropDuplicates(["key"]).select("key", "text")
+    found = keyed.select("doc_id", "unit_id", "key").join(known, "key", "left").select("doc_id", "unit_id", "text")
+    rows = units.select("doc_id", "unit_id", "src", "reason").join(found, ["doc_id", "unit_id"], "left").join(kept.select("doc_id", "unit_id", F.lit(True).alias("listed")).distinct(), ["doc_id", "unit_id"], "left")
+    status = F.when(F.col("reason") != "", "skipped").when(F.col("text").isNotNull(), "found").when(F.col("listed"), "kept").otherwise("unverified")
+    return rows.select("doc_id", "unit_id", "src", F.when(status == "found", F.col("text")).alias("text"), status.alias("status"))
+
+
+def evaluation(pairs: DataFrame, outcome: DataFrame, replay: DataFrame, hits: DataFrame, ending: str, layouts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One row for each document of pairs (doc_id, source, result): hard checks, what the run did, and the quality of what is found again.
+
+    passed of checks says how many invariants hold of those that apply, hard_ok whether all do; the layouts before and
+    after add two, their numbers of blocks and all their fields but content. outcome is that of the run, replay that of
+    replayed(), hits where entries of the glossary occur. Units that are not found again count for nothing in the quality.
+    """
+    checks = invariants(pairs).filter("not na").select("doc_id", "ok")
+    if layouts is not None:
+        before, after = layouts
+        sizes = before.groupBy("doc_id").agg(F.count("*").alias("a")).join(after.groupBy("doc_id").agg(F.count("*").alias("b")), "doc_id", "full").select("doc_id", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("ok"))
+        moved = layout_diff(before, after).select("doc_id", F.lit(True).alias("moved")).distinct()
+        fields = before.select("doc_id").distinct().join(moved, "doc_id", "left").select("doc_id", F.col("moved").isNull().alias("ok"))
+        checks = checks.unionByName(sizes).unionByName(fields)
+    hard = checks.groupBy("doc_id").agg(F.count_if("ok").alias("passed"), F.count("*").alias("checks"))
+    status = lambda s: F.count_if(F.col("status") == s)
+    done = outcome.groupBy("doc_id").agg(*[status(s).alias(s) for s in ("translated", "cached", "kept", "skipped")], *[F.sum(c).alias(c) for c in ("retried", "repaired", "split", "sanitized")])
+    found = replay.withColumn("plain", masking.residual_text(F.col("text")))
+    hangul, solid = masking.hangul_share(F.col("plain"))
+    quality = found.groupBy("doc_id").agg(status("found").alias("found"), status("unverified").alias("unverified"), F.coalesce(F.sum(hangul), F.lit(0)).alias("hangul"), F.coalesce(F.sum(solid), F.lit(0)).alias("solid"), F.coalesce(F.sum(F.regexp_count("text", F.lit(ending))), F.lit(0)).cast("long").alias("endings"))
+    bad = violations(hits, replay.filter("status = 'found'")).groupBy("doc_id").agg(F.count("*").alias("violations"))
+    out = pairs.select("doc_id").join(hard, "doc_id", "left").join(done, "doc_id", "left").join(quality, "doc_id", "left").join(bad, "doc_id", "left")
+    ratio = F.when(F.col("solid") > 0, F.col("hangul") / F.col("solid")).otherwise(0.0)
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in out.columns if c != "doc_id"]
+    total = F.coalesce(F.col("translated") + F.col("cached") + F.col("kept"), F.lit(0)).cast("long")
+    return out.select("doc_id", *counts, total.alias("total"), F.coalesce(F.col("passed") == F.col("checks"), F.lit(True)).alias("hard_ok"), F.coalesce(F.round(ratio, 6), F.lit(0.0)).alias("hangul_ratio"))

@@ -12,10 +12,18 @@ def newest(jobs: DataFrame, n: int = 50) -> DataFrame:
     return jobs.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
 
 
-def queue_positions(jobs: DataFrame, by: str = "created_at", parts: str | None = None) -> DataFrame:
-    """Queued jobs with their place in line, within each value of parts."""
-    window = Window.partitionBy(*([parts] if parts else [])).orderBy(by, "id")
-    return jobs.filter("status = 'queued'").withColumn("position", F.row_number().over(window).cast("long"))
+def queue_positions(jobs: DataFrame, by: str = "created_at") -> DataFrame:
+    """Queued jobs with their place in the one line, by time of creation and id.
+
+    Each hour's jobs are numbered on their own and shifted by the counts of the hours before, so that only these
+    counts, one row for each hour, come together in one place.
+    """
+    queued = jobs.filter("status = 'queued'").withColumn("hour", F.floor(F.col(by).cast("timestamp").cast("double") / 3600).cast("long"))
+    sums = queued.groupBy("hour").agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("hour", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    own = F.row_number().over(Window.partitionBy("hour").orderBy(by, "id"))
+    return queued.withColumn("own", own).join(sums, "hour").withColumn("position", F.col("ahead") + F.col("own")).drop("hour", "own", "ahead")
 
 
 def expired(jobs: DataFrame, cutoff: Column, protected: DataFrame) -> DataFrame:

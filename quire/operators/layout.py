@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import render
 
+# The two forms of a tag.
 REF = r"<\|ref\|>(.{1,40}?)<\|/ref\|><\|det\|>(.{0,400}?)<\|/det\|>"
 DET = r"<\|det\|>\s*([A-Za-z_][\w-]*)\s*\[([^\]]+)\]\s*<\|/det\|>"
 TAG = f"(?s)(?:{REF}|{DET})"
@@ -61,27 +63,47 @@ def drawn_size(fs: Column, estimate: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.6), F.least(F.lit(6.0), fs)), estimate)
 
 
-def vertical(fs: Column, vertical_: Column, bbox: Column, content: Column) -> Column:
-    """Given direction, else 'up' for tall unmeasured boxes with at least 12 characters."""
-    tall = (bbox[3] - bbox[1]) >= (bbox[2] - bbox[0]) * 6
-    return F.coalesce(vertical_, F.when(fs.isNull() & tall & (F.length(T.strip(content)) >= 12), "up"))
+def vertical(fs: Column, given: Column, bbox: Column, content: Column, aspect: Column) -> Column:
+    """Given direction, else 'up' for unmeasured boxes of at least 12 characters that are six times as high as wide on the page."""
+    w, h = bbox[2] - bbox[0], (bbox[3] - bbox[1]) * aspect
+    tall = (w > 0) & (h >= w * 6) & (F.length(F.coalesce(content, F.lit(""))) >= 12)
+    return F.coalesce(F.when(given.isin("up", "down"), given), F.when(fs.isNull() & tall, "up"))
 
 
 def safe_type(c: Column) -> Column:
     return F.when(c.rlike(r"^[a-z][a-z0-9_-]{0,24}\z"), c).otherwise("text")
 
 
-def escape(c: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+def layout_html(blocks: DataFrame, pages: DataFrame, base_url: str, lang: str | None = None) -> DataFrame:
+    """doc_id, html of blocks (doc_id, page, block_no, type, bbox, content) on pages (doc_id, page, width, height): positioned boxes in order, a section for each page.
 
-
-def layout_html(blocks: DataFrame) -> DataFrame:
-    """doc_id, html: one section for each page, one positioned box for each block, in order."""
+    Optional columns of blocks: image (a file name), fs, bold, vertical. Sides are clamped to the page and not under 4;
+    a page without a size has that of a sheet.
+    """
+    absent = {"image": "string", "fs": "double", "bold": "boolean", "vertical": "string"}
+    rows = blocks.select("*", *[F.lit(None).cast(t).alias(c) for c, t in absent.items() if c not in blocks.columns]).filter(F.size("bbox") == 4)
+    sheet = pages.select("doc_id", "page", F.when(F.col("width") > 0, F.col("width")).otherwise(1000).alias("w"), F.when(F.col("height") > 0, F.col("height")).otherwise(1414).alias("h"))
+    sheet = sheet.withColumn("aspect", F.col("h") / F.col("w"))
+    box = F.transform("bbox", lambda v: F.greatest(F.lit(0), F.least(F.lit(999), v.cast("int"))))
+    rows = rows.withColumn("bbox", box).join(sheet, ["doc_id", "page"])
     x1, y1, x2, y2 = (F.col("bbox")[i] for i in range(4))
-    style = F.concat(F.lit("left:"), percent(x1), F.lit("%;top:"), percent(y1), F.lit("%;width:"), percent(x2 - x1), F.lit("%;height:"), percent(y2 - y1), F.lit("%"))
-    box = F.concat(F.lit('<div class="b t-'), safe_type(F.col("type")), F.lit('" style="'), style, F.lit('">'), escape(F.col("content")), F.lit("</div>"))
-    pages = blocks.filter(F.size("bbox") == 4).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", box.alias("html")))), lambda x: x["html"]), "").alias("html"))
-    section = F.concat(F.lit("<section>"), F.col("html"), F.lit("</section>"))
-    return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", section.alias("html")))), lambda x: x["html"]), "\n").alias("html"))
+    side = lambda v: percent(F.greatest(v, F.lit(4)))
+    style = F.concat(F.lit("left:"), percent(x1), F.lit("%;top:"), percent(y1), F.lit("%;width:"), side(x2 - x1), F.lit("%;height:"), side(y2 - y1), F.lit("%;"))
+    kind = safe_type(F.coalesce("type", F.lit("text")))
+    image = F.concat(F.lit(f'<img class="layout-block layout-image" src="{base_url}/images/'), F.col("image"), F.lit('" style="'), style, F.lit('" alt="">'))
+    body = render.with_math(F.coalesce("content", F.lit("")))
+    body = F.when(kind == "table", render.table_tags(body)).otherwise(body)
+    size = drawn_size(F.col("fs"), font_size(F.col("bbox"), body, F.col("aspect")))
+    bold = F.when(F.col("bold") & (kind != "title"), "font-weight:600;").otherwise("")
+    font = F.when(size.isNotNull(), F.concat(F.lit("font-size:"), F.format_string("%.2f", size), F.lit("cqw;line-height:1.22;"), bold)).otherwise("")
+    turned = F.coalesce(F.concat(F.lit(" layout-vertical-"), vertical(F.col("fs"), F.col("vertical"), F.col("bbox"), F.col("content"), F.col("aspect"))), F.lit(""))
+    text = F.concat(F.lit('<div class="layout-block layout-'), kind, turned, F.lit('" style="'), style, font, F.lit('" title="'), kind, F.lit('">'), body, F.lit("</div>"))
+    named = F.coalesce(F.col("image").rlike(rf"^[{T.LETTERS}.-]+\z"), F.lit(False))
+    drawn = rows.select("doc_id", "page", "block_no", F.when(named, image).otherwise(text).alias("html"))
+    ordered = lambda key: F.transform(F.array_sort(F.collect_list(F.struct(key, "html"))), lambda x: x["html"])
+    whole = drawn.groupBy("doc_id", "page").agg(F.array_join(ordered("block_no"), "").alias("html"))
+    whole = sheet.join(whole, ["doc_id", "page"], "left")  # a page without blocks is a page
+    head = F.concat(F.lit('<section class="layout-page" data-page="'), F.col("page").cast("string"), F.lit('"><div class="layout-canvas" style="padding-top:'), F.format_string("%.2f", F.col("aspect") * 100), F.lit('%">'))
+    whole = whole.select("doc_id", "page", F.concat(head, F.coalesce("html", F.lit("")), F.lit("</div></section>")).alias("html"))
+    out = whole.groupBy("doc_id").agg(F.array_join(ordered("page"), "\n").alias("html"))
+    return out if lang is None else out.withColumn("html", F.concat(F.lit(f'<div class="doclayout-body" lang="{lang}">\n'), F.col("html"), F.lit("\n</div>")))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import html
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,8 +14,10 @@ from quire.functions import text as T
 
 _CODE = re.compile(r"```.*?```|`[^`\n]+`", re.S)
 _MATH = re.compile(r"\$\$(.+?)\$\$|\$([^$\n]+)\$|\$", re.S)
-_TABLE = re.compile(r"&lt;(/?)(table|thead|tbody|tr|td|th)((?:\s+(?:colspan|rowspan)=(?:&quot;|&#x27;)?\d{1,3}(?:&quot;|&#x27;)?)*)\s*(/?)&gt;", re.I)
-_SPAN = re.compile(r"(colspan|rowspan)=\D*(\d+)", re.I)
+# Math in display and inline delimiters; table tags as they look when escaped, with numeric spans only.
+MATH = r"(?s)\\\[(.+?)\\\]|\\\((.+?)\\\)"
+TABLE = r"(?i)&lt;(/?)(table|thead|tbody|tr|td|th)((?:\s+(?:colspan|rowspan)=(?:&quot;|&#x27;)?\d{1,3}(?:&quot;|&#x27;)?)*)\s*(/?)&gt;"
+SPAN = r"(?i)(colspan|rowspan)=\D*?(\d+)"
 
 
 def inline_math(body: str) -> bool:
@@ -40,24 +42,47 @@ def normalized(text: str) -> str:
     return "".join([*out, _MATH.sub(one, text[at:])])
 
 
-def escaped_with_tables(text: str) -> str:
-    """Escaped text in which only table tags are tags again, with numeric spans as their only attributes."""
+@F.pandas_udf(StringType())
+def math_normalized(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else normalized(t))
 
-    def tag(m: re.Match) -> str:
-        spans = "".join(f' {k.lower()}="{v}"' for k, v in _SPAN.findall(m[3]))
-        return f"<{m[1]}{m[2].lower()}{'' if m[1] else spans}>"
 
-    return _TABLE.sub(tag, html.escape(text))
+def escape(c: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
 
 
-@F.pandas_udf(StringType())
-def math_normalized(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else normalized(t))
+def _rewritten(text: Column, pattern: str, piece: Callable[[Column], Column], mark: Callable[[Column], Column]) -> Column:
+    """text with mark of each match of the pattern between piece of what lies around."""
+    marks = F.concat(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), mark), F.array(F.lit("")))
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), marks, lambda p, m: F.concat(piece(p), m)), "")
 
 
-@F.pandas_udf(StringType())
-def tables_restored(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else escaped_with_tables(t))
+def with_math(text: Column) -> Column:
+    """Escaped text in which math is spans."""
+
+    def span(m: Column) -> Column:
+        tex = T.strip(F.substring(m, F.lit(3), F.length(m) - 4))
+        kind = F.when(m.startswith("\\["), "math-display").otherwise("math-inline")
+        return F.when(tex == "", "").otherwise(F.concat(F.lit('<span class="'), kind, F.lit('">'), escape(tex), F.lit("</span>")))
+
+    return _rewritten(text, MATH, escape, span)
+
+
+def table_tags(escaped: Column) -> Column:
+    """Escaped text in which table tags are tags again, with numeric spans as their only attributes."""
+
+    def tag(m: Column) -> Column:
+        close = F.regexp_extract(m, TABLE, 1)
+        spans = F.zip_with(F.regexp_extract_all(m, F.lit(SPAN), F.lit(1)), F.regexp_extract_all(m, F.lit(SPAN), F.lit(2)), lambda k, v: F.concat(F.lit(" "), F.lower(k), F.lit('="'), v, F.lit('"')))
+        return F.concat(F.lit("<"), close, F.lower(F.regexp_extract(m, TABLE, 2)), F.when(close == "", F.array_join(spans, "")).otherwise(""), F.lit(">"))
+
+    return _rewritten(escaped, TABLE, lambda p: p, tag)
+
+
+def tables_restored(text: Column) -> Column:
+    return table_tags(escape(text))
 
 
 def sections(md: Column, separator: str) -> Column:

@@ -38,14 +38,23 @@ def line_runs(pages: DataFrame, least: int = 2) -> DataFrame:
     return rows.groupBy("doc_id", "page", "run").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n"), F.first("template").alias("template")).filter(F.col("n") >= least).drop("run")
 
 
-def counter_runs(pages: DataFrame, least: int = COUNTER_RUN) -> DataFrame:
-    """Runs of '#n.' whose numbers go up by one, in the last part of a page: (doc_id, page, first, n)."""
+COUNTER = r"#\s*(\d{1,7})\s*\."
+
+
+def counter_runs(pages: DataFrame, least: int = COUNTER_RUN, letters: float = COUNTER_LETTERS) -> DataFrame:
+    """Runs of '#n.' whose numbers go up by one, in the last part of a page, with hardly any letters between them: (doc_id, page, first, n)."""
     tail = F.regexp_replace(F.right(F.col("text"), F.lit(ROLLING_CHARS)), LAYOUT, "")
-    found = pages.select("doc_id", "page", F.posexplode(F.regexp_extract_all(tail, F.lit(r"#\s*(\d{1,7})\s*\."), 1)).alias("i", "v"))
-    rows = found.withColumn("island", F.col("v").cast("int") - F.col("i"))
-    edge = (~F.col("island").eqNullSafe(F.lag("island").over(Window.partitionBy("doc_id", "page").orderBy("i")))).cast("int")
-    rows = rows.withColumn("run", F.sum(edge).over(Window.partitionBy("doc_id", "page").orderBy("i")))
-    return rows.groupBy("doc_id", "page", "run").agg(F.min(F.col("v").cast("int")).alias("first"), F.count("*").alias("n")).filter(F.col("n") >= least).drop("run")
+    at = pages.select("doc_id", "page", F.split(tail, COUNTER, -1).alias("gaps"), F.regexp_extract_all(tail, F.lit(COUNTER), F.lit(0)).alias("marks"))
+    found = at.select("doc_id", "page", F.posexplode(F.arrays_zip(F.slice("gaps", F.lit(1), F.size("marks")).alias("gap"), F.col("marks").alias("mark"))).alias("i", "c"))
+    rows = found.select("doc_id", "page", "i", F.regexp_extract("c.mark", COUNTER, 1).cast("int").alias("v"), F.length("c.mark").alias("n_mark"), F.length("c.gap").alias("n_gap"), F.length(F.regexp_replace("c.gap", r"[^\p{L}]", "")).alias("n_letters"))
+    # numbers that go up by one with their place have one difference: an island; a run begins where it changes
+    page = Window.partitionBy("doc_id", "page").orderBy("i")
+    island = F.col("v") - F.col("i")
+    new = ~island.eqNullSafe(F.lag(island).over(page))
+    rows = rows.withColumn("new", new).withColumn("run", F.sum(F.col("new").cast("int")).over(page))
+    inner = lambda c: F.sum(F.when(~F.col("new"), F.col(c)).otherwise(0))  # noqa: E731  the gap before a run is none of its own
+    runs = rows.groupBy("doc_id", "page", "run").agg(F.min("v").alias("first"), F.count("*").alias("n"), inner("n_letters").alias("alpha"), (F.sum("n_mark") + inner("n_gap")).alias("span"))
+    return runs.filter((F.col("n") >= least) & (F.col("alpha") <= F.col("span") * letters)).select("doc_id", "page", "first", "n")
 
 
 def page_budget(pages: DataFrame, chars: int = PAGE_CHARS) -> DataFrame:
@@ -56,6 +65,17 @@ def page_flood(markers: Column, expected: Column) -> Column:
     return markers > F.greatest(expected + 2, expected * 2)
 
 
+_NUMBER, _LAYOUT = re.compile(r"\d+"), re.compile(LAYOUT)
+
+
+def template(line: str) -> str | None:
+    """The template of one line, as templates() has it: '' for a blank line, None for one that can't be part of a run."""
+    compact = " ".join(_LAYOUT.sub("", line).split()).casefold()
+    shape, n = _NUMBER.subn("<n>", compact)
+    fits = 1 <= n <= NUMBER_FIELDS and len(shape) >= TEMPLATE_CHARS and sum(map(str.isalpha, shape)) >= LETTERS
+    return "" if not compact else shape if fits else None
+
+
 _ATOM = re.compile(r"\w+|[^\w\s]")
 
 
@@ -78,7 +98,7 @@ def tandem(text: str) -> tuple[int, str] | None:
 
 @F.pandas_udf(StructType([StructField("repeats", IntegerType()), StructField("unit", StringType())]))
 def tandem_repeat(text: pd.Series) -> pd.DataFrame:
-    found = [tandem((t or "")[-ROLLING_CHARS:]) for t in text]
+    found = [tandem(_LAYOUT.sub("", (t or "")[-ROLLING_CHARS:])) for t in text]
     return pd.DataFrame({"repeats": [f[0] if f else 0 for f in found], "unit": [f[1] if f else None for f in found]})
 
 

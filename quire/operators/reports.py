@@ -44,7 +44,7 @@ def judge_sample(units: DataFrame, size: int = 12, longest: int = 4, seed: int =
     """(doc_id, unit_id, src): of each document the longest units, and others by the order of a seeded hash."""
     by_length = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.length("src")), "unit_id"))
     rows = units.withColumn("long", by_length <= longest)
-    by_hash = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("long"), F.xxhash64("unit_id", F.lit(seed)), "unit_id"))
+    by_hash = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("long"), F.md5(F.concat_ws(":", "unit_id", F.lit(seed).cast("string"))), "unit_id"))
     return rows.withColumn("place", by_hash).filter(F.col("place") <= size).drop("place")
 
 

@@ -71,16 +71,19 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, k, line with a formula, a citation, a reference, an address or code put in by rule."""
+    """doc_id, k, line with a formula, a citation, a reference, an address or code put in by rule, and words that are nearly entries of the glossary."""
     k = F.col("k")
     s = k.cast("string")
     more = F.when(k % 5 == 0, F.concat(F.lit(" $x_"), s, F.lit("$"))).when(k % 5 == 1, F.concat(F.lit(" ["), s, F.lit("]"))).when(k % 5 == 2, F.concat(F.lit(" see Figure "), s)).when(k % 5 == 3, F.concat(F.lit(" https://example.org/"), s)).otherwise(F.concat(F.lit(" `c"), s, F.lit("`")))
-    return lines(spark, sf_dir).select("doc_id", "k", F.concat("line", more).alias("line"))
+    near = F.when(k % 6 == 0, " fine. Tuning of C code").when(k % 6 == 1, " $de la$ fine-tuning").when(k % 6 == 2, " of  the C++x").otherwise("")
+    return lines(spark, sf_dir).select("doc_id", "k", F.concat("line", more, near).alias("line"))
+
+
+GLOSSARY = (("the", "das", "B"), ("of the", "von dem", "C"), ("la", "el", "B"), ("de la", "del", "D"), ("und", "and", "C"), ("is and", "ist und", "D"), ("IN", "IN", "A"), ("fine-tuning", "Feinabstimmung", "D"), ("C++", "C++", "A"))
 
 
 def glossary(spark: SparkSession) -> DataFrame:
-    rows = [("the", "das", "B"), ("of the", "von dem", "C"), ("la", "el", "B"), ("de la", "del", "D"), ("und", "and", "C"), ("is and", "ist und", "D"), ("IN", "IN", "A")]
-    return spark.createDataFrame(rows, "src string, ko string, policy string")
+    return spark.createDataFrame(list(GLOSSARY), "src string, ko string, policy string")
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

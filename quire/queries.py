@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +37,20 @@ def pattern_count(x: str, pattern: str) -> str:
     return f"len(regexp_extract_all({x}, '{pattern}'))"
 
 
+def re2(pattern: str) -> str:
+    """A pattern of the operators as the other engine writes it: it has no look-behind, and an ASCII word boundary does for the data."""
+    return pattern.replace(T.BEGIN, r"\b").replace(f"(?![{T.LETTERS}])", r"\b").replace(r"\x85", r"\x{85}")
+
+
 def joined(c: str) -> F.Column:
     return F.array_join(F.col(c).cast("array<string>"), ",")
 
 
+def ordered(key: str, value: str) -> F.Column:
+    """The values of a group in the order of a key."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda r: r[value])
+
+
 def query(sql: str | None = None):
     def put(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -84,11 +95,37 @@ def block_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.groupBy("type").agg(F.count("*").alias("n"), F.count("crop_index").alias("crops"), F.sum(F.length("content")).alias("chars"), F.count_if(F.array_max("bbox") > 999).alias("outside"))
 
 
-@query(f"""WITH {BLOCKS} SELECT doc_id, string_agg('<section>' || html || '</section>', chr(10) ORDER BY page) AS html FROM (
-  SELECT doc_id, page, string_agg('<div class="b t-' || type || '" style="left:' || printf('%.2f', x1 / 999::DOUBLE * 100) || '%;top:' || printf('%.2f', y1 / 999::DOUBLE * 100) || '%;width:' || printf('%.2f', (x2 - x1) / 999::DOUBLE * 100)
-    || '%;height:' || printf('%.2f', (y2 - y1) / 999::DOUBLE * 100) || '%">' || replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</div>', '' ORDER BY block_no) AS html FROM blocks GROUP BY ALL) GROUP BY doc_id""")
+_ESCAPED = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_PERCENT = "printf('%.2f', {0} / 999::DOUBLE * 100)"
+_BODY = f"""CASE type WHEN 'table' THEN '<table><tr><td colspan="2">' || {_ESCAPED.format('content')} || '</td></tr></table>' WHEN 'formula' THEN '<span class="math-display">a &lt; b</span>' || {_ESCAPED.format('content')} ELSE {_ESCAPED.format('content')} END"""
+
+
+@query(f"""WITH {BLOCKS}, shaped AS (SELECT *, block_no % 3 AS kind, 600 + doc_id % 3 * 100 AS width, CASE WHEN page % 4 = 0 THEN 0 ELSE 900 END AS height FROM blocks),
+clamped AS (SELECT * REPLACE (CASE WHEN kind = 2 THEN x1 + 3 ELSE least(x2, 999) END AS x2, least(y2, 999) AS y2), CASE WHEN height > 0 THEN height / width::DOUBLE ELSE 1414 / width::DOUBLE END AS aspect, {_BODY} AS body FROM shaped),
+sized AS (SELECT *, CASE WHEN kind = 1 THEN block_no % 9::DOUBLE END AS fs, {_size_sql('body')} AS weight, (x2 - x1) / 999::DOUBLE * 100 AS w, (y2 - y1) / 999::DOUBLE * 100 * aspect AS h FROM clamped),
+drawn AS (SELECT *, coalesce(greatest(0.6, least(6.0, fs)), CASE WHEN weight >= 1 AND w > 0 AND h > 0 THEN greatest(0.8, least(3.6, least(sqrt(w * h / (weight * 1.2::DOUBLE)), h / 1.25::DOUBLE))) END) AS size,
+  CASE WHEN block_no % 11 = 5 THEN 'down' WHEN fs IS NULL AND w > 0 AND h >= w * 6 AND length(CASE type WHEN 'table' THEN '<table><tr><td colspan="2">' || content || '</td></tr></table>' WHEN 'formula' THEN '\\[ a < b \\]' || content ELSE content END) >= 12 THEN 'up' END AS turned,
+  'left:' || {_PERCENT.format('x1')} || '%;top:' || {_PERCENT.format('y1')} || '%;width:' || {_PERCENT.format('greatest(x2 - x1, 4)')} || '%;height:' || {_PERCENT.format('greatest(y2 - y1, 4)')} || '%;' AS style FROM sized),
+boxes_ AS (SELECT doc_id, page, aspect, string_agg(CASE WHEN type = 'image' AND block_no % 2 = 0 THEN '<img class="layout-block layout-image" src="/files/images/p' || page || '_' || block_no || '.jpg" style="' || style || '" alt="">'
+  ELSE '<div class="layout-block layout-' || type || coalesce(' layout-vertical-' || turned, '') || '" style="' || style || CASE WHEN size IS NULL THEN '' ELSE 'font-size:' || printf('%.2f', size) || 'cqw;line-height:1.22;' || CASE WHEN block_no % 4 = 1 AND type <> 'title' THEN 'font-weight:600;' ELSE '' END END
+  || '" title="' || type || '">' || body || '</div>' END, '' ORDER BY block_no) AS html FROM drawn GROUP BY ALL)
+SELECT doc_id, '<div class="doclayout-body" lang="ko">' || chr(10) || string_agg('<section class="layout-page" data-page="' || page || '"><div class="layout-canvas" style="padding-top:' || printf('%.2f', aspect * 100) || '%">' || html || '</div></section>', chr(10) ORDER BY page) || chr(10) || '</div>' AS html FROM boxes_ GROUP BY doc_id""")
 def layout_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.layout_html(layout.parse_blocks(lift.raw_pages(spark, sf_dir)))
+    n, b = F.col("block_no"), F.col("bbox")
+    content = F.when(F.col("type") == "table", F.concat(F.lit('<table><tr><td colspan="2">'), "content", F.lit("</td></tr></table>"))).when(F.col("type") == "formula", F.concat(F.lit("\\[ a < b \\]"), "content")).otherwise(F.col("content"))
+    blocks = layout.parse_blocks(lift.raw_pages(spark, sf_dir)).select(
+        "doc_id", "page", "block_no", "type", F.when(n % 3 == 2, F.array(b[0], b[1], b[0] + 3, b[3])).otherwise(b).alias("bbox"), content.alias("content"),
+        F.when((F.col("type") == "image") & (n % 2 == 0), F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_"), n.cast("string"), F.lit(".jpg"))).when(F.col("type") == "image", "../x").alias("image"),
+        F.when(n % 3 == 1, (n % 9).cast("double")).alias("fs"), (n % 4 == 1).alias("bold"), F.when(n % 11 == 5, "down").when(n % 11 == 6, "sideways").alias("vertical"),
+    )
+    pages = blocks.select("doc_id", "page").distinct().withColumn("width", 600 + F.col("doc_id") % 3 * 100).withColumn("height", F.when(F.col("page") % 4 != 0, 900).otherwise(0))
+    return layout.layout_html(blocks, pages, "/files", "ko")
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, page, block_no, bbox, crop_index FROM blocks WHERE type = 'image'")
+def crop_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = layout.parse_blocks(lift.raw_pages(spark, sf_dir)).filter("type = 'image'")
+    return blocks.select("doc_id", "page", "block_no", joined("bbox").alias("bbox"), "crop_index")
 
 
 WILD = f"""{LINES}, wild AS (SELECT *, (doc_id * 7 + k * 13) % 1060 - 30 AS x1, (doc_id * 5 + k * 17) % 1060 - 30 AS y1, (doc_id * 7 + k * 13) % 1060 - 35 + (k * 7) % 90 AS x2, (doc_id * 5 + k * 17) % 1060 - 33 + (k * 11) % 70 AS y2 FROM lines),
@@ -128,14 +165,14 @@ def strip_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {WILD}, typed AS (SELECT *, (k // 600)::INT AS page, k % 600 AS pos, (k * 7) % 50 AS ord, k % 90 - 2 AS fig, {_TYPE.format(_NAME)} AS type FROM clamped),
 kept AS (SELECT *, sum(CASE WHEN type = 'image' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY ord, pos) AS figure_no FROM typed WHERE pos < 512 AND (type <> 'image' OR bbox IS NOT NULL)),
 capped AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, type, fig ORDER BY ord, pos) AS nth FROM kept WHERE type <> 'image' OR figure_no <= 64)
-SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord, pos) - 1 AS block_no, type, bbox, CASE WHEN type = 'image' AND fig >= 0 AND nth = 1 THEN fig END AS figure_index FROM capped""")
+SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord, pos) - 1 AS block_no, type, bbox, left(line, 400000) AS content, CASE WHEN type = 'image' AND fig >= 0 AND nth = 1 THEN fig END AS figure_index FROM capped""")
 def sanitize_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     rows = lift.lines(spark, sf_dir).select(
         "doc_id", F.floor(k / 600).cast("int").alias("page"), (k % 600).alias("pos"), lift.pick(lift.NAMES, (F.col("doc_id") + k) % 12).alias("type"), lift.wild_box().alias("bbox"), F.col("line").alias("content"),
         ((k * 7) % 50).alias("order"), (k % 90 - 2).alias("figure_index"),
     )
-    return sanitize.sanitize_pages(rows).drop("content").withColumn("bbox", joined("bbox"))
+    return sanitize.sanitize_pages(rows).withColumn("bbox", joined("bbox"))
 
 
 PIXELS = f"""{LINES}, px AS (SELECT *, (doc_id * 11 + k * 13) % 900 - 20 AS a, (doc_id * 5 + k * 7) % 1200 - 20 AS b, (doc_id * 11 + k * 13) % 900 - 10 + (k * 17) % 300 AS c, (doc_id * 5 + k * 7) % 1200 - 15 + (k * 19) % 200 AS d FROM lines),
@@ -179,7 +216,7 @@ def provider_adapt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def figure_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     x, y = (k * 37) % 1010, (k * 53) % 990
-    tag = F.concat(F.lit('<img src="images/bbox_'), F.concat_ws("_", x, y, x + 40, y + (k % 3) * 20), F.lit('.jpg" />'))
+    tag = F.concat(F.lit('<img src="images/bbox_'), F.concat_ws("_", x, y, x + 40, y + (k % 2) * 20), F.lit('.jpg" />'))
     rows = lift.lines(spark, sf_dir).withColumn("x", F.concat("line", F.when(k % 3 == 0, tag).when(k % 11 == 5, '<img src="http://x/y.png">').when(k % 17 == 4, "<img src=open").otherwise("")))
     raw = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda r: r["x"]), "\n").alias("raw"))
     return sanitize.figure_tags(raw).withColumn("figures", F.array_join(F.transform("figures", lambda b: F.array_join(b.cast("array<string>"), ",")), ";"))
@@ -250,14 +287,45 @@ _CALM = "NOT (len(regexp_extract_all(line, '[A-Za-z]{2,}')) >= 2 AND length(rege
 _WORDS = "list_filter(string_split_regex({0}, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')"
 
 
-@query(f"WITH {LINES} SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(line, '[^\\p{{L}}\\p{{N}}_]+')) AS term FROM lines WHERE {_CALM}) WHERE regexp_full_match(term, '[A-Z]{{2,6}}[0-9]?') GROUP BY ALL")
+_TOKENS = re2(masking.ANY)
+#: Lines without their tokens; a token may run over lines, so texts are cleared before they are cut.
+CLEARED = f"lines AS (SELECT doc_id, k - 1 AS k, ls[k] AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '{_TOKENS.replace(chr(39), chr(39) * 2)}', ' ', 'g'), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) t(k))"
+
+
+def _cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lift.table(spark, sf_dir, "documents").select("doc_id", masking.residual_text(F.col("text")).alias("text"))
+
+
+@query(f"WITH {CLEARED} SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(line, '[^\\p{{L}}\\p{{N}}_]+')) AS term FROM lines WHERE {_CALM}) WHERE regexp_full_match(term, '[A-Z]{{2,6}}[0-9]?') GROUP BY ALL")
 def acronym_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return glossary.acronyms(lift.table(spark, sf_dir, "documents"))
+    return glossary.acronyms(_cleared(spark, sf_dir))
 
 
-@query()
+# letters and digits beyond ASCII are one word character to the other engine, which no term holds
+_PLAIN_WORDS = "regexp_replace(string_agg(line, chr(10) ORDER BY k), '[^\\x00-\\x7f]', '_', 'g')"
+
+
+@query(f"""WITH {CLEARED}, calm AS (SELECT doc_id, {_PLAIN_WORDS} AS t FROM lines WHERE {_CALM} GROUP BY doc_id),
+raw AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(t, '\\b[A-Z][a-zA-Z]+(?:\\s+[A-Z][a-zA-Z]+){{0,2}}\\b'), regexp_extract_all(t, '\\b[a-z]+(?:-[a-z]+)+\\b'))) AS x FROM calm),
+terms AS (SELECT doc_id, regexp_replace(x, '\\s+', ' ', 'g') AS term FROM raw), counted AS (SELECT doc_id, term, count(*) AS n FROM terms WHERE lower(string_split(term, ' ')[1]) NOT IN ({STOP}) GROUP BY ALL HAVING count(*) >= 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS rank FROM counted) SELECT doc_id, term, n, rank::INT AS rank FROM ranked WHERE rank <= 80""")
 def term_candidates_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return glossary.candidates(lift.table(spark, sf_dir, "documents"))
+    return glossary.candidates(_cleared(spark, sf_dir))
+
+
+@query(f"""WITH {CLEARED}, found AS (SELECT DISTINCT doc_id, lower(term) AS src, term FROM (SELECT doc_id, unnest(string_split_regex(line, '[^\\p{{L}}\\p{{N}}_]+')) AS term FROM lines WHERE {_CALM}) WHERE regexp_full_match(term, '[A-Z]{{2,6}}[0-9]?')),
+names AS (SELECT doc_id, src, min(term) AS ko, 'A' AS policy FROM found WHERE src NOT IN ('the', 'of the', 'la', 'de la', 'und', 'is and', 'in', 'fine-tuning', 'c++', {STOP}) GROUP BY ALL),
+judged AS (SELECT doc_id, v.* FROM documents, (VALUES (1, 'models', 'Modelle', 'b'), (2, 'model', 'Modell', 'C'), (3, 'fine-tuned', 'x', 'D'), (4, 'unds', 'y', 'B'), (5, 'gpt', 'gpt', 'A'), (6, 'gpt', 'GPT', 'A'), (7, 'this', 'z', 'B'), (8, 'odd', 'q', 'E'), (9, ' run ', ' lauf ', ' d ')) v(pos, src, ko, policy)),
+clean AS (SELECT doc_id, pos, trim(lower(src)) AS src, trim(ko) AS ko, upper(trim(policy)) AS policy FROM judged),
+stems AS (SELECT *, regexp_replace(src, '(?:ing|ed|es|s)$', '') AS stem FROM clean WHERE policy IN ('A', 'B', 'C', 'D') AND src NOT IN ({STOP}) AND (policy <> 'A' OR contains(ko, ' ') OR length(regexp_replace(ko, '[^\\p{{Lu}}]', '', 'g')) >= 2)),
+new AS (SELECT *, row_number() OVER (PARTITION BY doc_id, stem ORDER BY pos) AS nth FROM stems s WHERE stem NOT IN ('the', 'of the', 'la', 'de la', 'und', 'is and', 'in', 'fine-tun', 'c++')
+  AND NOT EXISTS (SELECT 1 FROM names n WHERE n.doc_id = s.doc_id AND regexp_replace(n.src, '(?:ing|ed|es|s)$', '') = s.stem))
+SELECT * FROM names UNION ALL SELECT doc_id, src, ko, policy FROM new WHERE nth = 1""")
+def glossary_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lift.table(spark, sf_dir, "documents")
+    rows = [(1, "models", "Modelle", "b"), (2, "model", "Modell", "C"), (3, "fine-tuned", "x", "D"), (4, "unds", "y", "B"), (5, "gpt", "gpt", "A"), (6, "gpt", "GPT", "A"), (7, "this", "z", "B"), (8, "odd", "q", "E"), (9, " run ", " lauf ", " d ")]
+    judged = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(a).alias("src"), F.lit(b).alias("ko"), F.lit(c).alias("policy")) for p, a, b, c in rows])).alias("j")).select("doc_id", "j.*")
+    return glossary.built(docs, lift.glossary(spark), judged)
 
 
 @query(f"WITH {LINES} SELECT doc_id, string_agg(line, chr(10) ORDER BY k) FILTER ({_CALM}) AS text FROM lines GROUP BY doc_id")
@@ -268,30 +336,51 @@ def shouty_line_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.when(left, calm).alias("text"))
 
 
-GLOSSARY = "glossary(src, ko, policy) AS (VALUES ('the', 'das', 'B'), ('of the', 'von dem', 'C'), ('la', 'el', 'B'), ('de la', 'del', 'D'), ('und', 'and', 'C'), ('is and', 'ist und', 'D'), ('IN', 'IN', 'A'))"
-HITS = f"{LINES}, {GLOSSARY}, hits AS (SELECT doc_id, k, line, src, ko, policy FROM lines, glossary WHERE contains(' ' || array_to_string({_WORDS.format('lower(line)')}, ' ') || ' ', ' ' || lower(src) || ' '))"
+def _entry_sql(src: str) -> str:
+    """An entry's pattern as the other engine writes it: a look to the side is a character or an end of the text."""
+    body = f"{W}+".join(re.escape(w) for w in src.split())
+    left = f"(?:^|[^{T.LETTERS}])" if re.match(r"\w", src) else f"[{T.LETTERS}]"
+    right = f"(?:[^{T.LETTERS}]|$)" if re.search(r"\w$", src) else f"[{T.LETTERS}]"
+    return f"(?i){left}{body}{right}"
+
+
+def _hits_sql(scan: str) -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, k, line, '{a}' AS src, '{b}' AS ko, '{c}' AS policy FROM scanned_ WHERE regexp_matches({scan}, '{_entry_sql(a)}')" for a, b, c in lift.GLOSSARY)
+
+
+_TOKENED = f"{LINES}, tokened AS (SELECT doc_id, k, line || CASE k % 5 WHEN 0 THEN ' $x_' || k || '$' WHEN 1 THEN ' [' || k || ']' WHEN 2 THEN ' see Figure ' || k WHEN 3 THEN ' https://example.org/' || k ELSE ' `c' || k || '`' END || CASE k % 6 WHEN 0 THEN ' fine. Tuning of C code' WHEN 1 THEN ' $de la$ fine-tuning' WHEN 2 THEN ' of  the C++x' ELSE '' END AS line FROM lines)"
+_QUOTED = _TOKENS.replace("'", "''")
+HITS = f"{_TOKENED}, scanned_ AS (SELECT *, regexp_replace(line, '{_QUOTED}', ' ', 'g') AS scan FROM tokened), hits AS ({_hits_sql('scan')})"
+
+
+def _units(spark: SparkSession, sf_dir: str, scan) -> DataFrame:
+    return lift.tokened(spark, sf_dir).select("doc_id", F.concat(F.lit("md:0:"), F.col("k").cast("string")).alias("unit_id"), F.col("k").alias("unit_seq"), scan(F.col("line")).alias("scan"))
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = lift.lines(spark, sf_dir).select("doc_id", F.concat(F.lit("md:0:"), F.col("k").cast("string")).alias("unit_id"), F.col("k").alias("unit_seq"), F.col("line").alias("scan"))
-    return glossary.term_hits(units, lift.glossary(spark))
+    return glossary.term_hits(_units(spark, sf_dir, masking.residual_text), lift.glossary(spark))
 
 
-@query(f"WITH {HITS} SELECT doc_id, src, 'md:0:' || min(k) AS first_unit FROM hits GROUP BY doc_id, src")
+@query(f"WITH {HITS} SELECT doc_id, 'md:0:' || k AS unit_id, src, ko, policy FROM hits")
+def glossary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir).drop("unit_seq")
+
+
+@query(f"WITH {_TOKENED}, scanned_ AS (SELECT * FROM tokened), hits AS ({_hits_sql('line')}) SELECT doc_id, src, 'md:0:' || min(k) AS first_unit FROM hits GROUP BY doc_id, src")
 def first_term_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return glossary.first_units(_hits(spark, sf_dir))
+    return glossary.first_units(glossary.term_hits(_units(spark, sf_dir, lambda c: c), lift.glossary(spark)))
 
 
 @query(f"""WITH {HITS}, done AS (SELECT *, CASE WHEN k % 2 = 0 THEN replace(replace(line, 'the', 'das'), 'in', 'on') ELSE line || ' el del' END AS text FROM hits)
 SELECT src, policy, count(*) AS n FROM done WHERE CASE WHEN policy = 'A' THEN NOT contains(lower(text), lower(ko)) ELSE NOT contains(text, ko) END GROUP BY ALL""")
 def glossary_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, line = F.col("k"), F.col("line")
-    text = F.when(k % 2 == 0, F.regexp_replace(F.regexp_replace(line, "the", "das"), "in", "on")).otherwise(F.concat(line, F.lit(" el del")))
-    done = lift.lines(spark, sf_dir).select("doc_id", F.concat(F.lit("md:0:"), k.cast("string")).alias("unit_id"), text.alias("text"))
-    return evaluate.violations(_hits(spark, sf_dir), done).groupBy("src", "policy").agg(F.count("*").alias("n"))
+    text = F.when(k % 2 == 0, F.replace(F.replace(line, F.lit("the"), F.lit("das")), F.lit("in"), F.lit("on"))).otherwise(F.concat(line, F.lit(" el del")))
+    done = lift.tokened(spark, sf_dir).select("doc_id", F.concat(F.lit("md:0:"), k.cast("string")).alias("unit_id"), text.alias("text"), masking.residual_text(line).alias("scan"))
+    return evaluate.violating(glossary.term_hits(done, lift.glossary(spark))).groupBy("src", "policy").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {HITS} SELECT doc_id, 'md:0:' || k AS unit_id, string_agg(DISTINCT ko, ',' ORDER BY ko) AS terms FROM hits WHERE policy = 'A' GROUP BY ALL")
 def glossary_keep_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary.keep_terms(_hits(spark, sf_dir)).withColumn("terms", F.array_join("terms", ","))
 
@@ -312,11 +401,20 @@ def line_repeat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.line_runs(pages).drop("page")
 
 
-@query("SELECT doc_id, doc_id % 7 AS first, 5 + doc_id % 40 AS n FROM documents WHERE 5 + doc_id % 40 >= 20")
+_COUNTERS = "list_reduce(list_prepend('', list_transform(range(doc_id % 7, doc_id % 7 + 5 + doc_id % 40), lambda n: '#' || n || '. ' || CASE WHEN doc_id % 3 = 0 AND n % 2 = 0 THEN left(text, 15) ELSE '' END)), lambda a, b: a || b)"
+
+
+@query(f"""WITH planted AS (SELECT doc_id, right(text || ' #900. ' || {_COUNTERS} || '#500.', 4096) AS t FROM documents),
+cut AS (SELECT doc_id, regexp_extract_all(t, '#\\s*\\d{{1,7}}\\s*\\.') AS marks, string_split_regex(t, '#\\s*\\d{{1,7}}\\s*\\.') AS gaps FROM planted),
+rows_ AS (SELECT doc_id, i, regexp_extract(marks[i], '\\d+')::INT AS v, length(marks[i]) AS n_mark, length(gaps[i]) AS n_gap, length(regexp_replace(gaps[i], '[^\\p{{L}}]', '', 'g')) AS n_letters FROM cut, unnest(range(1, len(marks) + 1)) u(i)),
+grouped AS (SELECT *, row_number() OVER w - i + v - row_number() OVER w AS island, lag(v - i) OVER w IS DISTINCT FROM v - i AS new FROM rows_ WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM grouped)
+SELECT doc_id, min(v) AS first, count(*) AS n FROM runs GROUP BY doc_id, run HAVING count(*) >= 20 AND coalesce(sum(n_letters) FILTER (NOT new), 0) <= 0.05 * (sum(n_mark) + coalesce(sum(n_gap) FILTER (NOT new), 0))""")
 def counter_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    numbers = F.transform(F.sequence(d % 7, d % 7 + 4 + d % 40), lambda n: F.concat(F.lit("#"), n.cast("string"), F.lit(". ")))
-    text = F.concat(F.lit("#900. "), F.array_join(numbers, ""), F.lit("#500."))
+    prose = lambda n: F.when((d % 3 == 0) & (n % 2 == 0), F.left("text", F.lit(15))).otherwise("")
+    numbers = F.transform(F.sequence(d % 7, d % 7 + 4 + d % 40), lambda n: F.concat(F.lit("#"), n.cast("string"), F.lit(". "), prose(n)))
+    text = F.concat("text", F.lit(" #900. "), F.array_join(numbers, ""), F.lit("#500."))
     pages = lift.table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), text.alias("text"))
     return repetition.counter_runs(pages).drop("page")
 
@@ -336,14 +434,15 @@ def ngram_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tandem_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat("text", F.lit(" "), F.repeat(F.substring("text", 1, 30), 150))
-    return lift.table(spark, sf_dir, "documents").select("doc_id", repetition.tandem_repeat(text).alias("t")).select("doc_id", "t.*")
+    d = F.col("doc_id")
+    tail = F.when(d % 3 == 0, F.repeat(F.right("text", F.lit(30)), 150)).when(d % 3 == 1, F.concat(F.lit("\n"), F.repeat(F.left("text", F.lit(20)), 3))).otherwise("")
+    return lift.table(spark, sf_dir, "documents").select("doc_id", repetition.tandem_repeat(F.concat("text", tail)).alias("t")).select("doc_id", "t.*")
 
 
 @query()
 def repeat_suffix_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat("text", F.repeat(F.substring("text", 1, 50), 200))
-    return lift.table(spark, sf_dir, "documents").select("doc_id", F.length(repetition.clean_suffix(text)).cast("long").alias("n_chars"))
+    tail = F.when(F.col("doc_id") % 2 == 0, F.repeat(F.right("text", F.lit(50)), 200)).otherwise("")
+    return lift.table(spark, sf_dir, "documents").select("doc_id", repetition.clean_suffix(F.concat("text", tail)).alias("text"))
 
 
 # Text
@@ -359,20 +458,33 @@ def html_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BEFORE = "lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text)"
-_ASCII = "regexp_replace({0}, '[^\\x00-\\x7f]', '?', 'g')"
+# the other engine counts bytes: letters of the data beyond ASCII become control characters, one to one
+_FOREIGN = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_ONE_BYTE = "translate({0}, '" + _FOREIGN + "', " + " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 28)][: len(_FOREIGN)]) + ")"
 
 
-@query(f"""WITH turns AS (SELECT conv_id, turn, {squeeze(_ASCII.format('text'))} AS a, {squeeze(_ASCII.format(_BEFORE))} AS b FROM conversations)
-SELECT conv_id, turn, levenshtein(a, b) AS distance, greatest(length(a), length(b)) AS longest FROM turns WHERE b IS NOT NULL""")
+@query(f"""WITH turns AS (SELECT conv_id, turn, {squeeze('text')} AS a, {squeeze(_BEFORE)} AS b FROM conversations)
+SELECT conv_id, turn, levenshtein({_ONE_BYTE.format('a')}, {_ONE_BYTE.format('b')}) AS distance, greatest(length(a), length(b)) AS longest FROM turns WHERE b IS NOT NULL""")
 def edit_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = lift.table(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7f]", "?"))
-    rows = rows.withColumn("b", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).filter("b is not null")
+    rows = lift.table(spark, sf_dir, "conversations").withColumn("b", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).filter("b is not null")
     distance, longest = evaluate.ground_truth(F.col("text"), F.col("b"))
     return rows.select("conv_id", "turn", distance.cast("long").alias("distance"), longest.cast("long").alias("longest"))
 
 
+_MARKED_TEXT = "CASE WHEN turn % 2 = 0 THEN text || ' <Table> \\( x \\) ![](a.png)' ELSE text || '$$' END"
+_STRUCTURE = {"tables": count("lower({0})", "<table"), "formulas": pattern_count("{0}", "\\\\\\[|\\\\\\(|\\$\\$"), "figures": pattern_count("{0}", "!\\[[^\\]]*\\]\\(")}
+
+
+@query(f"""WITH turns AS (SELECT conv_id, turn, {_MARKED_TEXT} AS a, text AS b FROM conversations),
+plain AS (SELECT *, {squeeze("regexp_replace(a, '!\\[\\]\\([^)]*\\)', '', 'g')")} AS x, {squeeze('b')} AS y FROM turns), far AS (SELECT *, levenshtein({_ONE_BYTE.format('x')}, {_ONE_BYTE.format('y')}) AS d FROM plain)
+SELECT conv_id, turn, round(d / greatest(length(x), length(y), 1)::DOUBLE, 4) AS distance, round(d / greatest(length(y), 1)::DOUBLE, 4) AS cer, {", ".join(f"CASE WHEN greatest({c.format('a')}, {c.format('b')}) > 0 THEN round(least({c.format('a')}, {c.format('b')}) / greatest({c.format('a')}, {c.format('b')})::DOUBLE, 3) ELSE 1.0 END AS {n}" for n, c in _STRUCTURE.items())} FROM far""")
+def truth_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" <Table> \\( x \\) ![](a.png)"))).otherwise(F.concat("text", F.lit("$$")))
+    return lift.table(spark, sf_dir, "conversations").select("conv_id", "turn", *[c.alias(n) for n, c in evaluate.truth_metrics(made, F.col("text")).items()])
+
+
 @query(f"SELECT lang, sum({pattern_count('text', '[가-힣]')})::BIGINT AS hangul, sum(length(regexp_replace(text, '{W}', '', 'g')))::BIGINT AS solid FROM documents GROUP BY lang")
 def hangul_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     hangul, solid = masking.hangul_share(F.col("text"))
@@ -405,7 +517,7 @@ def prev_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translate.contexts(translate.line_units(lift.table(spark, sf_dir, "documents"))).select("doc_id", "unit_id", "context")
 
 
-_KEY = "sha256('4' || chr(31) || 'm' || chr(31) || CASE WHEN k % 2 = 1 THEN 'a' || chr(30) || 'x' || chr(30) || 'the' || chr(30) || 'das' ELSE '' END || chr(31) || line)"
+_KEY = "sha256('4' || chr(31) || 'm' || chr(31) || CASE WHEN k % 2 = 1 THEN 'a' || chr(30) || 'x' || chr(31) || 'the' || chr(30) || 'das' || chr(31) ELSE '' END || line)"
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -428,60 +540,115 @@ def unit_cache_hit_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("doc_id").agg(F.sum("hit").alias("hits"), F.sum(1 - F.col("hit")).alias("misses"))
 
 
-def _translation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = lift.tokened(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda r: r["line"]), "\n").alias("text"))
-    return translate.run_translation(rows, lift.glossary(spark), spark.createDataFrame([], "key string, text string"))
+def _tokened_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lift.tokened(spark, sf_dir).groupBy("doc_id").agg(F.array_join(ordered("k", "line"), "\n").alias("text"))
 
 
-@query()
+def whispering(request: dict) -> str:
+    """Stands for a model: lower case outside placeholders; loses one where 'see' stands before it."""
+    return re.sub(r"(<[^>]*>)|([^<]+)", lambda m: m[1] or m[2].lower(), re.sub(r"see <f\d+[^>]*>", "see", request["masked"]))
+
+
+def _translation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    # the same blocks as layout units: what is cached, skipped and kept is told by their texts alone
+    blocks = lift.tokened(spark, sf_dir).select("doc_id", F.lit(1).alias("page"), F.col("k").alias("block_no"), F.lit("text").alias("type"), F.col("line").alias("content"), F.when(F.col("k") % 9 == 4, "a.png").alias("image"))
+    return translate.run_translation(_tokened_docs(spark, sf_dir), lift.glossary(spark), spark.createDataFrame([], "key string, text string"), whispering, blocks=blocks)
+
+
+_LETTERS_LEFT = "length(regexp_replace(left_, '[^A-Za-z]', '', 'g'))"
+_SOLID, _SOLID_LEFT = (f"length(regexp_replace({c}, '{W}', '', 'g'))" for c in ("line", "left_"))
+_REFS = f"""(len(list_filter(string_split({strip('line')}, chr(10)), lambda x: regexp_matches(x, '^\\s*\\[\\d+\\]\\s+\\S'))) = 1 AND regexp_matches(line, '(?i)\\b(?:19|20)\\d{{2}}\\b|arXiv|,\\s*[A-Z]\\.|\\bpp\\.\\s*\\d|\\bvol\\.\\s*\\d'))"""
+SKIPS = f"""{_TOKENED}, scanned AS (SELECT *, regexp_replace(line, '{_QUOTED}', ' ', 'g') AS left_ FROM tokened),
+skips AS (SELECT *, CASE WHEN {strip('line')} = '' THEN 'non-linguistic' WHEN {_REFS} THEN 'references' WHEN len(regexp_extract_all(line, '[가-힣]')) * 2 > {_SOLID} THEN 'already-korean'
+  WHEN regexp_matches({strip('line')}, '^(?:arXiv:\\d{{4}}\\.\\d{{4,5}}(?:v\\d+)?\\s*)+$') THEN 'identifier'
+  WHEN NOT regexp_matches(left_, '[A-Za-z]{{2,}}') OR {_SOLID_LEFT} = 0 OR {_LETTERS_LEFT} / {_SOLID_LEFT}::DOUBLE < 0.3 THEN 'non-linguistic' ELSE '' END AS reason FROM scanned)"""
+
+
+@query(f"WITH {SKIPS} SELECT reason, count(*) AS n FROM skips GROUP BY reason")
+def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lift.tokened(spark, sf_dir).withColumn("left", masking.residual_text(F.col("line")))
+    return rows.groupBy(masking.skip_reason(F.col("line"), F.col("left")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+_TOKEN_PIECES = f"string_split_regex(line, '{_QUOTED}')"
+_TOKEN_LIST = f"regexp_extract_all(line, '{_QUOTED}')"
+_LOST = "len(list_filter(range(1, len(ts) + 1), lambda i: ends_with(ps[i], 'see ') AND regexp_matches(ts[i], '^(?:Fig|Tab|Eq|Sec|App|Alg)'))) > 0"
+
+
+@query(f"""WITH {SKIPS}, cut AS (SELECT *, {_TOKEN_PIECES} AS ps, {_TOKEN_LIST} AS ts FROM skips)
+SELECT doc_id, count(*) AS units, count(*) FILTER (reason = '' AND NOT {_LOST}) AS translated, count(*) FILTER (reason = '' AND {_LOST}) AS kept, count(*) FILTER (reason <> '') AS skipped
+FROM cut WHERE k % 9 <> 4 AND {strip('line')} <> '' GROUP BY doc_id""")
 def unit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _translation(spark, sf_dir)[2]
+    outcome = _translation(spark, sf_dir)[2].filter("unit_id like 'lay:%'")
+    return translate.report(outcome).select("doc_id", "units", "translated", "kept", "skipped")
 
 
-_TOKENED = f"{LINES}, tokened AS (SELECT doc_id, k, line || CASE k % 5 WHEN 0 THEN ' $x_' || k || '$' WHEN 1 THEN ' [' || k || ']' WHEN 2 THEN ' see Figure ' || k WHEN 3 THEN ' https://example.org/' || k ELSE ' `c' || k || '`' END AS line FROM lines)"
+@query(f"""WITH {SKIPS}, cut AS (SELECT *, {_TOKEN_PIECES} AS ps, {_TOKEN_LIST} AS ts FROM skips)
+SELECT doc_id, 1 AS page, k AS block_no, 'text' AS type, CASE WHEN k % 9 <> 4 AND reason = '' AND NOT {_LOST} THEN list_reduce(list_prepend('', list_transform(range(1, len(ps) + 1), lambda i: replace(lower(ps[i]), '$$', '') || coalesce(ts[i], ''))), lambda a, b: a || b) ELSE line END AS content,
+  CASE WHEN k % 9 = 4 THEN 'a.png' END AS image FROM cut""")
+def translated_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _translation(spark, sf_dir)[1]
 
 
-@query()
+@query(f"WITH {_TOKENED} SELECT doc_id, 'lay:1:' || k AS unit_id, 'text' AS kind, 1 AS page, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS unit_seq, line AS src FROM tokened WHERE k % 9 <> 4 AND {strip('line')} <> ''")
+def layout_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import segment
+
+    k = F.col("k")
+    blocks = lift.tokened(spark, sf_dir).select("doc_id", F.lit(1).alias("page"), k.alias("block_no"), F.lit("text").alias("type"), F.col("line").alias("content"), F.when(k % 9 == 4, "a.png").alias("image"))
+    return segment.layout_units(blocks)
+
+
+@query(f"WITH {_TOKENED} SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text FROM tokened GROUP BY doc_id HAVING NOT contains(string_agg(line, chr(10) ORDER BY k), '$$')")
 def translated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _translation(spark, sf_dir)[0]
+    """With a translator that gives back what it gets, whole documents come back as they were; those with delimiters that count as invented are left out."""
+    return translate.run_translation(_tokened_docs(spark, sf_dir).filter(~F.col("text").contains("$$")), lift.glossary(spark), spark.createDataFrame([], "key string, text string"))[0]
 
 
-@query()
-def mask_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lift.tokened(spark, sf_dir).select("doc_id", "k", masking.mask_tokens("line").alias("m"))
-    return rows.select("doc_id", "k", "m.masked", F.array_join(F.array_sort(F.map_keys("m.held")), ",").alias("ids"))
+_KINDS_SQL = " ".join(f"WHEN regexp_full_match(t, '(?s){re2(p).replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, p in masking.TOKENS)
+_SHOWN = f"""left({strip("regexp_replace(ts[i], '[\"''" + chr(92) + "n" + chr(92) + "r<>]', '', 'g')")}, 12)"""
 
 
-@query(f"WITH {_TOKENED} SELECT doc_id, k, line AS text, 0 AS lost FROM tokened")
-def unmask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lift.tokened(spark, sf_dir).select("doc_id", "k", masking.mask_tokens("line").alias("m"))
-    rows = rows.select("doc_id", "k", masking.unmask_tokens("m.masked", "m.held").alias("u"))
-    return rows.select("doc_id", "k", "u.text", (F.size("u.missing") + F.size("u.twice")).alias("lost"))
+@query(f"""WITH {_TOKENED}, cut AS (SELECT doc_id, k, {_TOKEN_PIECES} AS ps, {_TOKEN_LIST} AS ts FROM tokened),
+named AS (SELECT *, list_transform(range(1, len(ts) + 1), lambda i: list_transform([ts[i]], lambda t: CASE {_KINDS_SQL} END)[1] || i) AS ns FROM cut)
+SELECT doc_id, k, list_reduce(list_prepend('', list_transform(range(1, len(ps) + 1), lambda i: ps[i] || coalesce('<' || ns[i] || ' v="' || {_SHOWN} || '"/>', ''))), lambda a, b: a || b) AS masked,
+  array_to_string(list_sort(ns), ',') AS ids, array_to_string(ts, chr(31)) AS tokens FROM named""")
+def mask_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lift.tokened(spark, sf_dir).select("doc_id", "k", masking.mask_tokens(F.col("line")).alias("m"))
+    return rows.select("doc_id", "k", "m.masked", F.array_join(F.array_sort(F.map_keys("m.held")), ",").alias("ids"), F.array_join(F.map_values("m.held"), "\x1f").alias("tokens"))
 
 
-@query()
-def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lift.tokened(spark, sf_dir).withColumn("left", masking.residual_text("line"))
-    return rows.groupBy(masking.skip_reason(F.col("line"), F.col("left")).alias("reason")).agg(F.count("*").alias("n"))
+@query(f"""WITH {_TOKENED}, cut AS (SELECT doc_id, k, line, {_TOKEN_LIST} AS ts FROM tokened)
+SELECT doc_id, k, CASE WHEN k % 4 = 1 THEN line || ' ' || coalesce(ts[1], '<x1/>') ELSE line END AS text, 0 AS missing, CASE WHEN k % 4 = 1 AND len(ts) > 0 THEN 1 ELSE 0 END AS twice FROM cut""")
+def unmask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth line shows its first placeholder twice, loosely written."""
+    k = F.col("k")
+    rows = lift.tokened(spark, sf_dir).select("doc_id", "k", masking.mask_tokens(F.col("line")).alias("m"))
+    first = F.coalesce(F.concat(F.lit("< "), F.get(F.map_keys("m.held"), F.lit(0)), F.lit(" >")), F.lit("<x1/>"))
+    rows = rows.select("doc_id", "k", masking.unmask_tokens(F.when(k % 4 == 1, F.concat("m.masked", F.lit(" "), first)).otherwise(F.col("m.masked")), F.col("m.held")).alias("u"))
+    return rows.select("doc_id", "k", "u.text", F.size("u.missing").alias("missing"), F.size("u.twice").alias("twice"))
 
 
 _RULE = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
-_MARKED = f"replace(replace(text, ' ', ' \\( '), '.', '.' || {_RULE})"
+_MARKED = f"replace(replace(text, ' ', ' \\( '), '.', '.' || {_RULE}) || '\\[ x ![](a) <table><td><td>'"
 
 
 def _times(x: str, needle: str, size: int) -> str:
     return f"(length({x}) - length(replace({x}, {needle}, ''))) // {size}"
 
 
-@query(f"""WITH pairs AS (SELECT doc_id, {_MARKED} AS s, replace({_MARKED}, 'the \\(', 'the (') || '<m1' AS r FROM documents),
-counts AS (SELECT doc_id, 'pages' AS name, {_times('s', _RULE, 7)} AS expected, {_times('r', _RULE, 7)} AS found FROM pairs
-  UNION ALL SELECT doc_id, 'inline_math', {_times('s', "'\\('", 2)}, {_times('r', "'\\('", 2)} FROM pairs
+_SEVEN = (("pages", _RULE, 7), ("inline_math", "'\\('", 2), ("display_math", "'\\['", 2), ("images", "'!['", 2), ("cells", "'<td'", 3), ("tables", "'<table'", 6))
+
+
+@query(f"""WITH pairs AS (SELECT doc_id, {_MARKED} AS s, replace(replace({_MARKED}, 'the \\(', 'the ('), '<td><td>', '<td>') || '<m1' AS r FROM documents),
+counts AS ({" UNION ALL ".join(f"SELECT doc_id, '{n}' AS name, {_times('s', x, z)} AS expected, {_times('r', x, z)} AS found FROM pairs" for n, x, z in _SEVEN)}
   UNION ALL SELECT doc_id, 'placeholders', 0, {pattern_count('r', '<[mkgucft][0-9]+')} FROM pairs)
-SELECT doc_id, name, expected::BIGINT AS expected, found::BIGINT AS found, expected = found AS ok FROM counts""")
+SELECT doc_id, name, expected::BIGINT AS expected, found::BIGINT AS found, expected = found AS ok, expected = 0 AND found = 0 AS na FROM counts""")
 def count_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = F.replace(F.replace("text", F.lit(" "), F.lit(" \\( ")), F.lit("."), F.lit(".\n\n---\n\n"))
-    pairs = lift.table(spark, sf_dir, "documents").select("doc_id", source.alias("source")).withColumn("result", F.concat(F.replace("source", F.lit("the \\("), F.lit("the (")), F.lit("<m1")))
-    return evaluate.invariants(pairs).filter(F.col("name").isin("pages", "inline_math", "placeholders")).drop("na")
+    source = F.concat(F.replace(F.replace("text", F.lit(" "), F.lit(" \\( ")), F.lit("."), F.lit(".\n\n---\n\n")), F.lit("\\[ x ![](a) <table><td><td>"))
+    pairs = lift.table(spark, sf_dir, "documents").select("doc_id", source.alias("source"))
+    result = F.concat(F.replace(F.replace("source", F.lit("the \\("), F.lit("the (")), F.lit("<td><td>"), F.lit("<td>")), F.lit("<m1"))
+    return evaluate.invariants(pairs.withColumn("result", result))
 
 
 @query(f"WITH {BLOCKS} SELECT doc_id, page, block_no FROM blocks WHERE (doc_id + block_no) % 5 = 0")
@@ -513,9 +680,9 @@ def newest_jobs_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.newest(lift.jobs(spark, sf_dir)).select("id", "status")
 
 
-@query("SELECT event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events WHERE event_id % 4 = 0")
+@query("SELECT event_id AS id, row_number() OVER (ORDER BY ts, event_id) AS position FROM events WHERE event_id % 4 = 0")
 def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.queue_positions(lift.jobs(spark, sf_dir), parts="owner").select("id", "position")
+    return jobs.queue_positions(lift.jobs(spark, sf_dir)).select("id", "position")
 
 
 @query("""SELECT event_id AS id FROM events WHERE event_id % 4 >= 2 AND greatest(ts, CASE WHEN event_id % 4 = 2 THEN ts + INTERVAL 1 HOUR ELSE ts END) < TIMESTAMP '2024-01-15'
@@ -551,18 +718,28 @@ def segment_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", segment.assembled("text", new).eqNullSafe(F.col("text")).alias("same"))
 
 
-@query()
+_MATH_SQL = "(?s)\\$\\$(?:.+?)\\$\\$|\\$[^$\\n]+\\$|\\$"
+_CODE_SQL = "(?s)```.*?```|`[^`\\n]+`"
+_ONE_SQL = """CASE WHEN regexp_full_match(m, '(?s)\\$\\$.+?\\$\\$') THEN '\\[' || m[3:-3] || '\\]'
+  WHEN regexp_full_match(m, '\\$[^$\\n]+\\$') AND (regexp_matches(m[2:-2], '[\\\\^_{}=]') OR (length(m) <= 42 AND NOT regexp_matches(m[2:-2], '^\\s*\\p{Nd}'))) THEN '\\(' || m[2:-2] || '\\)' ELSE replace(m, '$', '\\$') END"""
+_GLUED = "lambda a, b: a || b"
+
+
+@query(f"""WITH {_TOKENED}, cut AS (SELECT doc_id, k, string_split_regex(line, '{_CODE_SQL}') AS ps, regexp_extract_all(line, '{_CODE_SQL}') AS cs FROM tokened),
+pieces AS (SELECT doc_id, k, i, string_split_regex(ps[i], '{_MATH_SQL}') AS xs, list_transform(regexp_extract_all(ps[i], '{_MATH_SQL}'), lambda m: {_ONE_SQL}) AS ms, coalesce(cs[i], '') AS code FROM cut, unnest(range(1, len(ps) + 1)) t(i)),
+put AS (SELECT doc_id, k, i, list_reduce(list_prepend('', list_transform(range(1, len(xs) + 1), lambda j: xs[j] || coalesce(ms[j], ''))), {_GLUED}) || code AS x FROM pieces)
+SELECT doc_id, k, string_agg(x, '' ORDER BY i) AS text FROM put GROUP BY doc_id, k""")
 def math_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import render
 
     return lift.tokened(spark, sf_dir).select("doc_id", "k", render.math_normalized("line").alias("text"))
 
 
-@query()
+@query(f"""WITH {LINES} SELECT doc_id, k, '&lt;table onload=&quot;x&quot;&gt;<tr><td colspan="2" rowspan="3">' || {_ESCAPED.format('line')} || '</td></tr></table>&lt;td style=&quot;a&quot;&gt;&lt;script&gt;' AS html FROM lines""")
 def table_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import render
 
-    html = F.concat(F.lit('<table onload="x"><tr><td colspan="2" style="a">'), "line", F.lit("</td></tr></table><script>"))
+    html = F.concat(F.lit('<table onload="x"><TR><td ColSpan="2" rowspan=3>'), "line", F.lit('</td ></tr></TABLE><td style="a"><script>'))
     return lift.lines(spark, sf_dir).select("doc_id", "k", render.tables_restored(html).alias("html"))
 
 
@@ -571,12 +748,17 @@ SELECT doc_id, string_agg('<section data-page="' || p + 1 || '">' || md || '</se
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import render
 
-    rows = lift.box(lift.lines(spark, sf_dir)).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda r: r["line"]), "\n").alias("md"))
+    rows = lift.box(lift.lines(spark, sf_dir)).groupBy("doc_id", "page").agg(F.array_join(ordered("k", "line"), "\n").alias("md"))
     whole = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "md"))), lambda r: r["md"]), "\x01PAGE\x01").alias("md"))
     return whole.select("doc_id", render.sections(F.col("md"), "\x01PAGE\x01").alias("html"))
 
 
-@query()
+@query(f"""WITH {BOXED}, said AS (SELECT doc_id, page, k, label, k % 7 = 3 AS is_ref, CASE WHEN k % 7 = 3 THEN label || '[[' || concat_ws(', ', x1, y1, x2, y2) || '], [' || concat_ws(', ', x1, y1, x2, y2) || ']]' || line ELSE line END AS t FROM boxed),
+counted AS (SELECT *, sum((NOT is_ref)::INT) OVER (PARTITION BY doc_id, page ORDER BY k) AS g FROM said),
+bodies AS (SELECT doc_id, page, g, min(k) AS k, any_value(label) FILTER (NOT is_ref) AS label, {strip("string_agg(t, chr(10) ORDER BY k)")} AS body FROM counted GROUP BY doc_id, page, g),
+parts AS (SELECT *, CASE WHEN label = 'image' THEN '*[image]*' WHEN label = 'title' AND body <> '' THEN '## ' || body ELSE body END AS part FROM bodies),
+shown AS (SELECT doc_id, page, {strip("string_agg(part, chr(10) || chr(10) ORDER BY k) FILTER (part <> '')")} AS md FROM parts GROUP BY doc_id, page)
+SELECT doc_id, coalesce(string_agg(md, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page) FILTER (md <> ''), '') AS preview FROM shown GROUP BY doc_id""")
 def structure_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import render
 
@@ -657,7 +839,8 @@ def judge_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.judge_averages(scores, ["fidelity"]).withColumn("n_errors", F.size("errors").cast("long")).drop("errors")
 
 
-@query()
+@query(f"""WITH {LINES}, units AS (SELECT doc_id, 'md:0:' || k AS unit_id, line AS src FROM lines WHERE {strip('line')} <> ''), tall AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(src) DESC, unit_id) <= 4 AS long FROM units),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY long DESC, md5(unit_id || ':1234'), unit_id) AS place FROM tall) SELECT doc_id, unit_id, long FROM ranked WHERE place <= 12""")
 def judge_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import reports
 

@@ -66,7 +66,7 @@ def progress(events: DataFrame, total: int) -> DataFrame:
 
 
 def deltas_of(docs: DataFrame, width: int = 256) -> DataFrame:
-    """doc_id, seq, delta: texts in slices of a width."""
-    n = F.ceil(F.length("text") / width).cast("int")
-    rows = docs.filter(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
-    return rows.select("doc_id", "seq", F.substring(F.col("text"), F.col("seq") * width + 1, F.lit(width)).alias("delta"))
+    """doc_id, seq, delta, last: texts in slices of a width, cut once each; the last slice says so."""
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    rows = docs.filter(F.length("text") > 0).select("doc_id", cut.alias("parts"))
+    return rows.select("doc_id", F.size("parts").alias("n"), F.posexplode("parts").alias("seq", "delta")).select("doc_id", "seq", "delta", (F.col("seq") == F.col("n") - 1).alias("last"))

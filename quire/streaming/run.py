@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is not set (local runs)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quire-stream-")).rstrip("/")
+    """spark.checkpoint.dir. Where it is unset a local session gets a folder of its own, any other an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        folder = "file://" + tempfile.mkdtemp(prefix="quire-stream-")
+    return folder.rstrip("/")
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Readers, writers and frame operators on small inputs with known results."""
 
+import hashlib
 import json
+import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from quire import schemas
 from quire.functions import text as T
-from quire.operators import geometry, glossary, jobs, layout, masking, merge, sanitize, translate
+from quire.operators import evaluate, geometry, glossary, jobs, layout, masking, merge, render, repetition, sanitize, translate
 from quire.sources import readers, sinks
 
 
@@ -89,7 +92,7 @@ def test_figures_and_pages(spark):
 def test_skips_terms_and_jobs(spark):
     cases = {"": "non-linguistic", "[1] A x.\n[2] B y.": "references", "[1] Smith, J. 2019": "references", "[1] shows that": "", "한국어 텍스트": "already-korean", "arXiv:2504.19874v1": "identifier", "$x$ 1 2": "non-linguistic", "Plain words": ""}
     df = spark.createDataFrame([(c,) for c in cases], "t string")
-    assert [r[0] for r in df.select(masking.skip_reason(F.col("t"), masking.residual_text("t"))).collect()] == list(cases.values())
+    assert [r[0] for r in df.select(masking.skip_reason(F.col("t"), masking.residual_text(F.col("t")))).collect()] == list(cases.values())
     docs = spark.createDataFrame([(1, "The CNN and CNN2 win\nLARGEST DATA SET EVER\nWe use Deep Net and Deep Net and Deep Net, fine-tuned éBERT")], "doc_id long, text string")
     assert rows(glossary.acronyms(docs)) == [(1, "CNN", 1), (1, "CNN2", 1)]
     assert rows(glossary.candidates(docs, least=3)) == [(1, "Deep Net", 3, 1)]
@@ -99,17 +102,128 @@ def test_skips_terms_and_jobs(spark):
     assert [r[0] for r in df.select(jobs.cancelled(F.col("s"))).collect()] == ["cancelled", "done"]
 
 
+def gato(request):
+    return request["masked"].replace("cat", "gato")
+
+
 def test_cached_translation(spark):
-    docs = spark.createDataFrame([(1, "One cat $x$.\n\n12 34\nTwo dogs [1]."), (2, "One cat $x$.")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "One cat $x$.\n\n12 34\n\nTwo dogs [1]."), (2, "One cat $x$."), (3, None), (4, "")], "doc_id long, text string")
     empty = spark.createDataFrame([], "key string, text string")
     gloss = spark.createDataFrame([("cat", "gato", "B")], "src string, ko string, policy string")
-    out, outcome, report = translate.run_translation(docs, gloss, empty, lambda t: t.replace("cat", "gato"))
-    assert rows(out) == [(1, "One gato $x$.\n\n12 34\nTwo dogs [1]."), (2, "One gato $x$.")]
+    out, blocks, outcome = translate.run_translation(docs, gloss, empty, gato)
+    assert blocks is None and rows(out) == [(1, "One gato $x$.\n\n12 34\n\nTwo dogs [1]."), (2, "One gato $x$."), (3, None), (4, "")]
     cache = outcome.filter("doc_id = 2").select("key", "text")
-    again = translate.run_translation(docs, gloss, cache, lambda t: 1 / 0 if "cat" in t else t)[2]
+    again = translate.report(translate.run_translation(docs, gloss, cache, lambda r: 1 / 0 if "cat" in r["masked"] else r["masked"])[2])
     assert {r.doc_id: (r.units, r.translated, r.cached, r.skipped) for r in again.collect()} == {1: (3, 1, 1, 1), 2: (1, 0, 1, 0)}
 
 
+def told(request):
+    terms = lambda c: ",".join(f"{p['src']}={p['ko']}" for p in request[c])
+    return f"{request['masked']} [{terms('pairs')}|{terms('first')}|{','.join(request['keep'])}|{(request['context'] or '')[-5:]}]"
+
+
+def test_units_get_terms_first_uses_names_and_context(spark):
+    text = "Deep nets and the GPT win here.\n\nThe GPT has deep nets too.\n\n---\n\n## References\n\nDeep nets, all of them."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    blocks = spark.createDataFrame([(1, 1, 0, "text", [1, 2, 3, 4], "Some deep nets again.", None), (1, 1, 1, "image", [1, 2, 3, 4], "deep nets", "a.png"), (1, 1, 2, "text", [1, 2, 3, 4], " ", None)], "doc_id long, page int, block_no int, type string, bbox array<int>, content string, image string")
+    gloss = spark.createDataFrame([("deep nets", "N", "D"), ("win", "W", "B")], "src string, ko string, policy string")
+    own = glossary.built(docs, gloss)
+    assert rows(own) == [(1, "gpt", "GPT", "A")]
+    cache = spark.createDataFrame([], "key string, text string")
+    out, drawn, outcome = translate.run_translation(docs, gloss, cache, told, blocks=blocks, own=own)
+    lines = out.first().text.split("\n")
+    assert lines[0] == "Deep nets and the GPT win here. [deep nets=N,win=W|deep nets=N|GPT|]"
+    assert lines[2] == "The GPT has deep nets too. [deep nets=N||GPT|here.]"
+    assert lines[-1] == "Deep nets, all of them." and out.first().text.count("---") == 1
+    assert [(r.content, r.bbox) for r in drawn.orderBy("block_no").collect()] == [("Some deep nets again. [deep nets=N|||]", [1, 2, 3, 4]), ("deep nets", [1, 2, 3, 4]), (" ", [1, 2, 3, 4])]
+    assert {(r.unit_id, r.status) for r in outcome.collect()} >= {("lay:1:0", "translated"), ("md:0:0", "translated"), ("md:1:1", "skipped")}
+
+    # the same keys again, without running
+    units = translate.units_of(docs, blocks)
+    keyed = translate.keyed(units, gloss, "echo", own)
+    kept = spark.createDataFrame([(1, "md:0:1")], "doc_id long, unit_id string")
+    found = evaluate.replayed(units, keyed, outcome.filter("status = 'translated' and unit_id <> 'md:0:1'").select("key", "text"), kept)
+    assert {r.unit_id: r.status for r in found.collect()} == {"md:0:0": "found", "md:0:1": "kept", "md:1:0": "skipped", "md:1:1": "skipped", "lay:1:0": "found"}
+    hits = glossary.term_hits(units.select("doc_id", "unit_id", "scan"), gloss)
+    pairs = docs.select("doc_id", F.col("text").alias("source")).join(out.select("doc_id", F.col("text").alias("result")), "doc_id")
+    r = evaluate.evaluation(pairs, outcome, found, hits, "N", (blocks, drawn)).first()
+    assert (r.hard_ok, r.passed, r.checks, r.translated, r.skipped, r.total, r.found, r.unverified, r.endings) == (True, 3, 3, 3, 2, 3, 2, 0, 3)
+    assert r.violations == 0 and r.hangul_ratio == 0.0
+    moved = drawn.withColumn("bbox", F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(5)))
+    r = evaluate.evaluation(pairs.withColumn("result", F.lit("$$ <m1")), outcome, found, hits, "N", (blocks, moved)).first()
+    assert not r.hard_ok and (r.passed, r.checks) == (1, 4)
+
+
+def test_cache_key_is_that_of_its_parts(spark):
+    pairs = [("win", "W"), ("deep nets", "N")]
+    want = hashlib.sha256()
+    for part in ("4\x1f", "m\x1f", "deep nets\x1eN\x1f", "win\x1eW\x1f", "text é"):
+        want.update(part.encode())
+    df = spark.createDataFrame([(pairs, "text é"), ([], "x")], "p array<struct<src:string,ko:string>>, t string")
+    got = [r[0] for r in df.select(translate.cache_key(F.lit("m"), F.col("p"), F.col("t"))).collect()]
+    assert got == [want.hexdigest(), hashlib.sha256("4\x1fm\x1fx".encode()).hexdigest()]
+
+
+def test_entries_meet_their_own_pattern(spark):
+    gloss = [("fine-tuning", "f"), ("C++", "c"), ("of the", "o"), ("Über", "u"), ("++", "p"), (" ", "never")]
+    units = {"This is fine. Tuning is next": set(), "we do Fine-Tuning here": {"f"}, "C code": set(), "C++ code": set(), "C++x": {"c", "p"}, "of\n the": {"o"}, "often the": set(), "ÜBER alles": {"u"}, "Überall": set(), "": set(), "a++b": {"p"}}
+    g = spark.createDataFrame([(s, k, "B") for s, k in gloss], "src string, ko string, policy string")
+    u = spark.createDataFrame([(1, t, t) for t in units], "doc_id long, unit_id string, scan string")
+    got = {t: set() for t in units}
+    for r in glossary.term_hits(u, g).collect():
+        got[r.unit_id].add(r.ko)
+    assert got == units
+    each = spark.createDataFrame([(d, s, k, "B") for d in (1, 2) for s, k in gloss if (s, d) != ("C++", 1)], "doc_id long, src string, ko string, policy string")
+    assert {r.ko for r in glossary.term_hits(u, each).collect()} == {"f", "p", "o", "u"}
+    assert glossary.term_hits(u, g.limit(0)).count() == 0
+
+
+def test_columns_mask_as_the_plain_functions_do(spark):
+    rng = random.Random(3)
+    parts = ["$x$", "$$a\nb$$", "`c`", "```k\nl```", "\\(y\\)", "\\[z", "<b>", "<m1 v='x'/>", "http://a.b/c", "é@b.cd", "10.12345/x", "[1, 2]", "[3", "see Fig. 3", "éTable 2", "![a](b)", "word", " ", "\n", "'", '"', "\u00a0"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(400)] + ["", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", masking.mask_tokens(F.col("t")).alias("m"), masking.residual_text(F.col("t")).alias("r"))
+    loose = F.regexp_replace(F.regexp_replace("m.masked", '<m2 v="[^"]*"/>', "<  m2 >"), '<c3 v="[^"]*"/>', "<c3><c3/>")
+    for r in df.withColumn("x", loose).withColumn("u", masking.unmask_tokens(F.col("x"), F.col("m.held"))).collect():
+        if r.t is None:
+            assert r.m.masked is None and r.u.text is None
+            continue
+        masked, held = masking.mask(r.t)
+        assert (r.m.masked, r.m.held) == (masked, held)
+        assert tuple(r.u) == masking.unmask(r.x, held)
+
+
+def test_layout_html(spark):
+    blocks = spark.createDataFrame(
+        [(1, 1, 0, "Title!", [10, 20, 2000, 60], "a < b \\(x<y\\) \\[ \\]", None, 2.0, True, None), (1, 1, 1, "table", [0, 0, 500, 500], "<table><TD colspan=3 onclick=x>1</TD></table>", None, None, None, None), (1, 1, 2, "image", [5, 5, 5, 5], "", "p1.jpg", None, None, None), (1, 1, 3, "text", [0, 0, 9, 999], "a tall text of the margin", None, None, None, "left"), (1, 1, 4, "text", [1, 2], "x", None, None, None, None), (1, 1, 5, "image", [5, 5, 50, 50], "", "../p", None, None, "down")],
+        "doc_id long, page int, block_no int, type string, bbox array<int>, content string, image string, fs double, bold boolean, vertical string",
+    )
+    pages = spark.createDataFrame([(1, 1, 1000, 2000), (1, 2, 0, 0)], "doc_id long, page int, width int, height int")
+    html = layout.layout_html(blocks, pages, "/u").first().html
+    assert html.startswith('<section class="layout-page" data-page="1"><div class="layout-canvas" style="padding-top:200.00%">')
+    assert '<div class="layout-block layout-text" style="left:1.00%;top:2.00%;width:99.00%;height:4.00%;font-size:2.00cqw;line-height:1.22;font-weight:600;" title="text">a &lt; b <span class="math-inline">x&lt;y</span> </div>' in html
+    assert '<table>&lt;TD colspan=3 onclick=x&gt;1</td></table>' in html
+    assert '<img class="layout-block layout-image" src="/u/images/p1.jpg" style="left:0.50%;top:0.50%;width:0.40%;height:0.40%;" alt="">' in html
+    assert 'layout-text layout-vertical-up"' in html and 'layout-image layout-vertical-down"' in html and "../p" not in html
+    assert html.endswith('<section class="layout-page" data-page="2"><div class="layout-canvas" style="padding-top:141.40%"></div></section>') and html.count("layout-block") == 5
+    one = spark.createDataFrame([('<TD colspan="2">a<b></TD>',), ('<td colspan="2" onclick="x">',), ("<tr rowspan=4 colspan='2'/>",)], "t string")
+    assert [r[0] for r in one.select(render.tables_restored(F.col("t"))).collect()] == ['<td colspan="2">a&lt;b&gt;</td>', "&lt;td colspan=&quot;2&quot; onclick=&quot;x&quot;&gt;", "&lt;tr rowspan=4 colspan='2'/&gt;"]
+
+
+def test_places_in_one_queue(spark):
+    rng = random.Random(1)
+    made = [(i, rng.choice(["queued", "done"]), datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(300))) for i in range(400)]
+    got = {r.id: r.position for r in jobs.queue_positions(spark.createDataFrame(made, "id int, status string, created_at timestamp").repartition(3)).collect()}
+    line = sorted((t, i) for i, s, t in made if s == "queued")
+    assert got == {i: n for n, (_, i) in enumerate(line, 1)}
+
+
+def test_counters_with_prose_between(spark):
+    bare, prose = ("".join(f"#{i}. {x}" for i in range(1, 31)) for x in ("", "some words "))
+    df = spark.createDataFrame([(1, 1, "intro " + bare), (2, 1, prose), (3, 1, prose + " end #7. " + bare), (4, 1, None)], "doc_id int, page int, text string")
+    assert rows(repetition.counter_runs(df)) == [(1, 1, 1, 30), (3, 1, 1, 30)]
+
+
 def test_text_columns(spark):
     df = spark.createDataFrame([("a<<PAGE>PAGE>b",), ("x<|d<|q|>et|>y",), ("  a\t b ",), (None,)], "t string")
     assert [r[0] for r in df.select(T.strip_special(F.col("t"))).collect()] == ["ab", "xy", "  a\t b ", None]
