@@ -61,7 +61,7 @@ WITH RECURSIVE rows_ AS (
   SELECT its, sum(size)::BIGINT AS n,
     (CASE WHEN regexp_full_match(its, 'src(0|1?[1-9]|10)') THEN 1 + CAST(substr(its, 4) AS BIGINT) % 4 ELSE 1 END)::BIGINT AS a
   FROM rows_ GROUP BY its
-), ranked AS (SELECT *, row_number() OVER (ORDER BY its) AS k, sum(a) OVER ()::BIGINT AS total FROM sources
+), ranked AS (SELECT *, row_number() OVER (ORDER BY a = 1, CASE WHEN a = 1 THEN md5(its) END, its) AS k, sum(a) OVER ()::BIGINT AS total FROM sources
 ), weights AS (SELECT list(a ORDER BY k) AS ws, any_value(total) AS total FROM ranked
 ), steps(t, used, pick) AS (
   SELECT 0::BIGINT, list_transform(ws, lambda x: 0::BIGINT), 0::BIGINT FROM weights

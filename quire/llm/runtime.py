@@ -114,14 +114,3 @@ def row_key(last: bool = False, doc_id: str = "doc_id", text: str = "text"):
     h = F.xxhash64(F.col(text).cast("string")).bitwiseAND(F.lit((1 << 62) - 1))
     return F.coalesce(F.col(doc_id).cast("long"), h + F.lit(1 << 62) if last else h + F.lit(-(1 << 63)))
 
-
-def bucket(key, cuts: list[int]):
-    """How many of the sorted cuts are at or below key, as a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(cuts))
