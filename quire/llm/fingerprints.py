@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from quire.llm import runtime
 from quire.llm.shingles import shingle_hashes
 
 SCALE, BYTES, SLICE_CHARS = 4, 5, 1 << 20
+#: Characters of a text by which rows of one doc_id are told apart when ranges are cut.
+PLACE_CHARS = 64
 _FIRST = -(1 << 63)
 
 
@@ -117,33 +120,65 @@ def _follow(scale: int):
     return run
 
 
+def _places(rows: DataFrame, n: int) -> list[tuple[int, bytes]]:
+    """At most n - 1 places (key, beginning of the text) that cut the rows into ranges of like numbers, by a sample of about 40 rows for each range."""
+    count = rows.count()
+    kept = F.pmod(F.xxhash64("key", "start"), F.lit(1 << 20)) < F.lit(min(1 << 20, -(-40 * n * (1 << 20) // max(1, count))))
+    found = rows.filter(kept).select("key", "start").toArrow()
+    sample = sorted(zip(found.column("key").to_pylist(), found.column("start").to_pylist(), strict=True))
+    return sorted({sample[k * len(sample) // n] for k in range(1, n)}) if sample else []
+
+
+def _dealt(places: list[tuple[int, bytes]], firsts: list[tuple[int, bytes] | None]):
+    """Rows (doc_id, key, start, text) with their range as part; and again, as a guest, the first of a range to the one before that has rows."""
+    before, last = {}, max((p for p, f in enumerate(firsts) if f is not None), default=0)
+    for p, first in enumerate(firsts):
+        if first is not None:
+            before[first], last = last, p
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = list(zip(batch.column("key").to_pylist(), batch.column("start").to_pylist(), strict=True))
+            part = pa.array([bisect_right(places, x) for x in spots], pa.int32())
+            names = ["part", "doc_id", "guest", "key", "text"]
+            yield pa.RecordBatch.from_arrays([part, batch.column("doc_id"), pa.array(np.zeros(len(batch), bool)), batch.column("key"), batch.column("text")], names)
+            again = [k for k, x in enumerate(spots) if x in before]
+            if again:
+                own = batch.take(pa.array(again))
+                yield pa.RecordBatch.from_arrays([pa.array([before[spots[k]] for k in again], pa.int32()), own.column("doc_id"), pa.array(np.ones(len(again), bool)), own.column("key"), own.column("text")], names)
+
+    return run
+
+
 def fingerprints(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     """Fingerprints of every row of docs (doc_id, text), of its edited text, and their likeness to each other and to the next row's.
 
-    One shuffle deals rows to ranges of doc_id; each range also gets the first row of the next, as a guest. Only the
-    bounds of the ranges, one id for each, pass through the driver.
+    One shuffle deals rows to ranges of (doc_id, beginning of the text); each range also gets the first row of the next,
+    as a guest. Only a bounded sample of places, some for each range, and one for each range pass through the driver.
     """
     if scale & (scale - 1) or not 2 <= scale <= 1 << 16:
         raise ValueError("scale must be a power of two from 2 to 65536")
     spark = docs.sparkSession
     runtime.ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), runtime.text_or_empty().alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(_FIRST)))
+    rows = rows.withColumn("start", F.encode(F.left("text", F.lit(PLACE_CHARS)), "UTF-8"))
     n = max(rows.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism)
-    cuts = rows.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 100 * n).alias("cuts")).first()["cuts"]
-    cuts = sorted(set(cuts or []))
-    rows = rows.withColumn("part", runtime.bucket(F.col("key"), cuts))
-    firsts = {r["part"]: r["first"] for r in rows.groupBy("part").agg(F.min("key").alias("first")).collect()}
-    order = sorted(firsts)
-    before = [(firsts[p], order[k - 1]) for k, p in enumerate(order)]  # the first key of a part goes to the part before, too
-    if before:
-        guests = F.create_map(*[x for key, p in before for x in (F.lit(key), F.lit(p))])
-        to = F.element_at(guests, F.col("key"))
-        home = F.struct(F.col("part").alias("part"), F.lit(False).alias("guest"))
-        away = F.struct(to.alias("part"), F.lit(True).alias("guest"))
-        rows = rows.withColumn("at", F.explode(F.when(to.isNull(), F.array(home)).otherwise(F.array(home, away)))).select("doc_id", "text", "key", "at.part", "at.guest")
-    else:
-        rows = rows.withColumn("guest", F.lit(False))
-    # a part's guests come after its own rows: the last part's guest has the smallest key of all
-    rows = rows.repartition(n, "part").sortWithinPartitions("part", "guest", "key", "text").select("part", "doc_id", "guest", "text")
-    return rows.mapInArrow(runtime.lean(_follow(scale)), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, held_in_next double")
+    places = _places(rows.select("key", "start"), n)
 
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, tuple[int, bytes]] = {}
+        for batch in batches:
+            for x in zip(batch.column("key").to_pylist(), batch.column("start").to_pylist(), strict=True):
+                p = bisect_right(places, x)
+                if p not in own or x < own[p]:
+                    own[p] = x
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([x[0] for x in own.values()], pa.int64()), pa.array([x[1] for x in own.values()], pa.binary())], ["part", "key", "start"])
+
+    found = rows.select("key", "start").mapInArrow(runtime.lean(least), "part int, key long, start binary").groupBy("part").agg(F.min(F.struct("key", "start")).alias("first"))
+    firsts: list[tuple[int, bytes] | None] = [None] * (len(places) + 1)
+    for r in found.collect():
+        firsts[r["part"]] = (r["first"]["key"], bytes(r["first"]["start"]))
+    # a range's guests come after its own rows: the last one's guest is the first row of all
+    dealt = rows.select("doc_id", "key", "start", "text").mapInArrow(runtime.lean(_dealt(places, firsts)), "part int, doc_id long, guest boolean, key long, text string")
+    dealt = dealt.repartition(n, "part").sortWithinPartitions("part", "guest", "key", "text").select("part", "doc_id", "guest", "text")
+    return dealt.mapInArrow(runtime.lean(_follow(scale)), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, held_in_next double")

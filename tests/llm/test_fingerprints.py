@@ -61,6 +61,10 @@ def test_rows_against_the_plain_order(spark):
     key = lambda r: (r[0] is not None, r)[0:1] + tuple(str(x) for x in r)
     assert sorted(got, key=key) == sorted(want, key=key)
     assert fp.fingerprints(docs.limit(0)).count() == 0
+    same = spark.createDataFrame([(1, f"text {k % 3} " + "w " * 70 + str(k)) for k in range(200)] + [(1, "copy")] * 50, "doc_id long, text string").repartition(4)
+    every = sorted(t for _, t in same.collect())
+    out = same.sparkSession and fp.fingerprints(same).collect()
+    assert sorted(r.edited_sha256 for r in out) == sorted(hashlib.sha256(fp.edited(t, every[(k + 1) % len(every)]).encode()).hexdigest() for k, t in enumerate(every))
     one = fp.fingerprints(docs.filter("doc_id = 7")).collect()
     assert [(r.doc_id, r.n_chars, r.near_next) for r in one] == [(7, 0, 1.0)]
 
