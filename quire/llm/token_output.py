@@ -3,10 +3,12 @@
 A shard file holds the ids of consecutive documents (ascending doc_id) as a wavelet matrix: one bit-plane for each
 bit of an id, highest first, every plane ordered by the planes above it. With a rank directory of one counter for
 512 bits a plane answers rank and select, and the whole file answers access(i), count(token), rank(token, i),
-select(token, k) and occurrences(token) without being expanded. Planes and directories are zstd frames.
+select(token, k) and occurrences(token) from the compressed file: planes are cut into frames of 16 KiB, and only those
+that are looked into are opened.
 
-File layout, little-endian: magic b"QWM1", u32 header length, JSON header {n, bits, docs, parts}, then the parts:
-doc ids (i64), doc starts (i64), and for each plane its bits and its rank directory (u32).
+File layout, little-endian: magic b"QWM2", u32 header length, JSON header {n, bits, docs, size, frame, parts}, then the
+parts, each a zstd frame whose length is in the header: doc ids (i64), whether they are given (u8), doc starts (i64),
+and for each plane its rank directory (u32) and the frames of its bits.
 
 Shards are rows of a Parquet table (part, shard, first_doc, n_docs, n_tokens, part_start, payload), so that any
 store that Spark reaches can hold them; payload is the file itself, and export() writes plain files.
@@ -34,14 +36,60 @@ from pyspark.sql import functions as F
 from quire.llm import runtime
 from quire.llm.wordcodec import codec, drops_white_space
 
-MAGIC, BLOCK = b"QWM1", 512
+MAGIC, BLOCK = b"QWM2", 512
+#: Bytes of a plane in one frame, and frames of a plane that stay open.
+FRAME, OPEN_FRAMES = 16_384, 4
 SHARD_TOKENS, SLICE_BYTES = 1 << 20, 4 << 20
 SHARD_SCHEMA = "part int, shard int, first_doc long, n_docs long, n_tokens long, part_start long, payload binary"
-_POP = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint8)
+
+
+class Plane:
+    """The bits of one plane, in frames of FRAME bytes that are opened when they are looked into; the last few stay open."""
+
+    def __init__(self, size: int, frames: list, opened: np.ndarray | None = None):
+        self.size, self.frames, self.opened = size, frames, opened
+        self.kept: dict[int, np.ndarray] = {}
+        self.opens = 0
+
+    @classmethod
+    def of(cls, raw: np.ndarray) -> "Plane":
+        return cls(len(raw), [], raw)
+
+    def packed(self) -> list[bytes]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        return [squeeze.compress(self.opened[k : k + FRAME].tobytes()) for k in range(0, self.size, FRAME)]
+
+    def frame(self, k: int) -> np.ndarray:
+        got = self.kept.get(k)
+        if got is None:
+            if len(self.kept) >= OPEN_FRAMES:
+                self.kept.pop(next(iter(self.kept)))
+            self.opens += 1
+            got = self.kept[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.frames[k]), np.uint8)
+        return got
+
+    def whole(self) -> np.ndarray:
+        if self.opened is not None:
+            return self.opened
+        open_ = zstandard.ZstdDecompressor()
+        return np.frombuffer(b"".join(open_.decompress(f) for f in self.frames), np.uint8)
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """Bytes at the given places; 0 behind the end."""
+        out = np.zeros(at.shape, np.uint8)
+        if self.opened is not None:
+            inside = at < self.size
+            out[inside] = self.opened[at[inside]]
+            return out
+        which = np.where(at < self.size, at // FRAME, -1)
+        for k in np.unique(which[which >= 0]).tolist():
+            own = which == k
+            out[own] = self.frame(k)[at[own] - k * FRAME]
+        return out
 
 
 class WaveletMatrix:
-    def __init__(self, n: int, bits: int, planes: list[np.ndarray], ranks: list[np.ndarray]):
+    def __init__(self, n: int, bits: int, planes: list[Plane], ranks: list[np.ndarray]):
         self.n, self.bits, self.planes, self.ranks = n, bits, planes, ranks
         self.zeros = [n - int(r[-1]) for r in ranks]
 
@@ -49,44 +97,39 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> "WaveletMatrix":
         a, planes, ranks = ids, [], []
         for level in range(bits - 1, -1, -1):
-            one = (a >> a.dtype.type(level)) & a.dtype.type(1) != 0
+            one = (a >> a.dtype.type(level)).astype(np.uint8) & np.uint8(1)
             plane = np.packbits(one, bitorder="little")
             pad = -len(plane) % (BLOCK // 8)
             plane = np.concatenate((plane, np.zeros(pad, np.uint8))) if pad else plane
-            per = _POP[plane].reshape(-1, BLOCK // 8).sum(1, dtype=np.uint32)
-            planes.append(plane)
+            per = np.bitwise_count(plane.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32)
+            planes.append(Plane.of(plane))
             ranks.append(np.concatenate((np.zeros(1, np.uint32), np.cumsum(per, dtype=np.uint32))))
-            a = np.concatenate((a[~one], a[one]))
+            one = one.view(bool)
+            a = np.concatenate((np.compress(~one, a), np.compress(one, a)))
         return cls(len(ids), bits, planes, ranks)
 
     def _rank1(self, level: int, i: np.ndarray) -> np.ndarray:
-        """Ones before each position i of a plane."""
+        """Ones before each position i of a plane, by its directory and one block."""
         i = np.asarray(i, np.int64)
-        plane, block = self.planes[level], i // BLOCK
-        out = self.ranks[level][block].astype(np.int64)
-        byte, first = i >> 3, block * (BLOCK // 8)
-        for k in range(BLOCK // 8):
-            at = first + k
-            whole = at < byte
-            if not whole.any():
-                break
-            out += np.where(whole, _POP[plane[np.minimum(at, len(plane) - 1)]], 0) if len(plane) else 0
-        last = np.where(byte < len(plane), plane[np.minimum(byte, max(len(plane) - 1, 0))], 0) if len(plane) else np.zeros_like(i)
-        return out + _POP[(last & ((1 << (i & 7)) - 1)).astype(np.uint8)]
+        block = i // BLOCK
+        own = self.planes[level].take(block[:, None] * (BLOCK // 8) + np.arange(BLOCK // 8))
+        left = i - block * BLOCK  # bits of the block that count
+        bits = np.clip(left[:, None] - 8 * np.arange(BLOCK // 8), 0, 8)
+        return self.ranks[level][block].astype(np.int64) + np.bitwise_count(own & ((1 << bits) - 1).astype(np.uint8)).sum(1, dtype=np.int64)
 
     def _select(self, level: int, bit: int, k: int) -> int:
         """Position of the k-th (from 0) bit of the given value in a plane, by its directory and one block."""
         r = self.ranks[level].astype(np.int64)
         before = r if bit else np.arange(len(r), dtype=np.int64) * BLOCK - r
         block = int(np.searchsorted(before, k, side="right")) - 1
-        own = np.unpackbits(self.planes[level][block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)], bitorder="little")
+        own = np.unpackbits(self.planes[level].take(block * (BLOCK // 8) + np.arange(BLOCK // 8)), bitorder="little")
         return block * BLOCK + int(np.flatnonzero(own == bit)[k - int(before[block])])
 
     def access(self, i) -> np.ndarray:
         pos = np.atleast_1d(np.asarray(i, np.int64))
         value = np.zeros(len(pos), np.int64)
         for level in range(self.bits):
-            one = (self.planes[level][pos >> 3] >> (pos & 7).astype(np.uint8)) & 1
+            one = (self.planes[level].take(pos >> 3) >> (pos & 7).astype(np.uint8)) & 1
             rank = self._rank1(level, pos)
             pos = np.where(one, self.zeros[level] + rank, pos - rank)
             value = value << 1 | one
@@ -127,10 +170,10 @@ class WaveletMatrix:
         dtype = np.uint16 if self.bits <= 16 else np.uint32
         a = np.zeros(self.n, dtype)
         for level in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            one = np.unpackbits(self.planes[level].whole(), count=self.n, bitorder="little").view(bool)
             z, up = self.zeros[level], np.empty(self.n, dtype)
-            up[~one] = a[:z]
-            up[one] = a[z:] | dtype(1 << (self.bits - 1 - level))
+            np.place(up, ~one, a[:z])
+            np.place(up, one, a[z:] | dtype(1 << (self.bits - 1 - level)))
             a = up
         return a
 
@@ -143,26 +186,31 @@ class Shard:
 
     def to_bytes(self) -> bytes:
         squeeze = zstandard.ZstdCompressor(level=1)
-        raw = [self.doc_ids.astype("<i8"), self.has_id.astype(np.uint8), self.starts.astype("<i8")]
+        parts = [squeeze.compress(x.tobytes()) for x in (self.doc_ids.astype("<i8"), self.has_id.astype(np.uint8), self.starts.astype("<i8"))]
         for plane, ranks in zip(self.matrix.planes, self.matrix.ranks, strict=True):
-            raw += [plane, ranks.astype("<u4")]
-        parts = [squeeze.compress(x.tobytes()) for x in raw]
-        head = json.dumps({"n": self.matrix.n, "bits": self.matrix.bits, "docs": len(self.doc_ids), "parts": [len(p) for p in parts]}).encode()
+            parts += [squeeze.compress(ranks.astype("<u4").tobytes()), *plane.packed()]
+        size = self.matrix.planes[0].size
+        head = json.dumps({"n": self.matrix.n, "bits": self.matrix.bits, "docs": len(self.doc_ids), "size": size, "frame": FRAME, "parts": [len(p) for p in parts]}).encode()
         return b"".join([MAGIC, struct.pack("<I", len(head)), head, *parts])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> "Shard":
+        """The shard over its file: only directories are opened, frames of planes when they are looked into."""
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet-matrix shard")
         size = struct.unpack("<I", data[4:8])[0]
         head = json.loads(data[8 : 8 + size])
-        at, parts, open_ = 8 + size, [], zstandard.ZstdDecompressor()
+        if head["frame"] != FRAME:
+            raise ValueError(f"frames of {head['frame']} bytes")
+        at, parts, open_, view = 8 + size, [], zstandard.ZstdDecompressor(), memoryview(data)
         for k in head["parts"]:
-            parts.append(open_.decompress(data[at : at + k]))
+            parts.append(view[at : at + k])
             at += k
-        planes = [np.frombuffer(p, np.uint8) for p in parts[3::2]]
-        ranks = [np.frombuffer(p, "<u4") for p in parts[4::2]]
-        return cls(np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], np.uint8).astype(bool), np.frombuffer(parts[2], "<i8"), WaveletMatrix(head["n"], head["bits"], planes, ranks))
+        docs, has, starts = (open_.decompress(p) for p in parts[:3])
+        per = 1 + -(-head["size"] // FRAME)
+        own = [parts[3 + k * per : 3 + (k + 1) * per] for k in range(head["bits"])]
+        matrix = WaveletMatrix(head["n"], head["bits"], [Plane(head["size"], p[1:]) for p in own], [np.frombuffer(open_.decompress(p[0]), "<u4") for p in own])
+        return cls(np.frombuffer(docs, "<i8"), np.frombuffer(has, np.uint8).astype(bool), np.frombuffer(starts, "<i8"), matrix)
 
 
 def _encoder(path: str) -> tuple[Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], int]:

@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 #: Bytes kept in each of a worker's two caches, with so many for an entry itself; beyond that a cache starts anew. Longer pieces aren't kept. Bounds memory, not results.
 CACHE_BYTES, ENTRY_BYTES, LONGEST = 96 << 20, 150, 256
 
+#: Marks that no special string of a tokenizer begins with.
+_MARKS = "#$%&*.,;:!?)"
 _CODECS: dict[str, "WordCodec"] = {}
 
 
@@ -63,6 +65,7 @@ class WordCodec:
         self.plain = regex.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
         self.shown = self._byte_letters()
         self.simple = self._latin_agrees()
+        self.bare = self.simple and not self.mark.rstrip(_MARKS).isalpha() and not set(self.mark) <= set(_MARKS)
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.piece_bytes = self.part_bytes = 0
@@ -77,7 +80,7 @@ class WordCodec:
         return out
 
     def _latin_agrees(self) -> bool:
-        probe = "It's he'LL don't 'dx a1b22,c!?--''s _x@y.z x'm ~`|<> we've 3rd".split()
+        probe = "Ab,c xyz.!? w### A, q:;) It's he'LL don't 'dx a1b22,c!?--''s _x@y.z x'm ~`|<> we've 3rd".split()
         probe += [f"a{chr(c)}{chr(c)}1{chr(c)}'s" for c in range(0xC0, 0x100) if self.plain.fullmatch(chr(c))]
         return all(self._fast(w) == [p for p, _ in self.pre.pre_tokenize_str(self.norm.normalize_str(w))] for w in probe)
 
@@ -102,6 +105,10 @@ class WordCodec:
     def piece(self, piece: str) -> bytes:
         if not piece:
             return b""
+        if self.bare and piece.isascii():  # an ASCII word, perhaps with marks behind it, which are one part
+            word = piece.rstrip(_MARKS)
+            if word.isalpha():
+                return self._part(word.lower()) + self._part(piece[len(word) :]) if len(word) < len(piece) else self._part(word.lower())
         if self.mark in piece and any(s in piece for s in self.special):
             return np.array(self.tok.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
         if self.simple and self.plain.fullmatch(piece):
