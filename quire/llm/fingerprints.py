@@ -5,8 +5,12 @@ range: nothing else decides what is kept, so sketches of any two texts compare,
 resemblance and containment, however unequal the texts. As a string: the denominator of the fraction, a colon, and
 base64 of the kept hashes in ascending order, 5 bytes each (the 40 bits below the threshold).
 
-Nulls in text count as empty; the sketch of a text without kept shingles is empty, and two empty sketches are
-alike (1.0). Rows are ordered by doc_id, nulls first, equal ids by text; every repeated row has its own place in
+A text of a few shingles may keep none. Its least hash stands for it then, whole and behind a '!', so that two such
+texts are alike (1.0) only where these are the same; it says nothing of its share in a longer text (0.0). Merged, it
+gives way to kept hashes, and of two the less remains: merging is the sketch of the union in all cases.
+
+Nulls in text count as empty; only the sketch of a text without words is empty, and two empty sketches are alike
+(1.0). Rows are ordered by doc_id, nulls first, equal ids by text; every repeated row has its own place in
 that order; the row after the last is the first (a single row follows itself); an empty table gives an empty result.
 """
 
@@ -26,28 +30,34 @@ from quire.llm import runtime
 from quire.llm.shingles import shingle_hashes
 
 SCALE, BYTES, SLICE_CHARS = 4, 5, 1 << 20
+LONE = np.uint64(1 << 40)
 #: Characters of a text by which rows of one doc_id are told apart when ranges are cut.
 PLACE_CHARS = 64
 _FIRST = -(1 << 63)
 
 
 def sketches(texts: list[bytes], scale: int = SCALE) -> list[np.ndarray]:
-    """Sorted kept hashes of each text, as 40-bit numbers."""
+    """Sorted kept hashes of each text, as 40-bit numbers; of a text that has shingles but keeps none the least hash, as it is (over LONE)."""
     h, at = shingle_hashes(texts)
     keep = h < np.uint64((1 << 64) // scale)
     upto = np.concatenate(([0], np.cumsum(keep)))[at]
     shift = np.uint64(64 - 8 * BYTES - (scale - 1).bit_length())
     kept = (h[keep] >> shift) & np.uint64((1 << 8 * BYTES) - 1)
-    return [np.unique(kept[a:b]) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+    spans = zip(upto[:-1].tolist(), upto[1:].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)
+    return [np.unique(kept[a:b]) if b > a or c == d else h[c:d].min(keepdims=True) for a, b, c, d in spans]
 
 
 def to_text(sketch: np.ndarray, scale: int = SCALE) -> str:
+    if len(sketch) and sketch[-1] >= LONE:
+        return f"{scale}:!{base64.b64encode(sketch[:1].astype('>u8').tobytes()).decode()}"
     raw = sketch.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - BYTES :].tobytes()
     return f"{scale}:{base64.b64encode(raw).decode()}"
 
 
 def from_text(text: str) -> tuple[int, np.ndarray]:
     scale, _, rest = text.partition(":")
+    if rest.startswith("!"):
+        return int(scale), np.frombuffer(base64.b64decode(rest[1:]), ">u8").astype(np.uint64)
     raw = np.frombuffer(base64.b64decode(rest), np.uint8).reshape(-1, BYTES)
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, 8 - BYTES :] = raw
@@ -59,7 +69,8 @@ def merge(a: str, b: str) -> str:
     (scale, x), (other, y) = from_text(a), from_text(b)
     if scale != other:
         raise ValueError("fingerprints of different fractions")
-    return to_text(np.union1d(x, y), scale)
+    both = np.union1d(x, y)  # a lone hash only stands where nothing falls below the fraction, and the least of two is that of both
+    return to_text(both[both < LONE] if (both < LONE).any() else both[:1], scale)
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:

@@ -72,3 +72,17 @@ def test_rows_against_the_plain_order(spark):
 def test_exact_sets_are_sorted_and_distinct():
     (s,) = shingle_sets([b"a b c d e a b c d e a b c d e"])
     assert len(s) == 5 and (np.diff(s.astype(object)) > 0).all()
+
+
+def test_short_texts_are_told_apart():
+    texts = [f"word{i} and" for i in range(400)]
+    own = fp.sketches([t.encode() for t in texts])
+    assert len({fp.to_text(s) for s in own}) == 400 and fp.to_text(fp.sketches([b""])[0]) == "4:"
+    assert sum(s[-1] >= fp.LONE for s in own) > 200
+    for a, b in zip(range(0, 400, 2), range(1, 400, 2)):
+        x, y = fp.to_text(own[a]), fp.to_text(own[b])
+        assert fp.resemblance(own[a], own[b]) == 0.0 and fp.resemblance(own[a], own[a]) == 1.0
+        assert fp.from_text(x)[1].tolist() == own[a].tolist()
+        together = shingle_sets([texts[a].encode()])[0].tolist() + shingle_sets([texts[b].encode()])[0].tolist()
+        low = [h for h in together if h < 1 << 62]
+        assert fp.from_text(fp.merge(x, y))[1].tolist() == (sorted(h >> 22 & fp.LONE.item() - 1 for h in low) or [min(together)])
