@@ -135,10 +135,30 @@ class WordCodec:
         return out
 
     def _split(self, texts: pa.Array):
+        """(ends of the texts, which ids each part has, ids) of the texts' parts in order. A piece is one part, or two where its words can be cut in columns: a plain word in small letters, and the marks behind it."""
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         ends = np.frombuffer(lists.buffers()[1], np.int32, len(lists) + 1, offset=4 * lists.offset).astype(np.int64)
-        return ends - ends[0], coded.indices.to_numpy(), self.encoded(coded.dictionary.to_pylist())
+        ends -= ends[0]
+        index, pieces = coded.indices.to_numpy(), coded.dictionary
+        if not self.bare:
+            return ends, index, self.encoded(pieces.to_pylist())
+        lower = pc.ascii_lower(pieces)
+        word = pc.ascii_rtrim(lower, characters=_MARKS)
+        plain = pc.and_(pc.string_is_ascii(pieces), pc.ascii_is_alpha(word))
+        marked = pc.and_(plain, pc.less(pc.binary_length(word), pc.binary_length(lower)))
+        words = word.filter(plain).dictionary_encode()
+        marks = pc.replace_substring_regex(lower.filter(marked), "^[a-z]+", "").dictionary_encode()
+        others = pieces.filter(pc.invert(plain)).to_pylist()
+        get, make = self.parts.get, self._part
+        ids = [w if (w := get(x)) is not None else make(x) for x in words.dictionary.to_pylist()] + self.encoded(others) + [b""] + [make(x) for x in marks.dictionary.to_pylist()]
+        none = len(words.dictionary) + len(others)
+        pair = np.full((len(pieces), 2), none, np.int64)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        pair[is_plain, 0] = words.indices.to_numpy()
+        pair[~is_plain, 0] = len(words.dictionary) + np.arange(len(others))
+        pair[marked.to_numpy(zero_copy_only=False), 1] = none + 1 + marks.indices.to_numpy()
+        return 2 * ends, pair[index].reshape(-1), ids
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text; texts holds no nulls."""
