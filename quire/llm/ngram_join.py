@@ -216,23 +216,27 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by (entry, meta, cid): those with another set of a fitting size in the entry, one of both in its own scheme, and the number of sets."""
+    """Rows come by entry: those with another set of a fitting size in the entry, one of both in its own scheme, and the number of sets."""
     names = ["entry", "cid", "meta"]
-    for _, _, parts, columns in _runs(batches, names):
-        entry, cid, meta = columns
+    for _, size, parts, columns in _runs(batches, names):
+        part = parts == LONG_RUN  # of a longer run: what lies in the others is not known
+        met = np.repeat(part | (size > 1), size)  # most entries have one row
+        if not met.any():
+            continue
+        entry, cid, meta = (c[met] for c in columns)
+        long = np.repeat(part, size)[met]
+        order = np.lexsort((cid, meta, entry))
+        entry, cid, meta, long = entry[order], cid[order], meta[order], long[order]
         new = np.append(True, (entry[1:] != entry[:-1]) | (cid[1:] != cid[:-1]) | (meta[1:] != meta[:-1]))  # copies of other tasks
-        entry, cid, meta = entry[new], cid[new], meta[new]
+        entry, cid, meta, long = entry[new], cid[new], meta[new], long[new]
         start = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
         size = np.diff(np.append(start, len(entry)))
-        part = parts == LONG_RUN  # of a longer run: what lies in the others is not known
-        if not (part | (size > 1)).any():
-            continue
         n, own = meta >> 32, (meta & 1) == 0
         near = np.append((entry[1:] == entry[:-1]) & (4 * n[1:] <= 5 * n[:-1]), False)  # a row and the next
         below = np.maximum.reduceat(np.where(own, n, 0), start)  # sizes of the entry's own scheme lie below the others
         ok = np.where(own, near | np.append(False, near[:-1]), 4 * n <= 5 * np.repeat(below, size))
-        count = np.repeat(np.where(part, LONG_RUN, size), size)
-        ok = ok & (count > 1) | np.repeat(part, size)
+        count = np.where(long, LONG_RUN, np.repeat(size, size))
+        ok = ok & (count > 1) | long
         if ok.any():
             yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (entry, cid, meta, count)], [*names, "n"])
 
@@ -404,7 +408,7 @@ def _candidates(texts: DataFrame, most: int, reps: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     index = texts.mapInArrow(runtime.lean(_indexer(most)), "entry long, cid long, meta long")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    met = index.repartition(n, "entry").sortWithinPartitions("entry", "meta", "cid").mapInArrow(runtime.lean(_met), "entry long, cid long, meta long, n long")
+    met = index.repartition(n, "entry").sortWithinPartitions("entry").mapInArrow(runtime.lean(_met), "entry long, cid long, meta long, n long")
     # the allocation: of the entries that it shares, a set leaves out as many as it can, those of the most sets first
     place = F.row_number().over(Window.partitionBy("cid", F.col("meta").bitwiseAND(1)).orderBy(F.desc("n"), "entry"))
     shared = met.withColumn("place", place).filter(F.col("place") > F.shiftright("meta", 1).bitwiseAND((1 << 31) - 1))
