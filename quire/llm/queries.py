@@ -22,6 +22,27 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(runtime.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+_WORDS_SQL = "list_filter(string_split_regex(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0d]+'), lambda w: w <> '')"
+
+#: All pairs that share a shingle, and the closure of their links.
+OP1_SQL = f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS_SQL.format("coalesce(text, '')")} AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, md5(s) AS s FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM words)
+), sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, '' ORDER BY s)) AS same FROM shingles GROUP BY doc_id
+), classes AS (SELECT same, min(doc_id) AS class_id, any_value(n) AS n FROM sets GROUP BY same
+), firsts AS (SELECT s.* FROM shingles s JOIN classes c ON s.doc_id = c.class_id
+), pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM firsts a JOIN firsts b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (SELECT x, y FROM pairs JOIN classes p ON p.class_id = x JOIN classes q ON q.class_id = y WHERE 100 * both_ >= 80 * (p.n + q.n - both_)
+), ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach(x, y) AS (SELECT class_id, class_id FROM classes UNION SELECT r.x, w.y FROM reach r JOIN ways w ON r.y = w.x
+), least_ AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id, c.class_id
+FROM documents d LEFT JOIN sets s USING (doc_id) LEFT JOIN classes c USING (same) LEFT JOIN least_ l ON l.x = c.class_id
+"""
+
+
 def remainder(col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(col).cast("string")), F.lit(4))
 
@@ -145,7 +166,26 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(runtime.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_removed", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
+#: Keys of each line, its words and its words without one of them, against those of earlier lines.
+OP9_SQL = f"""
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL
+), lines AS (SELECT doc_id, k, ls[k] AS line, {_WORDS_SQL.format("ls[k]")} AS ws FROM cut, unnest(range(1, len(ls) + 1)) t(k)
+), placed AS (SELECT *, len(ws) AS n, md5(array_to_string(ws, ' ')) AS own, row_number() OVER (ORDER BY doc_id, k) AS place FROM lines
+), classes AS (SELECT own, min(place) AS place, any_value(n) AS n, any_value(ws) AS ws FROM placed WHERE n > 0 GROUP BY own
+), less AS (SELECT own, place, n, i, md5(array_to_string(list_concat(ws[:i - 1], ws[i + 1:]), ' ')) AS v FROM classes, unnest(range(1, n + 1)) t(i) WHERE n >= {line_dedup.MIN_WORDS}
+), replaced AS (SELECT n, i, v, min(place) AS first FROM less GROUP BY n, i, v
+), shorter AS (SELECT v, min(place) AS first FROM less GROUP BY v
+), gone AS (
+  SELECT own FROM less JOIN replaced r USING (n, i, v) WHERE r.first < less.place
+  UNION SELECT less.own FROM less JOIN classes c ON c.own = less.v AND c.n = less.n - 1 WHERE c.place < less.place
+  UNION SELECT c.own FROM classes c JOIN shorter s ON s.v = c.own WHERE s.first < c.place
+), kept AS (SELECT p.*, p.n = 0 OR (p.place = c.place AND c.own NOT IN (SELECT own FROM gone)) AS keep FROM placed p LEFT JOIN classes c USING (own))
+SELECT d.doc_id, count(k.place) AS n_lines, count(*) FILTER (NOT k.keep) AS n_removed, CASE WHEN d.text IS NOT NULL THEN md5(coalesce(string_agg(k.line, chr(10) ORDER BY k.place) FILTER (k.keep), '')) END AS text_md5
+FROM documents d LEFT JOIN kept k USING (doc_id) GROUP BY d.doc_id, d.text
+"""
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,4 +212,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_output": op10_token_output,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_url_filter": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op6_mixing": OP6_SQL, "op7_url_filter": OP7_SQL, "op9_line_dedup": OP9_SQL}

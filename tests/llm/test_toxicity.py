@@ -65,3 +65,35 @@ def test_odd_rows(spark):
     assert one.constant == 1.0
     both = tx.train(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int"))
     assert tx.score(docs, both).count() == 5 and tx.score(docs.limit(0), both).count() == 0
+
+
+def test_query_against_the_plain_model(spark):
+    """Every row of the query: the model that its rows give, each text convolved word by word."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = tx.train(docs, spark.read.parquet(f"{sf}/labels.parquet"), eligible=queries.remainder() != 2)
+    got = {r.doc_id: r for r in queries.op2_toxicity(spark, sf).collect()}
+    rows = docs.filter("n_chars < 1500").collect()
+    for r in rows:
+        ids, z = tx.buckets([r.text.encode()])[0], model.bias
+        for j, w in enumerate(tx.WIDTHS):
+            best = np.zeros(tx.FILTERS)
+            for i in range(len(ids)):
+                best = np.maximum(best, model.biases[w] + sum(model.tables[w][s][b] for s in range(w) if i + s < len(ids) for b in ids[i + s]))
+            z += float(best @ model.weights[j * tx.FILTERS : (j + 1) * tx.FILTERS])
+        mine = got[r.doc_id]
+        assert abs(mine.score - 1 / (1 + np.exp(-z))) < 1e-3 and mine.predicted == int(mine.score >= 0.3)
+        assert mine.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    assert len(got) == docs.count() and len(rows) > 50
+
+
+def test_sample_is_bounded_by_bytes_and_learns_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * 400, "en") for i in range(40)] + [(3, "other", "en")] * 3, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(tx, "fit", lambda texts, y, langs, share: seen.append((texts, y, share)))
+    tx.train(docs, labels, sample_bytes=4000)
+    texts, y, share = seen[0]
+    assert sum(map(len, texts)) <= 8000 and abs(int(sum(y)) * 2 - len(y)) <= 1 and share == 0.5 and len(texts) >= 8
+    tx.train(docs, labels, sample_bytes=10)
+    assert len(seen[1][0]) == 2
