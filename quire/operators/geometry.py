@@ -18,6 +18,22 @@ def crop_rect(b: Column, width: Column, height: Column, least: int = 4) -> Colum
     return F.when((x2 - x1 >= least) & (y2 - y1 >= least), F.array(x1, y1, x2, y2))
 
 
+def crop_rects(boxes: Column, width: Column, height: Column) -> Column:
+    """Pixel rectangles of a list of boxes, one for each, cut at the page; null for one without an area."""
+
+    def one(b: Column) -> Column:
+        x1, y1 = F.greatest(F.lit(0), to_pixels(b[0], width)), F.greatest(F.lit(0), to_pixels(b[1], height))
+        x2, y2 = F.least(width, to_pixels(b[2], width)), F.least(height, to_pixels(b[3], height))
+        return F.when((x2 > x1) & (y2 > y1), F.array(x1, y1, x2, y2))
+
+    return F.transform(boxes, one)
+
+
+def to_grid(v: Column, size: Column) -> Column:
+    """A pixel coordinate on the grid of 0-999, ties to even."""
+    return F.rint(v / F.greatest(size, F.lit(1)) * 999).cast("int")
+
+
 def figure_width(x1: Column, x2: Column, page_width: Column) -> tuple[Column, Column]:
     """(share of the page's width, whether to centre): null outside (0, 1.5], at least 0.08 and at most 1."""
     share = (x2 - x1) / page_width

@@ -40,6 +40,32 @@ def rewritten(md: Column, start_page: Column, single: Column) -> Column:
     return F.when(single, renamed(one, lambda t: global_name(start_page, F.regexp_extract(t, one, 1)))).otherwise(in_chunk)
 
 
+def renamed_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Files (doc_id, chunk, name, meta) of chunks (doc_id, chunk, start_page, single) by their document-wide names: (doc_id, folder, name, meta).
+
+    Figures keep the meta of their boxes; drawings of whole pages go to layout; files of other names are left behind.
+    """
+    rows = files.join(chunks.select("doc_id", "chunk", "start_page", "single"), ["doc_id", "chunk"])
+    name, one, multi, drawn = F.col("name"), r"^images/(\d+)\.jpg\z", r"^images/page_(\d+)_(\d+)\.jpg\z", r"^result_with_boxes_(\d+)\.jpg\z"
+    page = lambda p: F.col("start_page") + F.regexp_extract(name, p, 1).cast("int")
+    sheet = lambda n: F.concat(F.format_string("page_%04d", n.cast("int")), F.lit(".jpg"))
+    single = F.when(name.rlike(one), global_name(F.col("start_page"), F.regexp_extract(name, one, 1))).when(name == "result_with_boxes.jpg", sheet(F.col("start_page")))
+    many = F.when(name.rlike(multi), global_name(page(multi), F.regexp_extract(name, multi, 2))).when(name.rlike(drawn), sheet(page(drawn)))
+    rows = rows.withColumn("new", F.when(F.col("single"), single).otherwise(many)).filter("new is not null")
+    figure = F.col("new").startswith("p") & ~F.col("new").startswith("page_")
+    return rows.select("doc_id", F.when(figure, "images").otherwise("layout").alias("folder"), F.col("new").alias("name"), F.when(figure, F.col("meta")).alias("meta"))
+
+
+def live_text(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, page, text) of pages (doc_id, page, md) as they are streamed: a figure's placeholder as the tag of its block's box, none where it has no box."""
+    boxes = blocks.filter("type = 'image' and figure_index is not null and bbox is not null").groupBy("doc_id", "page").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.col("figure_index").cast("string"), "bbox")))).alias("boxes"))
+    rows = pages.join(boxes, ["doc_id", "page"], "left")
+    place = r"\[\[FIGURE:(\d+)\]\]"
+    tag = lambda n: F.coalesce(F.concat(F.lit("<|det|>image ["), F.array_join(F.try_element_at("boxes", n).cast("array<string>"), ", "), F.lit("]<|/det|>")), F.lit(""))
+    tags = F.concat(F.transform(F.regexp_extract_all("md", F.lit(place), F.lit(1)), tag), F.array(F.lit("")))
+    return rows.select("doc_id", "page", F.array_join(F.zip_with(F.split("md", place, -1), tags, lambda a, b: F.concat(a, b)), "").alias("text"))
+
+
 def chunk_pages(chunks: DataFrame) -> DataFrame:
     """Chunks (doc_id, chunk, num_pages, single, markdown) to (doc_id, page, md, n_markers): page numbers run on over the document."""
     ahead = Window.partitionBy("doc_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

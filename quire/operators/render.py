@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quire.functions import text as T
+from quire.operators import geometry
 
 _CODE = re.compile(r"```.*?```|`[^`\n]+`", re.S)
 _MATH = re.compile(r"\$\$(.+?)\$\$|\$([^$\n]+)\$|\$", re.S)
@@ -85,6 +86,22 @@ def tables_restored(text: Column) -> Column:
     return table_tags(escape(text))
 
 
+FIGURE = r'<img src="([^"]+/images/([^"/]+))" alt="([^"]*)"\s*/?>'
+
+
+def with_widths(html: Column, boxes: Column) -> Column:
+    """html whose figures have the share of the page's width that boxes (a map of file names to x1, x2 and image_width) gives them; narrow ones are centred."""
+
+    def tag(m: Column) -> Column:
+        src, name, alt = (F.regexp_extract(m, FIGURE, k) for k in (1, 2, 3))
+        box = F.try_element_at(boxes, name)
+        share, centred = geometry.figure_width(box["x1"], box["x2"], F.nullif(box["image_width"], F.lit(0)))
+        style = F.concat(F.lit("width:"), F.format_number(share * 100, 1), F.lit("%;height:auto;"), F.when(centred, "display:block;margin-left:auto;margin-right:auto;").otherwise(""))
+        return F.coalesce(F.concat(F.lit('<img src="'), src, F.lit('" alt="'), alt, F.lit('" style="'), style, F.lit('">')), m)
+
+    return _rewritten(html, FIGURE, lambda p: p, tag)
+
+
 def sections(md: Column, separator: str) -> Column:
     """One section for each page."""
     pages = F.split(md, "\\Q" + separator + "\\E", -1)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import evaluate, geometry, glossary, jobs, layout, masking, merge, repetition, sanitize, translate
+from quire.operators import evaluate, geometry, glossary, jobs, layout, masking, merge, records, render, repetition, sanitize, translate
 from quire.plans import lift
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,6 +281,49 @@ def figure_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "k", F.round(share, 6).alias("share"), centred.alias("centred"))
 
 
+@query(f"""WITH {BOXED}, px AS (SELECT *, trunc(x1 / 999::DOUBLE * 850)::INT AS a, trunc(y1 / 999::DOUBLE * 1100)::INT AS b, least(850, trunc((x1 + (k % 4 - 1) * 30) / 999::DOUBLE * 850)::INT) AS c, least(1100, trunc(y2 / 999::DOUBLE * 1100)::INT) AS d FROM boxed)
+SELECT doc_id, page, string_agg(CASE WHEN c > a AND d > b THEN concat_ws(',', a, b, c, d) ELSE '-' END, ';' ORDER BY k) AS rects FROM px GROUP BY doc_id, page""")
+def crop_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = F.col("bbox")
+    rows = lift.box(lift.lines(spark, sf_dir)).withColumn("cut", F.array(b[0], b[1], b[0] + (F.col("k") % 4 - 1) * 30, b[3]))
+    lists = rows.groupBy("doc_id", "page").agg(ordered("k", "cut").alias("boxes"))
+    rects = geometry.crop_rects(F.col("boxes"), F.lit(850), F.lit(1100))
+    return lists.select("doc_id", "page", F.array_join(F.transform(rects, lambda r: F.coalesce(F.array_join(r.cast("array<string>"), ","), F.lit("-"))), ";").alias("rects"))
+
+
+@query(f"""WITH {LINES}, c AS (SELECT *, k // 6 AS chunk, k // 6 * 2 + 1 AS start, (k // 6) % 3 = 0 AS single FROM lines)
+SELECT doc_id, CASE WHEN k % 6 IN (0, 1) THEN 'images' ELSE 'layout' END AS folder, CASE WHEN single THEN CASE k % 6 WHEN 0 THEN printf('p%04d_', start) || k || '.jpg' ELSE printf('page_%04d.jpg', start) END
+  ELSE CASE k % 6 WHEN 1 THEN printf('p%04d_', start + 1) || k || '.jpg' ELSE printf('page_%04d.jpg', start + 1) END END AS name, CASE WHEN k % 6 IN (0, 1) THEN 'm' || k END AS meta
+FROM c WHERE (single AND k % 6 IN (0, 2)) OR (NOT single AND k % 6 IN (1, 3))""")
+def renamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    rows = lift.lines(spark, sf_dir).withColumn("chunk", F.floor(k / 6).cast("int"))
+    s = k.cast("string")
+    name = F.when(k % 6 == 0, F.concat(F.lit("images/"), s, F.lit(".jpg"))).when(k % 6 == 1, F.concat(F.lit("images/page_1_"), s, F.lit(".jpg"))).when(k % 6 == 2, "result_with_boxes.jpg").when(k % 6 == 3, "result_with_boxes_1.jpg").otherwise("notes.txt")
+    chunks = rows.select("doc_id", "chunk").distinct().select("doc_id", "chunk", (F.col("chunk") * 2 + 1).alias("start_page"), (F.col("chunk") % 3 == 0).alias("single"))
+    return merge.renamed_files(rows.select("doc_id", "chunk", name.alias("name"), F.concat(F.lit("m"), s).alias("meta")), chunks)
+
+
+@query(f"""WITH {BOXED} SELECT doc_id, page, string_agg(line || CASE WHEN k % 4 = 1 AND label = 'image' THEN '<|det|>image [' || concat_ws(', ', x1, y1, x2, y2) || ']<|/det|>' ELSE '' END, chr(10) ORDER BY k) AS text FROM boxed GROUP BY doc_id, page""")
+def live_stream_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    rows = lift.box(lift.lines(spark, sf_dir)).withColumn("x", F.concat("line", F.when(k % 4 == 1, F.concat(F.lit("[[FIGURE:"), k.cast("string"), F.lit("]]"))).otherwise("")))
+    pages = rows.groupBy("doc_id", "page").agg(F.array_join(ordered("k", "x"), "\n").alias("md"))
+    return merge.live_text(pages, rows.select("doc_id", "page", F.col("label").alias("type"), "bbox", k.alias("figure_index")))
+
+
+@query(f"""WITH {LINES}, shares AS (SELECT doc_id, k, CASE WHEN k % 5 = 0 THEN NULL ELSE (k % 40) / 20::DOUBLE END AS w, line FROM lines)
+SELECT doc_id, k, '<p>' || CASE WHEN w > 0 AND w <= 1.5 THEN '<img src="/f/images/a' || k || '.jpg" alt="x" style="width:' || printf('%.1f', greatest(0.08, least(1.0, w)) * 100) || '%;height:auto;' || CASE WHEN greatest(0.08, least(1.0, w)) < 0.6 THEN 'display:block;margin-left:auto;margin-right:auto;' ELSE '' END || '">'
+  ELSE '<img src="/f/images/a' || k || '.jpg" alt="x" />' END || '</p>' AS html FROM shares""")
+def figure_widths_in_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    name = F.concat(F.lit("a"), k.cast("string"), F.lit(".jpg"))
+    box = F.struct(F.lit(0.0).alias("x1"), (k % 40).cast("double").alias("x2"), F.lit(20.0).alias("image_width"))
+    boxes = F.when(k % 5 != 0, F.create_map(name, box))
+    html = F.concat(F.lit('<p><img src="/f/images/'), name, F.lit('" alt="x" /></p>'))
+    return lift.lines(spark, sf_dir).select("doc_id", "k", render.with_widths(html, boxes).alias("html"))
+
+
 # Terms
 
 _CALM = "NOT (len(regexp_extract_all(line, '[A-Za-z]{2,}')) >= 2 AND length(regexp_replace(line, '[^A-Z]', '', 'g')) * 10 > length(regexp_replace(line, '[^A-Za-z]', '', 'g')) * 7)"
@@ -700,6 +743,65 @@ def restart_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.restarted(lift.jobs(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files a job: by rule an image, a note or a layout."""
+    e = lift.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
+    k = F.col("id") % 5
+    first = F.struct(F.when(k < 2, "images").when(k == 2, "pages").otherwise("").alias("folder"), F.when(k == 3, "layout.json").when(k == 1, "boxes.json").otherwise(F.concat(F.lit("b"), k.cast("string"), F.lit(".PNG"))).alias("name"))
+    return e.select("id", F.explode(F.array(first, F.struct(F.lit("images").alias("folder"), F.lit("a.jpg").alias("name")))).alias("f")).select("id", "f.*")
+
+
+_URL = "'/api/jobs/' || event_id"
+
+
+@query(f"""WITH jobs AS (SELECT event_id, ts, {_STATUS} AS status, event_id % 5 AS k FROM events), line AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS place FROM jobs WHERE status = 'queued')
+SELECT event_id AS id, status, CASE WHEN status = 'done' THEN {_URL} || '/markdown' END AS markdown_url, CASE WHEN status = 'done' THEN {_URL} || '/files/images/a.jpg' || CASE WHEN k = 0 THEN ',' || {_URL} || '/files/images/b0.PNG' ELSE '' END END AS images,
+  CASE WHEN status = 'done' THEN CASE WHEN k = 2 THEN {_URL} || '/files/pages/b2.PNG' ELSE '' END END AS pages, CASE WHEN status = 'done' THEN k = 3 END AS has_layout, place AS queue_position FROM jobs LEFT JOIN line USING (event_id)""")
+def job_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = records.records(lift.jobs(spark, sf_dir), _files(spark, sf_dir))
+    return out.select("id", "status", "markdown_url", F.array_join("images", ",").alias("images"), F.array_join("pages", ",").alias("pages"), "has_layout", "queue_position")
+
+
+@query(f"SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'ko ' || event_id END AS text, event_id % 4 <> 2 AS partial, event_id % 3 = 0 AS found FROM events")
+def shown_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs_ = lift.jobs(spark, sf_dir)
+    texts = jobs_.select("id", F.lit("md").alias("text"))
+    done = jobs_.filter("id % 3 = 0").select("id", F.explode(F.array(F.lit("ko"), F.lit("xx"))).alias("lang")).withColumn("text", F.concat_ws(" ", "lang", "id"))
+    return records.shown_text(jobs_, texts, done, "ko")
+
+
+@query(f"SELECT event_id AS id, {_STATUS} AS status, user_id % 7 = 0 AS delete_requested FROM events WHERE user_id % 7 <> 0 OR event_id % 4 = 1")
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs_ = lift.jobs(spark, sf_dir)
+    stay, _ = records.deleted(jobs_, jobs_.select("id", F.lit("ko").alias("lang")), jobs_.filter("owner % 7 = 0").select("id"))
+    return stay.select("id", "status", "delete_requested")
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN CASE WHEN user_id % 2 = 0 THEN 'running' ELSE 'error' END ELSE 'done' END AS status FROM events")
+def settled_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = lift.table(spark, sf_dir, "events")
+    states = events.select(F.col("event_id").alias("id"), F.lit("ko").alias("lang"), F.when(F.col("event_id") % 2 == 0, "running").otherwise("done").alias("status"))
+    alive = events.filter("user_id % 2 = 0").select(F.col("event_id").alias("id"), F.lit("ko").alias("lang"))
+    return records.settled(states, alive).select("id", "status")
+
+
+@query(f"WITH {LINES} SELECT doc_id, bool_and(length(line) < 40) AS failed FROM lines GROUP BY doc_id")
+def all_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.all_failed(lift.lines(spark, sf_dir).select("doc_id", (F.length("line") < 40).alias("failed")))
+
+
+@query("SELECT event_type AS engine, count(*) AS pages, round(count(*) / 7::DOUBLE, 3) AS pages_per_s, round(7 / count(*)::DOUBLE, 1) AS avg_page_s FROM events GROUP BY event_type")
+def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = lift.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("engine")).agg(F.count("*").alias("pages")).withColumn("seconds", F.lit(7.0))
+    return records.throughput(runs).select("engine", "pages", "pages_per_s", "avg_page_s")
+
+
+@query("SELECT event_id AS id, least(30000, (event_id % 6 + 1) * 10000) AS delay, greatest(event_id % 9, CASE WHEN event_id % 2 = 0 THEN event_id % 11 - 1 ELSE event_id % 11 END) AS number FROM events")
+def stream_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    return lift.table(spark, sf_dir, "events").select(e.alias("id"), records.retry_delay(e % 6).alias("delay"), records.resynced(e % 9, e % 11, e % 2 == 0).alias("number"))
+
+
 # Segments and rendering
 
 @query()

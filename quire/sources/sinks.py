@@ -22,6 +22,20 @@ def benchmark(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     rows.orderBy("document", "engine").write.mode(mode).option("header", True).csv(path)
 
 
+def archive(artifacts: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Artifacts (doc_id, folder, name, content) as one folder for each document and kind; names that would leave it are refused."""
+    kept = artifacts.filter(safe_path(F.col("name")) & ((F.col("folder") == "") | safe_path(F.col("folder"))))
+    kept.write.mode(mode).partitionBy("doc_id", "folder").parquet(path)
+
+
+def summary(rows: DataFrame) -> str:
+    """Benchmark rows, a few dozen, as a Markdown table by document and engine."""
+    cols = ["engine", "model", "document", "pages", "total_s", "avg_page_s", "md_chars", "tables", "formulas", "figures", "warnings"]
+    own = [c for c in cols if c in rows.columns]
+    said = [" | ".join("-" if r[c] is None else str(r[c]) for c in own) for r in rows.orderBy("document", "engine").select(own).collect()]
+    return "\n".join(["| " + " | ".join(own) + " |", "|" + "---|" * len(own), *(f"| {x} |" for x in said)]) + "\n"
+
+
 def safe_path(c):
     """Whether a relative path stays in its folder."""
     return ~c.rlike(r"(^|/)\.\.(/|\z)|^/|\\|\x00") & (c != "")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire import schemas
 from quire.functions import text as T
-from quire.operators import evaluate, geometry, glossary, jobs, layout, masking, merge, render, repetition, sanitize, translate
+from quire.operators import evaluate, geometry, glossary, jobs, layout, masking, merge, records, render, repetition, sanitize, translate
 from quire.sources import readers, sinks
 
 
@@ -60,6 +60,11 @@ def test_writers(spark, tmp_path):
     sinks.layouts(layout.parse_blocks(readers.synthetic(spark, 2, 2)), str(tmp_path / "l"))
     assert [len(r.pages) for r in spark.read.json(str(tmp_path / "l")).collect()] == [2, 2]
     sinks.benchmark(spark.createDataFrame([("e", "d", 1.0)], "engine string, document string, total_s double"), str(tmp_path / "b"))
+    made = [(1, "images", "a.jpg", b"x"), (1, "", "result.md", b"y"), (2, "images", "../z", b"z"), (2, "../up", "b", b"z")]
+    sinks.archive(spark.createDataFrame(made, "doc_id long, folder string, name string, content binary"), str(tmp_path / "z"))
+    assert sorted(r.name for r in spark.read.parquet(str(tmp_path / "z")).collect()) == ["a.jpg", "result.md"]
+    runs = records.throughput(spark.createDataFrame([("e", "d", 4, 2.0), ("a", "d", 0, 0.0)], "engine string, document string, pages int, seconds double"))
+    assert sinks.summary(runs) == "| engine | document | pages | avg_page_s |\n|---|---|---|---|\n| a | d | 0 | 0.0 |\n| e | d | 4 | 0.5 |\n"
     names = spark.createDataFrame([("a/b.md",), ("../x",), ("/etc",), ("a/../../b",), ("",)], "p string")
     assert [r[0] for r in names.select(sinks.safe_path(F.col("p"))).collect()] == [True, False, False, False, False]
 
@@ -238,3 +243,18 @@ def test_reports(spark):
     assert [tuple(r) for r in got] == [(10240, "https://h/v1", "Before:\nc\n\nTerms:\na = b\n\nKeep: X\n\nText:\nt"), (8192, "http://h:80/v1", "Text:\nt")]
     df = spark.createDataFrame([(["a", "b"], ["b", "c"])], "a array<string>, b array<string>")
     assert df.select(reports.with_provider(F.col("a"), F.col("b"))).first()[0] == ["a", "b", "c"]
+
+
+def test_deleted_jobs_take_their_tasks_with_them(spark):
+    own = spark.createDataFrame([(1, "running"), (2, "done"), (3, "queued"), (4, "done")], "id int, status string")
+    tasks = spark.createDataFrame([(1, "ko"), (2, "ko"), (4, "ko")], "id int, lang string")
+    stay, stop = records.deleted(own, tasks, spark.createDataFrame([(1,), (2,), (2,), (9,)], "id int"))
+    assert rows(stay) == [(1, "running", True), (3, "queued", False), (4, "done", False)] and rows(stop) == [(1, "ko"), (2, "ko")]
+
+
+def test_texts_that_are_not_there(spark):
+    own = spark.createDataFrame([(1, "running"), (2, "done")], "id int, status string")
+    texts = spark.createDataFrame([(1, "a")], "id int, text string")
+    none = spark.createDataFrame([], "id int, lang string, text string")
+    assert rows(records.shown_text(own, texts, none)) == [(1, "a", True, True), (2, None, False, False)]
+    assert {r.found for r in records.shown_text(own, texts, none, "ko").collect()} == {False}
