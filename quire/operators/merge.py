@@ -77,6 +77,14 @@ def chunk_pages(chunks: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.col("start_page") + F.col("local")).alias("page"), clean.alias("md"), "n_markers")
 
 
+def chunk_warnings(chunks: DataFrame) -> DataFrame:
+    """(doc_id, chunk, start_page, found, expected, kind) of chunks whose pages had to be repaired: 'surplus' or 'missing'."""
+    ahead = Window.partitionBy("doc_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    found = F.when(F.col("single"), F.lit(1)).otherwise(F.size(split_pages(F.col("markdown"))))
+    rows = chunks.select("doc_id", "chunk", (F.coalesce(F.sum("num_pages").over(ahead), F.lit(0)) + 1).cast("int").alias("start_page"), found.alias("found"), F.col("num_pages").alias("expected"))
+    return rows.filter("found <> expected").withColumn("kind", F.when(F.col("found") > F.col("expected"), "surplus").otherwise("missing"))
+
+
 def documents(pages: DataFrame, separator: str = SEPARATOR) -> DataFrame:
     """doc_id, markdown: pages in order, trimmed, with a newline at the end."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("page", "md"))), lambda x: x["md"])

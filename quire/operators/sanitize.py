@@ -69,6 +69,42 @@ def sanitize_pages(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("block_no", F.row_number().over(page.orderBy("order", "pos")) - 1).select("doc_id", "page", "block_no", "type", "bbox", "content", "figure_index")
 
 
+def sanitize_warnings(blocks: DataFrame) -> DataFrame:
+    """What sanitize_pages drops or changes: (doc_id, page, order, pos, kind, detail).
+
+    kind 'blocks' for a page of too many (detail: how many, without a place), and of single blocks 'box' for one out of
+    range, 'no box' for an image without any, 'content' for a text that is cut, 'figures' for an image over the number,
+    'index' for a figure index that is negative or taken (detail: the index).
+    """
+    page = Window.partitionBy("doc_id", "page")
+    rows = blocks.withColumn("nth", F.row_number().over(page.orderBy("pos"))).withColumn("n", F.count("*").over(page))
+    many = rows.filter((F.col("nth") == 1) & (F.col("n") > BLOCKS)).select("doc_id", "page", F.lit(None).cast("int").alias("order"), F.lit(None).cast("int").alias("pos"), F.lit("blocks").alias("kind"), F.col("n").cast("string").alias("detail"))
+    rows = rows.filter(F.col("nth") <= BLOCKS).withColumn("kept", clamp_box(F.col("bbox"))).withColumn("image", block_type(F.col("type")) == "image")
+    drawn = F.col("image") & F.col("kept").isNotNull()
+    rows = rows.withColumn("figure_no", F.when(drawn, F.sum(drawn.cast("int")).over(page.orderBy("order", "pos"))))
+    drawn &= F.col("figure_no") <= FIGURES
+    rows = rows.withColumn("drawn", F.coalesce(drawn, F.lit(False)))
+    rows = rows.withColumn("taken", F.row_number().over(Window.partitionBy("doc_id", "page", "drawn", "figure_index").orderBy("order", "pos")) > 1)
+    said = lambda kind, when, detail: F.when(when, F.struct(F.lit(kind).alias("kind"), detail.cast("string").alias("detail")))
+    none = F.lit(None).cast("string")
+    found = F.array_compact(F.array(
+        said("box", F.col("bbox").isNotNull() & F.col("kept").isNull(), none),
+        said("content", (~F.col("image") | F.col("kept").isNotNull() | F.col("bbox").isNull()) & (F.length(T.strip_special(F.col("content"))) > CONTENT), none),
+        said("no box", F.col("image") & F.col("bbox").isNull(), none),
+        said("figures", F.col("figure_no") > FIGURES, none),
+        said("index", F.col("drawn") & F.col("figure_index").isNotNull() & ((F.col("figure_index") < 0) | F.col("taken")), F.col("figure_index")),
+    ))
+    single = rows.select("doc_id", "page", F.col("order").cast("int").alias("order"), F.col("pos").cast("int").alias("pos"), F.explode(found).alias("w"))
+    return many.unionByName(single.select("doc_id", "page", "order", "pos", "w.kind", "w.detail"))
+
+
+def clean_markdown(text: Column) -> tuple[Column, Column]:
+    """(a page's Markdown without control tokens, up to MARKDOWN characters; what was changed: 'control', 'length')."""
+    clean = T.strip_special(text)
+    found = F.array(F.when(text.rlike(f"{T.SPECIAL}|<PAGE>"), "control"), F.when(F.length(clean) > MARKDOWN, "length"))
+    return F.left(clean, F.lit(MARKDOWN)), F.array_compact(found)
+
+
 def fragment(label: Column, type_: Column, content: Column, figure: Column) -> Column:
     """A block's Markdown: null for page furniture and empty blocks, figures by reference, titles as headings, bare formulas as display math."""
     body = T.strip(content)

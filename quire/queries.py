@@ -165,14 +165,37 @@ def strip_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {WILD}, typed AS (SELECT *, (k // 600)::INT AS page, k % 600 AS pos, (k * 7) % 50 AS ord, k % 90 - 2 AS fig, {_TYPE.format(_NAME)} AS type FROM clamped),
 kept AS (SELECT *, sum(CASE WHEN type = 'image' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY ord, pos) AS figure_no FROM typed WHERE pos < 512 AND (type <> 'image' OR bbox IS NOT NULL)),
 capped AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, type, fig ORDER BY ord, pos) AS nth FROM kept WHERE type <> 'image' OR figure_no <= 64)
-SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord, pos) - 1 AS block_no, type, bbox, left(line, 400000) AS content, CASE WHEN type = 'image' AND fig >= 0 AND nth = 1 THEN fig END AS figure_index FROM capped""")
+SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord, pos) - 1 AS block_no, type, bbox, left(line, 100000) AS content, CASE WHEN type = 'image' AND fig >= 0 AND nth = 1 THEN fig END AS figure_index FROM capped""")
 def sanitize_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.sanitize_pages(_untrusted(spark, sf_dir)).withColumn("bbox", joined("bbox"))
+
+
+def _untrusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
-    rows = lift.lines(spark, sf_dir).select(
+    return lift.lines(spark, sf_dir).select(
         "doc_id", F.floor(k / 600).cast("int").alias("page"), (k % 600).alias("pos"), lift.pick(lift.NAMES, (F.col("doc_id") + k) % 12).alias("type"), lift.wild_box().alias("bbox"), F.col("line").alias("content"),
         ((k * 7) % 50).alias("order"), (k % 90 - 2).alias("figure_index"),
     )
-    return sanitize.sanitize_pages(rows).withColumn("bbox", joined("bbox"))
+
+
+@query(f"""WITH {WILD}, typed AS (SELECT *, (k // 600)::INT AS page, k % 600 AS pos, (k * 7) % 50 AS ord, k % 90 - 2 AS fig, {_TYPE.format(_NAME)} AS type FROM clamped),
+counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page) AS n FROM typed), kept AS (SELECT *, type = 'image' AND bbox IS NOT NULL AS drawn FROM counted WHERE pos < 512),
+numbered AS (SELECT *, CASE WHEN drawn THEN sum(drawn::INT) OVER (PARTITION BY doc_id, page ORDER BY ord, pos) END AS figure_no FROM kept),
+used AS (SELECT *, drawn AND figure_no <= 64 AS stays FROM numbered), ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, stays, fig ORDER BY ord, pos) AS nth FROM used)
+SELECT doc_id, page, NULL::INT AS "order", NULL::INT AS pos, 'blocks' AS kind, any_value(n)::VARCHAR AS detail FROM counted WHERE n > 512 GROUP BY doc_id, page
+UNION ALL SELECT doc_id, page, ord::INT, pos::INT, 'box', NULL FROM ranked WHERE bbox IS NULL
+UNION ALL SELECT doc_id, page, ord::INT, pos::INT, 'figures', NULL FROM ranked WHERE figure_no > 64
+UNION ALL SELECT doc_id, page, ord::INT, pos::INT, 'index', fig::VARCHAR FROM ranked WHERE stays AND (fig < 0 OR nth > 1)""")
+def sanitize_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.sanitize_warnings(_untrusted(spark, sf_dir))
+
+
+@query(f"""WITH {LINES}, made AS (SELECT doc_id, k, CASE WHEN k % 3 = 0 THEN line || '<|det|>' WHEN k % 3 = 1 THEN '<PAGE>' || line ELSE line END AS t, line FROM lines) SELECT doc_id, k, left(line, 400000) AS text, CASE WHEN k % 3 < 2 THEN 'control' ELSE '' END AS warnings FROM made""")
+def clean_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    made = F.when(k % 3 == 0, F.concat("line", F.lit("<|det|>"))).when(k % 3 == 1, F.concat(F.lit("<PAGE>"), "line")).otherwise(F.col("line"))
+    text, found = sanitize.clean_markdown(made)
+    return lift.lines(spark, sf_dir).select("doc_id", "k", text.alias("text"), F.array_join(found, ",").alias("warnings"))
 
 
 PIXELS = f"""{LINES}, px AS (SELECT *, (doc_id * 11 + k * 13) % 900 - 20 AS a, (doc_id * 5 + k * 7) % 1200 - 20 AS b, (doc_id * 11 + k * 13) % 900 - 10 + (k * 17) % 300 AS c, (doc_id * 5 + k * 7) % 1200 - 15 + (k * 19) % 200 AS d FROM lines),
@@ -235,6 +258,11 @@ def split_pages_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.chunk_pages(lift.chunks(spark, sf_dir))
 
 
+@query(f"""WITH {CHUNKS} SELECT doc_id, chunk::INT AS chunk, first::INT AS start_page, len(ps)::INT AS found, e::INT AS expected, CASE WHEN len(ps) > e THEN 'surplus' ELSE 'missing' END AS kind FROM started WHERE len(ps) <> e""")
+def chunk_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.chunk_warnings(lift.chunks(spark, sf_dir))
+
+
 @query(f"WITH {CHUNKS}, clean AS (SELECT doc_id, page, {strip('md')} AS md FROM named) SELECT doc_id, {strip("string_agg(md, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page)")} || chr(10) AS markdown FROM clean GROUP BY doc_id")
 def assembled_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.documents(merge.chunk_pages(lift.chunks(spark, sf_dir)))
