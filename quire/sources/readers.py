@@ -70,6 +70,22 @@ def json_array(reply: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(reply, r"(?s)(\[.*\])", 1), schema)
 
 
+def json_object(reply_: Column, schema: str) -> Column:
+    """The object within a model's reply, from the first brace to the last; null if there is none."""
+    found = F.regexp_extract(reply_, r"(?s)(\{.*\})", 1)
+    return F.when(found != "", F.from_json(found, schema))
+
+
+def error_detail(body: Column, most: int = 300) -> Column:
+    """What the body of a failed reply says of its error: its detail or error, where that is text."""
+    said = F.coalesce(*[F.nullif(F.get_json_object(body, f"$.{k}"), F.lit("")) for k in ("detail", "error")])
+    return F.coalesce(F.left(F.when(~said.rlike(r"^[\[{]"), said), F.lit(most)), F.lit("(no detail)"))
+
+
+def preview(body: Column, most: int = 200) -> Column:
+    return F.left(body, F.lit(most))
+
+
 def reply(c: Column) -> Column:
     """A reply without a leading block of thoughts and without a code fence around it."""
     plain = F.trim(F.regexp_replace(c, r"(?s)^\s*<think>.*?</think>", ""))

@@ -5,12 +5,13 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire import schemas
 from quire.functions import text as T
 from quire.operators import evaluate, geometry, glossary, jobs, layout, masking, merge, records, render, repetition, sanitize, translate
-from quire.sources import readers, sinks
+from quire.sources import readers, settings, sinks
 
 
 def rows(df):
@@ -258,3 +259,30 @@ def test_texts_that_are_not_there(spark):
     none = spark.createDataFrame([], "id int, lang string, text string")
     assert rows(records.shown_text(own, texts, none)) == [(1, "a", True, True), (2, None, False, False)]
     assert {r.found for r in records.shown_text(own, texts, none, "ko").collect()} == {False}
+
+
+def test_settings(spark, tmp_path):
+    own = settings.Settings.of({"MAX_PAGES": "0", "PAGES_PER_CHUNK": "-3", "PAGE_SEPARATOR": "\\n#\\n", "ALLOWED_HOSTS": " a, ,b:80 "})
+    assert (own.max_pages, own.pages_per_chunk, own.page_separator, own.allowed_hosts, own.max_page_chars) == (None, 1, "\n#\n", ("a", "b:80"), 16_384)
+    assert settings.pages(spark, settings.Settings.of({"PAGES_PER_CHUNK": "2"})).count() == 8
+    with pytest.raises(ValueError, match="ENGINE"):
+        settings.Settings.of({"ENGINE": "x"})
+    with pytest.raises(ValueError, match="SIDECAR"):
+        settings.pages(spark, settings.Settings.of({"ENGINE": "layout-sidecar"}))
+    body = json.dumps({"protocol_version": 1, "engine": "e", "pages": [{"page_index": 0, "markdown": "m", "blocks": []}]})
+    (tmp_path / "a.json").write_text(body)
+    (tmp_path / "b.json").write_text(body + " " * (2 << 20))
+    sidecar = {"ENGINE": "figure-sidecar", "SIDECAR": "e", "RESPONSES": str(tmp_path), "MAX_RESPONSE_MB": "1"}
+    assert settings.pages(spark, settings.Settings.of(sidecar)).count() == 1
+    told = settings.TranslationSettings.of({"OPENAI_MODEL": " 'm' ", "OPENAI_BASE_URL": "u", "TRANSLATE_REASONING": "LOW", "TRANSLATE_TIMEOUT_S": "1", "TRANSLATE_CONTEXT": "no"})
+    assert (told.model, told.output_tokens, told.timeout_s, told.context, told.concurrency) == ("m", 10240, 5.0, False, 4)
+    for bad in ({}, {"OPENAI_MODEL": "m", "OPENAI_BASE_URL": "u", "TRANSLATE_API_MODE": "x"}):
+        with pytest.raises(ValueError):
+            settings.TranslationSettings.of(bad)
+
+
+def test_replies(spark):
+    df = spark.createDataFrame([("x {\"a\": {\"b\": 1}} y",), ("none",), ("{broken",), ('{"detail": ""}',), ('{"error": "' + "e" * 400 + '"}',), ('{"detail": {"x": 1}, "error": "z"}',)], "b string")
+    got = df.select(readers.json_object(F.col("b"), "a struct<b:int>"), readers.error_detail(F.col("b")), readers.preview(F.col("b"), 4)).collect()
+    assert got[0][0].a.b == 1 and got[1][0] is None and got[2][0] is None
+    assert [r[1] for r in got] == ["(no detail)"] * 4 + ["e" * 300, "(no detail)"] and got[1][2] == "none"
