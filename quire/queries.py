@@ -280,12 +280,13 @@ def span_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "page", "block_no", F.round("fs", 6).alias("fs"), "bold", "vertical")
 
 
-@query(f"""WITH {LINES}, pages AS (SELECT doc_id, (k // 6 + 1)::INT AS page FROM lines GROUP BY ALL)
-SELECT CASE WHEN page % 3 <> 0 THEN 'multi' WHEN page % 2 = 0 THEN 'single' WHEN doc_id % 2 = 0 THEN 'text_layer' ELSE 'placeholder' END AS source, count(*) AS n FROM pages GROUP BY ALL""")
+@query(f"""WITH {LINES}, pages AS (SELECT doc_id, (k // 6 + 1)::INT AS page, string_agg(line, chr(10) ORDER BY k) AS md FROM lines GROUP BY ALL)
+SELECT doc_id, page, CASE WHEN page % 3 <> 0 THEN md WHEN page % 2 = 0 THEN 'again ' || md WHEN doc_id % 2 = 0 THEN 'layer ' || md ELSE '*[page failed]*' END AS md,
+  CASE WHEN page % 3 <> 0 THEN 'multi' WHEN page % 2 = 0 THEN 'single' WHEN doc_id % 2 = 0 THEN 'text_layer' ELSE 'placeholder' END AS source FROM pages""")
 def fallback_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = lift.box(lift.lines(spark, sf_dir)).groupBy("doc_id", "page").agg(F.max("line").alias("md"))
-    out = merge.fallback(pages.select("doc_id", "page"), pages.filter("page % 3 <> 0"), pages.filter("page % 2 = 0"), pages.filter("doc_id % 2 = 0"))
-    return out.groupBy("source").agg(F.count("*").alias("n"))
+    pages = lift.box(lift.lines(spark, sf_dir)).groupBy("doc_id", "page").agg(F.array_join(ordered("k", "line"), "\n").alias("md"))
+    again, layer = (pages.withColumn("md", F.concat(F.lit(x), "md")) for x in ("again ", "layer "))
+    return merge.fallback(pages.select("doc_id", "page"), pages.filter("page % 3 <> 0"), again.filter("page % 2 = 0"), layer.filter("doc_id % 2 = 0"))
 
 
 @query(f"""WITH {LINES}, rows_ AS (SELECT *, k // 6 AS page FROM lines), pieces AS (SELECT doc_id, page, k, line || CASE WHEN k % 4 = 1 THEN CASE WHEN k % 8 = 1 THEN '![](images/f' || k || '.jpg)' ELSE '' END ELSE '' END AS x FROM rows_),
@@ -958,15 +959,15 @@ def committed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("doc_id", F.size(done).alias("n_committed"), tail.alias("tail"))
 
 
-@query(f"""WITH {LINES}, scores AS (SELECT doc_id, CASE WHEN k % 5 < 4 THEN k % 5 + 1 END AS fidelity, k % 4 = 0 AS omission, CASE WHEN k % 7 = 0 THEN ['e' || k] ELSE [] END AS errors FROM lines)
-SELECT doc_id, count(*) AS judged, round_even(avg(fidelity), 2) AS avg_fidelity, count(*) FILTER (omission) AS omissions, len(flatten(list(errors))) AS n_errors FROM scores GROUP BY doc_id""")
+@query(f"""WITH {LINES}, scores AS (SELECT doc_id, CASE WHEN length(line) % 5 < 4 THEN length(line) % 5 + 1 END AS fidelity, length(line) % 3 + 2.5 AS fluency, length(line) % 4 = 0 AS omission, CASE WHEN length(line) % 7 = 0 THEN ['e' || left(line, 20)] ELSE [] END AS errors FROM lines)
+SELECT doc_id, count(*) AS judged, round_even(avg(fidelity), 2) AS avg_fidelity, round_even(avg(fluency), 2) AS avg_fluency, count(*) FILTER (omission) AS omissions, array_to_string(list_sort(flatten(list(errors))), chr(10)) AS errors FROM scores GROUP BY doc_id""")
 def judge_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import reports
 
-    k = F.col("k")
+    n = F.length("line")
     none = F.array().cast("array<string>")
-    scores = lift.lines(spark, sf_dir).select("doc_id", F.when(k % 5 < 4, k % 5 + 1).alias("fidelity"), (k % 4 == 0).alias("omission"), F.when(k % 7 == 0, F.array(F.concat(F.lit("e"), k.cast("string")))).otherwise(none).alias("errors"))
-    return reports.judge_averages(scores, ["fidelity"]).withColumn("n_errors", F.size("errors").cast("long")).drop("errors")
+    scores = lift.lines(spark, sf_dir).select("doc_id", F.when(n % 5 < 4, n % 5 + 1).alias("fidelity"), (n % 3 + F.lit(2.5)).alias("fluency"), (n % 4 == 0).alias("omission"), F.when(n % 7 == 0, F.array(F.concat(F.lit("e"), F.left("line", F.lit(20))))).otherwise(none).alias("errors"))
+    return reports.judge_averages(scores, ["fidelity", "fluency"]).withColumn("errors", F.array_join("errors", "\n"))
 
 
 @query(f"""WITH {LINES}, units AS (SELECT doc_id, 'md:0:' || k AS unit_id, line AS src FROM lines WHERE {strip('line')} <> ''), tall AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(src) DESC, unit_id) <= 4 AS long FROM units),
