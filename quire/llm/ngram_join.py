@@ -283,8 +283,9 @@ def marks(keys: DataFrame) -> np.ndarray:
     """A map of MARKS bits with those of the keys set. It has a fixed size; the more keys, the fewer others it tells apart."""
     slot = F.pmod(F.xxhash64("key"), F.lit(MARKS))
     words = keys.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(key), {MARKS}) & 63 as int))").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(MARKS // 64, np.int64)
+    found = rows.toArrow()
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return out
 
@@ -376,6 +377,8 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     slots = texts.select(F.pmod(F.xxhash64("key"), F.lit(MARKS)).alias("slot"), "text")
     sets = slots.mapInArrow(runtime.lean(_sets(marked)), "class binary, elements binary").groupBy("class").agg(F.any_value("elements").alias("elements"))
     sets = runtime.written(sets, "sets", codec="uncompressed")
+    marked.destroy()
+    runtime.trim()
 
     # a document with several texts is in a class for each of them: they are one
     owned = rows.filter("class is not null").join(reps, ["class", "cid"]).select("key", "id", "rep", "first")

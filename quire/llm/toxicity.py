@@ -245,7 +245,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", eligible=Non
     rows = sorted(chosen.select("doc_id", "y", "text", "lang").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["y"]))
     runtime.discard(once)
     total = sum(shares.values())
-    return fit([r["text"].encode() for r in rows], np.array([r["y"] for r in rows]), [r["lang"] for r in rows], shares.get(1, 0) / total if total else 0.0)
+    model = fit([r["text"].encode() for r in rows], np.array([r["y"] for r in rows]), [r["lang"] for r in rows], shares.get(1, 0) / total if total else 0.0)
+    del rows
+    runtime.trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
