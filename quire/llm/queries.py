@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann_tree, fingerprints, line_dedup, mixing, ngram_join, runtime, sentencepiece, token_counts, token_output, toxicity, url_filter
+from quire.llm import ann_tree, exact_dedup, fingerprints, join_maintenance, line_dedup, mixing, ngram_join, prefix_trie, runtime, sentencepiece, token_counts, token_output, toxicity, url_filter
 
 JSON_TOKENIZER, PIECE_MODEL, END_ID = "word_bpe_49k.json", "piece_bpe_32k.model", 2
 
@@ -193,6 +193,99 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(shards)
 
 
+def versions(name: str, batches: int, key, part) -> list[tuple]:
+    """Of a row and each batch: whether it is present, its key and its part after so many updates; by crc32 of <name>:doc_id:batch."""
+    c = lambda t: F.crc32(F.concat(F.lit(f"{name}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{t}")))
+    present, updates = c(0) % 3 != 0, F.lit(0)
+    out = [(present, key(updates), part(updates))]
+    for t in range(1, batches + 1):
+        kind = c(t) % 31
+        updates = updates + F.when((kind == 1) & present, 1).otherwise(0)
+        present = present != (kind == 0)
+        out.append((present, key(updates), part(updates)))
+    return out
+
+
+def op11_join_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    home = F.expr("(doc_id - pmod(doc_id, 5)) div 5")
+    docs = versions("d", 3, lambda n: home + n, lambda n: shown(F.col("lang")))
+    labels = versions("l", 3, lambda n: home, lambda n: F.concat(shown(F.when(n % 2 == 1, 1 - F.col("quality")).otherwise(F.col("quality"))), F.lit(","), shown(F.col("toxic"))))
+    left = join_maintenance.log_of(runtime.table(spark, sf_dir, "documents").select("doc_id", "lang"), docs, "join-left")
+    right = join_maintenance.log_of(runtime.table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), labels, "join-right")
+    out = join_maintenance.maintained(left, right, [1, 2, 3])
+    return out.select("batch", "join_key", *[F.coalesce(F.col(f"{x}_part.part"), F.lit("-")).alias(f"{n}_part") for x, n in (("left", "doc"), ("right", "label"))], "weight", "total")
+
+
+def crc32_sql(text: str) -> str:
+    """Of ASCII text, bit by bit."""
+    step = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {step}))"
+
+
+def _versions_sql(name: str, columns: str, key: str, part: str, source: str) -> str:
+    """Rows of a side after each batch, t from 0 to 3."""
+    c = ", ".join(crc32_sql(f"concat('{name}:', doc_id, ':{t}')") + f" AS c{t}" for t in range(4))
+    states, present, updates = [], "c0 % 3 <> 0", "0"
+    for t in range(4):
+        if t:
+            updates = f"({updates} + CASE WHEN c{t} % 31 = 1 AND ({present}) THEN 1 ELSE 0 END)"
+            present = f"({present}) <> (c{t} % 31 = 0)"
+        states.append(f"SELECT {t} AS t, {key.format(n=updates)} AS k, {part.format(n=updates)} AS part FROM {name}_c WHERE {present}")
+    return f"{name}_c AS (SELECT {columns}, {c} FROM {source}), {name}_ AS ({' UNION ALL '.join(states)})"
+
+
+#: The whole join after each batch, and the difference of each to the one before.
+OP11_SQL = f"""
+WITH {_versions_sql("d", "doc_id, lang", "doc_id // 5 + {n}", "coalesce(lang, 'null')", "documents")},
+{_versions_sql("l", "doc_id, quality, toxic", "doc_id // 5", "concat(coalesce(CASE WHEN {n} % 2 = 1 THEN 1 - quality ELSE quality END::VARCHAR, 'null'), ',', coalesce(toxic::VARCHAR, 'null'))", "labels")},
+joined AS (SELECT coalesce(d_.t, l_.t) AS t, coalesce(d_.k, l_.k) AS k, coalesce(d_.part, '-') AS d, coalesce(l_.part, '-') AS l FROM d_ FULL JOIN l_ ON d_.t = l_.t AND d_.k = l_.k),
+signed AS (SELECT t AS batch, k, d, l, 1 AS w, 1 AS n FROM joined WHERE t > 0 UNION ALL SELECT t + 1, k, d, l, -1, 0 FROM joined WHERE t < 3)
+SELECT batch, k::BIGINT AS join_key, d AS doc_part, l AS label_part, sum(w)::BIGINT AS weight, sum(n)::BIGINT AS total FROM signed GROUP BY ALL HAVING sum(w) <> 0
+"""
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup.exact_dedup(runtime.table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP12_SQL = """
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0d]', '', 'g') AS norm FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.contents(runtime.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefix_trie.trie(prefix_trie.spliced(turns))
+
+
+#: A node is the string of its turns' digests; every ancestor of a node is a beginning of that string.
+OP13_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS m, length(coalesce(text, '')) AS size
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {crc32_sql("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+), placed AS (
+  SELECT c.conv_id, 0 AS side, p, m, size FROM convs c JOIN turns t ON t.conv_id = c.base WHERE p <= h
+  UNION ALL SELECT conv_id, 1, p, m, size FROM turns JOIN convs USING (conv_id) WHERE p > h
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY side, p) AS depth FROM placed
+), prefixes AS (
+  SELECT conv_id, depth, size, string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS node FROM numbered
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), nodes AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size FROM prefixes GROUP BY ALL
+), last_ AS (SELECT conv_id, arg_max(node, depth) AS node FROM prefixes GROUP BY conv_id
+), ends AS (SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM last_ GROUP BY node
+), children AS (SELECT left(node, 32 * (depth - 1)) AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), weights AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (node)
+), below AS (SELECT left(node, 32 * d) AS node, sum((n_convs - 1) * size) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM weights, unnest(range(depth + 1)) t(d) GROUP BY 1)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM weights w JOIN below b USING (node) LEFT JOIN ends e USING (node) LEFT JOIN nodes p ON w.depth > 0 AND p.node = left(w.node, 32 * (w.depth - 1))
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -210,6 +303,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_output": op10_token_output,
+    "op11_join_maintenance": op11_join_maintenance,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op6_mixing": OP6_SQL, "op7_url_filter": OP7_SQL, "op9_line_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op6_mixing": OP6_SQL, "op7_url_filter": OP7_SQL, "op9_line_dedup": OP9_SQL, "op11_join_maintenance": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_prefix_trie": OP13_SQL}
