@@ -5,8 +5,8 @@ take away (n < 0) copies of rows. A side's state before a batch is the sum of wh
 For one batch:
 
 1. The keys of both sides' deltas are collected once each.
-2. Both sides' states before the batch are semi-joined to these keys and summed by (join_key, part): the state after is
-   that sum with the delta. Rows of other keys are read, dropped at once and never joined.
+2. Both sides' logs are semi-joined to these keys and summed by (join_key, part), to the counts before and after the
+   batch. Rows of other keys are read, dropped at once and never joined.
 3. Both states are outer-joined as multisets: a pair of parts has as many copies as the product of both counts, a part
    without a partner its own count. Equal rows are one row with a count before they meet, so copies are not expanded.
 4. After minus before, summed by joined row, is the change; what is zero is left out.
@@ -48,10 +48,6 @@ def log_of(rows: DataFrame, versions: list[tuple[Column, Column, Column]], name:
     return runtime.written(out.groupBy("batch", "join_key", "part").agg(F.sum("n").alias("n")), name)
 
 
-def summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("join_key", "part").agg(F.sum("n").alias("n")).filter("n <> 0")
-
-
 def affected(left_delta: DataFrame, right_delta: DataFrame) -> DataFrame:
     """Each key that a delta of either side touches, once."""
     return left_delta.select("join_key").unionByName(right_delta.select("join_key")).distinct()
@@ -75,18 +71,26 @@ def outer(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.unionByName(alone.select(F.col("right_key").alias("join_key"), F.lit(None).cast(kind).alias("left_part"), "right_part", F.col("right_n").alias("copies")))
 
 
+def states(log: DataFrame, keys: DataFrame, batch: int) -> DataFrame:
+    """join_key, part, before and after: the counts of the affected rows around a batch, in one sum over the log, written."""
+    rows = touched(log.filter(F.col("batch") <= batch), keys)
+    sums = rows.groupBy("join_key", "part").agg(F.sum(F.when(F.col("batch") < batch, F.col("n")).otherwise(0)).alias("before"), F.sum("n").alias("after"))
+    return runtime.written(sums, "join-states")
+
+
 def changes(left: DataFrame, right: DataFrame, batch: int) -> DataFrame:
-    """What a batch changes in the join of two logs: batch, join_key, left_part, right_part (structs of part, null for padding), weight (copies after minus before), total (copies after)."""
-    deltas = [x.filter(F.col("batch") == batch).select("join_key", "part", "n") for x in (left, right)]
-    keys = affected(*deltas)
-    before = [touched(x.filter(F.col("batch") < batch).select("join_key", "part", "n"), keys) for x in (left, right)]
-    after = [summed(b.unionByName(d)) for b, d in zip(before, deltas)]
-    gone = outer(*map(summed, before)).withColumn("signed", -F.col("copies")).withColumn("copies", F.lit(0).cast("long"))
+    """What a batch changes in the join of two logs, written: batch, join_key, left_part, right_part (structs of part, null for padding), weight (copies after minus before), total (copies after)."""
+    keys = affected(*[x.filter(F.col("batch") == batch) for x in (left, right)])
+    both = [states(x, keys, batch) for x in (left, right)]
+    before, after = ([x.filter(F.col(at) != 0).select("join_key", "part", F.col(at).alias("n")) for x in both] for at in ("before", "after"))
+    gone = outer(*before).withColumn("signed", -F.col("copies")).withColumn("copies", F.lit(0).cast("long"))
     come = outer(*after).withColumn("signed", F.col("copies"))
-    both = gone.unionByName(come).groupBy("join_key", "left_part", "right_part").agg(F.sum("signed").alias("weight"), F.sum("copies").alias("total"))
-    return both.filter("weight <> 0").select(F.lit(batch).alias("batch"), "join_key", "left_part", "right_part", "weight", "total")
+    signed = gone.unionByName(come).groupBy("join_key", "left_part", "right_part").agg(F.sum("signed").alias("weight"), F.sum("copies").alias("total"))
+    out = runtime.written(signed.filter("weight <> 0").select(F.lit(batch).alias("batch"), "join_key", "left_part", "right_part", "weight", "total"), "join-changes")
+    runtime.discard(*both)
+    return out
 
 
 def maintained(left: DataFrame, right: DataFrame, batches: list[int]) -> DataFrame:
-    """changes() of several batches in turn."""
+    """changes() of several batches in turn; each batch's changes are a table before the next one is looked at."""
     return reduce(DataFrame.unionByName, [changes(left, right, b) for b in batches])
