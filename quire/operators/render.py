@@ -2,50 +2,53 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from quire.functions import text as T
 from quire.operators import geometry
 
-_CODE = re.compile(r"```.*?```|`[^`\n]+`", re.S)
-_MATH = re.compile(r"\$\$(.+?)\$\$|\$([^$\n]+)\$|\$", re.S)
-# Math in display and inline delimiters; table tags as they look when escaped, with numeric spans only.
-MATH = r"(?s)\\\[(.+?)\\\]|\\\((.+?)\\\)"
-TABLE = r"(?i)&lt;(/?)(table|thead|tbody|tr|td|th)((?:\s+(?:colspan|rowspan)=(?:&quot;|&#x27;)?\d{1,3}(?:&quot;|&#x27;)?)*)\s*(/?)&gt;"
-SPAN = r"(?i)(colspan|rowspan)=\D*?(\d+)"
+# Code that is left alone, math in brackets and in dollars, what makes a text LaTeX.
+CODE = r"(?dms)^```.*?^```[ \t]*$|^~~~.*?^~~~[ \t]*$|`[^`\n]+`"
+MATH, BLOCK, INLINE = r"(?s)\\\[(.+?)\\\]|\\\((.+?)\\\)", r"(?s)\\\[(.+?)\\\]", r"(?s)\\\((.+?)\\\)"
+DOLLARS, DOLLAR = r"(?s)\$\$(.+?)\$\$", r"\$([^$\n]+?)\$"
+LATEX, DIGITS = r"[\\^_{}]", r"^[\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}]"
+#: Signs that later passes would take for delimiters stand for themselves under these noncharacters.
+SIGNS, HIDDEN = "$\\^_{}", "".join(chr(0xFDD0 + k) for k in range(6))
+# Table tags as they look when escaped, with any attributes up to 300 characters; spans as they look there.
+TABLE = r"(?d)&lt;(/?)(table|thead|tbody|tr|th|td)(?=[\s/]|&gt;)((?:(?!&[lg]t;).){0,300}?)\s*/?&gt;"
+SPAN = r"\s((?:colspan|rowspan)=)&quot;(\d{1,3})&quot;"
 
 
-def inline_math(body: str) -> bool:
-    """Whether what stands between dollars is math: it has LaTeX characters, or is short and starts with no digit."""
-    return bool(re.search(r"[\\^_{}=]", body)) or (len(body) <= 40 and not body.lstrip()[:1].isdigit())
+def _hidden(c: Column) -> Column:
+    return F.translate(c, SIGNS, HIDDEN)
 
 
-def normalized(text: str) -> str:
-    """Dollars as bracket delimiters where they hold math, escaped where they don't; code is left alone."""
+def math_normalized(text: Column) -> Column:
+    """All math in dollars, display math on lines of its own: brackets become dollars, blank math goes, dollars that hold no math are escaped; code is left alone.
 
-    def one(m: re.Match) -> str:
-        if m[1] is not None:
-            return f"\\[{m[1]}\\]"
-        if m[2] is not None and inline_math(m[2]):
-            return f"\\({m[2]}\\)"
-        return m[0].replace("$", "\\$")
+    Text in single dollars is math if it holds LaTeX, or is of at most 40 characters and begins with no digit. Code inside math stays as it is written; single dollars don't reach over display math.
+    """
 
-    out, at = [], 0
-    for m in _CODE.finditer(text):
-        out += [_MATH.sub(one, text[at : m.start()]), m[0]]
-        at = m.end()
-    return "".join([*out, _MATH.sub(one, text[at:])])
+    def display(tex: Column) -> Column:
+        return F.when(tex == "", "").otherwise(F.concat(F.lit("\n\n$$\n"), tex, F.lit("\n$$\n\n")))
 
+    def single(m: Column) -> Column:
+        tex = T.strip(F.substring(m, F.lit(2), F.length(m) - 2))
+        math = tex.rlike(LATEX) | ((tex != "") & ~tex.rlike(DIGITS) & (F.length(tex) <= 40))
+        return F.when(math, _hidden(F.concat(F.lit("$"), tex, F.lit("$")))).otherwise(m)
 
-@F.pandas_udf(StringType())
-def math_normalized(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else normalized(t))
+    inner = lambda m: T.strip(F.substring(m, F.lit(3), F.length(m) - 4))
+    same = lambda p: p
+    out = _rewritten(text, CODE, same, _hidden)
+    out = _rewritten(out, DOLLARS, same, lambda m: _hidden(display(inner(m))))
+    out = _rewritten(out, DOLLAR, same, single)
+    out = F.replace(out, F.lit("$"), F.lit("\\$"))
+    out = _rewritten(out, BLOCK, same, lambda m: display(inner(m)))
+    out = _rewritten(out, INLINE, same, lambda m: F.when(inner(m) == "", "").otherwise(F.concat(F.lit("$"), inner(m), F.lit("$"))))
+    return F.translate(out, HIDDEN, SIGNS)
 
 
 def escape(c: Column) -> Column:
@@ -54,10 +57,19 @@ def escape(c: Column) -> Column:
     return c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _rewritten(text: Column, pattern: str, piece: Callable[[Column], Column], mark: Callable[[Column], Column]) -> Column:
     """text with mark of each match of the pattern between piece of what lies around."""
-    marks = F.concat(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), mark), F.array(F.lit("")))
-    return F.array_join(F.zip_with(F.split(text, pattern, -1), marks, lambda p, m: F.concat(piece(p), m)), "")
+
+    def put(t: Column) -> Column:
+        marks = F.concat(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), mark), F.array(F.lit("")))
+        return F.array_join(F.zip_with(F.split(t, pattern, -1), marks, lambda p, m: F.concat(piece(p), m)), "")
+
+    return let(text, put)
 
 
 def with_math(text: Column) -> Column:
@@ -72,12 +84,13 @@ def with_math(text: Column) -> Column:
 
 
 def table_tags(escaped: Column) -> Column:
-    """Escaped text in which table tags are tags again, with numeric spans as their only attributes."""
+    """Escaped text in which table tags are tags again; of their attributes numeric spans in quotes stay, behind a blank."""
 
     def tag(m: Column) -> Column:
+        attributes = F.regexp_extract(m, TABLE, 3)
+        spans = F.zip_with(F.regexp_extract_all(attributes, F.lit(SPAN), F.lit(1)), F.regexp_extract_all(attributes, F.lit(SPAN), F.lit(2)), lambda k, v: F.concat(F.lit(" "), k, F.lit('"'), v, F.lit('"')))
         close = F.regexp_extract(m, TABLE, 1)
-        spans = F.zip_with(F.regexp_extract_all(m, F.lit(SPAN), F.lit(1)), F.regexp_extract_all(m, F.lit(SPAN), F.lit(2)), lambda k, v: F.concat(F.lit(" "), F.lower(k), F.lit('="'), v, F.lit('"')))
-        return F.concat(F.lit("<"), close, F.lower(F.regexp_extract(m, TABLE, 2)), F.when(close == "", F.array_join(spans, "")).otherwise(""), F.lit(">"))
+        return F.concat(F.lit("<"), close, F.regexp_extract(m, TABLE, 2), F.when(close == "", F.array_join(spans, "")).otherwise(""), F.lit(">"))
 
     return _rewritten(escaped, TABLE, lambda p: p, tag)
 
@@ -108,20 +121,42 @@ def sections(md: Column, separator: str) -> Column:
     return F.array_join(F.transform(pages, lambda p, i: F.concat(F.lit('<section data-page="'), (i + 1).cast("string"), F.lit('">'), p, F.lit("</section>"))), "\n")
 
 
+# Tags of a stream, labels of page furniture, what stands for an image, and the rule between pages.
+DET = r"<\|det\|>\s*([A-Za-z_][A-Za-z0-9_-]*)\s*\[\s*[0-9]+\s*,\s*[0-9]+\s*,\s*[0-9]+\s*,\s*[0-9]+\s*\]\s*<\|/det\|>"
+REF = r"<\|ref\|>([^<]{1,40})<\|/ref\|><\|det\|>\[\[?[0-9,\s\[\]]*\]\]?<\|/det\|>"
+FURNITURE, IMAGE, RULE = ("page_number", "header", "footer", "footnote"), "> 🖼 그림 감지됨", "---"
+MARK = "<PAGE>"
+
+
+def label_key(label: Column) -> Column:
+    """A label as it is compared: trimmed, in lower case, runs of white space and hyphens as one underscore."""
+    return F.regexp_replace(F.lower(T.strip(label)), rf"(?:{T.WHITE}|-)+", "_")
+
+
 def preview(raw: Column) -> Column:
-    """A tagged stream as Markdown: titles as headings, images as a mark, page furniture left out, one rule between pages."""
-    tag = r"(?is)<\|det\|>\s*([a-z_][\w-]*)\s*\[[^\]]*\]\s*<\|/det\|>|<PAGE>"
-    tags, pieces = F.regexp_extract_all(raw, F.lit(tag), 0), F.split(raw, tag, -1)
+    """A tagged stream as Markdown, a block for each tag: titles as headings on one line, images as a mark, page furniture left out, one rule between pages.
+
+    What follows a det tag is its own text; what follows an image, a ref tag or a page's beginning is plain.
+    """
+    tag = f"{DET}|{REF}|{MARK}"
 
-    def part(t: Column, p: Column) -> Column:
-        label = F.lower(F.regexp_extract(t, tag, 1))
+    def parts(t: Column, p: Column) -> Column:
+        is_det = t.startswith("<|det|>")
+        key = F.when(is_det, label_key(F.regexp_extract(t, DET, 1))).when(t.startswith("<|ref|>"), label_key(F.regexp_extract(t, REF, 1)))
         body = T.strip(F.regexp_replace(p, T.SPECIAL, ""))
-        return (
-            F.when(t.isNull(), body).when(t == "<PAGE>", F.concat(F.lit("\x00"), body)).when(label.isin("page_number", "header", "footer", "footnote"), "")
-            .when(label == "image", "*[image]*").when((label == "title") & (body != ""), F.concat(F.lit("## "), body)).otherwise(body)
-        )
-
-    heads = F.concat(F.array(F.lit(None).cast("string")), tags)
-    text = F.array_join(F.filter(F.zip_with(heads, pieces, part), lambda x: x != ""), "\n\n")
-    pages = F.filter(F.transform(F.split(text, "\x00", -1), T.strip), lambda x: x != "")
-    return F.array_join(pages, "\n\n---\n\n")
+        head = F.when(t == MARK, "\x00").when(key == "image", IMAGE)
+        own = F.when(is_det & key.isin(*FURNITURE), "").when(is_det & (key == "title") & (body != ""), F.concat(F.lit("## "), F.regexp_replace(body, r"\s*\n+\s*", " "))).otherwise(body)
+        return F.array(head, F.when(own != "", own))
+
+    def ruled(found: Column) -> Column:
+        # a rule where something stands before it that is no rule
+        kept = F.filter(found, lambda p, i: (p != "\x00") | ((i > 0) & ~F.coalesce(F.get(found, i - 1), F.lit("\x00")).isin("\x00", RULE)))
+        return F.transform(kept, lambda p: F.when(p == "\x00", RULE).otherwise(p))
+
+    def ended(all_: Column) -> Column:
+        n = F.size(all_)
+        return F.array_join(F.when((n > 0) & (F.get(all_, n - 1) == RULE), F.slice(all_, F.lit(1), F.greatest(n - 1, F.lit(0)))).otherwise(all_), "\n\n")
+
+    heads = F.concat(F.array(F.lit("")), F.regexp_extract_all(raw, F.lit(tag), F.lit(0)))
+    found = F.array_compact(F.flatten(F.zip_with(heads, F.split(raw, tag, -1), parts)))
+    return let(let(found, ruled), ended)

@@ -41,6 +41,35 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "tagged"))), lambda x: x["tagged"]), "\n").alias("raw"))
 
 
+PREVIEW_LABELS = ("title", "page-number", "table", "Title", "image", "Header", "text", "foot-note", "footnote")
+
+
+def tagged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page, raw: six lines a page under tags of all kinds of label, every seventh a ref tag with two boxes; titles over many lines, stray tokens."""
+    return tagged(lines(spark, sf_dir))
+
+
+def tagged(rows: DataFrame) -> DataFrame:
+    """tagged_pages of rows (doc_id, k, line)."""
+    rows = box(rows).withColumn("label", pick(PREVIEW_LABELS, F.col("k") % 9))
+    text = F.array_join(F.col("bbox").cast("array<string>"), ", ")
+    line = F.concat(F.when((F.lower("label") == "title") & (F.col("k") % 2 == 1), F.replace("line", F.lit(" "), F.lit("\n"))).otherwise(F.col("line")), F.when(F.col("k") % 11 == 5, "<|/x|>").otherwise(""))
+    ref = F.concat(F.lit("<|ref|>"), F.col("label"), F.lit(" <|/ref|><|det|>[["), text, F.lit("], ["), text, F.lit("]]<|/det|>"), line)
+    det = F.concat(F.lit("<|det|>"), F.col("label"), F.lit(" ["), text, F.lit("]<|/det|>"), line)
+    rows = rows.withColumn("tagged", F.when(F.col("k") % 7 == 3, ref).otherwise(det))
+    return rows.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "tagged"))), lambda x: x["tagged"]), "\n").alias("raw"))
+
+
+#: What stands behind every ninth line: math of both kinds, money, blank math, code of three kinds.
+MATHY = (" \\( x + y \\)", " costs $5 and $7 more", "\n~~~\n$ \\( no \\) $\n~~~", " $$ z_k = 1 $$", " $T < 3$ and $n = 2$", " `$c`", " \\[ \\frac{a}{b} \\]", " \\(  \\) $$ $$", '\n```py\na = "$b$"\n```')
+
+
+def mathy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text with math and money."""
+    rows = lines(spark, sf_dir).select("doc_id", "k", F.concat("line", pick(MATHY, F.col("k") % len(MATHY))).alias("line"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
 def wild_box() -> Column:
     """A box that may lie outside, be reversed or too small."""
     d, k = F.col("doc_id"), F.col("k")

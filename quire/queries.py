@@ -97,6 +97,7 @@ def block_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ESCAPED = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _PERCENT = "printf('%.2f', {0} / 999::DOUBLE * 100)"
+_RAW_TABLE = '<table border="1"><tr><td style="a" colspan="2">'
 _BODY = f"""CASE type WHEN 'table' THEN '<table><tr><td colspan="2">' || {_ESCAPED.format('content')} || '</td></tr></table>' WHEN 'formula' THEN '<span class="math-display">a &lt; b</span>' || {_ESCAPED.format('content')} ELSE {_ESCAPED.format('content')} END"""
 
 
@@ -104,7 +105,7 @@ _BODY = f"""CASE type WHEN 'table' THEN '<table><tr><td colspan="2">' || {_ESCAP
 clamped AS (SELECT * REPLACE (CASE WHEN kind = 2 THEN x1 + 3 ELSE least(x2, 999) END AS x2, least(y2, 999) AS y2), CASE WHEN height > 0 THEN height / width::DOUBLE ELSE 1414 / width::DOUBLE END AS aspect, {_BODY} AS body FROM shaped),
 sized AS (SELECT *, CASE WHEN kind = 1 THEN block_no % 9::DOUBLE END AS fs, {_size_sql('body')} AS weight, (x2 - x1) / 999::DOUBLE * 100 AS w, (y2 - y1) / 999::DOUBLE * 100 * aspect AS h FROM clamped),
 drawn AS (SELECT *, coalesce(greatest(0.6, least(6.0, fs)), CASE WHEN weight >= 1 AND w > 0 AND h > 0 THEN greatest(0.8, least(3.6, least(sqrt(w * h / (weight * 1.2::DOUBLE)), h / 1.25::DOUBLE))) END) AS size,
-  CASE WHEN block_no % 11 = 5 THEN 'down' WHEN fs IS NULL AND w > 0 AND h >= w * 6 AND length(CASE type WHEN 'table' THEN '<table><tr><td colspan="2">' || content || '</td></tr></table>' WHEN 'formula' THEN '\\[ a < b \\]' || content ELSE content END) >= 12 THEN 'up' END AS turned,
+  CASE WHEN block_no % 11 = 5 THEN 'down' WHEN fs IS NULL AND w > 0 AND h >= w * 6 AND length(CASE type WHEN 'table' THEN '{_RAW_TABLE}' || content || '</td></tr></table>' WHEN 'formula' THEN '\\[ a < b \\]' || content ELSE content END) >= 12 THEN 'up' END AS turned,
   'left:' || {_PERCENT.format('x1')} || '%;top:' || {_PERCENT.format('y1')} || '%;width:' || {_PERCENT.format('greatest(x2 - x1, 4)')} || '%;height:' || {_PERCENT.format('greatest(y2 - y1, 4)')} || '%;' AS style FROM sized),
 boxes_ AS (SELECT doc_id, page, aspect, string_agg(CASE WHEN type = 'image' AND block_no % 2 = 0 THEN '<img class="layout-block layout-image" src="/files/images/p' || page || '_' || block_no || '.jpg" style="' || style || '" alt="">'
   ELSE '<div class="layout-block layout-' || type || coalesce(' layout-vertical-' || turned, '') || '" style="' || style || CASE WHEN size IS NULL THEN '' ELSE 'font-size:' || printf('%.2f', size) || 'cqw;line-height:1.22;' || CASE WHEN block_no % 4 = 1 AND type <> 'title' THEN 'font-weight:600;' ELSE '' END END
@@ -112,7 +113,7 @@ boxes_ AS (SELECT doc_id, page, aspect, string_agg(CASE WHEN type = 'image' AND
 SELECT doc_id, '<div class="doclayout-body" lang="ko">' || chr(10) || string_agg('<section class="layout-page" data-page="' || page || '"><div class="layout-canvas" style="padding-top:' || printf('%.2f', aspect * 100) || '%">' || html || '</div></section>', chr(10) ORDER BY page) || chr(10) || '</div>' AS html FROM boxes_ GROUP BY doc_id""")
 def layout_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, b = F.col("block_no"), F.col("bbox")
-    content = F.when(F.col("type") == "table", F.concat(F.lit('<table><tr><td colspan="2">'), "content", F.lit("</td></tr></table>"))).when(F.col("type") == "formula", F.concat(F.lit("\\[ a < b \\]"), "content")).otherwise(F.col("content"))
+    content = F.when(F.col("type") == "table", F.concat(F.lit(_RAW_TABLE), "content", F.lit("</td></tr></table>"))).when(F.col("type") == "formula", F.concat(F.lit("\\[ a < b \\]"), "content")).otherwise(F.col("content"))
     blocks = layout.parse_blocks(lift.raw_pages(spark, sf_dir)).select(
         "doc_id", "page", "block_no", "type", F.when(n % 3 == 2, F.array(b[0], b[1], b[0] + 3, b[3])).otherwise(b).alias("bbox"), content.alias("content"),
         F.when((F.col("type") == "image") & (n % 2 == 0), F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_"), n.cast("string"), F.lit(".jpg"))).when(F.col("type") == "image", "../x").alias("image"),
@@ -849,29 +850,64 @@ def segment_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", segment.assembled("text", new).eqNullSafe(F.col("text")).alias("same"))
 
 
-_MATH_SQL = "(?s)\\$\\$(?:.+?)\\$\\$|\\$[^$\\n]+\\$|\\$"
-_CODE_SQL = "(?s)```.*?```|`[^`\\n]+`"
-_ONE_SQL = """CASE WHEN regexp_full_match(m, '(?s)\\$\\$.+?\\$\\$') THEN '\\[' || m[3:-3] || '\\]'
-  WHEN regexp_full_match(m, '\\$[^$\\n]+\\$') AND (regexp_matches(m[2:-2], '[\\\\^_{}=]') OR (length(m) <= 42 AND NOT regexp_matches(m[2:-2], '^\\s*\\p{Nd}'))) THEN '\\(' || m[2:-2] || '\\)' ELSE replace(m, '$', '\\$') END"""
 _GLUED = "lambda a, b: a || b"
 
 
-@query(f"""WITH {_TOKENED}, cut AS (SELECT doc_id, k, string_split_regex(line, '{_CODE_SQL}') AS ps, regexp_extract_all(line, '{_CODE_SQL}') AS cs FROM tokened),
-pieces AS (SELECT doc_id, k, i, string_split_regex(ps[i], '{_MATH_SQL}') AS xs, list_transform(regexp_extract_all(ps[i], '{_MATH_SQL}'), lambda m: {_ONE_SQL}) AS ms, coalesce(cs[i], '') AS code FROM cut, unnest(range(1, len(ps) + 1)) t(i)),
-put AS (SELECT doc_id, k, i, list_reduce(list_prepend('', list_transform(range(1, len(xs) + 1), lambda j: xs[j] || coalesce(ms[j], ''))), {_GLUED}) || code AS x FROM pieces)
-SELECT doc_id, k, string_agg(x, '' ORDER BY i) AS text FROM put GROUP BY doc_id, k""")
+def _put(source: str, pattern: str, mark: str, more: str = "") -> str:
+    """A step over (doc_id, t, …): each match m of the pattern, the i-th, replaced by mark; more names further columns, in which ms are the matches."""
+    pattern = pattern.replace("'", "''")
+    inner = f"SELECT *, string_split_regex(t, '{pattern}') AS ps, regexp_extract_all(t, '{pattern}') AS ms FROM {source}"
+    marks = f"list_transform(ms, lambda m, i: {mark})"
+    return f"(SELECT * EXCLUDE (ps, ms, t), list_reduce(list_prepend('', list_transform(range(1, len(ps) + 1), lambda j: ps[j] || coalesce({marks}[j], ''))), {_GLUED}) AS t{more} FROM ({inner}))"
+
+
+_TEX = strip("m[3:-3]")
+_TEX1 = strip("m[2:-2]")
+_IS_MATH = f"(regexp_matches({_TEX1}, '[\\\\^_{{}}]') OR ({_TEX1} <> '' AND length({_TEX1}) <= 40 AND NOT regexp_matches({_TEX1}, '^\\p{{Nd}}')))"
+_DISPLAY = f"CASE WHEN {_TEX} = '' THEN '' ELSE chr(10) || chr(10) || '$$' || chr(10) || {_TEX} || chr(10) || '$$' || chr(10) || chr(10) END"
+_SPLIT = "string_split(replace(t, chr(2), chr(1)), chr(1))"
+
+
+def _restored(source: str, kinds: dict[str, str]) -> str:
+    """Marks of these kinds as the texts that a column holds for them, other marks as they are."""
+    cases = " ".join(f"WHEN p[1] = '{k}' THEN {c}[p[2:]::INT]" for k, c in kinds.items())
+    return f"(SELECT * REPLACE (list_reduce(list_transform({_SPLIT}, lambda p, i: CASE WHEN i % 2 = 1 THEN p {cases} ELSE chr(1) || p || chr(1) END), {_GLUED}) AS t) FROM {source})"
+
+
+_MATHY = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in lift.MATHY) + "]"
+
+
+@query(f"""WITH {LINES}, raw AS (SELECT doc_id, string_agg(line || {_MATHY}[k % 9 + 1], chr(10) ORDER BY k) AS t FROM lines GROUP BY doc_id),
+coded AS {_put("raw", "(?ms)^```.*?^```[ \\t]*$|^~~~.*?^~~~[ \\t]*$|`[^`\\n]+`", "chr(1) || 'c' || i || chr(1)", ", ms AS codes")},
+displayed AS {_put("coded", "(?s)\\$\\$.+?\\$\\$", "chr(2) || 'd' || i || chr(2)", f", list_transform(ms, lambda m: {_DISPLAY}) AS displays")},
+inlined AS {_put("displayed", "\\$[^$\\n\\x02]+?\\$", f"CASE WHEN {_IS_MATH} THEN chr(1) || 'i' || i || chr(1) ELSE m END", f", list_transform(ms, lambda m: '$' || {_TEX1} || '$') AS inlines")},
+escaped AS (SELECT * REPLACE (replace(t, '$', '\\$') AS t) FROM inlined),
+blocks AS {_put("escaped", "(?s)\\\\\\[.+?\\\\\\]", _DISPLAY)},
+spans AS {_put("blocks", "(?s)\\\\\\(.+?\\\\\\)", f"CASE WHEN {_TEX} = '' THEN '' ELSE '$' || {_TEX} || '$' END")},
+maths AS {_restored("spans", {"d": "displays", "i": "inlines"})}
+SELECT doc_id, t AS text FROM {_restored("maths", {"c": "codes"})}""")
 def math_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import render
 
-    return lift.tokened(spark, sf_dir).select("doc_id", "k", render.math_normalized("line").alias("text"))
+    return lift.mathy(spark, sf_dir).select("doc_id", render.math_normalized(F.col("text")).alias("text"))
+
 
+_LONG = "x" * 301
+_HEAD, _TAIL = '<table border="1" onload="x"><tr data-colspan="4" colspan="2"><TD><td style="a" rowspan="3" colspan="12345" colspan="7"/><th\n class="y">', f'</td ></tr></table><threshold><td {_LONG}><thead /><tbody colspan=2><'
+_ESCAPED_SQL = lambda x: f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
-@query(f"""WITH {LINES} SELECT doc_id, k, '&lt;table onload=&quot;x&quot;&gt;<tr><td colspan="2" rowspan="3">' || {_ESCAPED.format('line')} || '</td></tr></table>&lt;td style=&quot;a&quot;&gt;&lt;script&gt;' AS html FROM lines""")
+
+@query(rf"""WITH {LINES}, raw AS (SELECT doc_id, k, {_ESCAPED_SQL(f"'{_HEAD}' || line || '{_TAIL}'")} AS t FROM lines),
+cut AS (SELECT doc_id, k, i, segs[i] AS seg, i = len(segs) AS last FROM (SELECT *, string_split(t, '&gt;') AS segs FROM raw), unnest(range(1, len(segs) + 1)) u(i)),
+split_ AS (SELECT *, string_split(seg, '&lt;')[-1] AS c FROM cut),
+read_ AS (SELECT *, contains(seg, '&lt;') AND NOT last AND regexp_matches(c, '^/?(?:table|thead|tbody|tr|th|td)(?:[\s/]|$)') AS named, regexp_replace(regexp_replace(c, '^/?(?:table|thead|tbody|tr|th|td)', ''), '\s*/?$', '') AS attributes FROM split_),
+told AS (SELECT *, named AND length(attributes) <= 300 AND NOT contains(attributes, chr(10)) AS tag, regexp_extract(c, '^/?(?:table|thead|tbody|tr|th|td)') AS name FROM read_),
+put AS (SELECT *, CASE WHEN last THEN seg WHEN tag THEN left(seg, length(seg) - length(c) - 4) || '<' || name || CASE WHEN c[1] = '/' THEN '' ELSE coalesce(list_reduce(list_prepend('', list_transform(regexp_extract_all(attributes, '\s(?:colspan|rowspan)=&quot;\d{{1,3}}&quot;'), lambda x: ' ' || replace(trim(x), '&quot;', '"'))), {_GLUED}), '') END || '>' ELSE seg || '&gt;' END AS x FROM told)
+SELECT doc_id, k, string_agg(x, '' ORDER BY i) AS html FROM put GROUP BY doc_id, k""")
 def table_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import render
 
-    html = F.concat(F.lit('<table onload="x"><TR><td ColSpan="2" rowspan=3>'), "line", F.lit('</td ></tr></TABLE><td style="a"><script>'))
-    return lift.lines(spark, sf_dir).select("doc_id", "k", render.tables_restored(html).alias("html"))
+    return lift.lines(spark, sf_dir).select("doc_id", "k", render.tables_restored(F.concat(F.lit(_HEAD), "line", F.lit(_TAIL))).alias("html"))
 
 
 @query(f"""WITH {LINES}, pages AS (SELECT doc_id, k // 6 AS p, string_agg(line, chr(10) ORDER BY k) AS md FROM lines GROUP BY ALL)
@@ -884,16 +920,20 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("doc_id", render.sections(F.col("md"), "\x01PAGE\x01").alias("html"))
 
 
-@query(f"""WITH {BOXED}, said AS (SELECT doc_id, page, k, label, k % 7 = 3 AS is_ref, CASE WHEN k % 7 = 3 THEN label || '[[' || concat_ws(', ', x1, y1, x2, y2) || '], [' || concat_ws(', ', x1, y1, x2, y2) || ']]' || line ELSE line END AS t FROM boxed),
-counted AS (SELECT *, sum((NOT is_ref)::INT) OVER (PARTITION BY doc_id, page ORDER BY k) AS g FROM said),
-bodies AS (SELECT doc_id, page, g, min(k) AS k, any_value(label) FILTER (NOT is_ref) AS label, {strip("string_agg(t, chr(10) ORDER BY k)")} AS body FROM counted GROUP BY doc_id, page, g),
-parts AS (SELECT *, CASE WHEN label = 'image' THEN '*[image]*' WHEN label = 'title' AND body <> '' THEN '## ' || body ELSE body END AS part FROM bodies),
-shown AS (SELECT doc_id, page, {strip("string_agg(part, chr(10) || chr(10) ORDER BY k) FILTER (part <> '')")} AS md FROM parts GROUP BY doc_id, page)
-SELECT doc_id, coalesce(string_agg(md, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page) FILTER (md <> ''), '') AS preview FROM shown GROUP BY doc_id""")
+_PREVIEW_LABELS = "[" + ", ".join(f"'{x}'" for x in lift.PREVIEW_LABELS) + "]"
+#: Every tag owns the text up to the next one, which is its line; the rules of the preview, tag by tag.
+PREVIEW = f"""{LINES}, labelled AS (SELECT doc_id, k, k // 6 + 1 AS page, k % 7 = 3 AS is_ref, {_PREVIEW_LABELS}[k % 9 + 1] AS label, line FROM lines),
+owned AS (SELECT *, replace(lower(label), '-', '_') AS key, {strip("CASE WHEN lower(label) = 'title' AND k % 2 = 1 THEN replace(line, ' ', chr(10)) ELSE line END")} AS body FROM labelled),
+parts AS (SELECT doc_id, page, k, 0 AS side, '> 🖼 그림 감지됨' AS part FROM owned WHERE key = 'image'
+  UNION ALL SELECT doc_id, page, k, 1, CASE WHEN NOT is_ref AND key = 'title' THEN '## ' || regexp_replace(body, '\\s*\\n+\\s*', ' ', 'g') ELSE body END FROM owned WHERE body <> '' AND (is_ref OR key NOT IN ('page_number', 'header', 'footer', 'footnote'))),
+shown AS (SELECT doc_id, page, string_agg(part, chr(10) || chr(10) ORDER BY k, side) AS md FROM parts GROUP BY doc_id, page)"""
+
+
+@query(f"""WITH {PREVIEW} SELECT doc_id, coalesce(string_agg(md, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page), '') AS preview FROM documents LEFT JOIN shown USING (doc_id) GROUP BY doc_id""")
 def structure_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import render
 
-    raw = lift.raw_pages(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "raw"))), lambda r: r["raw"]), "<PAGE>").alias("raw"))
+    raw = lift.tagged_pages(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "raw"))), lambda r: r["raw"]), "<PAGE>").alias("raw"))
     return raw.select("doc_id", render.preview(F.col("raw")).alias("preview"))
 
 
@@ -931,6 +971,65 @@ def stream_page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("doc_id").agg(F.max("page").alias("page"))
 
 
+def _raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lift.tagged_pages(spark, sf_dir).groupBy("doc_id").agg(F.array_join(ordered("page", "raw"), "<PAGE>").alias("text"))
+
+
+@query(f"""WITH {PREVIEW}, counted AS (SELECT doc_id, (max(k) // 6 + 1)::INT AS n_pages FROM lines GROUP BY doc_id)
+SELECT doc_id, n_pages, n_pages AS n_rows, coalesce(string_agg(md, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page), '') AS preview FROM counted LEFT JOIN shown USING (doc_id) GROUP BY doc_id, n_pages""")
+def stream_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas come in four batches, those of a document in any of them; put together, its pages are the preview of the whole, and each came once."""
+    from quire.streaming import pages, preview, run
+
+    out = run.drained(preview.preview(run.staged(pages.deltas_of(_raw_documents(spark, sf_dir)), 4, "seq")), "append").filter("kind = 'page'")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "ruled", "md"))), lambda r: F.concat(F.when(r["ruled"], "\n\n---\n\n").otherwise(""), r["md"])), "")
+    return out.groupBy("doc_id").agg(F.countDistinct("page").cast("int").alias("n_pages"), F.count("*").cast("int").alias("n_rows"), text.alias("preview"))
+
+
+@query(f"""WITH {LINES}, pages AS (SELECT doc_id, k // 6 AS p, string_agg(line, chr(10) ORDER BY k) AS md FROM lines GROUP BY ALL),
+whole AS (SELECT doc_id, string_agg(md, '<PAGE>' ORDER BY p) AS text, count(*) - 1 AS markers FROM pages GROUP BY doc_id)
+SELECT doc_id, length(text) AS n_chars, markers::INT AS page, md5(text) AS text_md5, true AS whole FROM whole WHERE text <> ''""")
+def stream_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas of 60 characters as events: their texts in order are the document, all markers are counted, none is cut, and only the last event is short."""
+    from quire.streaming import coalesce, pages, run
+
+    rows = lift.box(lift.lines(spark, sf_dir)).groupBy("doc_id", "page").agg(F.array_join(ordered("k", "line"), "\n").alias("md"))
+    docs = rows.groupBy("doc_id").agg(F.array_join(ordered("page", "md"), "<PAGE>").alias("text"))
+    out = run.drained(coalesce.coalesced(run.staged(pages.deltas_of(docs, 60), 3, "seq")), "append", timed=True)
+    good = (F.length("text") >= 256) | (F.col("why") != "size")
+    text = F.array_join(ordered("event", "text"), "")
+    uncut = (F.sum(((F.length("text") - F.length(F.replace("text", F.lit("<PAGE>"), F.lit("")))) / 6).cast("int")) == F.max("page")) & F.every(good)
+    return out.groupBy("doc_id").agg(F.max("page").alias("page"), text.alias("text"), uncut.alias("whole")).select("doc_id", F.length("text").cast("long").alias("n_chars"), "page", F.md5(F.encode("text", "UTF-8")).alias("text_md5"), "whole")
+
+
+@query("""WITH touched AS (SELECT event_id AS id, CASE event_id % 4 WHEN 2 THEN 'done' WHEN 3 THEN 'error' ELSE 'running' END AS status, CASE WHEN event_id % 4 = 2 THEN ts + INTERVAL 1 HOUR ELSE ts END AS last FROM events)
+SELECT id, status FROM touched WHERE status <> 'running' AND epoch_ms(last) + 7 * 86400000 < (SELECT max(epoch_ms(last)) FROM touched)""")
+def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as touches of jobs; translations touch every fourth once more, an hour later."""
+    from quire.streaming import expiry, run
+
+    kind, ts = F.pmod(F.col("event_id"), F.lit(4)), F.col("ts").cast("timestamp")
+    own = F.struct(ts.alias("at"), F.when(kind == 2, "done").when(kind == 3, "error").otherwise("running").alias("status"))
+    later = F.struct((ts + F.expr("interval 1 hour")).alias("at"), F.lit(None).cast("string").alias("status"))
+    touches = run.source(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.explode(F.when(kind == 2, F.array(own, later)).otherwise(F.array(own))).alias("t")).select("id", "t.*")
+    return run.drained(expiry.expired(touches, F.expr("interval 7 days")), "append").select("id", "status")
+
+
+@query(f"WITH {BOXED} SELECT doc_id, count(*) AS n, count(*) AS last FROM boxed WHERE x2 > x1 AND y2 > y1 GROUP BY doc_id")
+def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a stream that breaks off in its second batch, behind its rows, and is started again: as many rows as boxes, numbered without a gap."""
+    from quire.streaming import pages, run
+
+    rows = lift.box(lift.lines(spark, sf_dir))
+    tag = F.concat(F.lit("<|det|>"), F.col("label"), F.lit(" ["), F.array_join(F.col("bbox").cast("array<string>"), ", "), F.lit("]<|/det|>"), F.col("line"))
+    deltas = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", tag.alias("x")))), lambda r: r["x"]), "\n").alias("text"))
+    stream = run.staged(pages.deltas_of(deltas, 200), 4, "seq")
+    sink = run.Sink(spark, run.fresh(spark, "resumed"))
+    sink.run(pages.stream_boxes(stream), "append", until=1)
+    sink.run(pages.stream_boxes(stream), "append")
+    return sink.rows().groupBy("doc_id").agg(F.count("*").alias("n"), (F.max("n") + 1).cast("long").alias("last"))
+
+
 # Reports
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")

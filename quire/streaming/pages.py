@@ -8,6 +8,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessorHandle
+
+from quire.streaming.ordered import Ordered
 
 _DET = re.compile(r"<\|det\|>\s*([A-Za-z_][\w-]*)\s*\[([^\]]+)\]\s*<\|/det\|>")
 HOLD = 1200
@@ -31,38 +34,56 @@ def boxes_of(text: str) -> tuple[list[tuple[str, list[int]]], str]:
     return out, rest[start:][:HOLD]
 
 
-def stream_boxes(deltas: DataFrame) -> DataFrame:
-    """(doc_id, seq, delta) to (doc_id, n, label, box): each box once, however tags are cut."""
+class Boxes(Ordered):
+    """State: the text that waits for the end of its tag, and how many boxes came before."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.rest = handle.getValueState("rest", "held string, n int")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held, n = state.get if state.exists else ("", 0)
-        rows = []
-        for _, delta in sorted((s, d) for f in frames for s, d in zip(f["seq"], f["delta"])):
-            found, held = boxes_of(held + delta)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, n = self.rest.get() if self.rest.exists() else ("", 0)
+        out = []
+        for row in self.in_order(rows):
+            found, held = boxes_of(held + row["delta"])
             for label, box in found:
-                rows.append((key[0], n, label, ",".join(map(str, box))))
+                out.append((key[0], n, label, ",".join(map(str, box))))
                 n += 1
-        state.update((held, n))
-        yield pd.DataFrame(rows, columns=["doc_id", "n", "label", "box"])
+        self.rest.update((held, n))
+        if out:
+            yield pd.DataFrame(out, columns=["doc_id", "n", "label", "box"])
 
-    return deltas.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, n int, label string, box string", "held string, n int", "append", "NoTimeout")
 
+def stream_boxes(deltas: DataFrame) -> DataFrame:
+    """(doc_id, seq, delta) to (doc_id, n, label, box): each box once, however tags are cut."""
+    return deltas.groupBy("doc_id").transformWithStateInPandas(Boxes(), "doc_id long, n int, label string, box string", "Append", "None")
 
-def progress(events: DataFrame, total: int) -> DataFrame:
-    """(doc_id, seq, kind, page) to (doc_id, page): an announced page or a marker moves on, never back and not past total; the first marker behind an announcement is that page's own."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        page, fresh = state.get if state.exists else (0, False)
-        for _, kind, at in sorted((s, k, p) for f in frames for s, k, p in zip(f["seq"], f["kind"], f["page"])):
-            if kind == "announce":
-                fresh = at > page
-                page = max(page, min(int(at), total))
-            elif kind == "marker":
-                page, fresh = (page if fresh else min(page + 1, total)), False
-        state.update((page, fresh))
+class Progress(Ordered):
+    """State: the page, and whether its announcement still waits for its marker."""
+
+    def __init__(self, total: int):
+        self.total = total
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.at = handle.getValueState("at", "page int, fresh boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        page, fresh = self.at.get() if self.at.exists() else (0, False)
+        for row in self.in_order(rows):
+            if row["kind"] == "announce":
+                fresh = row["page"] > page
+                page = max(page, min(int(row["page"]), self.total))
+            elif row["kind"] == "marker":
+                page, fresh = (page if fresh else min(page + 1, self.total)), False
+        self.at.update((page, fresh))
         yield pd.DataFrame({"doc_id": [key[0]], "page": [page]})
 
-    return events.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, page int", "page int, fresh boolean", "update", "NoTimeout")
+
+def progress(events: DataFrame, total: int) -> DataFrame:
+    """(doc_id, seq, kind, page) to (doc_id, page): an announced page or a marker moves on, never back and not past total; the first marker behind an announcement is that page's own."""
+    return events.groupBy("doc_id").transformWithStateInPandas(Progress(total), "doc_id long, page int", "Update", "None")
 
 
 def deltas_of(docs: DataFrame, width: int = 256) -> DataFrame:

@@ -208,12 +208,38 @@ def test_layout_html(spark):
     html = layout.layout_html(blocks, pages, "/u").first().html
     assert html.startswith('<section class="layout-page" data-page="1"><div class="layout-canvas" style="padding-top:200.00%">')
     assert '<div class="layout-block layout-text" style="left:1.00%;top:2.00%;width:99.00%;height:4.00%;font-size:2.00cqw;line-height:1.22;font-weight:600;" title="text">a &lt; b <span class="math-inline">x&lt;y</span> </div>' in html
-    assert '<table>&lt;TD colspan=3 onclick=x&gt;1</td></table>' in html
+    assert '<table>&lt;TD colspan=3 onclick=x&gt;1&lt;/TD&gt;</table>' in html
     assert '<img class="layout-block layout-image" src="/u/images/p1.jpg" style="left:0.50%;top:0.50%;width:0.40%;height:0.40%;" alt="">' in html
     assert 'layout-text layout-vertical-up"' in html and 'layout-image layout-vertical-down"' in html and "../p" not in html
     assert html.endswith('<section class="layout-page" data-page="2"><div class="layout-canvas" style="padding-top:141.40%"></div></section>') and html.count("layout-block") == 5
-    one = spark.createDataFrame([('<TD colspan="2">a<b></TD>',), ('<td colspan="2" onclick="x">',), ("<tr rowspan=4 colspan='2'/>",)], "t string")
-    assert [r[0] for r in one.select(render.tables_restored(F.col("t"))).collect()] == ['<td colspan="2">a&lt;b&gt;</td>', "&lt;td colspan=&quot;2&quot; onclick=&quot;x&quot;&gt;", "&lt;tr rowspan=4 colspan='2'/&gt;"]
+    tables = {
+        '<td colspan="2">a<b></td>': '<td colspan="2">a&lt;b&gt;</td>', '<td colspan="2" onclick="x">': '<td colspan="2">', "<tr rowspan=4 colspan='2'/>": "<tr>", "<TD>": "&lt;TD&gt;", "<threshold>": "&lt;threshold&gt;",
+        '<th data-colspan="3" rowspan="1234" />': "<th>", '</td colspan="2">': "</td>", f"<td {'x' * 400}>": f"&lt;td {'x' * 400}&gt;", '<table border="1"\n>': "<table>",
+    }
+    one = spark.createDataFrame([(t,) for t in tables], "t string")
+    assert {r[0]: r[1] for r in one.select("t", render.tables_restored(F.col("t"))).collect()} == tables
+
+
+def test_math_for_display(spark):
+    texts = {
+        "a \\( x \\) b \\[ y\n\\] c": "a $x$ b \n\n$$\ny\n$$\n\n c", "$$a$$ and $ x_1 $ and $T$": "\n\n$$\na\n$$\n\n and $x_1$ and $T$", "$5 and $7": "\\$5 and \\$7", "one $ only": "one \\$ only",
+        "$a=b$ $2x$": "$a=b$ \\$2x\\$", "$" + "word " * 9 + "$": "\\$" + "word " * 9 + "\\$", "`$x$` \\(  \\)$$ $$": "`$x$` ", "~~~\n$x$ \\(y\\)\n~~~\n$5": "~~~\n$x$ \\(y\\)\n~~~\n\\$5", "```\n$$a$$\n```": "```\n$$a$$\n```",
+        "$a `b_$` c$": "$a `b_$` c$",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r[0]: r[1] for r in df.select("t", render.math_normalized(F.col("t"))).collect()} == texts
+
+
+def test_previews_of_both_tags(spark):
+    det = lambda label: f"<|det|>{label} [1, 2, 3, 4]<|/det|>"
+    texts = {
+        "<|ref|>title<|/ref|><|det|>[[1, 2, 3, 4]]<|/det|>Body": "Body", f"{det('image')}under it": f"{render.IMAGE}\n\nunder it", f"<|ref|> Image <|/ref|><|det|>[1,2,3,4]<|/det|>x": f"{render.IMAGE}\n\nx",
+        f"{det('title')}Two \n\n lines{det('page-number')}7{det('Foot-note')}n": "## Two lines\n\nn", f"a<PAGE><PAGE>{det('header')}h<PAGE>b<PAGE>": "a\n\n---\n\nb", "<PAGE>": "", "": "",
+        f"{det('text')} a <|odd|> b": "a  b", f"{det('text')}---<PAGE>b": "---\n\nb",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r[0]: r[1] for r in df.select("t", render.preview(F.col("t"))).collect()} == texts
+
 
 
 def test_places_in_one_queue(spark):

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.operators import masking, render, repetition, segment, translate
+from quire.operators import masking, repetition, segment, translate
 from quire.streaming.detector import Detector, counting
 from quire.streaming.pages import boxes_of
 
@@ -119,10 +119,6 @@ def test_boxes_once_however_cut():
         assert got == want == [("text", [1, 2, 30, 40]), ("image", [5, 6, 7, 999])]
 
 
-def test_math_and_tables():
-    assert render.normalized("a $x_1$ b $$y$$ `$z$` $5 and 6") == "a \\(x_1\\) b \\[y\\] `$z$` \\$5 and 6"
-
-
 def without(request, pattern):
     return re.sub(pattern, "", request["masked"])
 
