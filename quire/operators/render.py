@@ -57,11 +57,6 @@ def escape(c: Column) -> Column:
     return c
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _rewritten(text: Column, pattern: str, piece: Callable[[Column], Column], mark: Callable[[Column], Column]) -> Column:
     """text with mark of each match of the pattern between piece of what lies around."""
 
@@ -69,7 +64,7 @@ def _rewritten(text: Column, pattern: str, piece: Callable[[Column], Column], ma
         marks = F.concat(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), mark), F.array(F.lit("")))
         return F.array_join(F.zip_with(F.split(t, pattern, -1), marks, lambda p, m: F.concat(piece(p), m)), "")
 
-    return let(text, put)
+    return T.let(text, put)
 
 
 def with_math(text: Column) -> Column:
@@ -159,4 +154,4 @@ def preview(raw: Column) -> Column:
 
     heads = F.concat(F.array(F.lit("")), F.regexp_extract_all(raw, F.lit(tag), F.lit(0)))
     found = F.array_compact(F.flatten(F.zip_with(heads, F.split(raw, tag, -1), parts)))
-    return let(let(found, ruled), ended)
+    return T.let(T.let(found, ruled), ended)

@@ -108,6 +108,15 @@ def tokened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc_id", "k", F.concat("line", more, near).alias("line"))
 
 
+def troubled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, k, line of tokened(), with words in lines that tell a careless translator how to fail, and no double dollars."""
+    k, line = F.col("k"), F.replace("line", F.lit("$$"), F.lit(""))
+    way = F.when(k % 4 == 0, " qqalways").when(k % 4 == 1, " qqmend").otherwise("")
+    seen = F.when(k % 5 == 2, F.replace(line, F.lit(" see Figure"), F.concat(way, F.lit(" see Figure")))).otherwise(line)
+    head = F.concat(F.when((k % 5 == 2) & (k % 4 == 2), "qqsplit ").otherwise(""), F.when(k % 7 == 5, "qqcached ").otherwise(""), F.when(k % 5 == 1, "qqinvent ").otherwise(""))
+    return tokened(spark, sf_dir).select("doc_id", "k", F.concat(F.lit("P "), head, seen).alias("line"))
+
+
 GLOSSARY = (("the", "das", "B"), ("of the", "von dem", "C"), ("la", "el", "B"), ("de la", "del", "D"), ("und", "and", "C"), ("is and", "ist und", "D"), ("IN", "IN", "A"), ("fine-tuning", "Feinabstimmung", "D"), ("C++", "C++", "A"))
 
 

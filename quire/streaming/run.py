@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import time
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -12,23 +10,9 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Where it is unset a local session gets a folder of its own, any other an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        folder = "file://" + tempfile.mkdtemp(prefix="quire-stream-")
-    return folder.rstrip("/")
+from quire.plans.stage import fresh
 
-
-def fresh(spark: SparkSession, name: str) -> str:
-    """A folder of its own in the shared one."""
-    return f"{shared_folder(spark)}/quire-{name}-{uuid.uuid4().hex}"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

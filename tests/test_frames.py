@@ -12,6 +12,7 @@ from quire import schemas
 from quire.functions import text as T
 from quire.operators import evaluate, geometry, glossary, jobs, layout, masking, merge, records, render, repetition, sanitize, translate
 from quire.sources import readers, settings, sinks
+from tests.plain import mask, unmask
 
 
 def rows(df):
@@ -116,10 +117,10 @@ def test_cached_translation(spark):
     docs = spark.createDataFrame([(1, "One cat $x$.\n\n12 34\n\nTwo dogs [1]."), (2, "One cat $x$."), (3, None), (4, "")], "doc_id long, text string")
     empty = spark.createDataFrame([], "key string, text string")
     gloss = spark.createDataFrame([("cat", "gato", "B")], "src string, ko string, policy string")
-    out, blocks, outcome = translate.run_translation(docs, gloss, empty, gato)
+    out, blocks, outcome = translate.run_translation(docs, gloss, empty, translate.one_by_one(gato))
     assert blocks is None and rows(out) == [(1, "One gato $x$.\n\n12 34\n\nTwo dogs [1]."), (2, "One gato $x$."), (3, None), (4, "")]
     cache = outcome.filter("doc_id = 2").select("key", "text")
-    again = translate.report(translate.run_translation(docs, gloss, cache, lambda r: 1 / 0 if "cat" in r["masked"] else r["masked"])[2])
+    again = translate.report(translate.run_translation(docs, gloss, cache, translate.one_by_one(lambda r: 1 / 0 if "cat" in r["masked"] else r["masked"]))[2])
     assert {r.doc_id: (r.units, r.translated, r.cached, r.skipped) for r in again.collect()} == {1: (3, 1, 1, 1), 2: (1, 0, 1, 0)}
 
 
@@ -136,7 +137,7 @@ def test_units_get_terms_first_uses_names_and_context(spark):
     own = glossary.built(docs, gloss)
     assert rows(own) == [(1, "gpt", "GPT", "A")]
     cache = spark.createDataFrame([], "key string, text string")
-    out, drawn, outcome = translate.run_translation(docs, gloss, cache, told, blocks=blocks, own=own)
+    out, drawn, outcome = translate.run_translation(docs, gloss, cache, translate.one_by_one(told), blocks=blocks, own=own)
     lines = out.first().text.split("\n")
     assert lines[0] == "Deep nets and the GPT win here. [deep nets=N,win=W|deep nets=N|GPT|]"
     assert lines[2] == "The GPT has deep nets too. [deep nets=N||GPT|here.]"
@@ -194,9 +195,9 @@ def test_columns_mask_as_the_plain_functions_do(spark):
         if r.t is None:
             assert r.m.masked is None and r.u.text is None
             continue
-        masked, held = masking.mask(r.t)
+        masked, held = mask(r.t)
         assert (r.m.masked, r.m.held) == (masked, held)
-        assert tuple(r.u) == masking.unmask(r.x, held)
+        assert tuple(r.u) == unmask(r.x, held)
 
 
 def test_layout_html(spark):
