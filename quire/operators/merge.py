@@ -67,9 +67,10 @@ def live_text(pages: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def chunk_pages(chunks: DataFrame) -> DataFrame:
-    """Chunks (doc_id, chunk, num_pages, single, markdown) to (doc_id, page, md, n_markers): page numbers run on over the document."""
+    """Chunks (doc_id, chunk, num_pages, single, markdown) to (doc_id, page, md, n_markers): page numbers run on over the document, or from a chunk's first_page where it has one."""
     ahead = Window.partitionBy("doc_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    rows = chunks.withColumn("start_page", (F.coalesce(F.sum("num_pages").over(ahead), F.lit(0)) + 1).cast("int"))
+    first = F.col("first_page") if "first_page" in chunks.columns else F.coalesce(F.sum("num_pages").over(ahead), F.lit(0)) + 1
+    rows = chunks.withColumn("start_page", first.cast("int"))
     pages = F.when(F.col("single"), F.array("markdown")).otherwise(split_pages(F.col("markdown")))
     rows = rows.withColumn("found", pages).withColumn("n_markers", F.size("found"))
     rows = rows.select("doc_id", "start_page", "single", "n_markers", F.posexplode(repaired(F.col("found"), F.col("num_pages"))).alias("local", "md"))

@@ -1087,6 +1087,89 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink.rows().groupBy("doc_id").agg(F.count("*").alias("n"), (F.max("n") + 1).cast("long").alias("last"))
 
 
+# Routing, stores, headers
+
+_LOOP = "".join(f"item number {i} of this long repeated line of text\n" for i in range(80))
+_INERT_SQL = f"regexp_replace(array_to_string(list_transform(string_split({_INERT}, chr(10)), lambda x: regexp_replace(x, '{W}+$', '')), chr(10)), '^\\n+|\\n+$', '', 'g')"
+_LAYER = "CASE WHEN regexp_matches(inert, '[\\p{L}\\p{N}]') THEN array_to_string(list_transform(string_split(CASE WHEN length(inert) > 100000 THEN left(inert, 100000) || chr(10) || '[truncated]' ELSE inert END, chr(10)), lambda x: '    ' || x), chr(10)) END"
+_SHOWN_PAGE = strip("regexp_replace(text, '<\\|[^|>]{0,64}\\|>', '', 'g')")
+ROUTED = f"""{LINES}, raw AS (SELECT doc_id, (k // 6 + 1)::INT AS page, string_agg(line, chr(10) ORDER BY k) AS text FROM lines GROUP BY ALL),
+pages AS (SELECT *, (page - 1) // 3 AS chunk, {_INERT_SQL} AS inert FROM raw),
+kinds AS (SELECT *, {_LAYER} AS layer, doc_id % 7 = 6 AS alone, (doc_id + chunk) % 6 AS kind, min(page) OVER c AS first_page, max(page) OVER c AS last_page, max(length(text)) OVER c > 16384 AS over_ FROM pages WINDOW c AS (PARTITION BY doc_id, chunk)),
+chunked AS (SELECT *, CASE WHEN alone THEN 'alone' WHEN kind = 3 THEN 'lost' WHEN kind IN (2, 4) OR over_ THEN 'apart' ELSE 'read' END AS way FROM kinds),
+paged AS (SELECT *, CASE WHEN way IN ('read', 'lost') THEN NULL WHEN page % 4 < 2 AND length(text) + 6 <= 16384 THEN 'single' WHEN doc_id % 2 = 0 AND layer IS NOT NULL THEN 'text_layer' ELSE 'placeholder' END AS alone_as FROM chunked)"""
+
+
+@query(f"""WITH {ROUTED} SELECT doc_id, page, CASE WHEN way = 'read' THEN {_SHOWN_PAGE} WHEN alone_as = 'single' THEN {strip("'again ' || text")} WHEN alone_as = 'text_layer' THEN layer ELSE '> ⚠️ 이 페이지는 변환에 실패했습니다' END AS md,
+  CASE way WHEN 'read' THEN 'multi' WHEN 'lost' THEN 'placeholder' ELSE alone_as END AS source FROM paged""")
+def routed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routed(spark, sf_dir)[0]
+
+
+@query(f"""WITH {ROUTED} SELECT DISTINCT doc_id, first_page, last_page, CASE way WHEN 'lost' THEN 'placeholder' ELSE 'reread' END AS kind, way = 'lost' AS failed FROM paged WHERE way IN ('lost', 'apart')
+UNION ALL SELECT doc_id, page, page, alone_as, page % 4 = 3 FROM paged WHERE alone_as <> 'single'""")
+def routed_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _routed(spark, sf_dir)[1]
+    return out.select("doc_id", "first_page", "last_page", "kind", F.col("detail").isin("out of memory", "no page").alias("failed"))
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks of three pages, of which by rule some fail once or twice, some run away; pages likewise; text layers of every second document."""
+    from quire.operators import route
+
+    pages = lift.box(lift.lines(spark, sf_dir)).groupBy("doc_id", "page").agg(F.array_join(ordered("k", "line"), "\n").alias("md")).withColumn("chunk", F.floor((F.col("page") - 1) / 3).cast("int"))
+    pages = pages.withColumn("single", F.col("doc_id") % 7 == 6)
+    none, words = F.lit(None).cast("string"), lambda x: F.lit(x).alias("error")
+    raw = pages.groupBy("doc_id", "chunk", "single").agg(F.min("page").alias("first_page"), F.count("*").cast("int").alias("num_pages"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "md"))), lambda r: F.concat(F.lit("<PAGE>"), r["md"])), "").alias("text"))
+    kind, loop = (F.col("doc_id") + F.col("chunk")) % 6, F.concat("text", F.lit("\n" + _LOOP))
+    first = F.when(kind.isin(1, 3, 4), none).when(kind == 2, loop).otherwise(F.col("text"))
+    again = F.when(kind == 3, none).when(kind == 4, loop).otherwise(F.col("text"))
+    multi = raw.filter("not single")
+    multi = multi.select("doc_id", "chunk", F.lit(1).alias("attempt"), first.alias("text"), words("out of memory")).unionByName(multi.filter(kind.isin(1, 3, 4)).select("doc_id", "chunk", F.lit(2).alias("attempt"), again.alias("text"), words("out of memory")))
+    turn, own = F.col("page") % 4, F.concat(F.lit("again "), "md")
+    ones = pages.select("doc_id", "page", F.lit(1).alias("attempt"), F.when(turn.isin(1, 3), none).when(turn == 2, F.concat(own, F.lit("\n" + _LOOP))).otherwise(own).alias("text"), words("no page"))
+    ones = ones.unionByName(pages.filter(turn.isin(1, 3)).select("doc_id", "page", F.lit(2).alias("attempt"), F.when(turn == 1, own).alias("text"), words("no page")))
+    layers = pages.filter("doc_id % 2 = 0").select("doc_id", "page", F.col("md").alias("text"))
+    return route.routed(raw.drop("text"), multi, ones, layers)
+
+
+@query("""WITH told AS (SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS nth FROM events)
+SELECT user_id, event_id, value FROM told WHERE nth = 1 AND NOT (event_id % 4 = 1)""")
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes of users' rows, later ones first; every fourth deletes its user, whom only a later event brings back."""
+    from quire.plans import stage
+    from quire.sources import store
+
+    events = lift.table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    own = store.Store(spark, stage.fresh(spark, "store"), events.schema, ["user_id"], "event_id", buckets=8)
+    newest, kind = F.col("event_id") % 3, F.col("event_id") % 4 == 1
+    for part in (2, 0, 1):
+        changes = events.filter(newest == part)
+        own.upsert(changes.filter(~kind))
+        own.delete(changes.filter(kind).select("user_id", "event_id"))
+    return own.read()
+
+
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'PNG' WHEN 1 THEN 'PNG' WHEN 2 THEN 'JPEG' WHEN 3 THEN 'JPEG' END AS format, CASE WHEN page_id % 6 < 4 THEN (length(url) * 37 + page_id) % 9000 + 1 END AS width,
+  CASE WHEN page_id % 6 < 4 THEN (length(html) * 11) % 9000 + 1 END AS height,
+  CASE WHEN page_id % 6 >= 4 THEN 'format' WHEN ((length(url) * 37 + page_id) % 9000 + 1) * ((length(html) * 11) % 9000 + 1) > 60000000 THEN 'pixels' ELSE '' END AS refusal FROM pages""")
+def image_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that Spark writes by rule from pages: PNG, JPEG with segments before their frame, others, cut off ones."""
+    from quire.sources import images
+
+    rows = lift.table(spark, sf_dir, "pages").select("page_id", ((F.length("url") * 37 + F.col("page_id")) % 9000 + 1).alias("w"), ((F.length("html") * 11) % 9000 + 1).alias("h"), F.length("html").alias("n"))
+    word = lambda c, n: F.lpad(F.hex(c.cast("long")), n, "0")
+    kind = F.col("page_id") % 6
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), word(F.col("w"), 8), word(F.col("h"), 8), F.lit("0802000000"))
+    comment = F.concat(F.lit("FFFE"), word(F.col("n") % 500 + 2, 4), F.repeat(F.lit("C0"), (F.col("n") % 500).cast("int")))
+    head = F.concat(F.lit("FFD8"), F.lit("FFE000104A46494600010100000100010000"), comment, F.when(kind == 3, F.lit("FFFF")).otherwise(""), F.lit("FFDB0004ABCD"))
+    jpeg = F.concat(head, F.lit("FFC2001108"), word(F.col("h"), 4), word(F.col("w"), 4), F.lit("03FFDA"))
+    made = F.when(kind < 2, png).when(kind < 4, jpeg).when(kind == 4, F.lit("474946383961")).otherwise(F.concat(head, F.lit("FFDA")))
+    files = rows.select("page_id", F.unhex(made).alias("content"))
+    told = files.select("page_id", F.length("content").alias("length"), images.header(F.col("content")).alias("head"))
+    return told.select("page_id", "head.*", images.refusal(F.col("length"), F.col("head")).alias("refusal"))
+
+
 # Reports
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
