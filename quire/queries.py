@@ -61,6 +61,17 @@ def query(sql: str | None = None):
     return put
 
 
+def _suffixes(source: str) -> str:
+    """Tables of (doc_id, clean): the least period that a text ends in often enough, how far back it goes by halving, and the text without its repeats."""
+    least = "greatest(100, 5 * p)"
+    return f"""periods AS (SELECT doc_id, any_value(length(clean)) AS n, min(p) AS p FROM {source}, unnest(range(1, 201)) t(p) WHERE length(clean) >= 8000 AND right(clean, {least} - p) = substr(clean, length(clean) - {least} + 1, {least} - p) GROUP BY doc_id),
+halving(doc_id, n, p, lo, hi) AS (SELECT doc_id, n, p, {least} - p, n - p + 1 FROM periods
+  UNION ALL SELECT doc_id, h.n, p, CASE WHEN same THEN (lo + hi) // 2 ELSE lo END, CASE WHEN same THEN hi ELSE (lo + hi) // 2 END FROM (
+    SELECT h.*, right(clean, (lo + hi) // 2) = substr(clean, h.n - p - (lo + hi) // 2 + 1, (lo + hi) // 2) AS same FROM halving h JOIN {source} USING (doc_id) WHERE hi - lo > 1) h),
+runs_ AS (SELECT doc_id, n, p, lo AS m FROM halving WHERE hi - lo = 1),
+ended AS (SELECT c.*, m IS NOT NULL AS cut_, CASE WHEN m IS NULL THEN clean ELSE left(clean, (n_ - m)::BIGINT) || right(clean, ((m + p) % p)::BIGINT) END AS whole FROM {source} c LEFT JOIN (SELECT doc_id, n AS n_, p, m FROM runs_) USING (doc_id))"""
+
+
 BOXED = f"""{LINES}, boxed AS (SELECT doc_id, k, line, (k // 6 + 1)::INT AS page, ['title','text','table','formula','image'][k % 5 + 1] AS label,
   (doc_id * 7 + k * 13) % 900 AS x1, (doc_id * 3 + k * 29) % 900 AS y1, (doc_id * 7 + k * 13) % 900 + 20 + (k * 7) % 80 AS x2, (doc_id * 3 + k * 29) % 900 + 10 + (k * 11) % 60 AS y2 FROM lines)"""
 BLOCKS = f"""{BOXED}, boxes AS (SELECT b.*, box, k % 7 = 3 AS is_ref FROM boxed b, unnest(range(CASE WHEN k % 7 = 3 THEN 2 ELSE 1 END)) t(box)),
@@ -236,14 +247,31 @@ def provider_adapt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitize.provider_pages(rows)[1]
 
 
-@query()
+_TAG = "'<img src=\"images/bbox_' || concat_ws('_', x, y, x + 40, y + (k % 2) * 20) || '.jpg\" />'"
+
+
+@query(f"""WITH RECURSIVE {LINES}, placed AS (SELECT *, (k * 37) % 1010 AS x, (k * 53) % 990 AS y FROM lines),
+tags AS (SELECT *, k % 3 = 0 AS tagged, x + 40 <= 1000 AND y + (k % 2) * 20 <= 1000 AND least(999, x + 40) - least(999, x) >= 2 AND least(999, y + (k % 2) * 20) - least(999, y) >= 2 AS sound,
+  concat_ws(',', least(999, x), least(999, y), least(999, x + 40), least(999, y + (k % 2) * 20)) AS box FROM placed),
+firsts AS (SELECT *, tagged AND sound AND row_number() OVER (PARTITION BY doc_id, tagged AND sound, box ORDER BY k) = 1 AS good FROM tags),
+numbered AS (SELECT *, sum(good::INT) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n FROM firsts),
+told AS (SELECT *, good AND n < 64 AS kept, min(n) FILTER (good) OVER (PARTITION BY doc_id, tagged AND sound, box) AS place FROM numbered),
+made AS (SELECT doc_id, string_agg(line || CASE WHEN kept THEN '[[FIGURE:' || n || ']]' WHEN tagged THEN '' WHEN k % 11 = 5 THEN '<img src="http://x/y.png">' WHEN k % 17 = 4 THEN '<img src=open' ELSE '' END, chr(10) ORDER BY k) AS md, coalesce(string_agg(box, ';' ORDER BY n) FILTER (kept), '') AS figures,
+  list(CASE WHEN NOT sound THEN 'box' WHEN NOT good AND place < 64 THEN 'twice' ELSE 'figures' END ORDER BY k) FILTER (tagged AND NOT kept) AS gone,
+  sum(length(line || CASE WHEN tagged THEN {_TAG} WHEN k % 11 = 5 THEN '<img src="http://x/y.png">' WHEN k % 17 = 4 THEN '<img src=open' ELSE '' END) + 1) - 1 AS n FROM told GROUP BY doc_id),
+bared AS (SELECT *, regexp_replace(md, '(?i)<img\\b[^>]{{0,500}}?/?>', '', 'g') AS bare, len(regexp_extract_all(md, '(?i)<img\\b[^>]{{0,500}}?/?>')) AS others FROM made),
+cleaned AS (SELECT *, regexp_replace(bare, '(?i)<img\\b[^>\\n]{{0,500}}', '', 'g') AS clean, len(regexp_extract_all(bare, '(?i)<img\\b[^>\\n]{{0,500}}')) AS open_ FROM bared),
+{_suffixes("cleaned")}
+SELECT doc_id, {strip('whole')} AS markdown, figures, array_to_string(list_concat(list_concat(CASE WHEN n > 200000 THEN ['length'] ELSE [] END, coalesce(gone, [])),
+  list_concat(list_concat(CASE WHEN others > 0 THEN ['tags ' || others] ELSE [] END, CASE WHEN open_ > 0 THEN ['open ' || open_] ELSE [] END), CASE WHEN cut_ THEN ['suffix'] ELSE [] END)), ';') AS warnings FROM ended""")
 def figure_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     x, y = (k * 37) % 1010, (k * 53) % 990
     tag = F.concat(F.lit('<img src="images/bbox_'), F.concat_ws("_", x, y, x + 40, y + (k % 2) * 20), F.lit('.jpg" />'))
     rows = lift.lines(spark, sf_dir).withColumn("x", F.concat("line", F.when(k % 3 == 0, tag).when(k % 11 == 5, '<img src="http://x/y.png">').when(k % 17 == 4, "<img src=open").otherwise("")))
-    raw = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda r: r["x"]), "\n").alias("raw"))
-    return sanitize.figure_tags(raw).withColumn("figures", F.array_join(F.transform("figures", lambda b: F.array_join(b.cast("array<string>"), ",")), ";"))
+    raw = rows.groupBy("doc_id").agg(F.array_join(ordered("k", "x"), "\n").alias("raw"))
+    out = sanitize.figure_tags(raw).withColumn("figures", F.array_join(F.transform("figures", lambda b: F.array_join(b.cast("array<string>"), ",")), ";"))
+    return out.withColumn("warnings", F.array_join("warnings", ";"))
 
 
 CHUNKS = f"""{LINES}, pages AS (SELECT doc_id, k // 6 AS p, string_agg(CASE WHEN k % 3 = 2 THEN line || '![](images/' || '{{name}}' || k || '.jpg)' ELSE line END, chr(10) ORDER BY k) AS md FROM lines GROUP BY ALL),
@@ -512,7 +540,7 @@ def tandem_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lift.table(spark, sf_dir, "documents").select("doc_id", repetition.tandem_repeat(F.concat("text", tail)).alias("t")).select("doc_id", "t.*")
 
 
-@query()
+@query(f"""WITH RECURSIVE planted AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN repeat(right(text, 50), 200) ELSE '' END AS clean FROM documents), {_suffixes("planted")} SELECT doc_id, whole AS text FROM ended""")
 def repeat_suffix_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(F.col("doc_id") % 2 == 0, F.repeat(F.right("text", F.lit(50)), 200)).otherwise("")
     return lift.table(spark, sf_dir, "documents").select("doc_id", repetition.clean_suffix(F.concat("text", tail)).alias("text"))

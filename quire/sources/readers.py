@@ -1,4 +1,4 @@
-"""Readers: uploads, JSON artifacts, event captures, provider responses, the synthetic engine."""
+"""Readers: uploads, JSON artifacts, event captures, provider responses."""
 
 from __future__ import annotations
 
@@ -55,6 +55,12 @@ def responses(raw: DataFrame, engine: str) -> DataFrame:
     return parsed.select(*raw.columns, F.explode("r.pages").alias("page"))
 
 
+def replies(spark: SparkSession, path: str, engine: str, max_mb: int = 20) -> DataFrame:
+    """responses() of a folder of an engine's replies, a file each; larger ones are left out."""
+    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= max_mb << 20)
+    return responses(files.select(F.decode("content", "UTF-8").alias("body")), engine)
+
+
 def captures(spark: SparkSession, path: str) -> DataFrame:
     """Event-stream captures, one record up to each blank line: file, event, data."""
     rows = spark.read.option("lineSep", "\n\n").text(path).select(F.input_file_name().alias("file"), "value")
@@ -95,15 +101,3 @@ def reply(c: Column) -> Column:
 def score(c: Column) -> Column:
     """A score of 1 to 5, ties to even; null if it is none."""
     return F.greatest(F.lit(1), F.least(F.lit(5), F.rint(c.try_cast("double")).cast("int")))
-
-
-def synthetic(spark: SparkSession, documents: int, pages: int, blocks: int = 4) -> DataFrame:
-    """Pages in the engines' output format, by rule: doc_id, page, raw."""
-    rows = spark.range(documents).select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(1), F.lit(pages))).alias("page"))
-    kinds = F.array(*[F.lit(k) for k in ("title", "text", "table", "image")])
-
-    def one(i: Column) -> Column:
-        y = (i - 1) * 200 + 40
-        return F.format_string("<|det|>%s [60, %d, 940, %d]<|/det|>Block %d of page %d\n", F.element_at(kinds, ((i - 1) % 4 + 1).cast("int")), y, y + 160, i, F.col("page"))
-
-    return rows.withColumn("raw", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(blocks)), one), ""))

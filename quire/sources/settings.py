@@ -1,134 +1,90 @@
-"""Options of readers and of translation from a mapping of names, such as an environment, and the table of engines."""
+"""Options of readers and of translation from a mapping of names, such as an environment: tables of options, and one reader for both."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
+from typing import Any
 
 from quire.operators.merge import SEPARATOR
 from quire.operators.reports import OUTPUT_TOKENS
-from quire.sources import readers
-
-
-def _cleaned(value: str | None) -> str:
-    """Without white space and quotes around it."""
-    return (value or "").strip().strip("'\"").strip()
-
 
-def _limit(options: Mapping[str, str], name: str, default: int) -> int | None:
-    """A number over 0, or none: 0 and less switch a limit off."""
-    n = int(_cleaned(options.get(name)) or default)
-    return n if n > 0 else None
 
+@dataclass(frozen=True)
+class Option:
+    """An option under the first of its names that has a value: white space and quotes around it go, then read makes a value of it. A required one has no default."""
 
-def _one_of(options: Mapping[str, str], name: str, default: str, allowed: tuple[str, ...]) -> str:
-    value = (_cleaned(options.get(name)) or default).lower()
-    if value not in allowed:
-        raise ValueError(f"{name} must be one of {', '.join(map(repr, allowed))}")
-    return value
-
+    names: tuple[str, ...]
+    default: Any
+    read: Callable[[str], Any] = str
+    required: bool = False
 
-def hosts(value: str) -> list[str]:
-    """The entries of a list with commas; blank ones go."""
-    return [h.strip() for h in value.split(",") if h.strip()]
+    def of(self, options: Mapping[str, str]) -> Any:
+        for name in self.names:
+            text = (options.get(name) or "").strip().strip("'\"").strip()
+            if text:
+                try:
+                    return self.read(text)
+                except (ValueError, KeyError) as error:
+                    raise ValueError(f"{name}: {error}") from error
+        if self.required:
+            raise ValueError(f"{' or '.join(self.names)} must be given")
+        return self.default
 
 
-@dataclass(frozen=True)
-class Settings:
-    """How documents are read."""
-
-    engine: str = "synthetic"
-    sidecar: str = ""  # the name under which a sidecar answers
-    responses: str = ""  # the folder of its replies
-    pages_per_chunk: int = 8
-    max_pages: int | None = 200
-    max_page_chars: int | None = 16_384
-    max_page_tokens: int | None = 6_144
-    max_response_mb: int = 20
-    page_separator: str = SEPARATOR
-    allowed_hosts: tuple[str, ...] = ()
-
-    @classmethod
-    def of(cls, options: Mapping[str, str]) -> "Settings":
-        separator = options.get("PAGE_SEPARATOR")
-        return cls(
-            engine=_one_of(options, "ENGINE", "synthetic", tuple(ENGINES)),
-            sidecar=_cleaned(options.get("SIDECAR")),
-            responses=_cleaned(options.get("RESPONSES")).rstrip("/"),
-            pages_per_chunk=max(1, int(_cleaned(options.get("PAGES_PER_CHUNK")) or 8)),
-            max_pages=_limit(options, "MAX_PAGES", 200),
-            max_page_chars=_limit(options, "MAX_PAGE_OUTPUT_CHARS", 16_384),
-            max_page_tokens=_limit(options, "MAX_PAGE_OUTPUT_TOKENS", 6_144),
-            max_response_mb=max(1, int(_cleaned(options.get("MAX_RESPONSE_MB")) or 20)),
-            page_separator=separator.encode().decode("unicode_escape") if separator else SEPARATOR,
-            allowed_hosts=tuple(hosts(options.get("ALLOWED_HOSTS") or "")),
-        )
+def at_least(least: float, kind: type = int) -> Callable[[str], Any]:
+    """A number, no less than least."""
+    return lambda text: max(kind(least), kind(text))
 
 
-@dataclass(frozen=True)
-class TranslationSettings:
-    """How units are translated; output_tokens is what a reply may have."""
-
-    model: str
-    base_url: str
-    api_mode: str = "auto"
-    max_tokens_param: str = "max_tokens"
-    reasoning: str = ""
-    concurrency: int = 4
-    max_retries: int = 3
-    timeout_s: float = 180.0
-    context: bool = True
-
-    @property
-    def output_tokens(self) -> int:
-        return OUTPUT_TOKENS[self.reasoning]
-
-    @classmethod
-    def of(cls, options: Mapping[str, str]) -> "TranslationSettings":
-        """From a mapping of names; a missing model or address, and a value that is not one of its kind, raise ValueError."""
-        model, url = _cleaned(options.get("TRANSLATE_MODEL")) or _cleaned(options.get("OPENAI_MODEL")), _cleaned(options.get("OPENAI_BASE_URL"))
-        if not model or not url:
-            raise ValueError("OPENAI_BASE_URL and OPENAI_MODEL must be given")
-        return cls(
-            model=model,
-            base_url=url,
-            api_mode=_one_of(options, "TRANSLATE_API_MODE", "auto", ("auto", "chat", "responses")),
-            max_tokens_param=_one_of(options, "TRANSLATE_MAX_TOKENS_PARAM", "max_tokens", ("max_tokens", "max_completion_tokens", "none")),
-            reasoning=_one_of(options, "TRANSLATE_REASONING", "", tuple(OUTPUT_TOKENS)),
-            concurrency=max(1, int(_cleaned(options.get("TRANSLATE_CONCURRENCY")) or 4)),
-            max_retries=max(0, int(_cleaned(options.get("TRANSLATE_MAX_RETRIES")) or 3)),
-            timeout_s=max(5.0, float(_cleaned(options.get("TRANSLATE_TIMEOUT_S")) or 180)),
-            context=(_cleaned(options.get("TRANSLATE_CONTEXT")) or "1") not in ("0", "false", "no"),
-        )
+def limit(text: str) -> int | None:
+    """A number over 0; 0 and less switch a limit off."""
+    return n if (n := int(text)) > 0 else None
 
 
-@dataclass(frozen=True)
-class Engine:
-    """What an engine can do, and how its pages are read: read(spark, settings) gives a frame."""
+def one_of(*allowed: str) -> Callable[[str], str]:
+    def read(text: str) -> str:
+        if text.lower() not in allowed:
+            raise ValueError(f"must be one of {', '.join(map(repr, allowed))}")
+        return text.lower()
 
-    read: Callable[[SparkSession, Settings], DataFrame]
-    stream_granularity: str
-    figure_boxes: bool
-    text_boxes: bool
+    return read
 
 
-def _replies(spark: SparkSession, settings: Settings) -> DataFrame:
-    if not settings.responses or not settings.sidecar:
-        raise ValueError("SIDECAR must name an engine and RESPONSES the folder of its replies")
-    files = spark.read.format("binaryFile").load(settings.responses).filter(f"length <= {settings.max_response_mb << 20}")
-    return readers.responses(files.selectExpr("decode(content, 'UTF-8') as body"), settings.sidecar)
+def listed(text: str) -> tuple[str, ...]:
+    """The entries of a list with commas; blank ones go."""
+    return tuple(x for x in map(str.strip, text.split(",")) if x)
+
+
+# Names, defaults, bounds and allowed values of all options.
+READING = {
+    "responses": Option(("RESPONSES",), "", lambda text: text.rstrip("/")),
+    "pages_per_chunk": Option(("PAGES_PER_CHUNK",), 8, at_least(1)),
+    "max_pages": Option(("MAX_PAGES",), 200, limit),
+    "max_page_chars": Option(("MAX_PAGE_OUTPUT_CHARS",), 16_384, limit),
+    "max_page_tokens": Option(("MAX_PAGE_OUTPUT_TOKENS",), 6_144, limit),
+    "max_response_mb": Option(("MAX_RESPONSE_MB",), 20, at_least(1)),
+    "page_separator": Option(("PAGE_SEPARATOR",), SEPARATOR, lambda text: text.encode().decode("unicode_escape")),
+    "allowed_hosts": Option(("ALLOWED_HOSTS",), (), listed),
+}
+TRANSLATION = {
+    "model": Option(("TRANSLATE_MODEL", "OPENAI_MODEL"), None, required=True),
+    "base_url": Option(("OPENAI_BASE_URL",), None, required=True),
+    "api_mode": Option(("TRANSLATE_API_MODE",), "auto", one_of("auto", "chat", "responses")),
+    "max_tokens_param": Option(("TRANSLATE_MAX_TOKENS_PARAM",), "max_tokens", one_of("max_tokens", "max_completion_tokens", "none")),
+    "reasoning": Option(("TRANSLATE_REASONING",), "", one_of(*OUTPUT_TOKENS)),
+    "concurrency": Option(("TRANSLATE_CONCURRENCY",), 4, at_least(1)),
+    "max_retries": Option(("TRANSLATE_MAX_RETRIES",), 3, at_least(0)),
+    "timeout_s": Option(("TRANSLATE_TIMEOUT_S",), 180.0, at_least(5, float)),
+    "context": Option(("TRANSLATE_CONTEXT",), True, lambda text: text not in ("0", "false", "no")),
+}
 
 
-#: Engines by name: the synthetic one, and sidecars whose replies lie in a folder, with boxes of figures alone or of all blocks.
-ENGINES: dict[str, Engine] = {
-    "synthetic": Engine(lambda spark, settings: readers.synthetic(spark, 4, settings.pages_per_chunk), "token", True, True),
-    "figure-sidecar": Engine(_replies, "page", True, False),
-    "layout-sidecar": Engine(_replies, "page", True, True),
-}
+def settings(table: Mapping[str, Option], options: Mapping[str, str]) -> dict[str, Any]:
+    """The values of a table's options; what is missing and required, or is not of its kind, raises ValueError under the option's name."""
+    return {field: option.of(options) for field, option in table.items()}
 
 
-def pages(spark: SparkSession, settings: Settings) -> DataFrame:
-    """The pages of the engine that the settings name."""
-    return ENGINES[settings.engine].read(spark, settings)
+def output_tokens(translation: Mapping[str, Any]) -> int:
+    """What a reply may have, by the effort of reasoning."""
+    return OUTPUT_TOKENS[translation["reasoning"]]

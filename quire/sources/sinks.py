@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,10 +22,24 @@ def benchmark(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     rows.orderBy("document", "engine").write.mode(mode).option("header", True).csv(path)
 
 
+#: Folders of an archive, whatever the number of its documents.
+BUCKETS = 64
+
+
+def _bucket(doc_id):
+    return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(BUCKETS)).cast("int")
+
+
 def archive(artifacts: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Artifacts (doc_id, folder, name, content) as one folder for each document and kind; names that would leave it are refused."""
-    kept = artifacts.filter(safe_path(F.col("name")) & ((F.col("folder") == "") | safe_path(F.col("folder"))))
-    kept.write.mode(mode).partitionBy("doc_id", "folder").parquet(path)
+    """Artifacts (doc_id, folder, name, content) packed by documents' hashes, sorted by document, so that files' statistics tell where one lies; names that would leave their folder are refused."""
+    kept = artifacts.filter(safe_path(F.col("name")) & ((F.col("folder") == "") | safe_path(F.col("folder")))).withColumn("bucket", _bucket(F.col("doc_id")))
+    kept.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "doc_id", "folder", "name").write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def entries(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
+    """folder, name, content of one document of an archive, in order: one bucket is looked into."""
+    bucket = spark.range(1).select(_bucket(F.lit(doc_id))).first()[0]
+    return spark.read.parquet(path).filter((F.col("bucket") == bucket) & (F.col("doc_id") == doc_id)).select("folder", "name", "content").orderBy("folder", "name")
 
 
 def summary(rows: DataFrame) -> str:

@@ -19,8 +19,14 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-def test_synthetic_pages_round_trip(spark):
-    raw = readers.synthetic(spark, 3, 2)
+def drawn_pages(spark, documents, pages):
+    kinds = ("title", "text", "table", "image")
+    raw = lambda page: "".join(f"<|det|>{k} [60, {n * 200 + 40}, 940, {n * 200 + 200}]<|/det|>Block {n} of page {page}\n" for n, k in enumerate(kinds))
+    return spark.createDataFrame([(d, p, raw(p)) for d in range(documents) for p in range(1, pages + 1)], "doc_id long, page int, raw string")
+
+
+def test_pages_round_trip(spark):
+    raw = drawn_pages(spark, 3, 2)
     blocks = layout.parse_blocks(raw)
     assert blocks.count() == 24 and blocks.filter("type = 'image'").agg(F.max("crop_index")).first()[0] == 0
     again = blocks.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", layout.raw_fragment(F.col("type"), F.col("bbox"), F.col("content")).alias("x")))), lambda r: r["x"]), "").alias("raw"))
@@ -59,12 +65,15 @@ def test_artifacts_captures_and_replies(spark, tmp_path):
 def test_writers(spark, tmp_path):
     sinks.markdown(spark.createDataFrame([(1, "a"), (2001, "b")], "doc_id long, markdown string"), str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).count() == 2
-    sinks.layouts(layout.parse_blocks(readers.synthetic(spark, 2, 2)), str(tmp_path / "l"))
+    sinks.layouts(layout.parse_blocks(drawn_pages(spark, 2, 2)), str(tmp_path / "l"))
     assert [len(r.pages) for r in spark.read.json(str(tmp_path / "l")).collect()] == [2, 2]
     sinks.benchmark(spark.createDataFrame([("e", "d", 1.0)], "engine string, document string, total_s double"), str(tmp_path / "b"))
     made = [(1, "images", "a.jpg", b"x"), (1, "", "result.md", b"y"), (2, "images", "../z", b"z"), (2, "../up", "b", b"z")]
     sinks.archive(spark.createDataFrame(made, "doc_id long, folder string, name string, content binary"), str(tmp_path / "z"))
-    assert sorted(r.name for r in spark.read.parquet(str(tmp_path / "z")).collect()) == ["a.jpg", "result.md"]
+    packed = str(tmp_path / "z")
+    assert sorted(r.name for r in spark.read.parquet(packed).collect()) == ["a.jpg", "result.md"]
+    assert {x.name for x in (tmp_path / "z").iterdir() if x.is_dir()} <= {f"bucket={k}" for k in range(sinks.BUCKETS)}
+    assert [(r.folder, r.name, bytes(r.content)) for r in sinks.entries(spark, packed, 1).collect()] == [("", "result.md", b"y"), ("images", "a.jpg", b"x")]
     runs = records.throughput(spark.createDataFrame([("e", "d", 4, 2.0), ("a", "d", 0, 0.0)], "engine string, document string, pages int, seconds double"))
     assert sinks.summary(runs) == "| engine | document | pages | avg_page_s |\n|---|---|---|---|\n| a | d | 0 | 0.0 |\n| e | d | 4 | 0.5 |\n"
     names = spark.createDataFrame([("a/b.md",), ("../x",), ("/etc",), ("a/../../b",), ("",)], "p string")
@@ -289,23 +298,17 @@ def test_texts_that_are_not_there(spark):
 
 
 def test_settings(spark, tmp_path):
-    own = settings.Settings.of({"MAX_PAGES": "0", "PAGES_PER_CHUNK": "-3", "PAGE_SEPARATOR": "\\n#\\n", "ALLOWED_HOSTS": " a, ,b:80 "})
-    assert (own.max_pages, own.pages_per_chunk, own.page_separator, own.allowed_hosts, own.max_page_chars) == (None, 1, "\n#\n", ("a", "b:80"), 16_384)
-    assert settings.pages(spark, settings.Settings.of({"PAGES_PER_CHUNK": "2"})).count() == 8
-    with pytest.raises(ValueError, match="ENGINE"):
-        settings.Settings.of({"ENGINE": "x"})
-    with pytest.raises(ValueError, match="SIDECAR"):
-        settings.pages(spark, settings.Settings.of({"ENGINE": "layout-sidecar"}))
+    own = settings.settings(settings.READING, {"MAX_PAGES": "0", "PAGES_PER_CHUNK": "-3", "PAGE_SEPARATOR": "\\n#\\n", "ALLOWED_HOSTS": " a, ,b:80 "})
+    assert (own["max_pages"], own["pages_per_chunk"], own["page_separator"], own["allowed_hosts"], own["max_page_chars"]) == (None, 1, "\n#\n", ("a", "b:80"), 16_384)
     body = json.dumps({"protocol_version": 1, "engine": "e", "pages": [{"page_index": 0, "markdown": "m", "blocks": []}]})
     (tmp_path / "a.json").write_text(body)
     (tmp_path / "b.json").write_text(body + " " * (2 << 20))
-    sidecar = {"ENGINE": "figure-sidecar", "SIDECAR": "e", "RESPONSES": str(tmp_path), "MAX_RESPONSE_MB": "1"}
-    assert settings.pages(spark, settings.Settings.of(sidecar)).count() == 1
-    told = settings.TranslationSettings.of({"OPENAI_MODEL": " 'm' ", "OPENAI_BASE_URL": "u", "TRANSLATE_REASONING": "LOW", "TRANSLATE_TIMEOUT_S": "1", "TRANSLATE_CONTEXT": "no"})
-    assert (told.model, told.output_tokens, told.timeout_s, told.context, told.concurrency) == ("m", 10240, 5.0, False, 4)
-    for bad in ({}, {"OPENAI_MODEL": "m", "OPENAI_BASE_URL": "u", "TRANSLATE_API_MODE": "x"}):
-        with pytest.raises(ValueError):
-            settings.TranslationSettings.of(bad)
+    assert readers.replies(spark, str(tmp_path), "e", 1).count() == 1
+    told = settings.settings(settings.TRANSLATION, {"TRANSLATE_MODEL": " ", "OPENAI_MODEL": " 'm' ", "OPENAI_BASE_URL": "u", "TRANSLATE_REASONING": "LOW", "TRANSLATE_TIMEOUT_S": "1", "TRANSLATE_CONTEXT": "no"})
+    assert (told["model"], settings.output_tokens(told), told["timeout_s"], told["context"], told["concurrency"]) == ("m", 10240, 5.0, False, 4)
+    for bad, name in (({}, "OPENAI_MODEL"), ({"OPENAI_MODEL": "m"}, "OPENAI_BASE_URL"), ({"OPENAI_MODEL": "m", "OPENAI_BASE_URL": "u", "TRANSLATE_API_MODE": "x"}, "TRANSLATE_API_MODE"), ({"OPENAI_MODEL": "m", "OPENAI_BASE_URL": "u", "TRANSLATE_MAX_RETRIES": "x"}, "TRANSLATE_MAX_RETRIES")):
+        with pytest.raises(ValueError, match=name):
+            settings.settings(settings.TRANSLATION, bad)
 
 
 def test_replies(spark):
