@@ -64,8 +64,9 @@ def upsert(rows: DataFrame, keys: list[str], recency: str) -> DataFrame:
 
 def replayed(units: DataFrame, keyed: DataFrame, cache: DataFrame, kept: DataFrame) -> DataFrame:
     """doc_id, unit_id, src, text, status of all units: 'found' in the cache by their keys, 'skipped', 'kept' where kept (doc_id, unit_id) lists them, else 'unverified'."""
-    known = cache.dropDuplicates(["key"]).select("key", "text")
-    found = keyed.select("doc_id", "unit_id", "key").join(known, "key", "left").select("doc_id", "unit_id", "text")
+    keys = [c for c in ("key", "src") if c in cache.columns]
+    known = cache.groupBy(*keys).agg(F.min("text").alias("text"))
+    found = keyed.select("doc_id", "unit_id", *keys).join(known, keys, "left").select("doc_id", "unit_id", "text")
     rows = units.select("doc_id", "unit_id", "src", "reason").join(found, ["doc_id", "unit_id"], "left").join(kept.select("doc_id", "unit_id", F.lit(True).alias("listed")).distinct(), ["doc_id", "unit_id"], "left")
     status = F.when(F.col("reason") != "", "skipped").when(F.col("text").isNotNull(), "found").when(F.col("listed"), "kept").otherwise("unverified")
     return rows.select("doc_id", "unit_id", "src", F.when(status == "found", F.col("text")).alias("text"), status.alias("status"))
@@ -97,3 +98,22 @@ def evaluation(pairs: DataFrame, outcome: DataFrame, replay: DataFrame, hits: Da
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in out.columns if c != "doc_id"]
     total = F.coalesce(F.col("translated") + F.col("cached") + F.col("kept"), F.lit(0)).cast("long")
     return out.select("doc_id", *counts, total.alias("total"), F.coalesce(F.col("passed") == F.col("checks"), F.lit(True)).alias("hard_ok"), F.coalesce(F.round(ratio, 6), F.lit(0.0)).alias("hangul_ratio"))
+
+
+#: Violations that a summary shows one by one.
+SHOWN = 12
+
+
+def summary(report: DataFrame, bad: DataFrame, most: int = SHOWN) -> DataFrame:
+    """doc_id, summary: what a person reads of evaluation() and of violations(): the verdict, what the run did, the quality, and the first violations by entry and unit."""
+    first = F.array_sort(F.collect_list(F.struct("src", "unit_id", "ko", "policy")))
+    shown = bad.groupBy("doc_id").agg(F.count("*").alias("n"), F.transform(F.slice(first, 1, most), lambda v: F.concat(F.lit("- ["), v["policy"], F.lit("] "), v["unit_id"], F.lit(" "), v["src"], F.lit(" -> "), v["ko"])).alias("shown"))
+    counts = lambda *names: F.concat_ws(", ", *[F.concat(F.lit(f"{n} "), F.col(n).cast("string")) for n in names])
+    rows = report.join(shown, "doc_id", "left")
+    verdict = F.concat(F.when(F.col("hard_ok"), "PASS ").otherwise("FAIL "), F.col("passed").cast("string"), F.lit("/"), F.col("checks").cast("string"))
+    n = F.coalesce("n", F.lit(0))
+    said = F.concat_ws(
+        "\n", verdict, counts("total", "translated", "cached", "kept", "skipped", "retried", "repaired", "split", "sanitized"), counts("found", "unverified", "endings"), F.format_string("hangul %.1f %%", F.col("hangul_ratio") * 100),
+        F.concat(F.lit("violations "), n.cast("string")), F.array_join("shown", "\n"), F.when(n > most, F.concat(F.lit("... "), (n - most).cast("string"), F.lit(" more"))),
+    )
+    return rows.select("doc_id", said.alias("summary"))

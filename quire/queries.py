@@ -37,6 +37,10 @@ def pattern_count(x: str, pattern: str) -> str:
     return f"len(regexp_extract_all({x}, '{pattern}'))"
 
 
+def _times(x: str, needle: str, size: int) -> str:
+    return f"(length({x}) - length(replace({x}, {needle}, ''))) // {size}"
+
+
 def re2(pattern: str) -> str:
     """A pattern of the operators as the other engine writes it: it has no look-behind, and an ASCII word boundary does for the data."""
     return pattern.replace(T.BEGIN, r"\b").replace(f"(?![{T.LETTERS}])", r"\b").replace(r"\x85", r"\x{85}")
@@ -699,12 +703,15 @@ _SENTENCES, _ENDS = "string_split_regex(blot, '[.!?…]\\s+')", "regexp_extract_
 _BLOT = f"list_reduce(list_prepend('', list_transform(range(1, len(ps) + 1), lambda i: ps[i] || CASE WHEN i <= len(ts) THEN repeat('x', length(ts[i]) - 1) || right(ts[i], 1) ELSE '' END)), lambda a, b: a || b)"
 
 
-@query(f"""WITH {REASONED}, cut AS (SELECT *, {_TOKEN_PIECES} AS ps, {_TOKEN_LIST} AS ts FROM skips), blotted AS (SELECT *, {_BLOT} AS blot FROM cut),
+OUTCOMES = f"""{REASONED}, cut AS (SELECT *, {_TOKEN_PIECES} AS ps, {_TOKEN_LIST} AS ts FROM skips), blotted AS (SELECT *, {_BLOT} AS blot FROM cut),
 pieces AS (SELECT *, {_SENTENCES} AS xs, {_ENDS} AS es FROM blotted),
 cuts AS (SELECT *, list_transform(range(1, len(es) + 1), lambda j: list_sum(list_transform(xs[:j], lambda x: length(x))) + list_sum(list_transform(es[:j], lambda x: length(x)))) AS at_ FROM pieces),
 nearest AS (SELECT *, at_[list_position(list_transform(at_, lambda c: abs(2 * c - length(line))), list_min(list_transform(at_, lambda c: abs(2 * c - length(line)))))] AS c FROM cuts),
 told AS (SELECT *, k % 5 = 2 AND k % 4 < 3 AS fails, k % 5 = 2 AND k % 4 = 2 AND c IS NOT NULL AND contains(substr(line, c::BIGINT + 1), 'see Figure') AND {strip("substr(line, c::BIGINT + 1)")} <> '' AS splits FROM nearest),
-ended AS (SELECT *, CASE WHEN reason <> '' THEN 'skipped' WHEN k % 7 = 5 THEN 'cached' WHEN fails AND k % 4 <> 1 AND NOT splits THEN 'kept' ELSE 'translated' END AS status FROM told),
+ended AS (SELECT *, CASE WHEN reason <> '' THEN 'skipped' WHEN k % 7 = 5 THEN 'cached' WHEN fails AND k % 4 <> 1 AND NOT splits THEN 'kept' ELSE 'translated' END AS status FROM told)"""
+
+
+@query(f"""WITH {OUTCOMES},
 sides AS (SELECT *, 'md' AS side FROM ended UNION ALL SELECT *, 'lay' FROM ended WHERE k % 9 <> 4)
 SELECT doc_id, side, count(*) AS units, count(*) FILTER (status = 'translated') AS translated, count(*) FILTER (status = 'cached') AS cached, count(*) FILTER (status = 'kept') AS kept, count(*) FILTER (status = 'skipped') AS skipped,
   count(*) FILTER (status IN ('translated', 'kept') AND fails) AS retried, count(*) FILTER (status = 'translated' AND fails AND k % 4 = 1) AS repaired, count(*) FILTER (status = 'translated' AND splits) AS split, count(*) FILTER (status = 'translated' AND k % 5 = 1) AS sanitized
@@ -724,6 +731,46 @@ def unit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translate.report(sides).select("doc_id.*", "units", "translated", "cached", "kept", "skipped", *[F.col(c).cast("long").alias(c) for c in translate.COUNTS])
 
 
+_COUNTED = (*((n, "'" + x.replace("\n", "' || chr(10) || '") + "'", len(x)) for n, x in evaluate.COUNTED.items()),)
+_LOW = "list_reduce(list_prepend('', list_transform(range(1, len(ps) + 1), lambda i: lower(ps[i]) || coalesce(ts[i], ''))), lambda a, b: a || b)"
+EVALUATED = f"""{OUTCOMES}, said AS (SELECT *, 'md:0:' || k AS unit_id, CASE status WHEN 'cached' THEN 'C ' || line WHEN 'translated' THEN
+    CASE WHEN splits THEN regexp_replace(left({_LOW}, c::BIGINT), '{W}+$', '') || ' ' || regexp_replace(substr({_LOW}, c::BIGINT + 1), '^{W}+', '') ELSE {_LOW} || CASE WHEN k % 5 = 1 THEN '(' ELSE '' END END ELSE line END AS text FROM ended),
+whole AS (SELECT doc_id, string_agg(line, chr(10) || chr(10) ORDER BY k) AS s, string_agg(text, chr(10) || chr(10) ORDER BY k) AS r FROM said GROUP BY doc_id),
+counted AS ({" UNION ALL ".join(f"SELECT doc_id, {_times('s', x, z)} AS a, {_times('r', x, z)} AS b FROM whole" for _, x, z in _COUNTED)} UNION ALL SELECT doc_id, 0, {pattern_count('r', '<[mkgucft][0-9]+')} FROM whole),
+hard AS (SELECT doc_id, count(*) FILTER (a = b AND a > 0) AS passed, count(*) FILTER (a > 0 OR b > 0) AS checks FROM counted GROUP BY doc_id),
+process AS (SELECT doc_id, {", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ("translated", "cached", "kept", "skipped"))}, count(*) FILTER (status IN ('translated', 'kept') AND fails) AS retried, count(*) FILTER (status = 'translated' AND fails AND k % 4 = 1) AS repaired,
+  count(*) FILTER (status = 'translated' AND splits) AS split, count(*) FILTER (status = 'translated' AND k % 5 = 1) AS sanitized FROM said GROUP BY doc_id),
+found AS (SELECT *, regexp_replace(text, '{_QUOTED}', ' ', 'g') AS plain FROM said WHERE status IN ('cached', 'translated')),
+quality AS (SELECT doc_id, count(*) AS found, sum({pattern_count('plain', '[가-힣]')}) AS hangul, sum(length(regexp_replace(plain, '{W}', '', 'g'))) AS solid, sum({pattern_count('text', 'e[.]')}) AS endings FROM found GROUP BY doc_id),
+scanned_ AS (SELECT doc_id, k, line, left_ AS scan FROM said WHERE status IN ('cached', 'translated')), hits AS ({_hits_sql('scan')}),
+bad AS (SELECT h.doc_id, f.unit_id, src, ko, policy, row_number() OVER (PARTITION BY h.doc_id ORDER BY src, f.unit_id) AS nth FROM hits h JOIN found f USING (doc_id, k) WHERE CASE WHEN policy = 'A' THEN NOT contains(lower(f.text), lower(ko)) ELSE NOT contains(f.text, ko) END),
+violated AS (SELECT doc_id, count(*) AS violations, string_agg('- [' || policy || '] ' || unit_id || ' ' || src || ' -> ' || ko, chr(10) ORDER BY nth) FILTER (nth <= 12) AS shown FROM bad GROUP BY doc_id),
+report AS (SELECT doc_id, passed, checks, passed = checks AS hard_ok, translated + cached + kept AS total, translated, cached, kept, skipped, retried, repaired, split, sanitized, coalesce(found, 0) AS found, 0 AS unverified, coalesce(endings, 0) AS endings, coalesce(violations, 0) AS violations,
+  CASE WHEN coalesce(solid, 0) > 0 THEN round(hangul / solid::DOUBLE, 6) ELSE 0 END AS hangul_ratio, shown FROM hard JOIN process USING (doc_id) LEFT JOIN quality USING (doc_id) LEFT JOIN violated USING (doc_id))"""
+_SAID = lambda *names: " || ', ' || ".join(f"'{n} ' || {n}" for n in names)
+
+
+@query(f"""WITH {EVALUATED} SELECT doc_id, passed, checks, hard_ok, total, found, unverified, endings::BIGINT AS endings, violations, hangul_ratio,
+  concat_ws(chr(10), CASE WHEN hard_ok THEN 'PASS ' ELSE 'FAIL ' END || passed || '/' || checks, {_SAID("total", "translated", "cached", "kept", "skipped", "retried", "repaired", "split", "sanitized")}, {_SAID("found", "unverified", "endings::BIGINT").replace("'endings::BIGINT ", "'endings ")},
+  'hangul ' || printf('%.1f', hangul_ratio * 100) || ' %', 'violations ' || violations, shown, CASE WHEN violations > 12 THEN '... ' || (violations - 12) || ' more' END) AS summary FROM report""")
+def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over documents, scored: invariants of sources and results, what the run did, what is found again in its cache, and a summary with the first violations of the glossary."""
+    from quire.plans import stage
+
+    lines = stage.staged(lift.troubled(spark, sf_dir), "troubled")
+    docs = stage.staged(lines.groupBy("doc_id").agg(F.array_join(ordered("k", "line"), "\n\n").alias("text")), "documents")
+    units, keyed = translate.prepared(docs, lift.glossary(spark), "m")
+    cache = translate.Cache(spark, stage.fresh(spark, "cache"))
+    cache.add(keyed.filter(F.col("src").contains("qqcached")).select("key", "src", F.concat(F.lit("C "), "src").alias("text")).distinct())
+    outcome = translate.settled(units, keyed, cache, translate.one_by_one(careless))
+    replay = stage.staged(evaluate.replayed(units, keyed, cache.read(), outcome.filter("status = 'kept'")), "replay")
+    hits = stage.staged(glossary.term_hits(units.filter("reason = ''").select("doc_id", "unit_id", "scan"), lift.glossary(spark)), "hits")
+    pairs = docs.select("doc_id", F.col("text").alias("source")).join(translate.assembled(docs, outcome).withColumnRenamed("text", "result"), "doc_id")
+    report = stage.staged(evaluate.evaluation(pairs, outcome, replay, hits, "e[.]"), "report")
+    said = evaluate.summary(report, evaluate.violations(hits, replay.filter("status = 'found'")))
+    return report.select("doc_id", "passed", "checks", "hard_ok", "total", "found", "unverified", "endings", "violations", "hangul_ratio").join(said, "doc_id")
+
+
 @query(f"WITH {REASONED} SELECT count(DISTINCT line) AS calls, 0::BIGINT AS calls_again FROM skips WHERE reason = '' AND k % 5 <> 2")
 def cache_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of a run, and of a second one that finds the cache of the first: one for each distinct text, then none."""
@@ -791,10 +838,6 @@ _RULE = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 _MARKED = f"replace(replace(text, ' ', ' \\( '), '.', '.' || {_RULE}) || '\\[ x ![](a) <table><td><td>'"
 
 
-def _times(x: str, needle: str, size: int) -> str:
-    return f"(length({x}) - length(replace({x}, {needle}, ''))) // {size}"
-
-
 _SEVEN = (("pages", _RULE, 7), ("inline_math", "'\\('", 2), ("display_math", "'\\['", 2), ("images", "'!['", 2), ("cells", "'<td'", 3), ("tables", "'<table'", 6))
 
 
