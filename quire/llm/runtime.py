@@ -83,6 +83,13 @@ def written(df: DataFrame, name: str, codec: str = "zstd", partition_by: list[st
     return out
 
 
+def new_folder(spark: SparkSession, path: str) -> str:
+    """Make a folder in any store that Spark reaches."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
+    return path
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables of written() that no returned frame reads any more."""
     for df in frames:

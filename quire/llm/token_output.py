@@ -10,8 +10,9 @@ File layout, little-endian: magic b"QWM2", u32 header length, JSON header {n, bi
 parts, each a zstd frame whose length is in the header: doc ids (i64), whether they are given (u8), doc starts (i64),
 and for each plane its rank directory (u32) and the frames of its bits.
 
-Shards are rows of a Parquet table (part, shard, first_doc, n_docs, n_tokens, part_start, payload), so that any
-store that Spark reaches can hold them; payload is the file itself, and export() writes plain files.
+Each task writes its shards as files of this format to one folder of the shared store, through the file systems that
+Arrow knows by their addresses. A table of a row a shard (part, shard, first_doc, n_docs, n_tokens, part_start, file)
+says which files count, where their ids begin, and what they hold: files of attempts that failed are not in it.
 
 Nulls in text count as empty; rows with a null doc_id come first; equal doc_ids are ordered by text; repeated rows
 are kept, each with its own place; an empty table gives no shards and an empty result; other columns are ignored.
@@ -21,14 +22,15 @@ A document is never split, so a shard holds at least one whole document, whateve
 from __future__ import annotations
 
 import json
-import os
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,7 @@ MAGIC, BLOCK = b"QWM2", 512
 #: Bytes of a plane in one frame, and frames of a plane that stay open.
 FRAME, OPEN_FRAMES = 16_384, 4
 SHARD_TOKENS, SLICE_BYTES = 1 << 20, 4 << 20
-SHARD_SCHEMA = "part int, shard int, first_doc long, n_docs long, n_tokens long, part_start long, payload binary"
+SHARD_SCHEMA = "part int, shard int, first_doc long, n_docs long, n_tokens long, part_start long, file string"
 
 
 class Plane:
@@ -228,23 +230,45 @@ def _encoder(path: str) -> tuple[Callable[[pa.Array], tuple[np.ndarray, np.ndarr
     return ids, max(1, (tok.get_vocab_size() - 1).bit_length())
 
 
-def shard_writer(path: str, end_id: int, shard_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _file_system(address: str) -> tuple[fs.FileSystem, str]:
+    """Of an address such as Spark writes it; without a scheme, or with file:, it is a local path of a folder that all share."""
+    if address.startswith("file:") or "://" not in address:
+        return fs.LocalFileSystem(), "/" + address.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(address)
+
+
+def put(address: str, payload: bytes) -> None:
+    system, path = _file_system(address)
+    with system.open_output_stream(path) as f:
+        f.write(payload)
+
+
+def shard(address: str) -> Shard:
+    """A shard from its file."""
+    system, path = _file_system(address)
+    with system.open_input_file(path) as f:
+        return Shard.from_bytes(f.read())
+
+
+def shard_writer(path: str, end_id: int, shard_tokens: int, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         encode, bits = _encoder(path)
         bits = max(bits, end_id.bit_length())
         dtype = np.uint16 if bits <= 16 else np.uint32
         held: list[tuple] = []  # (doc ids, has id, lengths, ids)
-        shard = before = size = 0
+        number = before = size = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal shard, before, size, held
+            nonlocal number, before, size, held
             docs, has, lengths, ids = (np.concatenate([h[k] for h in held]) for k in range(4))
             held, n = [], len(ids)
             payload = Shard(docs, has, np.cumsum(lengths) - lengths, WaveletMatrix.build(ids, bits)).to_bytes()
             first = pa.array([int(docs[0]) if has[0] else None], pa.int64())
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), first, pa.array([len(docs)], pa.int64()), pa.array([n], pa.int64()), pa.array([before], pa.int64()), pa.array([payload], pa.binary())], ["part", "shard", "first_doc", "n_docs", "n_tokens", "part_start", "payload"])
-            shard, before, size = shard + 1, before + n, 0
+            file = f"{folder}/{part:06d}-{number:06d}-{uuid.uuid4().hex}.qwm"  # a name for this attempt alone
+            put(file, payload)
+            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), first, pa.array([len(docs)], pa.int64()), pa.array([n], pa.int64()), pa.array([before], pa.int64()), pa.array([file])], ["part", "shard", "first_doc", "n_docs", "n_tokens", "part_start", "file"])
+            number, before, size = number + 1, before + n, 0
             return out
 
         for batch in batches:
@@ -276,14 +300,15 @@ def shard_writer(path: str, end_id: int, shard_tokens: int) -> Callable[[Iterato
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """The shard table of docs (doc_id, text), written to the shared folder in ascending doc_id order."""
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, shard_tokens: int = SHARD_TOKENS, folder: str | None = None) -> DataFrame:
+    """The table of the shard files of docs (doc_id, text), written in ascending doc_id order to folder, or to one of its own in the shared folder."""
     spark = docs.sparkSession
     runtime.ship(spark)
+    folder = runtime.new_folder(spark, folder or f"{runtime.shared_folder(spark).rstrip('/')}/quire-shards-{uuid.uuid4().hex}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), runtime.text_or_empty().alias("text"))
     n = max(rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism * 2)
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return runtime.written(rows.mapInArrow(runtime.lean(shard_writer(tokenizer, end_id, shard_tokens)), SHARD_SCHEMA), "tokens", codec="uncompressed")
+    return runtime.written(rows.mapInArrow(runtime.lean(shard_writer(tokenizer, end_id, shard_tokens, folder)), SHARD_SCHEMA), "tokens")
 
 
 def part_starts(shards: DataFrame) -> dict[int, int]:
@@ -296,28 +321,20 @@ def part_starts(shards: DataFrame) -> dict[int, int]:
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the shards alone."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, read back from the shard files."""
     starts = shards.sparkSession.sparkContext.broadcast(part_starts(shards))
+    n = max(shards.sparkSession.sparkContext.defaultParallelism, int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                shard = Shard.from_bytes(batch.column("payload")[k].as_py())
+                own = shard(batch.column("file")[k].as_py())
                 base = starts.value[batch.column("part")[k].as_py()] + batch.column("part_start")[k].as_py()
-                ids, at = shard.matrix.decode().astype("<u4"), np.append(shard.starts, shard.matrix.n)
+                ids, at = own.matrix.decode().astype("<u4"), np.append(own.starts, own.matrix.n)
                 view = memoryview(ids).cast("B")
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64(), mask=~shard.has_id), pa.array(shard.starts + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return shards.select("part", "part_start", "payload").mapInArrow(runtime.lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
-
+                yield pa.RecordBatch.from_arrays([pa.array(own.doc_ids, pa.int64(), mask=~own.has_id), pa.array(own.starts + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-def export(shards: DataFrame, folder: str) -> list[str]:
-    """Write each shard to folder as part-shard.qwm, one at a time (for a folder that the driver sees)."""
-    os.makedirs(folder, exist_ok=True)
-    names = []
-    for row in shards.orderBy("part", "shard").toLocalIterator():
-        names.append(os.path.join(folder, f"{row['part']:06d}-{row['shard']:06d}.qwm"))
-        with open(names[-1], "wb") as f:
-            f.write(row["payload"])
-    return names
+    # rows are names only: dealt out, so that files are read by as many tasks as there are
+    names = shards.select("part", "part_start", "file").repartition(n, "file")
+    return names.mapInArrow(runtime.lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

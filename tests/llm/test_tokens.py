@@ -87,6 +87,9 @@ def test_token_output_round_trip(spark, tmp_path):
         at += len(ids)
     got = sorted(map(tuple, to.read_tokens(shards).collect()), key=lambda r: r[1])
     assert got == want
-    files = to.export(shards, str(tmp_path / "x"))
-    assert len(files) == shards.count() and to.Shard.from_bytes(open(files[0], "rb").read()).matrix.n > 0
+    own = to.write_tokens(docs, WORD, 2, shard_tokens=200, folder=str(tmp_path / "x"))
+    files = sorted(r.file for r in own.collect())
+    assert files == sorted(str(x) for x in (tmp_path / "x").glob("*.qwm")) and len(files) == shards.count() and to.shard(files[0]).matrix.n > 0
+    assert all(open(x, "rb").read(4) == to.MAGIC for x in files)
+    assert to._file_system("file:///a/b")[1] == to._file_system("file:/a/b")[1] == to._file_system("/a/b")[1] == "/a/b"
     assert to.read_tokens(to.write_tokens(docs.limit(0), WORD, 2)).count() == 0
