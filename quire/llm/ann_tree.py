@@ -366,17 +366,22 @@ class Index:
 
         own = "node long, key binary, vec binary, ids array<long>"
         self.rows = runtime.written(classes.select("key", "vec", "ids").mapInArrow(runtime.lean(to_leaf), own), "leaves")
-        most = None
-        while True:
-            sizes = self.rows.groupBy("node").agg(F.count("*").alias("n"))
-            before, most = most, sizes.agg(F.max("n")).first()[0] or 0
-            if most <= leaf or most == before or len(self.levels) >= LEVELS:  # an equal size: what is left lies too close together to be split
+        above = None
+        while len(self.levels) < LEVELS:
+            sizes = runtime.written(self.rows.groupBy("node").agg(F.count("*").alias("n")), "sizes")
+            large = sizes.filter(F.col("n") > leaf)
+            if above is not None:  # a node as large as the one above it lies too close together to be split; it alone stays as it is
+                large = large.join(above.select(F.col("node").alias("parent"), F.col("n").alias("whole")), F.expr(f"node div {FAN}") == F.col("parent")).filter("n <> whole").select("node", "n")
+            large = runtime.written(large, "large")
+            runtime.discard(*[above] * (above is not None))
+            above = sizes
+            if large.isEmpty():
                 break
             share = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) * F.col("n") < F.lit(node_sample << 30)
-            sampled = self.rows.join(sizes.filter(F.col("n") > leaf), "node").filter(share).select("node", "key", "vec")
+            sampled = self.rows.join(large, "node").filter(share).select("node", "key", "vec")
             centres = runtime.written(sampled.groupBy("node").applyInPandas(_centres(tree.top, kind, FAN, seed), "node long, centres binary"), "centres")
             below = runtime.written(self._down(self.rows, centres, False), "leaves")
-            runtime.discard(self.rows)
+            runtime.discard(self.rows, large)
             self.rows = below
             self.levels.append(centres)
         counted = self.rows.agg(F.count("*"), F.countDistinct("node")).first()

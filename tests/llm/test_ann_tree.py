@@ -96,6 +96,15 @@ def test_few_vectors_are_compared_and_no_more_with_a_larger_table(spark):
     assert met[100_000] < 0.05 * 100_000 and met[100_000] < 2.5 * met[20_000]
 
 
+def test_a_clump_that_cannot_be_split_keeps_no_other_node_large(spark):
+    rng = np.random.default_rng(9)
+    clump = np.full((1500, 4), 30.0)
+    x = np.concatenate((clump, rng.normal(size=(4000, 4))))
+    index, _ = at.built(classes_of(spark, x), float(np.sqrt((x**2).sum(1).max())), "<f8", 5, sample=300, leaf=100, part=1000)
+    sizes = sorted((r["count"] for r in index.rows.groupBy("node").count().collect()), reverse=True)
+    assert sizes[0] == 1500 and sizes[1] <= 100 and len(index.levels) > 1 and sum(sizes) == 5500
+
+
 def test_grown_levels_lose_nothing(spark):
     """With all leaves visited the result is that of brute force, through several levels."""
     x = clustered(3000, dim=8, clusters=20)
