@@ -969,13 +969,16 @@ def segment_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segment(merge.documents(merge.chunk_pages(lift.chunks(spark, sf_dir))).withColumnRenamed("markdown", "text"))
 
 
-@query("SELECT doc_id, true AS same FROM documents")
+@query(f"""WITH {TROUBLED} SELECT doc_id, string_agg(CASE k % 3 WHEN 0 THEN 'new ' || k WHEN 1 THEN '⸻' || chr(10) || 'ruled' ELSE line END, chr(10) || chr(10) ORDER BY k) AS text FROM troubled GROUP BY doc_id""")
 def segment_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one paragraph a line: every third unit is replaced, every third by a text with a rule and blank lines around it, every third stays."""
     from quire.operators import segment
 
-    docs = lift.table(spark, sf_dir, "documents")
-    new = F.map_from_entries(F.transform(segment.unit_list("text"), lambda u: F.struct(u["unit_id"], u["src"])))
-    return docs.select("doc_id", segment.assembled("text", new).eqNullSafe(F.col("text")).alias("same"))
+    docs = lift.troubled(spark, sf_dir).groupBy("doc_id").agg(F.array_join(ordered("k", "line"), "\n\n").alias("text"))
+    told = F.when(F.col("n") % 3 == 0, F.concat(F.lit("new "), F.col("n").cast("string"))).when(F.col("n") % 3 == 1, "\n \n---\nruled\n")
+    units = segment.segment(docs).withColumn("n", F.substring_index("unit_id", ":", -1).cast("int")).withColumn("new", segment.tidy(told)).filter("new is not null")
+    new = units.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("unit_id", "new"))).alias("new"))
+    return docs.join(new, "doc_id", "left").select("doc_id", segment.assembled("text", "new").alias("text"))
 
 
 _GLUED = "lambda a, b: a || b"
@@ -1069,9 +1072,13 @@ def structure_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in deltas, some with a page marker behind every sentence and two pages expected, some of which each character costs tokens."""
     from quire.streaming import detector, pages, run
 
-    out = run.drained(detector.detect(pages.deltas_of(run.source(spark, sf_dir, "documents").select("doc_id", "text"))), "update")
+    d = F.col("doc_id")
+    docs = run.source(spark, sf_dir, "documents").select("doc_id", F.when(d % 7 == 3, F.replace("text", F.lit(". "), F.lit(".<PAGE>"))).otherwise(F.col("text")).alias("text"))
+    deltas = pages.deltas_of(docs).withColumn("tokens", F.when(d % 5 == 1, F.length("delta") * 2).otherwise(0)).withColumn("expected", F.when(d % 7 == 3, 2).otherwise(0))
+    out = run.drained(detector.detect(deltas), "update")
     return out.groupBy("doc_id").agg(F.max_by(F.struct("n_chars", "reason"), "batch").alias("r")).select("doc_id", "r.*")
 
 

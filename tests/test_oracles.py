@@ -3,7 +3,7 @@ import re
 import pytest
 
 from quire import queries
-from quire.operators import repetition
+from quire.operators import repetition, segment
 from quire.plans import lift
 from quire.streaming.detector import Detector
 from tests.oracle import compare
@@ -49,12 +49,22 @@ def test_stream_detector_against_one_pass(spark):
     got = {r.doc_id: (r.n_chars, r.reason) for r in queries.QUERIES["stream_detector"](spark, SF).collect()}
     want = {}
     for d, text in texts_of(spark).items():
-        own = Detector()
+        text = text.replace(". ", ".<PAGE>") if d % 7 == 3 else text
+        own = Detector(2 if d % 7 == 3 else 0)
         for at in range(0, len(text), 256):
-            own.feed(text[at : at + 256], end=at + 256 >= len(text))
+            delta = text[at : at + 256]
+            own.count(len(delta) * 2 if d % 5 == 1 else 0)
+            own.feed(delta, end=at + 256 >= len(text))
         if text:
             want[d] = (own.chars, own.reason)
-    assert got == want and "page_char_limit" in {r for _, r in want.values()}
+            if own.reason == "page_flood":
+                assert text.count("<PAGE>") > 4
+            if own.reason == "page_char_limit":
+                assert max(map(len, text.split("<PAGE>"))) > 16_384
+            if not own.reason:  # nothing that a plain look at the whole text would find
+                assert max(map(len, text.split("<PAGE>"))) <= 16_384 and not (d % 7 == 3 and text.count("<PAGE>") > 4)
+                assert d % 5 != 1 or max(map(len, text.split("<PAGE>"))) * 2 <= 6_144 + 1_024
+    assert got == want and {"page_char_limit", "page_flood", "page_token_limit", ""} <= {r for _, r in want.values()}
 
 
 def test_greedy_overlap_of_all_pages(spark):
@@ -85,9 +95,15 @@ def test_greedy_overlap_of_all_pages(spark):
 
 def test_units_of_documents_put_together_again(spark):
     rows = queries.QUERIES["segment_units"](spark, SF).collect()
+    assert set(queries.QUERIES) - set(queries.ORACLES) == {"segment_units", "tandem_repeat", "greedy_iou", "stream_detector"}  # each has a test here
     assert rows and all(r.unit_id.split(":")[:2] == ["md", str(r.page)] and r.src.count("\n") == r.behind - r.first - 1 for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
-def test_other_queries_run(spark, name):
-    assert queries.QUERIES[name](spark, SF).count() >= 0
+def test_units_are_the_blocks_between_blank_lines(spark):
+    """Of pages of plain paragraphs, by a second look: runs of lines that aren't blank."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "concat('P ', regexp_replace(text, '\\n', '\\n\\nP ')) as text")
+    got = {}
+    for r in segment.segment(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.unit_id, r.kind, r.src))
+    for r in docs.collect():
+        assert got[r.doc_id] == [(f"md:0:{n}", "paragraph", x) for n, x in enumerate(re.split(r"\n\n", r.text))]
