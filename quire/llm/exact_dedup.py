@@ -132,6 +132,8 @@ def classes(groups: DataFrame, salts: int) -> DataFrame:
     held = groups.filter("packed is not null").select("local", "digest", "packed", "n", "best", F.pmod(F.xxhash64(block), F.lit(salts)).alias("salt"))
     in_salt = Window.partitionBy("salt", "digest", "packed")
     salted = held.select("local", "digest", "packed", F.min("local").over(in_salt).alias("winner"), F.sum("n").over(in_salt).alias("n"), F.min("best").over(in_salt).alias("best"))
+    # true of all rows: with it both readers ask for the same columns, and Spark deals the contents out once for both
+    salted = salted.filter("n > 0 and best is not null")
     over_all = Window.partitionBy("digest", "packed")
     winners = salted.filter("local = winner").select("winner", F.min("winner").over(over_all).alias("class"), F.sum("n").over(over_all).alias("n"), F.min("best").over(over_all).alias("best"))
     return salted.select("local", "winner").join(winners, "winner").drop("winner")
