@@ -2,60 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # The states that end a job.
 ENDED = ("done", "error", "canceled")
 
 
-class Expiry(StatefulProcessor):
-    """State: a job's last touch and its state then. A timer in event time stands at the end of its time to live; a later touch moves it, and revives a job that would have gone.
-
-    A job that is still queued or running has no timer. One that has gone is forgotten; a touch after that makes it new.
-    """
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "touched long, ended_at long, status string, timer long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        touched, said, status, timer = self.last.get() if self.last.exists() else (-1, -1, "", 0)
-        for frame in rows:
-            for ms, state in zip(frame["touched_ms"].tolist(), frame["status"].tolist()):
-                touched = max(touched, ms)
-                if isinstance(state, str) and state and ms >= said:
-                    said, status = ms, state
-        due = touched + self.ttl_ms if status in ENDED else 0
-        if due != timer:
-            if timer:
-                self.handle.deleteTimer(timer)
-            if due:
-                self.handle.registerTimer(due)
-        self.last.update((touched, said, status, due))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        touched, _, status, _ = self.last.get()
-        self.last.clear()
-        yield pd.DataFrame({"id": [key[0]], "status": [status], "touched_at": pd.to_datetime([touched], unit="ms", utc=True)})
-
-    def close(self) -> None:
-        pass
-
-
 def expired(touches: DataFrame, ttl: Column, late: str = "0 seconds") -> DataFrame:
     """A streaming frame (id, at, status; null where a touch says nothing of it) to id, status, touched_at of each job whose last touch lies more than ttl (an interval of days and less) before the watermark.
 
-    Touches that come later than late behind the newest are left out where the watermark has passed them.
+    Touches that lie no further apart than ttl are one session; a later one moves its end, and revives a job that would
+    have gone. When the watermark has passed a session's end, a job that is still queued or running stays, one that has
+    ended goes and is forgotten; a touch after that makes it new. This hangs on the times of touches alone, in whatever
+    batches they come. Touches that come later than late behind the newest are left out where the watermark has passed them.
     """
     ms = touches.sparkSession.range(1).select((F.unix_millis(F.timestamp_seconds(F.lit(0)) + ttl)).alias("ms")).first().ms
-    rows = touches.withWatermark("at", late).select("id", "at", F.unix_millis("at").alias("touched_ms"), "status")
-    return rows.groupBy("id").transformWithStateInPandas(Expiry(ms), "id long, status string, touched_at timestamp", "Append", "EventTime")
+    # to the millisecond, as watermarks are
+    rows = touches.select("id", F.timestamp_millis(F.unix_millis("at")).alias("at"), "status").withWatermark("at", late)
+    sessions = rows.groupBy("id", F.session_window("at", f"{ms + 1} milliseconds"))
+    said = F.max(F.when(F.col("status") != "", F.struct("at", "status")))["status"]
+    return sessions.agg(F.max("at").alias("touched_at"), said.alias("status")).filter(F.col("status").isin(*ENDED)).select("id", "status", "touched_at")

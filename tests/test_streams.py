@@ -3,11 +3,12 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import render
-from quire.streaming import coalesce, expiry, pages, preview, run
+from quire.streaming import coalesce, expiry, ordered, pages, preview, run
 
 RAW = (
     "<|ref|>Image <|/ref|><|det|>[[1, 2, 3, 4], [5,6,7,8]]<|/det|>under it<PAGE>", "<|det|>title [1, 2, 3, 4]<|/det|>Two\n  lines<|det|>page-number [1,2,3,4]<|/det|>7<PAGE><PAGE>",
@@ -101,3 +102,12 @@ def test_rows_that_come_again_are_left_out(spark):
     rows = [(1, 1, "b", False), (1, 0, "a", False), (1, 0, "a", False), (1, 3, "d", True), (1, 2, "c", False), (1, 2, "c", False)]
     out = run.drained(preview.preview(run.staged(spark.createDataFrame(rows, "doc_id long, seq int, delta string, last boolean"), 3, "delta")), "append")
     assert [r.md for r in out.filter("kind = 'page'").collect()] == ["abcd"]
+
+
+def test_what_expires_does_not_hang_on_the_batches(spark):
+    day = lambda n: f"2024-01-{n:02d} 00:00:00"
+    # 1 has gone by the time of its second touch, which says nothing; 2 is touched in time
+    rows = [(1, day(1), "done"), (1, day(9), None), (2, day(1), "done"), (2, day(4), None), (3, day(20), "running")]
+    df = spark.createDataFrame(rows, "id long, at string, status string").withColumn("at", F.col("at").cast("timestamp"))
+    out = run.drained(expiry.expired(run.staged(df, 1), F.expr("interval 5 days")), "append")
+    assert sorted((r.id, r.status, r.touched_at.day) for r in out.collect()) == [(1, "done", 1), (2, "done", 4)]
