@@ -35,9 +35,10 @@ class Coalescer(Ordered):
         return key[0], number, text, page + text.count(MARK), why
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        text, page, number, timer = self.held.get() if self.held.exists() else ("", 0, 0, 0)
+        ready = self.in_order(rows)
+        text, page, number, timer = self.told(self.held, ("", 0, 0, 0))
         out, ended = [], False
-        for row in self.in_order(rows):
+        for row in ready:
             text, ended = text + (row["delta"] or ""), ended or bool(row["last"])
             whole = len(text) - (0 if ended else marker_begun(text))
             if whole and (len(text) >= FLUSH_CHARS or ended):

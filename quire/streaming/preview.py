@@ -58,9 +58,10 @@ class Preview(Ordered):
         self.tail = handle.getValueState("tail", "raw string, page int, before boolean, md string, ruled boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        raw, page, before, last_md, last_ruled = self.tail.get() if self.tail.exists() else ("", 0, False, "", False)
+        ready = self.in_order(rows)
+        raw, page, before, last_md, last_ruled = self.told(self.tail, ("", 0, False, "", False))
         out, done, ended = [], [], False
-        for row in self.in_order(rows):
+        for row in ready:
             raw, ended = raw + (row["delta"] or ""), ended or bool(row["last"])
         *finished, raw = raw.split(render.MARK)
         for text in [*finished, raw] if ended else finished:

@@ -111,3 +111,55 @@ def test_what_expires_does_not_hang_on_the_batches(spark):
     df = spark.createDataFrame(rows, "id long, at string, status string").withColumn("at", F.col("at").cast("timestamp"))
     out = run.drained(expiry.expired(run.staged(df, 1), F.expr("interval 5 days")), "append")
     assert sorted((r.id, r.status, r.touched_at.day) for r in out.collect()) == [(1, "done", 1), (2, "done", 4)]
+
+
+class Counted:
+    """A state that counts the trips to it."""
+
+    def __init__(self, trips):
+        self.value, self.trips = None, trips
+
+    def trip(self, value=None):
+        self.trips.append(1)
+        return value
+
+    def exists(self):
+        return self.trip(self.value is not None)
+
+    def get(self):
+        return self.trip(self.value)
+
+    def update(self, value):
+        self.value = self.trip(value)
+
+    put = update
+
+    def appendValue(self, value):
+        self.value = self.trip([*(self.value or []), value])
+
+    def clear(self):
+        self.value = self.trip()
+
+
+def test_a_batch_of_a_key_makes_few_trips_to_the_state():
+    trips = []
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Counted(trips)
+
+        getListState = getMapState = getValueState
+
+    class Plain(ordered.Ordered):
+        def handleInputRows(self, key, rows, timerValues):
+            return iter([])
+
+    own, got, order = Plain(), [], list(range(1000))
+    own.init(Handle())
+    random.Random(2).shuffle(order)
+    for at in range(0, 1000, 250):
+        came = [*order[at : at + 250], *order[at : at + 9]]
+        before = len(trips)
+        got += [(r["seq"], r["delta"]) for r in own.in_order(iter([pd.DataFrame({"seq": came, "delta": [str(s) for s in came]})]))]
+        assert len(trips) - before <= 5
+    assert got == [(s, str(s)) for s in range(1000)]
