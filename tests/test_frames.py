@@ -316,3 +316,30 @@ def test_replies(spark):
     got = df.select(readers.json_object(F.col("b"), "a struct<b:int>"), readers.error_detail(F.col("b")), readers.preview(F.col("b"), 4)).collect()
     assert got[0][0].a.b == 1 and got[1][0] is None and got[2][0] is None
     assert [r[1] for r in got] == ["(no detail)"] * 4 + ["e" * 300, "(no detail)"] and got[1][2] == "none"
+
+
+def test_long_texts_become_objects_a_few_at_a_time(spark):
+    import pyarrow as pa
+
+    from pyspark.sql.types import StringType
+
+    from quire.functions import slices
+
+    texts = pa.array(["x" * 1000, None, "y" * 5000, *["z" * 10] * 500])
+    got = [c for (c,) in slices.slices((texts,), 1000)]
+    assert pa.concat_arrays(got).to_pylist() == texts.to_pylist() and max(c.nbytes for c in got if len(c) > 1) <= 2000 and len(got) < 100
+    rows = [(k, None if k % 5 == 0 else f"{k} " * 300) for k in range(100)]
+    ends = slices.by_row(StringType())(lambda text, k: None if text is None else f"{k}:{text[-4:]}")
+    df = spark.createDataFrame(rows, "k int, t string").repartition(1)
+    assert {r.k: r.e for r in df.select("k", ends("t", "k").alias("e")).collect()} == {k: t and f"{k}:{t[-4:]}" for k, t in rows}
+
+
+def test_units_of_a_batch_leave_python_in_pieces(spark):
+    import pyarrow as pa
+
+    from quire.operators import segment
+
+    run = segment.unit_list.__closure__
+    few = next(c.cell_contents for c in run if getattr(c.cell_contents, "__name__", "") == "one")
+    texts = pa.array(["a line\n\n" * 2000] * 1000)
+    assert len(list(few.func(iter([texts])))) >= 3
