@@ -64,7 +64,7 @@ def upsert(rows: DataFrame, keys: list[str], recency: str) -> DataFrame:
 
 def replayed(units: DataFrame, keyed: DataFrame, cache: DataFrame, kept: DataFrame) -> DataFrame:
     """doc_id, unit_id, src, text, status of all units: 'found' in the cache by their keys, 'skipped', 'kept' where kept (doc_id, unit_id) lists them, else 'unverified'."""
-    keys = [c for c in ("key", "src") if c in cache.columns]
+    keys = [c for c in ("ask", "key", "src") if c in cache.columns]
     known = cache.groupBy(*keys).agg(F.min("text").alias("text"))
     found = keyed.select("doc_id", "unit_id", *keys).join(known, keys, "left").select("doc_id", "unit_id", "text")
     rows = units.select("doc_id", "unit_id", "src", "reason").join(found, ["doc_id", "unit_id"], "left").join(kept.select("doc_id", "unit_id", F.lit(True).alias("listed")).distinct(), ["doc_id", "unit_id"], "left")
