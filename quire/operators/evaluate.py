@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +26,28 @@ def invariants(pairs: DataFrame) -> DataFrame:
 CAP = 20_000
 
 
+def edit_distance(a: Column, b: Column, cap: int) -> Column:
+    """Levenshtein distance of two texts of at most cap characters. What they begin or end with alike costs nothing, so only what lies between is compared."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(cap.bit_length()))])
+
+    def alike(x: Column, y: Column, part: Callable[[Column, Column], Column]) -> Column:
+        room = F.least(F.length(x), F.length(y))
+        return F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= room) & (part(x, n + step) == part(y, n + step)), n + step).otherwise(n))
+
+    without = lambda p, cut: F.struct(cut(p["x"], p["n"]).alias("x"), cut(p["y"], p["n"]).alias("y"))
+    counted = lambda p, part: F.struct(p["x"].alias("x"), p["y"].alias("y"), alike(p["x"], p["y"], part).alias("n"))
+    pair = T.let(F.struct(a.alias("x"), b.alias("y")), lambda p: counted(p, F.left))
+    pair = T.let(pair, lambda p: without(p, lambda x, n: F.substring(x, n + 1, F.length(x) - n)))
+    pair = T.let(pair, lambda p: counted(p, F.right))
+    pair = T.let(pair, lambda p: without(p, lambda x, n: F.left(x, F.length(x) - n)))
+    return T.let(pair, lambda p: F.levenshtein(p["x"], p["y"]))
+
+
 def ground_truth(result: Column, truth: Column, cap: int = CAP) -> tuple[Column, Column]:
     """(edit distance, longest length) of two Markdown texts without images and extra white space; lengths over the cap are compared to it."""
     plain = lambda c: F.left(T.squeeze(F.regexp_replace(c, r"!\[\]\([^)]*\)", "")), F.lit(cap))
     a, b = plain(result), plain(truth)
-    return F.levenshtein(a, b), F.greatest(F.length(a), F.length(b))
+    return edit_distance(a, b, cap), F.greatest(F.length(a), F.length(b))
 
 
 def truth_metrics(result: Column, truth: Column) -> dict[str, Column]:
