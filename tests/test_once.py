@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.operators import evaluate, glossary, layout, repetition
 
 
@@ -53,3 +54,10 @@ def test_bans_read_a_sequence_once(spark):
     out = df.select(repetition.ngram_bans(F.transform("s", lambda x: x + 7), 3, 40).alias("b"))
     assert [r.b for r in out.collect()] == [[10], [], [], [], []]
     assert said(out).count("+ 7") == 1
+
+
+def test_numbers_of_a_box_are_read_once(spark):
+    df = spark.createDataFrame([("[[1, 2, 3, 4], [5, 6, 7, 8], 9]",), ("1 2",), (None,)], "t string")
+    out = df.select(T.quads(F.col("t")).alias("q"))
+    assert said(out).count("regexp_extract_all") == 1
+    assert [r.q for r in out.collect()] == [[[1, 2, 3, 4], [5, 6, 7, 8]], [], []]
