@@ -18,9 +18,14 @@ without making all pairs of a group:
      Segments that no other set of a fitting size has come first and cost nothing; a set with d + 1 of them can have no
      partner and is out.
 3. Stars. Of the sets in one entry and size band the first is the leader; each other is verified against it, exactly.
-4. Deltas. Members of one leader's group that are not connected yet, and not all linked to the leader, may still link
-   with each other. Their difference is that of their deltas to the leader, so deltas are joined: each keeps its rarest
-   elements within the leader's group, by the same prefix argument, and pairs that share one are verified.
+4. Members of one leader's group that are not connected yet may still link with each other. Those that are linked to the
+   leader are connected, so of two members one at least is not:
+   - Deltas, where the other is linked. Their difference is that of their deltas to the leader, and both lie near it, so
+     deltas of members that are near enough for that are joined: each keeps its rarest elements within the leader's
+     group, by the same prefix argument, and pairs that share one are verified.
+   - Sets, where neither is. They have little in common with the leader, often one passage, and may lie in groups of many
+     leaders. Each set is taken once, whatever its leaders, so that this grows with the sets and not with the stars: the
+     floor(n / 5) + 1 elements that the fewest of these sets hold are joined, and pairs that share one are verified.
 5. Components of all links, by alternating large and small stars over tables in the shared folder.
 
 Equal sets form one class beforehand, found by a 128-bit hash, whose first 64 bits stand for it in the index (classes
@@ -53,6 +58,8 @@ SMALL, LARGE = (4, 5, 7, 9, 12, 15, 19, 25), 32
 SPARSE = 128
 #: Rows of one entry that are held at once.
 LONG_RUN = 1_000_000
+#: Elements of sets that become rows at once.
+PIECE = 1 << 17
 #: Bits of the map by which sets that nobody asks for are passed over: a fixed size, whatever the corpus.
 MARKS = 1 << 26
 _U = np.uint64
@@ -331,6 +338,29 @@ def _compared(with_delta: bool):
     return run
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each element of the sets (member, m, part, n, elements): member, m, part, n, e."""
+    names = ["member", "m", "part", "n"]
+
+    def flush() -> pa.RecordBatch:
+        at = pa.array(np.repeat(np.array(owner, np.int64), [len(x) for x in pieces]))
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), pa.array(np.concatenate(pieces))], [*names, "e"])
+
+    for batch in batches:
+        elements, owner, pieces, count = batch.column("elements"), [], [], 0
+        for k in range(len(batch)):
+            s = np.frombuffer(elements[k].as_buffer(), np.int64)
+            for at in range(0, len(s), PIECE):
+                owner.append(k)
+                pieces.append(s[at : at + PIECE])
+                count += len(pieces[-1])
+                if count >= PIECE:
+                    yield flush()
+                    owner, pieces, count = [], [], 0
+        if pieces:
+            yield flush()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """A written table of node, component (its smallest reachable node) of every node of edges (a, b), by large and small stars."""
     now, mark, before = runtime.written(edges.select("a", "b").filter("a <> b").distinct(), "edges"), None, ()
@@ -388,7 +418,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     linked = F.col("n_delta") * 9 <= F.col("n_leader") + F.col("n_member")
     compared = runtime.written(_verified(pairs, sets, False).withColumn("linked", linked), "compared")
     first = components(compared.filter("linked").select(F.col("l").alias("a"), F.col("m").alias("b")).unionByName(several))
-    more = runtime.written(_delta_links(pairs, sets, compared, first), "delta-links")
+    more = _member_links(pairs, sets, compared, first)
     runtime.discard(sets, pairs, compared)
     whole = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)) if more.take(1) else first
     reach = owned.join(whole, owned["rep"] == whole["node"], "left").groupBy("key").agg(F.min(F.coalesce("component", "rep")).alias("component"), F.min("id").alias("id"), F.min("first").alias("class_id"))
@@ -424,33 +454,68 @@ def _candidates(texts: DataFrame, most: int, reps: DataFrame) -> DataFrame:
     return found.join(left, "leader").join(right, "member").select(F.col("a").alias("leader"), F.col("b").alias("member"), "l", "m")
 
 
-def _delta_links(pairs: DataFrame, sets: DataFrame, compared: DataFrame, parts: DataFrame) -> DataFrame:
-    """a, b of links between members of one leader's group that is not connected as a whole yet."""
+def _member_links(pairs: DataFrame, sets: DataFrame, compared: DataFrame, parts: DataFrame) -> DataFrame:
+    """A written table of a, b: links between members of one leader's group that are not connected yet."""
     of = parts.select(F.col("node").alias("m"), F.col("component").alias("part"))
-    members = compared.select("leader", "member", "m", "linked").join(of, "m", "left").withColumn("part", F.coalesce("part", "m"))
-    open_ = members.groupBy("leader").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("linked").alias("all")).filter("p <> q and not all").select("leader")
-    members = members.join(open_, "leader", "left_semi").select("leader", "member", "linked", "part")
-    deltas = _verified(pairs.join(open_, "leader", "left_semi"), sets, True)
+    members = compared.join(of, "m", "left").withColumn("part", F.coalesce("part", "m"))
+    own, other = F.when(F.col("linked"), F.col("part")), F.when(~F.col("linked"), F.col("part"))
+    groups = members.groupBy("leader").agg(F.min(own).alias("own"), F.min(other).alias("p"), F.max(other).alias("q"), F.max(F.when(F.col("linked"), 9 * F.col("n_delta") + F.col("n_member"))).alias("reach"))
+    members = runtime.written(members.join(groups.filter("p <> q or p <> own"), "leader"), "members")
+    deltas, delta_entries, delta_links = _delta_links(pairs, sets, members)
+    elements, shared, set_links = _set_links(sets, members)
+    out = runtime.written(delta_links.unionByName(set_links), "member-links")
+    runtime.discard(members, deltas, delta_entries, elements, shared)
+    return out
+
+
+def _delta_links(pairs: DataFrame, sets: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written deltas and their entries, and a, b of links between a member that is not linked to its leader and one that is."""
+    # a partner of a linked one is no further from the leader than the linked one is, and the two from each other
+    strays = members.filter("not linked and part <> own and 9 * n_delta <= reach + n_member")
+    least = strays.groupBy("leader").agg(F.min(9 * F.col("n_delta") - F.col("n_member")).alias("least"))
+    near = members.filter("linked").join(least, "leader").filter("9 * n_delta + n_member >= least").drop("least")
+    members = near.unionByName(strays).select("leader", "member", "linked", "part")
+    deltas = _verified(pairs.join(members.select("leader", "member"), ["leader", "member"], "left_semi"), sets, True)
     members = runtime.written(deltas.join(members, ["leader", "member"]), "deltas")
     # The overlap of two deltas that a link needs at least: with any partner, whose delta can be smaller by a fourth of
-    # the set (long prefix), and with an unlinked partner, whose delta has a least size as well (short prefix).
+    # the set (long prefix, of those not linked), and with an unlinked partner, whose delta has a least size as well
+    # (short prefix, of the linked).
     any_ = F.greatest(F.lit(1), F.col("n_delta") - F.floor(F.col("n_member") / 4)).cast("long")
     open_one = F.ceil((F.col("n_delta") + (F.col("n_leader") - F.col("n_member")) / 9 - 1e-9) / 2).cast("long")
-    short = F.col("n_delta") - F.greatest(any_, open_one) + 1
-    long_ = F.when(F.col("linked"), short).otherwise(F.col("n_delta") - any_ + 1)
-    rows = members.select("leader", "member", "m", "linked", "part", "n_member", "n_delta", short.alias("short"), F.greatest(short, long_).alias("keep"), F.explode("delta").alias("e"))
+    keep = F.col("n_delta") + 1 - F.when(F.col("linked"), F.greatest(any_, open_one)).otherwise(any_)
+    rows = members.select("leader", "member", "linked", "part", "n_member", "n_delta", keep.alias("keep"), F.explode("delta").alias("e"))
     counts = rows.groupBy("leader", "e").agg(F.count("*").alias("df"))
     ranked = rows.join(counts, ["leader", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("leader", "member").orderBy("df", "e")))
-    kept = ranked.filter("rank <= keep and df > 1").select("leader", "e", "member", "linked", "part", "n_member", "n_delta", "rank", (F.col("rank") <= F.col("short")).alias("early"))
+    kept = ranked.filter("rank <= keep and df > 1").select("leader", "e", "member", "linked", "part", "n_member", "n_delta", "rank")
     kept = runtime.written(kept, "delta-entries")
-    a = kept.filter("not linked").select("leader", "e", F.col("member").alias("a"), F.col("part").alias("pa"), F.col("n_member").alias("na"), F.col("n_delta").alias("xa"), F.col("rank").alias("ra"), "early")
-    b = kept.filter("early").select("leader", "e", F.col("member").alias("b"), F.col("part").alias("pb"), F.col("n_member").alias("nb"), F.col("n_delta").alias("xb"), F.col("rank").alias("rb"), "linked")
-    near = "pa <> pb and (linked or (early and a < b)) and 5 * na >= 4 * nb and 5 * nb >= 4 * na and 9 * abs(xa - xb) <= na + nb"
+    a = kept.filter("not linked").select("leader", "e", F.col("member").alias("a"), F.col("n_member").alias("na"), F.col("n_delta").alias("xa"), F.col("rank").alias("ra"))
+    b = kept.filter("linked").select("leader", "e", F.col("member").alias("b"), F.col("n_member").alias("nb"), F.col("n_delta").alias("xb"), F.col("rank").alias("rb"))
+    fits = "5 * na >= 4 * nb and 5 * nb >= 4 * na and 9 * abs(xa - xb) <= na + nb"
     # at the first element that a pair shares, what follows in either delta must still give the overlap that it needs
-    near += " and 18 * (1 + least(xa - ra, xb - rb)) >= 9 * (xa + xb) - (na + nb)"
-    pairs = a.join(b, ["leader", "e"]).filter(near).select("leader", "a", "b", "na", "nb").distinct()
+    fits += " and 18 * (1 + least(xa - ra, xb - rb)) >= 9 * (xa + xb) - (na + nb)"
+    found = a.join(b, ["leader", "e"]).filter(fits).select("leader", "a", "b", "na", "nb").distinct()
     one = members.select("leader", F.col("member").alias("a"), F.col("m").alias("ka"), F.col("delta").alias("da"))
     two = members.select("leader", F.col("member").alias("b"), F.col("m").alias("kb"), F.col("delta").alias("db"))
-    joined = pairs.join(one, ["leader", "a"]).join(two, ["leader", "b"])
+    joined = found.join(one, ["leader", "a"]).join(two, ["leader", "b"])
     differ = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-    return joined.filter(differ * 9 <= F.col("na") + F.col("nb")).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    return members, kept, joined.filter(differ * 9 <= F.col("na") + F.col("nb")).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+
+
+def _set_links(sets: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written elements and those that are kept, and a, b of links between members that are not linked to their leader."""
+    asked = members.filter("not linked and p <> q").select("member", "m", "part", F.col("n_member").alias("n")).distinct()
+    asked = asked.join(sets.withColumnRenamed("class", "member"), "member").select("member", "m", "part", "n", "elements")
+    rows = runtime.written(asked.mapInArrow(runtime.lean(_elements), "member binary, m long, part long, n long, e long"), "elements")
+    counts = rows.groupBy("e").agg(F.count("*").alias("df"), F.min("part").alias("p"), F.max("part").alias("q")).filter("df > 1")
+    # the order is by (df, e): elements that no other set holds come first, and only their number counts
+    own = Window.partitionBy("member")
+    rank = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "e"))
+    kept = rows.join(counts, "e").withColumn("rank", rank).filter("rank <= floor(n / 5) + 1 and p <> q")
+    kept = runtime.written(kept.select("e", "member", "m", "part", "n", "rank"), "shared-elements")
+    a, b = (kept.select("e", *[F.col(c).alias(c + x) for c in ("member", "m", "part", "n", "rank")]) for x in "ab")
+    fits = "parta <> partb and membera < memberb and 5 * na >= 4 * nb and 5 * nb >= 4 * na"
+    # at the first element that a pair shares, what follows in either set must still give the overlap that it needs
+    fits += " and 9 * (1 + least(na - ranka, nb - rankb)) >= 4 * (na + nb)"
+    found = a.join(b, "e").filter(fits).select(F.col("membera").alias("leader"), F.col("memberb").alias("member"), F.col("ma").alias("l"), F.col("mb").alias("m")).distinct()
+    linked = _verified(found, sets, False).filter("n_delta * 9 <= n_leader + n_member")
+    return rows, kept, linked.select(F.col("l").alias("a"), F.col("m").alias("b"))

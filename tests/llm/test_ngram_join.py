@@ -197,3 +197,51 @@ def test_null_ids_among_copies(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == sorted([(7, 3), (3, 3), (0, 3), (21, 21), (0, 21), (0, 21), (0, 0), (0, 0), (most, most), (0, most), (0, most), (0, 0)])
     assert sorted((r.doc_id or 0, r.class_id or 0) for r in got) == sorted([(7, 7), (3, 3), (0, 0), (21, 21), (0, 0), (0, 0), (0, 0), (0, 0), (most, most), (0, 0), (0, most), (0, 0)])
     assert len({r.component_key for r in got}) == 5
+
+
+def test_members_of_many_stars_are_taken_once(spark, monkeypatch):
+    """Sets that share passages with many leaders become rows once each, not once a leader; links among them are found."""
+    rng = random.Random(6)
+    word = lambda: str(rng.randrange(10**6))
+    passages = [[word() for _ in range(55)] for _ in range(18)]
+    rows = []
+    for i, (p, q) in enumerate((p, q) for k, p in enumerate(passages) for q in passages[:k]):
+        words = p + q
+        rows.append((2 * i, " ".join(words)))
+        if i % 5 == 0:  # links among members that are far from their leaders
+            k = rng.randrange(len(words))
+            rows.append((2 * i + 1, " ".join([*words[:k], word(), *words[k + 1 :]])))
+    rng.shuffle(rows)
+    tables, written = {}, nj.runtime.written
+
+    def kept(df, name, **options):
+        tables[name] = written(df, name, **options)
+        return tables[name]
+
+    monkeypatch.setattr(nj.runtime, "written", kept)
+    monkeypatch.setattr(nj.runtime, "discard", lambda *frames: None)
+    want = check(spark, rows)
+    assert len({c for _, c in want.values()}) == 153
+    exploded = sum(len(r.delta) for r in tables["deltas"].select("delta").collect())
+    exploded += tables["elements"].count() if "elements" in tables else 0
+    assert exploded <= sum(n for n, _ in want.values())
+
+
+def test_members_linked_or_not_to_their_leader(spark):
+    """Chains whose middle is linked to the leader or not, in groups that share passages."""
+    rng = random.Random(15)
+    word = lambda: str(rng.randrange(10**6))
+    rows, d = [], 0
+    for size in (40, 90, 160):
+        for _ in range(12):
+            words = [word() for _ in range(size)]
+            for _ in range(9):  # each is a step from the one before
+                words = list(words)
+                for _ in range(max(1, size // 60)):
+                    k = rng.randrange(len(words))
+                    words[k : k + 2] = rng.choice([[word()], [words[k], word(), word()]])
+                rows.append((d, " ".join(words)))
+                d += 1
+    rng.shuffle(rows)
+    want = check(spark, rows, 5)
+    assert len({c for _, c in want.values()}) < len(rows) // 2
