@@ -17,15 +17,21 @@ without making all pairs of a group:
      share all but d of the segments of either, so the first shared segment in that order is among the d + 1 of both.
      Segments that no other set of a fitting size has come first and cost nothing; a set with d + 1 of them can have no
      partner and is out.
-3. Stars. Of the sets in one entry and size band the first is the leader; each other is verified against it, exactly.
+3. Stars. Of the sets in one entry and size band the most central is the leader: the one whose entries most other sets
+   hold, for its size. Each other is verified against it, exactly. In a group of near copies that is the text they come
+   from, or one near it, so that what is in the group's component is mostly linked to the leader.
 4. Members of one leader's group that are not connected yet may still link with each other. Those that are linked to the
    leader are connected, so of two members one at least is not:
    - Deltas, where the other is linked. Their difference is that of their deltas to the leader, and both lie near it, so
      deltas of members that are near enough for that are joined: each keeps its rarest elements within the leader's
      group, by the same prefix argument, and pairs that share one are verified.
-   - Sets, where neither is. They have little in common with the leader, often one passage, and may lie in groups of many
-     leaders. Each set is taken once, whatever its leaders, so that this grows with the sets and not with the stars: the
-     floor(n / 5) + 1 elements that the fewest of these sets hold are joined, and pairs that share one are verified.
+   - Homes and sets, where neither is. Such members may lie in groups of many leaders; each is taken once, whatever its
+     leaders, so that this grows with the sets and not with the stars. A set's home is the leader of the largest star of
+     which it is a member nearer to the leader than its own size. Sets of one home, such as near copies beyond the threshold, have
+     most of their elements in common but little of their deltas to it, so these are joined. Sets of different homes, or
+     without one, have little in common with their leaders, often one passage: of the elements that sets of several
+     homes hold, the floor(n / 5) + 1 that the fewest hold are joined, and pairs that share one are verified.
+   Elements that no pair in question can share come first in the order of each prefix, so that they cost nothing.
 5. Components of all links, by alternating large and small stars over tables in the shared folder.
 
 Equal sets form one class beforehand, found by a 128-bit hash, whose first 64 bits stand for it in the index (classes
@@ -249,24 +255,26 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grouped(most: int):
-    """Rows (entry, cid, meta) to (entry, key, low): an entry for each size band in which the set can meet others; low: its own band."""
+    """Rows (entry, cid, meta, central) to (entry, key, low, central): an entry for each size band in which the set can meet others; low: its own band."""
     ends = bands(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            entry, cid, meta = (batch.column(c).to_numpy() for c in ("entry", "cid", "meta"))
+            entry, cid, meta, central = (batch.column(c).to_numpy() for c in ("entry", "cid", "meta", "central"))
             n, own = meta >> 32, (meta & 1) == 0
             band = np.searchsorted(ends, n, side="right") - 1
             inner = (n >= LARGE) & ((ends[band] & (ends[band] - 1)) != 0)  # the band below is in the same scheme
             lower = ~own | (inner & (5 * (ends[band] - 1) >= 4 * n))
             tagged = [mix(entry.view(_U) + b.astype(_U)).view(np.int64) for b in (band, band - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((tagged[0][own], tagged[1][lower]))), pa.array(np.concatenate((cid[own], cid[lower]))), pa.array(np.repeat([True, False], [own.sum(), lower.sum()]))], ["entry", "key", "low"])
+            low = np.repeat([True, False], [own.sum(), lower.sum()])
+            columns = (np.concatenate((tagged[0][own], tagged[1][lower])), np.concatenate((cid[own], cid[lower])), low, np.concatenate((central[own], central[lower])))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["entry", "key", "low", "central"])
 
     return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by (entry, key): (leader, member) of each entry with another member and one of the band itself."""
+    """Rows come by entry, its leader first: (leader, member) of each entry with another member and one of the band itself."""
     leaders, members, n = [], [], 0
 
     def flush() -> pa.RecordBatch:
@@ -339,8 +347,8 @@ def _compared(with_delta: bool):
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each element of the sets (member, m, part, n, elements): member, m, part, n, e."""
-    names = ["member", "m", "part", "n"]
+    """A row for each element of the sets (member, m, part, n, home, elements): member, m, part, n, home, e."""
+    names = ["member", "m", "part", "n", "home"]
 
     def flush() -> pa.RecordBatch:
         at = pa.array(np.repeat(np.array(owner, np.int64), [len(x) for x in pieces]))
@@ -443,11 +451,14 @@ def _candidates(texts: DataFrame, most: int, reps: DataFrame) -> DataFrame:
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     met = index.repartition(n, "entry").sortWithinPartitions("entry").mapInArrow(runtime.lean(_met), "entry long, cid long, meta long, n long")
     # the allocation: of the entries that it shares, a set leaves out as many as it can, those of the most sets first
-    place = F.row_number().over(Window.partitionBy("cid", F.col("meta").bitwiseAND(1)).orderBy(F.desc("n"), "entry"))
-    shared = met.withColumn("place", place).filter(F.col("place") > F.shiftright("meta", 1).bitwiseAND((1 << 31) - 1))
-    shared = runtime.written(shared.select("entry", "cid", "meta").mapInArrow(runtime.lean(_grouped(most)), "entry long, key long, low boolean"), "shared-entries")
+    own = Window.partitionBy("cid", F.col("meta").bitwiseAND(1))
+    place = F.row_number().over(own.orderBy(F.desc("n"), "entry"))
+    # the likeness (cosine) of a set to the numbers of sets in all entries: the largest is that of the leader
+    central = (F.sum("n").over(own) / F.sqrt(F.shiftright("meta", 32))).cast("float")
+    shared = met.withColumn("place", place).withColumn("central", central).filter(F.col("place") > F.shiftright("meta", 1).bitwiseAND((1 << 31) - 1))
+    shared = runtime.written(shared.select("entry", "cid", "meta", "central").mapInArrow(runtime.lean(_grouped(most)), "entry long, key long, low boolean, central float"), "shared-entries")
     n = max(shared.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)  # by the size of what is left
-    found = shared.repartition(n, "entry").sortWithinPartitions("entry", "key").mapInArrow(runtime.lean(_stars), "leader long, member long").distinct()
+    found = shared.repartition(n, "entry").sortWithinPartitions("entry", F.desc("central"), "key").select("entry", "key", "low").mapInArrow(runtime.lean(_stars), "leader long, member long").distinct()
     # from the halves of the hashes to classes: to all that share one
     left = reps.select(F.col("cid").alias("leader"), F.col("class").alias("a"), F.col("rep").alias("l"))
     right = reps.select(F.col("cid").alias("member"), F.col("class").alias("b"), F.col("rep").alias("m"))
@@ -462,12 +473,45 @@ def _member_links(pairs: DataFrame, sets: DataFrame, compared: DataFrame, parts:
     groups = members.groupBy("leader").agg(F.min(own).alias("own"), F.min(other).alias("p"), F.max(other).alias("q"), F.max(F.when(F.col("linked"), 9 * F.col("n_delta") + F.col("n_member"))).alias("reach"))
     members = runtime.written(members.join(groups.filter("p <> q or p <> own"), "leader"), "members")
     deltas, delta_entries, delta_links = _delta_links(pairs, sets, members)
-    elements, shared, set_links = _set_links(sets, members)
-    out = runtime.written(delta_links.unionByName(set_links), "member-links")
-    runtime.discard(members, deltas, delta_entries, elements, shared)
+    asked = runtime.written(_homes(compared, members.filter("not linked and p <> q").select("member", "m", "part", F.col("n_member").alias("n")).distinct()), "asked")
+    home_deltas, home_entries, home_links = _home_links(pairs, sets, asked)
+    elements, shared, set_links = _set_links(sets, asked)
+    out = runtime.written(delta_links.unionByName(home_links).unionByName(set_links), "member-links")
+    runtime.discard(members, deltas, delta_entries, asked, home_deltas, home_entries, elements, shared)
     return out
 
 
+def _homes(compared: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (member) with home: the leader of the largest star in which the member is nearer to it than its size, or the member itself, without such a star."""
+    size = compared.groupBy("leader").agg(F.count("*").alias("size"))
+    near = compared.filter("n_delta < n_member").join(asked.select("member"), "member", "left_semi").join(size, "leader")
+    best = near.groupBy("member").agg(F.max(F.struct("size", -F.col("n_delta"), "leader"))["leader"].alias("home"))
+    return asked.join(best, "member", "left").withColumn("home", F.coalesce("home", "member"))
+
+
+def _ranked(rows: DataFrame, count: DataFrame, by: list[str], owner: list[str], n: str) -> DataFrame:
+    """rows whose element is in count (by, df), with rank in their owner's order: elements that are not in count come first, and only their number counts."""
+    own = Window.partitionBy(*owner)
+    return rows.join(count, by).withColumn("rank", F.col(n) - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "e")))
+
+
+#: For a pair of deltas: partners' sizes, and at the first element that they share, that what follows in either still gives the overlap that a link needs.
+_FITS = "5 * na >= 4 * nb and 5 * nb >= 4 * na and 9 * abs(xa - xb) <= na + nb and 18 * (1 + least(xa - ra, xb - rb)) >= 9 * (xa + xb) - (na + nb)"
+
+
+def _entries(kept: DataFrame, side: str) -> DataFrame:
+    """Entries of deltas, with names of one side of a pair."""
+    return kept.select("leader", "e", F.col("member").alias(side), *[F.col(c).alias(x + side) for c, x in (("n_member", "n"), ("n_delta", "x"), ("rank", "r"), ("part", "part"))])
+
+
+def _linked_deltas(found: DataFrame, deltas: DataFrame) -> DataFrame:
+    """a, b of the pairs found (leader, a, b, na, nb) whose deltas to the leader differ in so few elements that they link."""
+    one = deltas.select("leader", F.col("member").alias("a"), F.col("m").alias("ka"), F.col("delta").alias("da"))
+    two = deltas.select("leader", F.col("member").alias("b"), F.col("m").alias("kb"), F.col("delta").alias("db"))
+    differ = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    return found.join(one, ["leader", "a"]).join(two, ["leader", "b"]).filter(differ * 9 <= F.col("na") + F.col("nb")).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+
+
 def _delta_links(pairs: DataFrame, sets: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Written deltas and their entries, and a, b of links between a member that is not linked to its leader and one that is."""
     # a partner of a linked one is no further from the leader than the linked one is, and the two from each other
@@ -476,44 +520,49 @@ def _delta_links(pairs: DataFrame, sets: DataFrame, members: DataFrame) -> tuple
     near = members.filter("linked").join(least, "leader").filter("9 * n_delta + n_member >= least").drop("least")
     members = near.unionByName(strays).select("leader", "member", "linked", "part")
     deltas = _verified(pairs.join(members.select("leader", "member"), ["leader", "member"], "left_semi"), sets, True)
-    members = runtime.written(deltas.join(members, ["leader", "member"]), "deltas")
+    deltas = runtime.written(deltas.join(members, ["leader", "member"]), "deltas")
     # The overlap of two deltas that a link needs at least: with any partner, whose delta can be smaller by a fourth of
     # the set (long prefix, of those not linked), and with an unlinked partner, whose delta has a least size as well
     # (short prefix, of the linked).
     any_ = F.greatest(F.lit(1), F.col("n_delta") - F.floor(F.col("n_member") / 4)).cast("long")
     open_one = F.ceil((F.col("n_delta") + (F.col("n_leader") - F.col("n_member")) / 9 - 1e-9) / 2).cast("long")
     keep = F.col("n_delta") + 1 - F.when(F.col("linked"), F.greatest(any_, open_one)).otherwise(any_)
-    rows = members.select("leader", "member", "linked", "part", "n_member", "n_delta", keep.alias("keep"), F.explode("delta").alias("e"))
-    counts = rows.groupBy("leader", "e").agg(F.count("*").alias("df"))
-    ranked = rows.join(counts, ["leader", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("leader", "member").orderBy("df", "e")))
-    kept = ranked.filter("rank <= keep and df > 1").select("leader", "e", "member", "linked", "part", "n_member", "n_delta", "rank")
-    kept = runtime.written(kept, "delta-entries")
-    a = kept.filter("not linked").select("leader", "e", F.col("member").alias("a"), F.col("n_member").alias("na"), F.col("n_delta").alias("xa"), F.col("rank").alias("ra"))
-    b = kept.filter("linked").select("leader", "e", F.col("member").alias("b"), F.col("n_member").alias("nb"), F.col("n_delta").alias("xb"), F.col("rank").alias("rb"))
-    fits = "5 * na >= 4 * nb and 5 * nb >= 4 * na and 9 * abs(xa - xb) <= na + nb"
-    # at the first element that a pair shares, what follows in either delta must still give the overlap that it needs
-    fits += " and 18 * (1 + least(xa - ra, xb - rb)) >= 9 * (xa + xb) - (na + nb)"
-    found = a.join(b, ["leader", "e"]).filter(fits).select("leader", "a", "b", "na", "nb").distinct()
-    one = members.select("leader", F.col("member").alias("a"), F.col("m").alias("ka"), F.col("delta").alias("da"))
-    two = members.select("leader", F.col("member").alias("b"), F.col("m").alias("kb"), F.col("delta").alias("db"))
-    joined = found.join(one, ["leader", "a"]).join(two, ["leader", "b"])
-    differ = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-    return members, kept, joined.filter(differ * 9 <= F.col("na") + F.col("nb")).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-
-
-def _set_links(sets: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written elements and those that are kept, and a, b of links between members that are not linked to their leader."""
-    asked = members.filter("not linked and p <> q").select("member", "m", "part", F.col("n_member").alias("n")).distinct()
-    asked = asked.join(sets.withColumnRenamed("class", "member"), "member").select("member", "m", "part", "n", "elements")
-    rows = runtime.written(asked.mapInArrow(runtime.lean(_elements), "member binary, m long, part long, n long, e long"), "elements")
-    counts = rows.groupBy("e").agg(F.count("*").alias("df"), F.min("part").alias("p"), F.max("part").alias("q")).filter("df > 1")
-    # the order is by (df, e): elements that no other set holds come first, and only their number counts
-    own = Window.partitionBy("member")
-    rank = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "e"))
-    kept = rows.join(counts, "e").withColumn("rank", rank).filter("rank <= floor(n / 5) + 1 and p <> q")
-    kept = runtime.written(kept.select("e", "member", "m", "part", "n", "rank"), "shared-elements")
-    a, b = (kept.select("e", *[F.col(c).alias(c + x) for c in ("member", "m", "part", "n", "rank")]) for x in "ab")
-    fits = "parta <> partb and membera < memberb and 5 * na >= 4 * nb and 5 * nb >= 4 * na"
+    rows = deltas.select("leader", "member", "linked", "part", "n_member", "n_delta", keep.alias("keep"), F.explode("delta").alias("e"))
+    count = rows.groupBy("leader", "e").agg(F.count("*").alias("df"), F.min("linked").alias("x"), F.max("linked").alias("y"), F.min("part").alias("p"), F.max("part").alias("q")).filter("x <> y and p <> q")
+    kept = _ranked(rows, count.select("leader", "e", "df"), ["leader", "e"], ["leader", "member"], "n_delta").filter("rank <= keep")
+    kept = runtime.written(kept.select("leader", "e", "member", "linked", "part", "n_member", "n_delta", "rank"), "delta-entries")
+    both = _entries(kept.filter("not linked"), "a").join(_entries(kept.filter("linked"), "b"), ["leader", "e"])
+    found = both.filter("parta <> partb and " + _FITS).select("leader", "a", "b", "na", "nb").distinct()
+    return deltas, kept, _linked_deltas(found, deltas)
+
+
+def _home_links(pairs: DataFrame, sets: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written deltas to homes and their entries, and a, b of links between sets asked of one home."""
+    homes = asked.select(F.col("home").alias("leader"), "member", "part")
+    several = homes.groupBy("leader").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("leader")
+    homes = homes.join(several, "leader", "left_semi")
+    deltas = _verified(pairs.join(homes.select("leader", "member"), ["leader", "member"], "left_semi"), sets, True)
+    deltas = runtime.written(deltas.join(homes, ["leader", "member"]), "home-deltas")
+    keep = F.least(F.col("n_delta"), 1 + F.floor(F.col("n_member") / 4))  # as with any partner above
+    rows = deltas.select("leader", "member", "part", "n_member", "n_delta", keep.alias("keep"), F.explode("delta").alias("e"))
+    count = rows.groupBy("leader", "e").agg(F.count("*").alias("df"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q")
+    kept = _ranked(rows, count.select("leader", "e", "df"), ["leader", "e"], ["leader", "member"], "n_delta").filter("rank <= keep")
+    kept = runtime.written(kept.select("leader", "e", "member", "part", "n_member", "n_delta", "rank"), "home-entries")
+    both = _entries(kept, "a").join(_entries(kept, "b"), ["leader", "e"])
+    found = both.filter("parta <> partb and a < b and " + _FITS).select("leader", "a", "b", "na", "nb").distinct()
+    return deltas, kept, _linked_deltas(found, deltas)
+
+
+def _set_links(sets: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written elements and those that are kept, and a, b of links between sets asked of different homes."""
+    whole = asked.join(sets.withColumnRenamed("class", "member"), "member").select("member", "m", "part", "n", "home", "elements")
+    rows = runtime.written(whole.mapInArrow(runtime.lean(_elements), "member binary, m long, part long, n long, home binary, e long"), "elements")
+    ends = [f(c).alias(x) for c, x, f in (("part", "p", F.min), ("part", "q", F.max), ("home", "g", F.min), ("home", "h", F.max))]
+    count = rows.groupBy("e").agg(F.count("*").alias("df"), *ends).filter("p <> q and g <> h")
+    kept = _ranked(rows, count.select("e", "df"), ["e"], ["member"], "n").filter("rank <= floor(n / 5) + 1")
+    kept = runtime.written(kept.select("e", "member", "m", "part", "n", "home", "rank"), "shared-elements")
+    a, b = (kept.select("e", *[F.col(c).alias(c + x) for c in ("member", "m", "part", "n", "home", "rank")]) for x in "ab")
+    fits = "parta <> partb and homea <> homeb and membera < memberb and 5 * na >= 4 * nb and 5 * nb >= 4 * na"
     # at the first element that a pair shares, what follows in either set must still give the overlap that it needs
     fits += " and 9 * (1 + least(na - ranka, nb - rankb)) >= 4 * (na + nb)"
     found = a.join(b, "e").filter(fits).select(F.col("membera").alias("leader"), F.col("memberb").alias("member"), F.col("ma").alias("l"), F.col("mb").alias("m")).distinct()

@@ -245,3 +245,31 @@ def test_members_linked_or_not_to_their_leader(spark):
     rng.shuffle(rows)
     want = check(spark, rows, 5)
     assert len({c for _, c in want.values()}) < len(rows) // 2
+
+
+def test_pairs_compared_grow_with_a_group_of_near_copies(spark, monkeypatch):
+    """Copies on both sides of the threshold: many aren't linked to their leader, nor with each other. Twice the copies are not four times the pairs."""
+    rng = random.Random(21)
+    word = lambda: str(rng.randrange(10**9))
+    base, counts = [word() for _ in range(150)], []
+
+    def counted(compare):
+        def run(pairs, *more):
+            counts[-1] += pairs.count()
+            return compare(pairs, *more)
+
+        return run
+
+    for name in ("_verified", "_linked_deltas"):
+        monkeypatch.setattr(nj, name, counted(getattr(nj, name)))
+    for n in (150, 300):
+        rows = []
+        for d in range(n):
+            words = list(base)
+            for k in rng.sample(range(len(words)), rng.choice([1, 2, 3, 5, 8, 10])):
+                words[k] = word()
+            rows.append((d, " ".join(words)))
+        counts.append(0)
+        want = check(spark, rows)
+        assert 1 < len({c for _, c in want.values()}) < n
+    assert counts[1] <= 2.5 * counts[0]
