@@ -451,7 +451,8 @@ def _candidates(texts: DataFrame, most: int, reps: DataFrame) -> DataFrame:
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     met = index.repartition(n, "entry").sortWithinPartitions("entry").mapInArrow(runtime.lean(_met), "entry long, cid long, meta long, n long")
     # the allocation: of the entries that it shares, a set leaves out as many as it can, those of the most sets first
-    own = Window.partitionBy("cid", F.col("meta").bitwiseAND(1))
+    met = met.withColumn("scheme", F.col("meta").bitwiseAND(1))  # a column, so that both windows share one exchange
+    own = Window.partitionBy("cid", "scheme")
     place = F.row_number().over(own.orderBy(F.desc("n"), "entry"))
     # the likeness (cosine) of a set to the numbers of sets in all entries: the largest is that of the leader
     central = (F.sum("n").over(own) / F.sqrt(F.shiftright("meta", 32))).cast("float")
