@@ -105,6 +105,13 @@ def test_figures_and_pages(spark):
     assert merge.chunk_pages(single).first().md == "![](images/p0001_3.jpg)"
 
 
+def test_figures_far_behind_in_a_long_output(spark):
+    tag = '<img src="images/bbox_1_2_300_400.jpg" />'
+    long = "\n".join(f"line {k} of a long output" for k in range(9_000))
+    r = sanitize.figure_tags(spark.createDataFrame([(1, f"{long}{tag} end <img src=x>{tag}")], "doc_id long, raw string")).first()
+    assert len(long) > 200_000 and (r.markdown, r.figures, r.warnings) == (f"{long}[[FIGURE:0]] end", [[1, 2, 300, 400]], ["twice", "tags 1"])
+
+
 def test_skips_terms_and_jobs(spark):
     cases = {"": "non-linguistic", "[1] A x.\n[2] B y.": "references", "[1] Smith, J. 2019": "references", "[1] shows that": "", "한국어 텍스트": "already-korean", "arXiv:2504.19874v1": "identifier", "$x$ 1 2": "non-linguistic", "Plain words": ""}
     df = spark.createDataFrame([(c,) for c in cases], "t string")
