@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from quire.functions import text as T
+from quire.functions.slices import by_row
 from quire.operators import masking
 from quire.operators.merge import SEPARATOR
 
@@ -23,37 +23,72 @@ def invariants(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("ok", F.col("expected") == F.col("found")).withColumn("na", (F.col("expected") == 0) & (F.col("found") == 0))
 
 
-CAP = 20_000
+# Rows of the table of distances that are bits of one number at a time.
+ROWS = 1 << 15
+
+
+def _alike(a: str, b: str) -> int:
+    """How many characters two texts begin with alike."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
+def distance(a: str, b: str, rows: int = ROWS) -> int:
+    """Levenshtein distance of two whole texts of any length: what they begin or end with alike costs nothing; of the table between, a column of so many rows is one step (Myers' bit vectors), and only a row of differences goes on to the rows below."""
+    if len(a) > len(b):
+        a, b = b, a
+    n = _alike(a, b)
+    a, b = a[n:], b[n:]
+    n = _alike(a[::-1], b[::-1])
+    a, b = a[: len(a) - n], b[: len(b) - n]
+    across = [1] * len(b)
+    for at in range(0, len(a), rows):
+        part, met = a[at : at + rows], {}
+        for i, c in enumerate(part):
+            met[c] = met.get(c, 0) | 1 << i
+        mask, last = (1 << len(part)) - 1, 1 << (len(part) - 1)
+        up, down = mask, 0
+        for j, c in enumerate(b):
+            above, same = across[j], met.get(c, 0)
+            either = same | down
+            if above < 0:
+                same |= 1
+            flat = ((same & up) + up ^ up) | same
+            more, less = (down | ~(flat | up)) & mask, up & flat
+            across[j] = 1 if more & last else -1 if less & last else 0
+            more, less = (more << 1 | (above > 0)) & mask, (less << 1 | (above < 0)) & mask
+            up, down = (less | ~(either | more)) & mask, more & either
+    return len(a) + sum(across)
+
+
+@by_row(IntegerType())
+def _distance(a: str | None, b: str | None, rows: int) -> int | None:
+    return None if a is None or b is None else distance(a, b, rows)
 
 
-def edit_distance(a: Column, b: Column, cap: int) -> Column:
-    """Levenshtein distance of two texts of at most cap characters. What they begin or end with alike costs nothing, so only what lies between is compared."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(cap.bit_length()))])
+def edit_distance(a: Column, b: Column, rows: int = ROWS) -> Column:
+    """distance() of two texts; null where one is."""
+    return _distance(a, b, F.lit(rows))
 
-    def alike(x: Column, y: Column, part: Callable[[Column, Column], Column]) -> Column:
-        room = F.least(F.length(x), F.length(y))
-        return F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= room) & (part(x, n + step) == part(y, n + step)), n + step).otherwise(n))
 
-    without = lambda p, cut: F.struct(cut(p["x"], p["n"]).alias("x"), cut(p["y"], p["n"]).alias("y"))
-    counted = lambda p, part: F.struct(p["x"].alias("x"), p["y"].alias("y"), alike(p["x"], p["y"], part).alias("n"))
-    pair = T.let(F.struct(a.alias("x"), b.alias("y")), lambda p: counted(p, F.left))
-    pair = T.let(pair, lambda p: without(p, lambda x, n: F.substring(x, n + 1, F.length(x) - n)))
-    pair = T.let(pair, lambda p: counted(p, F.right))
-    pair = T.let(pair, lambda p: without(p, lambda x, n: F.left(x, F.length(x) - n)))
-    return T.let(pair, lambda p: F.levenshtein(p["x"], p["y"]))
+def _plain(c: Column) -> Column:
+    """Markdown without images and extra white space."""
+    return T.squeeze(F.regexp_replace(c, r"!\[\]\([^)]*\)", ""))
 
 
-def ground_truth(result: Column, truth: Column, cap: int = CAP) -> tuple[Column, Column]:
-    """(edit distance, longest length) of two Markdown texts without images and extra white space; lengths over the cap are compared to it."""
-    plain = lambda c: F.left(T.squeeze(F.regexp_replace(c, r"!\[\]\([^)]*\)", "")), F.lit(cap))
-    a, b = plain(result), plain(truth)
-    return edit_distance(a, b, cap), F.greatest(F.length(a), F.length(b))
+def ground_truth(result: Column, truth: Column) -> tuple[Column, Column]:
+    """(edit distance, longest length) of two whole Markdown texts without images and extra white space."""
+    a, b = _plain(result), _plain(truth)
+    return edit_distance(a, b), F.greatest(F.length(a), F.length(b))
 
 
 def truth_metrics(result: Column, truth: Column) -> dict[str, Column]:
     """distance and cer (edit distance over the longer and over the true text), and how far tables, formulas and figures agree in number."""
     far, longest = ground_truth(result, truth)
-    true = F.length(F.left(T.squeeze(F.regexp_replace(truth, r"!\[\]\([^)]*\)", "")), F.lit(CAP)))
+    true = F.length(_plain(truth))
     a, b = T.structure_counts(result), T.structure_counts(truth)
     ratio = lambda n: F.when(F.greatest(a[n], b[n]) > 0, F.round(F.least(a[n], b[n]) / F.greatest(a[n], b[n]), 3)).otherwise(1.0)
     return {"distance": F.round(far / F.greatest(longest, F.lit(1)), 4), "cer": F.round(far / F.greatest(true, F.lit(1)), 4), **{n: ratio(n) for n in ("tables", "formulas", "figures")}}

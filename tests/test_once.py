@@ -49,6 +49,19 @@ def test_distances_without_what_both_begin_and_end_with(spark):
     assert spark.range(1).select(evaluate.edit_distance(F.lit(None).cast("string"), F.lit("a"), 40)).first()[0] is None
 
 
+def test_metrics_are_of_whole_texts(spark):
+    rng = random.Random(3)
+    own = "".join(rng.choices("abcdé가 ", k=25_000)).strip()
+    far = "".join(rng.choices("abcdé가 ", k=5_000))
+    rows = [(own, own + "xyz", 3), (own[:1000] + "x" + own[1001:24_000] + "yy" + own[24_002:], own, 3), (own[:2_000], far[:900], plain(own[:2_000], far[:900])), (own * 3 + "x", "y" + own * 3, 2), ("", own, len(own))]
+    df = spark.createDataFrame(rows, "a string, b string, d int").repartition(4)
+    assert all(evaluate.distance(x, y, k) == plain(x, y) for k in (1, 3, 64) for x, y in ((own[n : n + 40], own[2 * n : 2 * n + 33]) for n in range(60)))
+    assert all(r.d == r.e for r in df.select("d", evaluate.edit_distance(F.col("a"), F.col("b")).alias("e")).collect())
+    a, b = "a b" * 10_000, "a b" * 10_000 + "cc"
+    r = spark.createDataFrame([(a, b)], "a string, b string").select(*evaluate.ground_truth(F.col("a"), F.col("b")), *[c.alias(n) for n, c in evaluate.truth_metrics(F.col("a"), F.col("b")).items() if n in ("distance", "cer")]).first()
+    assert tuple(r) == (2, len(b), round(2 / len(b), 4), round(2 / len(b), 4)) and r.cer > 0
+
+
 def test_bans_read_a_sequence_once(spark):
     df = spark.createDataFrame([([1, 2, 3, 1, 2],), ([1],), ([],), ([1, 2],), (None,)], "s array<int>")
     out = df.select(repetition.ngram_bans(F.transform("s", lambda x: x + 7), 3, 40).alias("b"))
