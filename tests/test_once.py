@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import evaluate, glossary, layout, repetition
+from quire.operators import evaluate, glossary, layout, masking, repetition
 
 
 def said(df):
@@ -23,6 +23,17 @@ def test_sizes_read_a_text_once(spark):
     assert [r.s is None for r in out.collect()] == [False, False, True, True, True]
 
 
+def test_rare_units_are_told_by_plain_signs(spark):
+    """Units without a sign of Hangul, identifiers or numbered entries are not counted, stripped and cut for them; entries of one word need no pattern."""
+    cases = {"Plain words": "", " \x85\n": "non-linguistic", "\x1c[1] A x.\n[2] B y.": "references", "a\n [1] pp. 3": "", "한국어 텍스트 abc": "already-korean", "한국어 text": "", "arXiv:2504.19874v1\narXiv:2504.19874 ": "identifier", "see arXiv:2504.19874v1": "", None: ""}
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    assert [r[0] for r in df.select(masking.skip_reason(F.col("t"), masking.residual_text(F.col("t")))).collect()] == list(cases.values())
+    rows, some = glossary.among(spark.createDataFrame([("The de  la",), ("\u0130n IN",), ("\u0130n",), ("_in",)], "t string"), spark.createDataFrame([("the", "x", "B"), (" in ", "IN", "A"), ("i", "y", "A"), ("de la", "z", "B")], "src string, ko string, policy string"))
+    told = glossary.entries(spark.createDataFrame([("the", "x", "B"), ("C++", "y", "A"), ("\u0130n", "z", "A")], "src string, ko string, policy string"))
+    assert [r.alone for r in told.orderBy("src").collect()] == [False, True, False]
+    assert [r[0] for r in rows.select(glossary.occurring(F.col("t"), some)["src"]).collect()] == [["the", "de la"], [" in "], [], []]
+
+
 def test_names_are_looked_for_once(spark):
     docs = spark.createDataFrame([(1, "The GPT and the GPT2, _GPT and éGPT, CNN\nTHE WHOLE LINE SHOUTS")], "doc_id long, text string")
     judged = spark.createDataFrame([(1, 1, "cnns", "CNN", "A"), (1, 2, "models", "M", "B")], "doc_id long, pos int, src string, ko string, policy string")
