@@ -163,3 +163,22 @@ def test_a_batch_of_a_key_makes_few_trips_to_the_state():
         got += [(r["seq"], r["delta"]) for r in own.in_order(iter([pd.DataFrame({"seq": came, "delta": [str(s) for s in came]})]))]
         assert len(trips) - before <= 5
     assert got == [(s, str(s)) for s in range(1000)]
+
+
+def test_a_batch_of_a_key_reads_and_writes_its_state_once():
+    trips, got, order = [], [], list(range(1000))
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Counted(trips)
+
+    own = ordered.Keyed(lambda key, state, rows, now: ((state[0] + len(rows),), [(key, state[0], *r) for r in rows]), ["doc_id", "before", "delta"], "n int", (0,), False)
+    own.init(Handle())
+    random.Random(2).shuffle(order)
+    for at in range(0, 1000, 250):
+        came = [*order[at : at + 250], *order[at : at + 9]]
+        before = len(trips)
+        out = list(own.handleInputRows((7,), iter([(7, s, str(s)) for s in came]), None))
+        assert len(trips) - before == 2 and {r.before for r in out} <= {len(got)}
+        got += [(r.doc_id, r.delta) for r in out]
+    assert got == [(7, str(s)) for s in range(1000)]
