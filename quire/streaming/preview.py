@@ -3,15 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessorHandle
 
 from quire.functions import text as T
 from quire.operators import render
-from quire.streaming.ordered import Ordered
+from quire.streaming.ordered import by_key
 
 # The separators of Unicode, which Python's patterns can't name.
 _SEPARATORS = "".join(map(chr, (0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -49,38 +45,25 @@ def shown(raw: str, final: bool) -> str:
     return "\n\n".join(parts)
 
 
-class Preview(Ordered):
-    """State: the finished pages as they were rendered, and of the unfinished one its text, its number and what was last shown of it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.pages = handle.getListState("pages", "md string")
-        self.tail = handle.getValueState("tail", "raw string, page int, before boolean, md string, ruled boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ready = self.in_order(rows)
-        raw, page, before, last_md, last_ruled = self.told(self.tail, ("", 0, False, "", False))
-        out, done, ended = [], [], False
-        for row in ready:
-            raw, ended = raw + (row["delta"] or ""), ended or bool(row["last"])
-        *finished, raw = raw.split(render.MARK)
-        for text in [*finished, raw] if ended else finished:
-            md = shown(text, True)
-            out.append((key[0], "page", page, md, bool(md) and before))
-            done.append((md,))
-            page, before, last_md, last_ruled = page + 1, before or bool(md), "", False
-        if ended:
-            self.pages.clear(), self.tail.clear()
-        else:
-            md = shown(raw, False)
-            ruled = bool(md) and before
-            if (md, ruled) != (last_md, last_ruled):
-                out.append((key[0], "tail", page, md, ruled))
-            if done:
-                self.pages.appendList(done)
-            self.tail.update((raw, page, before, md, ruled))
-        if out:
-            yield pd.DataFrame(out, columns=["doc_id", "kind", "page", "md", "ruled"])
+def _pages(key: int, own: tuple, rows: list[tuple], now: int) -> tuple[tuple, list[tuple]]:
+    """Its state: of the unfinished page the text, its number, whether something was shown before, and what was last shown of it."""
+    raw, page, before, last_md, last_ruled = own
+    out, ended = [], any(last for _, last in rows)
+    *finished, raw = (raw + "".join(delta or "" for delta, _ in rows)).split(render.MARK)
+    for text in [*finished, raw] if ended else finished:
+        md = shown(text, True)
+        out.append((key, "page", page, md, bool(md) and before))
+        page, before, last_md, last_ruled = page + 1, before or bool(md), "", False
+    if ended:
+        return NEW, out
+    md = shown(raw, False)
+    ruled = bool(md) and before
+    if (md, ruled) != (last_md, last_ruled):
+        out.append((key, "tail", page, md, ruled))
+    return (raw, page, before, md, ruled), out
+
+
+NEW = ("", 0, False, "", False)
 
 
 def preview(deltas: DataFrame) -> DataFrame:
@@ -88,4 +71,4 @@ def preview(deltas: DataFrame) -> DataFrame:
 
     ruled says whether a rule stands before it: something was shown before, and it shows something. Behind the last delta the tail is a page.
     """
-    return deltas.groupBy("doc_id").transformWithStateInPandas(Preview(), "doc_id long, kind string, page int, md string, ruled boolean", "Append", "None")
+    return by_key(deltas, ("delta", "last"), "doc_id long, kind string, page int, md string, ruled boolean", "raw string, page int, before boolean, md string, ruled boolean", NEW, _pages)
