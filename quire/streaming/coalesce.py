@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessorHandle
 
 from quire.operators.render import MARK
-from quire.streaming.ordered import Ordered
+from quire.streaming.ordered import by_key
 
 # An event goes out with so many characters, or after so many milliseconds without one.
 FLUSH_CHARS, FLUSH_MS = 256, 100
@@ -20,55 +16,37 @@ def marker_begun(text: str) -> int:
     return next((k for k in range(min(len(MARK) - 1, len(text)), 0, -1) if text.endswith(MARK[:k])), 0)
 
 
-class Coalescer(Ordered):
-    """State: the text that waits, when it last went out, the pages seen, and the timer that is set.
+def _event(key: int, text: str, page: int, number: int, why: str) -> tuple:
+    return key, number, text, page + text.count(MARK), why
+
+
+def _events(key: int, own: tuple, rows: list[tuple] | None, now: int) -> tuple[tuple, list[tuple]]:
+    """Its state: the text that waits, the pages and events before it, and when it goes out by the clock, 0 where nothing waits for that.
 
     An event never ends inside a marker: what may be its beginning waits for the rest, through timers as well, until the
     text ends. A page is counted in the event that its marker goes out with.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.held = handle.getValueState("held", "text string, page int, number int, timer long")
-
-    def _event(self, key, text: str, page: int, number: int, why: str) -> tuple:
-        return key[0], number, text, page + text.count(MARK), why
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ready = self.in_order(rows)
-        text, page, number, timer = self.told(self.held, ("", 0, 0, 0))
-        out, ended = [], False
-        for row in ready:
-            text, ended = text + (row["delta"] or ""), ended or bool(row["last"])
-            whole = len(text) - (0 if ended else marker_begun(text))
-            if whole and (len(text) >= FLUSH_CHARS or ended):
-                out.append(self._event(key, text[:whole], page, number, "end" if ended else "size"))
-                text, page, number = text[whole:], out[-1][3], number + 1
-        if timer and (ended or out):
-            self.handle.deleteTimer(timer)
-            timer = 0
-        if ended:
-            self.held.clear()
-        else:
-            if text and not timer:
-                timer = timerValues.getCurrentProcessingTimeInMs() + FLUSH_MS
-                self.handle.registerTimer(timer)
-            self.held.update((text, page, number, timer))
-        if out:
-            yield pd.DataFrame(out, columns=["doc_id", "event", "text", "page", "why"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.held.exists():
-            text, page, number, _ = self.held.get()
-            whole = len(text) - marker_begun(text)
-            if whole:
-                event = self._event(key, text[:whole], page, number, "time")
-                self.held.update((text[whole:], event[3], number + 1, 0))
-                yield pd.DataFrame([event], columns=["doc_id", "event", "text", "page", "why"])
-            else:
-                self.held.update((text, page, number, 0))
+    text, page, number, due = own
+    if rows is None:
+        whole = len(text) - marker_begun(text)
+        out = [_event(key, text[:whole], page, number, "time")] if whole else []
+        return (text[whole:], out[0][3] if out else page, number + len(out), 0), out
+    out, ended = [], False
+    for delta, last in rows:
+        text, ended = text + (delta or ""), ended or bool(last)
+        whole = len(text) - (0 if ended else marker_begun(text))
+        if whole and (len(text) >= FLUSH_CHARS or ended):
+            out.append(_event(key, text[:whole], page, number, "end" if ended else "size"))
+            text, page, number = text[whole:], out[-1][3], number + 1
+    if ended:
+        return NEW, out
+    due = 0 if out else due
+    return (text, page, number, due or (now + FLUSH_MS if text else 0)), out
+
+
+NEW = ("", 0, 0, 0)
 
 
 def coalesced(deltas: DataFrame) -> DataFrame:
     """A streaming frame (doc_id, seq, delta, last) to doc_id, event, text, page, why: numbered events whose texts in order are the deltas'."""
-    return deltas.groupBy("doc_id").transformWithStateInPandas(Coalescer(), "doc_id long, event int, text string, page int, why string", "Append", "ProcessingTime")
+    return by_key(deltas, ("delta", "last"), "doc_id long, event int, text string, page int, why string", "text string, page int, number int, due long", NEW, _events, timed=True)
